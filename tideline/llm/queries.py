@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, licenses, line_dedup, quality
+from tideline.llm import bitplanes, byte_bpe, exact_dedup, licenses, line_dedup, packing, quality, tokens
 from tideline.session import read_table
 
 
+def _tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = tokens.read_tokenizer(_tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(read_table(spark, sf_dir, "documents"), spec, end_id=1).drop("ids", "source")
+
+
+def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = tokens.read_tokenizer(_tokenizer_path("word_bpe_49k.json"))
+    return bitplanes.read_token_files(bitplanes.write_token_files(read_table(spark, sf_dir, "documents"), spec, end_id=2))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    spec = byte_bpe.model_from_ranks(byte_bpe.read_ranks(_tokenizer_path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), spec)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -28,6 +51,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_packing": op1_packing,
+        "op2_bit_planes": op2_bit_planes,
+        "op9_byte_bpe": op9_byte_bpe,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op7_license_scan": op7_license_scan,
