@@ -101,11 +101,11 @@ def shingles(hashes: Column, width: int) -> Column:
     return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bands(window: Column, size: int) -> Column:
+def _bands(window: Column, size: Column) -> Column:
     """Hashes of (window size, band, least shingle) of one window."""
     return F.transform(
         F.array(*[F.struct(F.lit(i).alias("band"), F.lit(s).alias("seed")) for i, s in enumerate(seeds())]),
-        lambda p: F.xxhash64(F.lit(size), p["band"], F.array_min(F.transform(window, lambda h: h.bitwiseXOR(p["seed"])))),
+        lambda p: F.xxhash64(size, p["band"], F.array_min(F.transform(window, lambda h: h.bitwiseXOR(p["seed"])))),
     )
 
 
@@ -113,7 +113,7 @@ def _window_bands(found: Column, size: int) -> Column:
     """Band hashes of all windows of ``size`` shingles that start every half of it."""
     step = size // 2
     starts = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(step))
-    return F.flatten(F.transform(starts, lambda at: let(F.slice(found, at + 1, size), lambda w: _bands(w, size))))
+    return F.flatten(F.transform(starts, lambda at: let(F.slice(found, at + 1, size), lambda w: _bands(w, F.lit(size)))))
 
 
 class Template:
@@ -129,51 +129,57 @@ def sign_templates(spark: SparkSession, templates: list[tuple[str, str]]) -> lis
         raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES}")
     frame = spark.createDataFrame([(n, t) for n, t in templates], "name string, text string")
     rows = frame.select("name", word_hashes(F.col("text")).alias("w")).withColumn("n", F.size("w")).collect()
-    signed = []
+    shaped = []
     for row in rows:
         if not row["n"] or row["n"] > MAX_TEMPLATE_WORDS:
             raise ValueError(f"template {row['name']} has {row['n']} words; from 1 to {MAX_TEMPLATE_WORDS} are allowed")
         width, size = min(SHINGLE, row["n"]), 2
         while size // 2 < row["n"] - width + 1:
             size *= 2
-        one = spark.createDataFrame([(list(row["w"]),)], "w array<bigint>").select(F.array_distinct(shingles(F.col("w"), width)).alias("s"))
-        got = one.select("s", _bands(F.col("s"), size).alias("b")).first()
-        signed.append(Template(row["name"], width, list(got["s"]), size, list(got["b"])))
-    return signed
+        shaped.append((row["name"], list(row["w"]), width, size))
+    frame = spark.createDataFrame(shaped, "name string, w array<bigint>, width int, size int")
+    by_width = F.coalesce(*[F.when(F.col("width") == k, F.array_distinct(shingles(F.col("w"), k))) for k in range(1, SHINGLE + 1)])
+    got = frame.select("name", "width", "size", by_width.alias("s")).withColumn("b", let(F.col("s"), lambda s: _bands(s, F.col("size"))))
+    return [Template(r["name"], r["width"], list(r["s"]), r["size"], list(r["b"])) for r in got.collect()]
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document and template that it holds: doc_id, license_id, n_shingles, n_matched, containment."""
     signed = sign_templates(docs.sparkSession, templates)
-    found = docs.select(F.col(id_col).alias("doc_id"), word_hashes(text_or_empty(text_col)).alias("w"))
-    results = []
-    for width in sorted({t.width for t in signed}):
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
+
+    def of_width(width: int, hashes: Column) -> Column:
+        """Structs of the templates of one shingle width that a text holds a candidate for, or null."""
         own = [t for t in signed if t.width == width]
-        longs = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
-        least = longs(sorted({h for t in own for h in t.least}))
-        shingled = found.select("doc_id", let(F.col("w"), lambda w: shingles(w, width)).alias("s"))  # noqa: B023
-        shingled = shingled.filter(F.arrays_overlap("s", least))
-        hits = [
-            F.array_intersect(_window_bands(F.col("s"), size), longs(sorted({b for t in own if t.size == size for b in t.bands})))
-            for size in sorted({t.size for t in own})
-        ]
-        matched = shingled.select("doc_id", "s", F.flatten(F.array(*hits)).alias("hits")).filter(F.size("hits") > 0)
-        checks = F.array(
-            *[
+
+        def retrieved(found: Column) -> Column:
+            bands = [_window_bands(found, size) for size in sorted({t.size for t in own})]
+            hits = F.array_intersect(F.flatten(F.array(*bands)), longs(sorted({b for t in own for b in t.bands})))
+            return F.when(F.arrays_overlap(found, longs(sorted({h for t in own for h in t.least}))), let(hits, lambda h: verified(found, h)))
+
+        def verified(found: Column, hits: Column) -> Column:
+            checks = [
                 F.when(
-                    F.arrays_overlap("hits", longs(t.bands)),
+                    F.arrays_overlap(hits, longs(t.bands)),
                     F.struct(
                         F.lit(t.name).alias("license_id"),
                         F.lit(len(t.shingles)).cast("long").alias("n_shingles"),
-                        F.size(F.array_intersect("s", longs(t.shingles))).cast("long").alias("n_matched"),
+                        F.size(F.array_intersect(found, longs(t.shingles))).cast("long").alias("n_matched"),
                     ),
                 )
                 for t in own
             ]
-        )
-        results.append(matched.select("doc_id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("c")).select("doc_id", "c.*"))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
+            return F.filter(F.array(*checks), lambda c: c.isNotNull())
+
+        return let(shingles(hashes, width), retrieved)
+
+    def candidates(hashes: Column) -> Column:
+        nothing = F.array().cast("array<struct<license_id:string,n_shingles:bigint,n_matched:bigint>>")
+        return F.flatten(F.array(*[F.coalesce(of_width(w, hashes), nothing) for w in sorted({t.width for t in signed})]))
+
+    # an outer explode: from an inner one Spark infers a filter that computes the whole array a second time
+    out = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(let(word_hashes(text_or_empty(text_col)), candidates)).alias("c")).select("doc_id", "c.*")
     share = F.col("n_matched") / F.col("n_shingles")
-    return out.withColumn("containment", F.round(share, 6)).filter(share >= CONTAINMENT)
+    return out.withColumn("containment", F.round(share, 6)).filter(share >= F.lit(CONTAINMENT))

@@ -45,8 +45,9 @@ def window_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one))
 
-    text = F.col("text")
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(let(_filled(_lines(text)), windows)))
+    # an outer inline: from an inner one Spark infers a filter that computes all windows a second time
+    found = F.inline_outer(let(_filled(_lines(F.col("text"))), windows))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), found).filter("position IS NOT NULL")
 
 
 def _clean(lines: Column, filled: Column, marks: Column, window: int) -> Column:
