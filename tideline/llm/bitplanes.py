@@ -55,7 +55,7 @@ def from_planes(planes: list[bytes], n: int, mode: int) -> np.ndarray:
     return np.ascontiguousarray(rows.T).view("<u4").reshape(-1)
 
 
-def write_shard(doc_ids: list[int | None], ids: list[np.ndarray], mode: str = "bit", block: int = BLOCK_IDS) -> bytes:
+def write_shard(doc_ids: list[int | None], ids: list[np.ndarray], mode: str = "byte", block: int = BLOCK_IDS) -> bytes:
     kind, packer = MODES[mode], zstandard.ZstdCompressor(level=LEVEL)
     stream = np.concatenate(ids) if ids else np.zeros(0, "<u4")
     index, body = [], []
@@ -100,13 +100,13 @@ def read_shard(payload: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def write_token_files(
-    docs: DataFrame, spec: str, end_id: int, keep_spaces: bool = False, mode: str = "bit", id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, spec: str, end_id: int, keep_spaces: bool = False, mode: str = "byte", id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Encode every text, append ``end_id``, write shards in ascending id order; the table of shards, read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = tokens.encoder(spec, keep_spaces).encode, TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.uint32(end_id)
         doc_ids, ids, held, shard, start = [], [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:
@@ -114,9 +114,9 @@ def write_token_files(
             return pa.RecordBatch.from_pylist([row], schema=shard_schema)
 
         for batch in tokens.slices(batches):
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id)
-                ids.append(np.frombuffer(raw + end, dtype="<u4"))
+                ids.append(np.append(own, end).astype("<u4", copy=False))
                 held += len(ids[-1])
                 if held >= SHARD_IDS:
                     yield closed()

@@ -99,7 +99,7 @@ def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_co
         encode, table = tokens.encoder(spec, True).encode, byte_table(spec)
         for batch in tokens.slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [np.frombuffer(x, dtype="<u4") for x in encode(texts)]
+            ids = encode(texts)
             at = [offsets(i, t, table) for i, t in zip(ids, texts, strict=True)]
             lists = [pa.array([x.astype(np.int32) for x in column], pa.list_(pa.int32())) for column in (ids, [a for a, _ in at], [c for _, c in at])]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *lists], ["doc_id", "ids", "byte_starts", "char_starts"])
@@ -128,8 +128,8 @@ def round_trip(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
         decimal = [b"%d" % i for i in range(len(table))]
         for batch in tokens.slices(batches):
             counts, sums, decoded = [], [], []
-            for raw in encode(batch.column(1).to_pylist()):
-                ids = np.frombuffer(raw, dtype="<u4").tolist()
+            for found in encode(batch.column(1).to_pylist()):
+                ids = found.tolist()
                 counts.append(len(ids))
                 sums.append(hashlib.sha256(b" ".join([decimal[i] for i in ids])).hexdigest())
                 decoded.append(hashlib.sha256(decode_bytes(ids, table)).hexdigest())

@@ -3,7 +3,7 @@
 Method: the lines of a text that hold more than blanks are trimmed and numbered; every three in a row form a window with
 a 128-bit hash. Windows found more than once in the whole table are counted with partial aggregation; each occurrence
 but the first, by (doc_id, hash of the text, position), marks its three lines, overlapping marks merge, and marked lines
-go. Blank lines between kept lines stay. Nothing is hashed by document group, and the two sides of the join on a window
+go, with the blank lines between them. Other blank lines stay. Nothing is hashed by document group, and the two sides of the join on a window
 are plain shuffles, which adaptive execution splits where one window is very frequent.
 
 Defined results: a null text counts as empty and gives an empty clean text; a text of under three such lines has no
@@ -56,7 +56,8 @@ def _clean(lines: Column, filled: Column, marks: Column, window: int) -> Column:
     def gap(i: Column) -> Column:
         start = F.when(i == 0, F.lit(0)).otherwise(filled[marks[F.greatest(i - 1, F.lit(0))] + (window - 1)]["at"] + 1)
         end = F.when(i == F.size(marks), F.size(lines)).otherwise(filled[marks[F.least(i, F.size(marks) - 1)]]["at"])
-        return F.slice(lines, start + 1, F.greatest(end - start, F.lit(0)))
+        touching = (i > 0) & (i < F.size(marks)) & (F.get(marks, i) - F.get(marks, i - 1) <= window)
+        return F.slice(lines, start + 1, F.when(touching, F.lit(0)).otherwise(F.greatest(end - start, F.lit(0))))
 
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(marks)), gap))
     return F.array_join(kept, "\n")

@@ -1,7 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every source is a queue of tokens: its documents (ids, then an end id) one after the other, in an order set by a hash of
-their ids. A queue is dealt out in quanta of ``QUANTUM`` tokens; a window (sequence) of ``WINDOW`` tokens takes
+Every source is a queue of tokens: its documents (ids, then an end id) one after the other, in the order of the input.
+A queue is dealt out in quanta of ``QUANTUM`` tokens; a window (sequence) of ``WINDOW`` tokens takes
 WINDOW / QUANTUM quanta. Before each quantum every queue's deficit grows by its target share; the queue with the largest
 deficit is served and pays one. The deficit stays with the queue from window to window, so every window meets the targets
 to within the quanta that are owed.
@@ -14,19 +14,24 @@ Targets default to the queues' own sizes, which spends all queues together. With
 drops out and the others keep their proportions. There are at most ``MAX_QUEUES`` queues: with more sources than that,
 sources share queues by hash, so the vector of totals is bounded.
 
-Defined results: a null text is empty and packs the end id alone; a null source is a queue of its own; equal ids are
-ordered by their tokens; every id of a repeated row lies in its own piece; an empty table gives an empty result; other
-columns are ignored.
+The ids are written once and never shuffled: each task notes where a text starts among the tokens of its queue in that
+task, and the tasks' totals are summed up per queue.
+
+Defined results: a null text is empty and packs the end id alone; a null source is a queue of its own; repeated rows are
+packed as often as they come; with more than ``MAX_QUEUES`` sources, weights are those of the queues; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +42,6 @@ WINDOW = 2048
 QUANTUM = 256
 EPOCH_QUANTA = 1 << 15
 MAX_QUEUES = 4096
-BLOCK_DOCS = 2000
 
 
 def served_by(time: float, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -80,16 +84,25 @@ def epoch_schedule(epoch: int, sizes: np.ndarray, weights: np.ndarray, length: i
     return queue, quantum, np.arange(slot, slot + count, dtype=np.int64)
 
 
-def _tokenized(docs: DataFrame, spec: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _tokenized(rows: DataFrame, spec: str, end_id: int) -> DataFrame:
+    """(doc_id, source, ids, n, queue, part, at): a text's ids, and where they start among those of its task and queue."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokens.encoder(spec, True).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode, part, upto = tokens.encoder(spec, True).encode, TaskContext.get().partitionId(), defaultdict(int)
+        small = tokens.load_tokenizer(spec).get_vocab_size() <= 1 << 16
         for batch in tokens.slices(batches):
-            ids = [raw + end for raw in encode(batch.column(1).to_pylist())]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), counts], ["doc_id", "source", "ids", "n"])
+            ids = [np.append(own, np.uint32(end_id)) for own in encode(batch.column(1).to_pylist())]
+            queues, starts = batch.column(3).to_pylist(), []
+            for queue, own in zip(queues, ids, strict=True):
+                starts.append(upto[queue])
+                upto[queue] += len(own)
+            packed = pa.array([x.astype("<u2" if small else "<u4").tobytes() for x in ids], pa.binary())
+            counts, places = pa.array([len(x) for x in ids], pa.int64()), pa.array(starts, pa.int64())
+            parts = pa.array([part] * len(ids), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), packed, counts, batch.column(3), parts, places], names)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-    return picked.mapInArrow(run, "doc_id long, source string, ids binary, n long")
+    names = ["doc_id", "source", "ids", "n", "queue", "part", "at"]
+    return rows.mapInArrow(run, "doc_id long, source string, ids binary, n long, queue string, part int, at long")
 
 
 def pack(
@@ -102,50 +115,47 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    with_ids: bool = True,
 ) -> DataFrame:
-    """Pieces: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset and the ids (32-bit, binary)."""
+    """Pieces: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset and the ids (32-bit, binary).
+
+    ``with_ids=False`` leaves the ids null, for those who read them from elsewhere.
+    """
     if window % quantum:
         raise ValueError("a window must be a whole number of quanta")
     if any(w <= 0 for w in (weights or {}).values()):
         raise ValueError("weights must be above 0")
     spark = docs.sparkSession
-    queued = materialize(_tokenized(docs, spec, end_id, id_col, text_col, source_col), "packing-tokens")
-    many = queued.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    queue_name = F.concat(F.lit("queue "), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES))) if many else F.col("source")
-    sizes = sorted(
-        ((r["queue"], r["n"]) for r in queued.groupBy(queue_name.alias("queue")).agg(F.sum("n").alias("n")).collect()),
-        key=lambda x: (x[0] is None, x[0] or ""),
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
+    many = rows.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
+    queue_name = F.concat(F.lit("queue "), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES))) if many else F.concat(F.lit("="), F.coalesce("source", F.lit("")))
+    if not many:  # a null source is told from an empty one
+        queue_name = F.when(F.col("source").isNull(), F.lit("null")).otherwise(queue_name)
+    queued = materialize(_tokenized(rows.withColumn("queue", queue_name), spec, end_id), "packing-tokens")
+    by_part = queued.groupBy("queue", "part").agg(F.sum("n").alias("part_n"))
+    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(by_part.withColumn("part_start", F.coalesce(F.sum("part_n").over(before), F.lit(0))), "packing-starts")
+    sizes = sorted((r["queue"], r["n"]) for r in starts.groupBy("queue").agg(F.sum("part_n").alias("n")).collect())
     if not sizes:
         return spark.createDataFrame([], PIECES)
     number = {name: k for k, (name, _) in enumerate(sizes)}
     totals = np.array([n for _, n in sizes], dtype=np.int64)
     full = totals // quantum
-    target = np.array([float(weights.get(name, 1.0)) for name, _ in sizes]) if weights else totals / totals.sum()
+    target = np.array([float(weights.get(name[1:] if name.startswith("=") else None, 1.0)) for name, _ in sizes]) if weights else totals / totals.sum()
     target = target / target.sum()
     n_full = int(full.sum())
     tail_start = n_full * quantum + np.cumsum(totals - full * quantum) - (totals - full * quantum)
 
-    numbers = spark.createDataFrame([(name, k) for name, k in number.items()], "name string, queue int")
-    blocks = max(1, -(-queued.count() // BLOCK_DOCS))
-    keyed = queued.withColumn("_name", queue_name).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    by_block = keyed.groupBy("_name", "block").agg(F.sum("n").alias("block_n"))
-    before = Window.partitionBy("_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_block.select(
-        F.col("_name").alias("name_"), F.col("block").alias("block_"), F.coalesce(F.sum("block_n").over(before), F.lit(0)).alias("block_start")
-    )
-    within = Window.partitionBy("_name", "block").orderBy("doc_id", "n", "ids").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        keyed.withColumn("upto", F.sum("n").over(within))
-        .join(starts, F.col("_name").eqNullSafe(F.col("name_")) & (F.col("block") == F.col("block_")))
-        .join(F.broadcast(numbers), F.col("_name").eqNullSafe(F.col("name")))
-        .select("doc_id", "source", "ids", "n", "queue", (F.col("block_start") + F.col("upto") - F.col("n")).alias("at"))
+    # Spark broadcasts the starts, tasks x queues rows, only if their written size is under its threshold
+    placed = queued.join(starts.drop("part_n"), ["queue", "part"]).select(
+        "doc_id", "source", "ids", "n", "queue", (F.col("part_start") + F.col("at")).alias("at")
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.slices(batches):
             out: list[tuple] = []
-            for doc_id, source, raw, n, queue, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, source, raw, n, name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                queue, wide = number[name], np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
                 edges = [*range(at // quantum * quantum + quantum, at + n, quantum)]
                 tail = int(full[queue]) * quantum
                 if at + n > tail:  # the closing windows cut where they end, not where quanta do
@@ -153,11 +163,11 @@ def pack(
                     edges = [e for e in edges if e <= tail]
                     edges += [p - shift for p in range((max(at, tail) + shift) // window * window + window, at + n + shift, window)]
                 for a, b in zip([at, *edges], [*edges, at + n], strict=True):
-                    ids = raw[4 * (a - at) : 4 * (b - at)]
+                    ids = wide[4 * (a - at) : 4 * (b - at)]
                     j = a // quantum
                     last = a >= tail
                     position = a + int(tail_start[queue]) - tail if last else a - j * quantum
-                    out.append((doc_id, source, a - at, b - a, zlib.crc32(ids), n, None if last else queue, None if last else j, position, ids))
+                    out.append((doc_id, source, a - at, b - a, zlib.crc32(ids), n, None if last else queue, None if last else j, position, ids if with_ids else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), cut_schema, strict=True)], schema=cut_schema)
 
     cut_schema = pa.schema(
@@ -176,6 +186,7 @@ def pack(
 
     epochs = max(1, -(-n_full // EPOCH_QUANTA))
     slots = spark.range(0, epochs, 1, min(epochs, 10_000)).mapInPandas(schedule, "queue int, quantum long, slot long")
+    slots = materialize(slots, "packing-slots")  # it grows with the input, which Spark can tell from the written size only
     position = F.coalesce(F.col("slot") * quantum, F.lit(0)) + F.col("position")
     return pieces.join(slots, ["queue", "quantum"], "left").select(
         "doc_id", "source", "start", "length", "ids_crc32", "doc_tokens",

@@ -1,27 +1,34 @@
 """Token ids of whole texts by the ``tokenizers`` library, over Arrow batches.
 
 A tokenizer is read once on the driver from a path that is a parameter and goes to the tasks as its JSON text. Texts are
-cut into chunks at places where every pre-tokenizer in use must cut too, each distinct chunk is encoded by the library,
-and the ids are kept in a cache of bounded size; the concatenated ids equal those of the whole text.
-
-Safe cuts: *spaces kept* (byte-level BPE) cuts before a space whose two neighbours are no white space; *spaces dropped*
-(word BPE) cuts at blanks, tabs and line breaks, which that pre-tokenizer discards.
+cut into pieces at places where every pre-tokenizer in use must cut too, each new piece is encoded by the library, and
+its ids are kept in a cache of bounded size; the concatenated ids equal those of the whole text.
+
+Safe cuts, *spaces kept* (byte-level BPE): before a space, and before a line break, that stands alone between two
+characters that are no white space. A text with any other white space takes the cuts of a regular expression instead.
+Safe cuts, *spaces dropped* (word BPE): at blanks, tabs and line breaks, which that pre-tokenizer discards; it also
+lowers the case, so texts of Latin letters are lowered before they are cut. In both, a cut between a Latin letter or an
+ASCII digit and trailing punctuation, as their classes differ.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_CHUNKS = 300_000
-LONG_CHUNK = 200
-SLICE_ROWS = 256
-KEEP_SPACES = re.compile(r"(?<=\S)(?= \S)")
-DROP_SPACES = re.compile(r"[^ \n\r\t]+")
+CACHE_PIECES = 1_000_000
+LONG_PIECE = 200
+SLICE_BYTES = 8 << 20
+ALONE = re.compile(r"(?<=\S)(?= \S)")
+BEYOND_LATIN = re.compile("[^\x00-ɏ]")
+PUNCTUATION = frozenset(".,;:!?|")
+ENDS_IN_PUNCTUATION = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ɏ])([.,;:!?|]+)", re.DOTALL)
 
 
 def read_tokenizer(path: str) -> str:
@@ -42,36 +49,99 @@ def load_tokenizer(spec: str):
     return tokenizer
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian 32-bit integers, chunk by chunk."""
+class PieceEncoder:
+    """Ids of texts as little-endian 32-bit integers, piece by piece.
+
+    A batch is split and its distinct pieces are found by Arrow; only those meet the cache, and the ids of all pieces
+    are then gathered in one step.
+    """
 
     def __init__(self, spec: str, keep_spaces: bool):
         self.tokenizer = load_tokenizer(spec)
-        self.split: Callable[[str], list[str]] = KEEP_SPACES.split if keep_spaces else DROP_SPACES.findall
+        self.keep_spaces = keep_spaces
         self.cache: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > CACHE_CHUNKS:
+    def _split(self, texts: list[str]) -> pa.ListArray:
+        """Keys of the cache; the ids of a text are those of its pieces, end to end."""
+        if not self.keep_spaces:
+            flat = pa.array([t if BEYOND_LATIN.search(t) else t.lower() for t in texts], pa.large_string())
+            for blank in "\n\r\t":
+                flat = pc.replace_substring(flat, blank, " ")
+            return pc.split_pattern(flat, " ")
+        # a piece after a blank is kept without it; the first piece, and those of the regular expression, are marked
+        flat = pc.replace_substring(pa.array(["\0" + t for t in texts], pa.large_string()), "\n", " \n")
+        return pc.split_pattern(flat, " ")
+
+    @staticmethod
+    def _irregular(piece: str) -> bool:
+        """Whether white space stands at an end of a piece, but for one line break before a character."""
+        piece = piece.removeprefix("\0")
+        if not piece or piece[-1].isspace():
+            return True
+        return piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace())
+
+    def _spelled(self, piece: str) -> str:
+        """The text that a key stands for."""
+        if not self.keep_spaces:
+            return piece
+        return piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece
+
+    def _learn(self, new: set[str]) -> list[str]:
+        """Put pieces in the cache; the long ones among them."""
+        split = {p: m.groups() for p in new if p and p[-1] in PUNCTUATION and (m := ENDS_IN_PUNCTUATION.fullmatch(p))}
+        mark = "\0" if self.keep_spaces else ""
+        parts = {p for stem, tail in split.values() for p in (stem, mark + tail)}
+        whole = [p for p in (new - split.keys()) | parts if p not in self.cache]
+        found = self.tokenizer.encode_batch_fast([self._spelled(p) for p in whole], add_special_tokens=False)
+        for piece, encoding in zip(whole, found, strict=True):
+            self.cache[piece] = array("I", encoding.ids).tobytes()
+        for piece, (stem, tail) in split.items():
+            self.cache[piece] = self.cache[stem] + self.cache[mark + tail]
+        return [p for p in (*whole, *split) if len(p) > LONG_PIECE]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        cache, parts = self.cache, [self.split(t) if t else [] for t in texts]
-        new = list({c for chunks in parts for c in chunks if c not in cache})
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-        out = [b"".join([cache[c] for c in chunks]) for chunks in parts]
-        for chunk in new:
-            if len(chunk) > LONG_CHUNK:
-                del cache[chunk]
+        cache, texts = self.cache, [t or "" for t in texts]
+        lists = self._split(texts)
+        codes = lists.flatten().dictionary_encode()
+        pieces, at = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+        edges = lists.offsets.to_numpy(zero_copy_only=False)
+        edges = edges - edges[0]
+        values = list(map(cache.get, pieces))
+        new = {p for p, v in zip(pieces, values, strict=True) if v is None}
+        odd = {k for k, t in enumerate(texts) if "\0" in t} if self.keep_spaces else set()
+        if self.keep_spaces and new:
+            bad = set(filter(self._irregular, new))  # such pieces are never kept
+            new -= bad
+            hit = np.isin(at, [k for k, p in enumerate(pieces) if p in bad]).nonzero()[0] if bad else np.zeros(0, int)
+            odd |= set((np.searchsorted(edges, hit, side="right") - 1).tolist())
+        marked = {k: ["\0" + x for x in ALONE.split(texts[k])] if texts[k] else [] for k in odd}
+        long = self._learn(new.union(*marked.values()).difference(cache))
+        values = [cache.get(p, b"") if v is None else v for p, v in zip(pieces, values, strict=True)]
+        sizes = np.fromiter(map(len, values), dtype=np.int32, count=len(values)) // 4
+        pool, first = np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+        counts = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = pool[np.repeat(first[at] - upto[:-1].astype(np.int32), counts) + np.arange(upto[-1], dtype=np.int32)]
+        cuts = upto[edges]
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for k, chunks in marked.items():
+            out[k] = np.frombuffer(b"".join([cache[c] for c in chunks]), dtype="<u4")
+        for piece in long:
+            cache.pop(piece, None)
         return out
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(spec: str, keep_spaces: bool) -> ChunkEncoder:
+def encoder(spec: str, keep_spaces: bool) -> PieceEncoder:
     """The encoder of this Python worker, kept from task to task."""
-    return ChunkEncoder(spec, keep_spaces)
+    return PieceEncoder(spec, keep_spaces)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that what is made from long texts stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows and about ``size`` bytes, so that what is made from long texts stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, int(batch.num_rows * size / max(batch.nbytes, 1))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
