@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.columns import crc_of_id
 from tideline.llm.tokens import slices
@@ -128,7 +129,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text
     """``docs`` with lang_pred, score and lang_shares (map of the chosen languages to their shares)."""
     langs = sorted(model)
     table = np.stack([model[x] for x in langs], axis=1) if langs else None
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("lang_shares", "map<string,double>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_shares", T.MapType(T.StringType(), T.DoubleType()))])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

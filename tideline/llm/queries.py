@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bitplanes, byte_bpe, exact_dedup, licenses, line_dedup, packing, quality, tokens
+from tideline.llm import bitplanes, byte_bpe, exact_dedup, langid, licenses, line_dedup, order_minhash, packing, quality, tokens, toxicity
 from tideline.session import read_table
 
 
@@ -17,7 +17,7 @@ def _tokenizer_path(name: str) -> str:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = tokens.read_tokenizer(_tokenizer_path("byte_bpe_50k.json"))
-    return packing.pack(read_table(spark, sf_dir, "documents"), spec, end_id=1).drop("ids", "source")
+    return packing.pack(read_table(spark, sf_dir, "documents"), spec, end_id=1, with_ids=False).drop("ids", "source")
 
 
 def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,14 +49,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
 
 
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("node")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_bit_planes": op2_bit_planes,
-        "op9_byte_bpe": op9_byte_bpe,
+        "op3_language_mixture": op3_language_mixture,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_quality_rules": op5_quality_rules,
+        "op6_order_minhash": op6_order_minhash,
         "op7_license_scan": op7_license_scan,
+        "op8_toxicity": op8_toxicity,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_line_dedup": op10_line_dedup,
     }
 

@@ -1,11 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated Kneser-Ney bigram models, one of texts labelled toxic and one of ordinary texts, score every word of a
-text. All counts are of documents, so a long text that repeats itself weighs once. A class's bigram level discounts its
-counts and backs off to the class's continuation counts (in how many documents a word is seen), and these back off to
+text. All counts are of documents, so a long text that repeats itself weighs once. A class's bigram level discounts the
+counts of pairs that are common in the two classes together, frees those of the others, and backs off to the class's continuation counts (in how many documents a word is seen), and these back off to
 counts that both classes share, made of what their discounts set free, so an expression that is rare in either class gets the same probability from
 both and says nothing. Both models see as many texts of their class. The difference of the two log-likelihoods per
-word, with the share of words on the toxic side, goes through a logistic calibration fitted on labelled rows that the
+word, with the weight of its strongly toxic words, goes through a logistic calibration fitted on labelled rows that the
 models have not seen.
 
 Words are runs of letters and digits in lower case, hashed to ``WORD_SLOTS``; bigrams are hashed to ``PAIR_SLOTS``. The
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.columns import crc_of_id
 from tideline.llm.tokens import slices
@@ -35,6 +36,8 @@ from tideline.llm.tokens import slices
 WORD_SLOTS = 1 << 20
 PAIR_SLOTS = 1 << 22
 DISCOUNT = 3.0
+PAIR_DISCOUNT = 0.75
+COMMON_PAIR = 16
 MAX_FIT_ROWS = 10_000
 CALIBRATION_PART = 5
 CACHE_WORDS = 500_000
@@ -73,26 +76,26 @@ class KneserNey:
     """Tables of both classes (0 ordinary, 1 toxic), of fixed size, from (word slots, class) of texts."""
 
     def __init__(self, texts: list[tuple[np.ndarray, int]]):
-        self.pair = np.zeros((2, PAIR_SLOTS), dtype=np.float32)
         self.total = np.ones((2, WORD_SLOTS), dtype=np.float32)
         self.backoff = np.ones((2, WORD_SLOTS), dtype=np.float32)
-        spread = np.zeros((2, WORD_SLOTS))
+        spread, count, before = np.zeros((2, WORD_SLOTS)), np.zeros((2, PAIR_SLOTS), dtype=np.float32), np.zeros(PAIR_SLOTS, dtype=np.int64)
+        for words, label in texts:
+            if len(words):
+                pairs, first = np.unique(pair_slots(words), return_index=True)
+                count[label, pairs] += 1
+                before[pairs] = np.concatenate([[0], words[:-1]])[first]
+                spread[label, np.unique(words)] += 1
+        rare = count.sum(axis=0) < COMMON_PAIR
         for label in (0, 1):
-            count, before = np.zeros(PAIR_SLOTS), np.zeros(PAIR_SLOTS, dtype=np.int64)
-            for words, of in texts:
-                if of == label and len(words):
-                    pairs, first = np.unique(pair_slots(words), return_index=True)
-                    count[pairs] += 1
-                    before[pairs] = np.concatenate([[0], words[:-1]])[first]
-                    spread[label, np.unique(words)] += 1
-            (used,) = count.nonzero()
-            freed = np.minimum(count[used], DISCOUNT)  # what each pair leaves to the level below
-            self.pair[label, used] = count[used] - freed
-            total = np.bincount(before[used], weights=count[used], minlength=WORD_SLOTS)
+            (used,) = count[label].nonzero()
+            freed = np.where(rare[used], count[label, used], PAIR_DISCOUNT)  # what each pair leaves to the level below
+            total = np.bincount(before[used], weights=count[label, used], minlength=WORD_SLOTS)
             left = np.bincount(before[used], weights=freed, minlength=WORD_SLOTS)
+            count[label, used] -= freed
             seen = total > 0
             self.total[label, seen] = total[seen]
             self.backoff[label, seen] = np.maximum(left[seen] / total[seen], LEAST_BACKOFF)
+        self.pair = count
         freed = np.minimum(spread, DISCOUNT)
         shared = (freed.sum(axis=0) + 0.5) / (freed.sum() + 0.5 * WORD_SLOTS)
         mass = np.maximum(spread.sum(axis=1, keepdims=True), 1.0)
@@ -106,17 +109,17 @@ class KneserNey:
         return logs[1] - logs[0]
 
     def features(self, words: np.ndarray) -> tuple[float, float]:
-        """Difference of the log-likelihoods per word, and share of words with strong evidence."""
+        """Difference of the log-likelihoods per word, and mean square of what single words have beyond ``STRONG``."""
         if not len(words):
             return 0.0, 0.0
         each = self.evidence(words)
-        return float(each.mean()), float((each > STRONG).mean())
+        return float(each.mean()), float((np.maximum(each - STRONG, 0) ** 2).mean())
 
     def score(self, found: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + np.log1p(np.maximum(found, 0) * 100) @ self.weights[1:], -30, 30)))
 
 
-STRONG = 3.0
+STRONG = 1.5
 LEAST_BACKOFF = 0.01  # where slots collide, a context may have left nothing
 
 
@@ -174,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def predict(docs: DataFrame, model: KneserNey | None, text_col: str = "text") -> DataFrame:
     """``docs`` with score and predicted."""
-    schema = docs.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size: about 60 MB
 
