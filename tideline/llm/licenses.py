@@ -10,8 +10,8 @@ similarity with that window of at least 0.8 n / (W + 0.2 n) >= 0.19. With ``BAND
 probability (1 - 0.19)**64 < 2e-6.
 
 A row of a band is the least shingle under ``hash xor seed``. A window can agree with a template in a band only if it
-holds the very shingle that is the template's least one, so texts without any of those shingles are set aside before the
-windows are signed; this changes no result.
+holds the very shingle that is the template's least one, so only windows with such a shingle are signed; this changes no
+result.
 
 Verification: share of the template's distinct shingles that the document holds, at least ``CONTAINMENT``.
 
@@ -109,10 +109,11 @@ def _bands(window: Column, size: Column) -> Column:
     )
 
 
-def _window_bands(found: Column, size: int) -> Column:
-    """Band hashes of all windows of ``size`` shingles that start every half of it."""
+def _window_bands(found: Column, size: int, hits: Column) -> Column:
+    """Band hashes of those windows of ``size`` shingles, starting every half of it, that hold one of the positions ``hits``."""
     step = size // 2
-    starts = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(step))
+    holding = F.flatten(F.transform(hits, lambda p: F.array(p - p % step, p - p % step - step)))
+    starts = F.filter(F.array_distinct(holding), lambda at: at >= 0)
     return F.flatten(F.transform(starts, lambda at: let(F.slice(found, at + 1, size), lambda w: _bands(w, F.lit(size)))))
 
 
@@ -154,10 +155,15 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         """Structs of the templates of one shingle width that a text holds a candidate for, or null."""
         own = [t for t in signed if t.width == width]
 
+        least = sorted({h for t in own for h in t.least})
+
         def retrieved(found: Column) -> Column:
-            bands = [_window_bands(found, size) for size in sorted({t.size for t in own})]
-            hits = F.array_intersect(F.flatten(F.array(*bands)), longs(sorted({b for t in own for b in t.bands})))
-            return F.when(F.arrays_overlap(found, longs(sorted({h for t in own for h in t.least}))), let(hits, lambda h: verified(found, h)))
+            at = F.filter(F.transform(found, lambda h, i: F.when(h.isin(least), i)), lambda p: p.isNotNull())
+            return let(at, lambda hits: F.when(F.size(hits) > 0, signed_windows(found, hits)))
+
+        def signed_windows(found: Column, hits: Column) -> Column:
+            bands = [_window_bands(found, size, hits) for size in sorted({t.size for t in own})]
+            return let(F.array_intersect(F.flatten(F.array(*bands)), longs(sorted({b for t in own for b in t.bands}))), lambda h: verified(found, h))
 
         def verified(found: Column, hits: Column) -> Column:
             checks = [
