@@ -201,6 +201,46 @@ def test_near_duplicates(spark, docs):
     assert kept.columns == docs.columns and sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, 2, 3, 4, 5, 6, 7]
 
 
+def test_near_duplicates_within_a_family(spark):
+    """Pairs at 0.8 whose shared bands all lie in a passage that a family shares."""
+    draw, rows, planted = random.Random(23), [], 0
+    passage = text_of(draw, 300)
+    bands = lambda text: set(order_minhash.sketch(order_minhash.kmers(text))[0].tolist())
+    while planted < 12:
+        more = text_of(draw, 58)
+        pair = [f"{passage} {more} {text_of(draw, 42)}" for _ in range(2)]
+        if bands(pair[0]) & bands(pair[1]) <= bands(passage):
+            rows += [(len(rows) + k, text) for k, text in enumerate(pair)]
+            planted += 1
+    rows += [(len(rows) + k, f"{passage} {text_of(draw, 100)}") for k in range(60)]
+    many = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_classes(rows)
+    assert len(set(want.values())) == len(rows) - planted
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(many).collect()} == want
+
+
+def test_open_pairs_join_all_classes(spark):
+    """From no classes at all, the pairs alone give the classes of brute force, whichever k-mers count as common."""
+    draw, rows = random.Random(29), []
+    parts = [text_of(draw, 40) for _ in range(6)]
+    for k in range(60):
+        rows.append((len(rows), " ".join(draw.sample(parts, 4)) + " " + text_of(draw, 1 + k % 30)))
+        rows.append((len(rows), mutated(draw, " ".join(parts), 0.002 * (k % 10))))
+    rows += [(1000, "one two three"), (1001, "one two three four five six seven eight nine ten"), (1002, "one two three four five six seven eight nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = order_minhash.sketch_rows(docs).groupBy("node").agg(F.min("doc_id").alias("rep"))
+    nodes = spark.createDataFrame(nodes.collect(), nodes.schema)
+    labels, found, want = nodes.select("node", F.col("node").alias("label")), {k: order_minhash.kmers(t) for k, t in rows}, near_classes(rows)
+    rep = {r.node: r.rep for r in nodes.collect()}
+    for common in (1, 8, 64):
+        label = {k: k for k in rep.values()}
+        for a, b in order_minhash._open_pairs(labels, nodes, docs, common).collect():
+            x, y = label[rep[a]], label[rep[b]]
+            if x != y and order_minhash.alignment_similarity(found[rep[a]], found[rep[b]]) >= 0.8:
+                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+        assert label == {k: want[k] for k in label}
+
+
 def test_language_identification(spark, docs, sf_dir):
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = langid.identify(whole).join(whole, "doc_id").collect()

@@ -9,9 +9,10 @@ a pair shares none of 24 bands with probability 3e-6.
 Candidates never form all pairs of a bucket. Identical k-mer sequences count as one node. In each bucket the member with
 the most companions over all its buckets is the hub, and every other member is compared with it. Buckets where a
 comparison failed are split by a second band, another one each time, and compared again around members of the smallest
-classes found so far, ``ROUNDS`` rounds in all; pairs that are already in one class are left out. A pair is set aside
-before alignment only if its minima agree in fewer than ``LEAST_AGREE`` of the permutations, which happens to a pair at
-0.8 with probability under 1e-6.
+classes found so far, ``ROUNDS`` rounds in all; pairs that are already in one class are left out. What these rounds leave
+open in such buckets is finished exactly by a prefix filter over k-mers (``_open_pairs``). A pair is set aside before
+alignment only if its minima agree in fewer than ``LEAST_AGREE`` of the permutations, which happens to a pair at 0.8 with
+probability under 1e-6.
 
 Verification is a banded alignment: shared labelled k-mers on diagonals within the band that the threshold allows are
 chained into the longest increasing run; similarity is aligned / (k-mers of both - aligned), links have 0.8 or more.
@@ -47,6 +48,7 @@ LENGTH = 4
 THRESHOLD = 0.8
 ROUNDS = 5
 LEAST_AGREE = 9
+COMMON_KMER = 64
 CACHE_WORDS = 500_000
 WORDS = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -165,7 +167,7 @@ def _hub_pairs(members: DataFrame, weight: DataFrame, salt: int) -> DataFrame:
     """(bucket, node, hub) of (bucket, node): the hub has the largest weight, then the largest salted hash."""
     # written, so that the joins read both sides through plain shuffles and hot buckets can be split
     weighted = materialize(members.join(weight, "node"), "omh-members")
-    rank = F.struct("weight", F.xxhash64("node", F.lit(salt)), "node")
+    rank = F.struct("weight", F.xxhash64("node", "bucket", F.lit(salt)), "node")
     hubs = materialize(
         weighted.groupBy("bucket").agg(F.max(rank)["node"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "omh-hubs"
     )
@@ -206,7 +208,60 @@ def _aligned(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, similarity double")
 
 
-def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def _open_pairs(labels: DataFrame, nodes: DataFrame, docs: DataFrame, common: int) -> DataFrame:
+    """Pairs (a, b) of the nodes of ``labels``; linked, they join all classes that hold a pair at the threshold.
+
+    Prefix filter: in one order of all k-mers, the rarest among these nodes first, two texts at 0.8 share a k-mer among
+    the first n - ceil(0.8 n) + 1 of both. A k-mer that at most ``common`` nodes hold pairs its nodes directly. A text
+    with other k-mers in its prefix is also paired by all its rarer ones, so a pair that is still open shares only
+    common k-mers. Of the texts with one sequence of common k-mers the shortest stands for all: if x and y are at 0.8 by
+    common k-mers alone, so are x and the shortest of y's, y and the shortest of x's, and these two. Within a k-mer only
+    pairs outside its largest class are formed.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [kmers(t) for t in batch.column(1).to_pylist()]
+            keep = pa.array([_node(x) == n for x, n in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            spelled = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spelled], ["node", "kmers"]).filter(keep)
+
+    wanted, texts = nodes.select("node", "rep").join(labels.select("node"), "node"), docs.select(F.col("doc_id").alias("rep"), "text")
+    read = wanted.join(texts, wanted["rep"].eqNullSafe(texts["rep"])).select("node", "text")
+    spelled = materialize(read.mapInArrow(spell, "node long, kmers array<long>").dropDuplicates(["node"]), "omh-open")
+    each = spelled.select("node", F.size("kmers").alias("n"), F.posexplode("kmers").alias("at", "kmer"))
+    held = materialize(each.groupBy("kmer").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "omh-held")
+    own = each.join(held, "kmer").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "kmer", "at"))).alias("all"))
+    # k-mers that no other node holds come first in the prefix
+    own = own.withColumn("take", F.expr("size(all) - (4 * n + 4) div 5 + 1").cast("int")).filter("take > 0").withColumn("prefix", F.slice("all", 1, F.col("take")))
+    frequent = F.filter("prefix", lambda x: x["held"] > common)
+    rare = F.filter(F.when(F.size(frequent) > 0, F.col("all")).otherwise(F.col("prefix")), lambda x: x["held"] <= common)
+    in_order = F.array_sort(F.transform(F.filter("all", lambda x: x["held"] > common), lambda x: F.struct(x["at"], x["kmer"])))
+    shaped = own.select("node", "n", rare["kmer"].alias("rare"), frequent["kmer"].alias("frequent"), F.xxhash64(F.transform(in_order, lambda x: x["kmer"])).alias("sequence"))
+    placed = materialize(shaped.join(labels, "node"), "omh-prefixes")
+
+    def paired(left: DataFrame, right: DataFrame) -> DataFrame:
+        left, right = (side.select("kmer", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label")]) for side, x in ((left, "l"), (right, "r")))
+        near = left.join(right, "kmer").filter("label_l <> label_r AND 5 * least(n_l, n_r) >= 4 * greatest(n_l, n_r)")
+        return near.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b"))
+
+    by_rare = materialize(placed.select("node", "n", "label", F.explode("rare").alias("kmer")), "omh-rare")
+    of_each = placed.filter(F.size("frequent") > 0).select("node", "n", "label", "sequence", F.explode("frequent").alias("kmer"))
+    sizes = of_each.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("kmer").agg(F.max(F.struct("size", "label"))["label"].alias("largest"))
+    by_frequent = materialize(of_each.join(materialize(largest, "omh-largest"), "kmer"), "omh-frequent")
+    shortest = by_frequent.groupBy("sequence").agg(F.min(F.struct("n", "node"))["node"].alias("node")).select("node")
+    shortest = materialize(by_frequent.join(materialize(shortest, "omh-shortest"), "node", "left_semi"), "omh-standing")
+    outside = "label <> largest"
+    return (
+        paired(by_rare, by_rare)
+        .unionByName(paired(by_frequent.filter(outside), shortest))
+        .unionByName(paired(by_frequent, shortest.filter(outside)))
+        .distinct()
+    )
+
+
+def links(rows: DataFrame, docs: DataFrame, common: int = COMMON_KMER) -> DataFrame:
     """Verified links (a, b, similarity) between different k-mer sequences; ``rows`` is a written ``sketch_rows``."""
     nodes = materialize(
         rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketches").alias("sketches"), F.first("least").alias("least")),
@@ -236,16 +291,22 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
             contested = materialize(sided.join(materialize(failed, "omh-failed"), ["a", "b"], "left_semi").select("bucket").distinct(), "omh-contested")
             base = materialize(members.join(contested, "bucket", "left_semi"), "omh-base")
             bands = materialize(nodes.join(base.select("node").distinct(), "node", "left_semi").select("node", "sketches"), "omh-bands")
-        if turn == ROUNDS - 1 or bands.limit(1).count() == 0:
-            return found
+            if bands.limit(1).count() == 0:
+                return found
         labels = bands.select("node").join(components(found), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         labels = materialize(labels, "omh-labels")
+        if turn == ROUNDS - 1:
+            break
         # members of the smallest classes lead the next buckets
         sizes = labels.groupBy("label").agg((-F.count(F.lit(1))).alias("weight"))
         weight = materialize(labels.join(materialize(sizes, "omh-sizes"), "label").select("node", "weight"), "omh-weights")
         second = F.element_at("sketches", (F.col("at") + turn + 1) % SKETCHES + 1)
         split = bands.select("node", "sketches", F.posexplode("sketches").alias("at", "first")).select("node", "first", F.xxhash64("first", second).alias("bucket"))
         members = split.join(base.select(F.col("bucket").alias("first"), "node"), ["first", "node"], "left_semi").select("bucket", "node")
+    left = materialize(_open_pairs(labels, nodes, docs, common), "omh-left").join(tested, ["a", "b"], "left_anti")
+    agreed = materialize(_agreeing(left, nodes.select("node", "least")), "omh-agreed")
+    aligned = materialize(_aligned(agreed.filter(F.col("agree") >= LEAST_AGREE).select("a", "b"), nodes, docs), "omh-aligned")
+    return found.unionByName(aligned.filter(F.col("similarity") >= THRESHOLD))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
