@@ -274,3 +274,22 @@ def test_toxicity(spark, docs, sf_dir):
     assert len(none) == docs.count() and {r.score for r in none} == {0.0}
     odd = labels.unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema))
     assert toxicity.score_toxicity(whole, odd).count() == whole.count()
+
+
+def test_kneser_ney_counts_contexts():
+    texts = [("a x b x c x", 1), ("a y a y", 1), ("a y z", 1), ("a x y", 0), ("b z x", 0)]
+    model = toxicity.KneserNey([(toxicity.word_slots(t), label) for t, label in texts])
+    slot = {w: int(toxicity.word_slots(w)[0]) for w in "abcxyz"}
+    pairs = {c: [(p, w) for t, label in texts if label == c for p, w in set(zip(["<s>", *t.split()], t.split(), strict=False))] for c in (0, 1)}
+    contexts = {c: {w: len({p for p, x in pairs[c] if x == w}) for w in slot} for c in (0, 1)}
+    both = sum(contexts[c][w] for c in (0, 1) for w in slot) + 0.5 * toxicity.WORD_SLOTS
+    for c in (0, 1):
+        mass, kinds = sum(contexts[c].values()), sum(n > 0 for n in contexts[c].values())
+        lower = {w: (max(n - 0.75, 0) + 0.75 * kinds * (contexts[0][w] + contexts[1][w] + 0.5) / both) / mass for w, n in contexts[c].items()}
+        for prev in {p for p, _ in pairs[c]} - {"<s>"}:
+            after = [w for p, w in pairs[c] if p == prev]
+            for word in slot:
+                want = max(after.count(word) - 0.75, 0) / len(after) + 0.75 * len(set(after)) / len(after) * lower[word]
+                found = toxicity.pair_slots(np.array([slot[prev], slot[word]]))[1]
+                got = model.pair[c, found] / model.total[c, slot[prev]] + model.backoff[c, slot[prev]] * model.lower[c, slot[word]]
+                assert abs(got - want) < 1e-5

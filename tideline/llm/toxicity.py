@@ -1,12 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated Kneser-Ney bigram models, one of texts labelled toxic and one of ordinary texts, score every word of a
-text. All counts are of documents, so a long text that repeats itself weighs once. A class's bigram level discounts the
-counts of pairs that are common in the two classes together, frees those of the others, and backs off to the class's continuation counts (in how many documents a word is seen), and these back off to
-counts that both classes share, made of what their discounts set free, so an expression that is rare in either class gets the same probability from
-both and says nothing. Both models see as many texts of their class. The difference of the two log-likelihoods per
-word, with the weight of its strongly toxic words, goes through a logistic calibration fitted on labelled rows that the
-models have not seen.
+text. A pair counts once in every text that holds it, so a long text that repeats itself weighs once. A class's bigram
+level takes one absolute discount, ``DISCOUNT``, off every pair and backs off to the class's continuation counts, the
+number of distinct words seen before a word. These take the same discount and back off to the sum of both classes'
+continuation counts, which a uniform share of the slots completes. Both models see as many texts of their class. The
+difference of the two log-likelihoods per word, with the weight of its strongly toxic words by the bigram and by the
+continuation level, goes through a logistic calibration fitted on labelled rows that the models have not seen.
 
 Words are runs of letters and digits in lower case, hashed to ``WORD_SLOTS``; bigrams are hashed to ``PAIR_SLOTS``. The
 models are fitted on at most ``MAX_FIT_ROWS`` labelled rows of each class, the first by a hash of the id: a documented
@@ -35,9 +35,7 @@ from tideline.llm.tokens import slices
 
 WORD_SLOTS = 1 << 20
 PAIR_SLOTS = 1 << 22
-DISCOUNT = 3.0
-PAIR_DISCOUNT = 0.75
-COMMON_PAIR = 16
+DISCOUNT = 0.75
 MAX_FIT_ROWS = 10_000
 CALIBRATION_PART = 5
 CACHE_WORDS = 500_000
@@ -78,49 +76,49 @@ class KneserNey:
     def __init__(self, texts: list[tuple[np.ndarray, int]]):
         self.total = np.ones((2, WORD_SLOTS), dtype=np.float32)
         self.backoff = np.ones((2, WORD_SLOTS), dtype=np.float32)
-        spread, count, before = np.zeros((2, WORD_SLOTS)), np.zeros((2, PAIR_SLOTS), dtype=np.float32), np.zeros(PAIR_SLOTS, dtype=np.int64)
+        count, held = np.zeros((2, PAIR_SLOTS), dtype=np.float32), np.zeros((2, WORD_SLOTS))
+        before, word = np.zeros(PAIR_SLOTS, dtype=np.int32), np.zeros(PAIR_SLOTS, dtype=np.int32)
         for words, label in texts:
             if len(words):
                 pairs, first = np.unique(pair_slots(words), return_index=True)
                 count[label, pairs] += 1
                 before[pairs] = np.concatenate([[0], words[:-1]])[first]
-                spread[label, np.unique(words)] += 1
-        rare = count.sum(axis=0) < COMMON_PAIR
+                word[pairs] = words[first]
         for label in (0, 1):
             (used,) = count[label].nonzero()
-            freed = np.where(rare[used], count[label, used], PAIR_DISCOUNT)  # what each pair leaves to the level below
             total = np.bincount(before[used], weights=count[label, used], minlength=WORD_SLOTS)
-            left = np.bincount(before[used], weights=freed, minlength=WORD_SLOTS)
-            count[label, used] -= freed
+            left = DISCOUNT * np.bincount(before[used], minlength=WORD_SLOTS)
+            held[label] = np.bincount(word[used], minlength=WORD_SLOTS)  # distinct words before each word
+            count[label, used] -= DISCOUNT
             seen = total > 0
             self.total[label, seen] = total[seen]
-            self.backoff[label, seen] = np.maximum(left[seen] / total[seen], LEAST_BACKOFF)
+            self.backoff[label, seen] = left[seen] / total[seen]
         self.pair = count
-        freed = np.minimum(spread, DISCOUNT)
-        shared = (freed.sum(axis=0) + 0.5) / (freed.sum() + 0.5 * WORD_SLOTS)
-        mass = np.maximum(spread.sum(axis=1, keepdims=True), 1.0)
-        self.lower = ((spread - freed + (freed.sum(axis=1, keepdims=True) + (spread.sum(axis=1, keepdims=True) == 0)) * shared) / mass).astype(np.float32)
-        self.weights = np.zeros(3)
-
-    def evidence(self, words: np.ndarray) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of every word."""
+        shared = (held.sum(axis=0) + 0.5) / (held.sum() + 0.5 * WORD_SLOTS)
+        mass = held.sum(axis=1, keepdims=True)
+        freed = DISCOUNT * (held > 0).sum(axis=1, keepdims=True) + (mass == 0)
+        self.lower = ((np.maximum(held - DISCOUNT, 0) + freed * shared) / np.maximum(mass, 1.0)).astype(np.float32)
+        self.weights = np.zeros(4)
+
+    def evidence(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | toxic) - log P(word | ordinary) of every word after its context, and by the continuation level alone."""
         before, pairs = np.concatenate([[0], words[:-1]]).astype(np.int64), pair_slots(words)
-        logs = [np.log(self.pair[c, pairs] / self.total[c, before] + self.backoff[c, before] * self.lower[c, words]) for c in (0, 1)]
-        return logs[1] - logs[0]
+        lower = self.lower[:, words]
+        logs = [np.log(self.pair[c, pairs] / self.total[c, before] + self.backoff[c, before] * lower[c]) for c in (0, 1)]
+        return logs[1] - logs[0], np.log(lower[1] / lower[0])
 
-    def features(self, words: np.ndarray) -> tuple[float, float]:
-        """Difference of the log-likelihoods per word, and mean square of what single words have beyond ``STRONG``."""
+    def features(self, words: np.ndarray) -> tuple[float, float, float]:
+        """Difference of the log-likelihoods per word, and mean squares of what single words have beyond ``STRONG``: by pairs, by continuation."""
         if not len(words):
-            return 0.0, 0.0
-        each = self.evidence(words)
-        return float(each.mean()), float((np.maximum(each - STRONG, 0) ** 2).mean())
+            return 0.0, 0.0, 0.0
+        each, alone = self.evidence(words)
+        return float(each.mean()), *(float((np.maximum(x - STRONG, 0) ** 2).mean()) for x in (each, alone))
 
     def score(self, found: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + np.log1p(np.maximum(found, 0) * 100) @ self.weights[1:], -30, 30)))
 
 
-STRONG = 1.5
-LEAST_BACKOFF = 0.01  # where slots collide, a context may have left nothing
+STRONG = 2.0
 
 
 def _logistic(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -167,11 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = [x for x, p in zip(data, part, strict=True) if not p]
     if len({x for *_, x in held}) < 2 or len({x for *_, x in base}) < 2:
         held = base = data
-    trial = KneserNey(_balanced(base))
-    weights = _logistic(np.array([trial.features(w) for _, w, _ in held]), np.array([x for *_, x in held], dtype=float))
-    del trial
-    model = KneserNey(_balanced(data))
-    model.weights = weights
+    model = KneserNey(_balanced(base))  # the calibration holds for this model, not for one of more texts
+    model.weights = _logistic(np.array([model.features(w) for _, w, _ in held]), np.array([x for *_, x in held], dtype=float))
     return model
 
 
@@ -186,7 +181,7 @@ def predict(docs: DataFrame, model: KneserNey | None, text_col: str = "text") ->
         for batch in slices(batches):
             scores = np.zeros(batch.num_rows)
             if own is not None:
-                scores = own.score(np.array([own.features(word_slots(t)) for t in batch.column(at).to_pylist()]).reshape(-1, 2))
+                scores = own.score(np.array([own.features(word_slots(t)) for t in batch.column(at).to_pylist()]).reshape(-1, 3))
             more = [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "score", "predicted"])
 
