@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import components, exact_dedup, langid, licenses, line_dedup, oracles, order_minhash, quality, toxicity
+from tideline.session import Scratch
 
 WORDS = [f"w{k}" for k in range(3000)]
 
@@ -156,7 +157,10 @@ def test_alignment_is_the_longest_chain():
 
 def test_components_are_the_least_labels(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 900), (200, 201)]
-    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    rows = [*edges, *edges, (201, 200), (None, 5), (5, None)]
+    with Scratch(spark, "test") as scratch:
+        got = {r.node: r.label for r in components.components(spark.createDataFrame(rows, "a long, b long"), scratch).collect()}
+        assert components.components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
     assert got == {n: 1 if n < 42 or n == 900 else 100 if n < 160 else 200 for e in edges for n in e}
 
 
@@ -205,7 +209,7 @@ def test_near_duplicates_within_a_family(spark):
     """Pairs at 0.8 whose shared bands all lie in a passage that a family shares."""
     draw, rows, planted = random.Random(23), [], 0
     passage = text_of(draw, 300)
-    bands = lambda text: set(order_minhash.sketch(order_minhash.kmers(text))[0].tolist())
+    bands = lambda text: set(order_minhash.sketch(order_minhash.kmers(text)).tolist())
     while planted < 12:
         more = text_of(draw, 58)
         pair = [f"{passage} {more} {text_of(draw, 42)}" for _ in range(2)]
@@ -228,17 +232,75 @@ def test_open_pairs_join_all_classes(spark):
         rows.append((len(rows), mutated(draw, " ".join(parts), 0.002 * (k % 10))))
     rows += [(1000, "one two three"), (1001, "one two three four five six seven eight nine ten"), (1002, "one two three four five six seven eight nine")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = order_minhash.sketch_rows(docs).groupBy("node").agg(F.min("doc_id").alias("rep"))
-    nodes = spark.createDataFrame(nodes.collect(), nodes.schema)
-    labels, found, want = nodes.select("node", F.col("node").alias("label")), {k: order_minhash.kmers(t) for k, t in rows}, near_classes(rows)
-    rep = {r.node: r.rep for r in nodes.collect()}
-    for common in (1, 8, 64):
-        label = {k: k for k in rep.values()}
-        for a, b in order_minhash._open_pairs(labels, nodes, docs, common).collect():
-            x, y = label[rep[a]], label[rep[b]]
-            if x != y and order_minhash.alignment_similarity(found[rep[a]], found[rep[b]]) >= 0.8:
-                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
-        assert label == {k: want[k] for k in label}
+    found, want = {k: order_minhash.kmers(t) for k, t in rows}, near_classes(rows)
+    with Scratch(spark, "test") as scratch:
+        nodes = scratch.write(order_minhash.sketch_rows(docs).dropDuplicates(["node"]), "nodes")
+        labels, rep = nodes.select("node", F.col("node").alias("label")), {r.node: r.doc_id for r in nodes.collect()}
+        for common in (1, 8, 64):
+            label = {k: k for k in rep.values()}
+            for a, b in order_minhash._open_pairs(labels, nodes, nodes, common, scratch).collect():
+                x, y = label[rep[a]], label[rep[b]]
+                if x != y and order_minhash.alignment_similarity(found[rep[a]], found[rep[b]]) >= 0.8:
+                    label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+            assert label == {k: want[k] for k in label}
+
+
+def test_possible_pairs_hold_all_at_the_threshold(spark):
+    """The bounds before alignment set aside no pair at 0.8."""
+    draw, rows = random.Random(31), []
+    for k in range(40):
+        base = text_of(draw, draw.choice([3, 9, 40, 200, 900]))
+        rows += [(len(rows) + c, mutated(draw, base, rate)) for c, rate in enumerate((0, 0.002, 0.005, 0.01, 0.03))]
+    nodes = order_minhash.sketch_rows(spark.createDataFrame(rows, "doc_id long, text string")).dropDuplicates(["node"])
+    nodes = nodes.withColumn("family", F.floor(F.col("doc_id") / 5))
+    a, b = (order_minhash._sided(nodes, x, ["doc_id", "family", "n", "odd"]) for x in ("a", "b"))
+    pairs = a.join(b, F.expr("family_a = family_b AND doc_id_a < doc_id_b")).withColumn("possible", order_minhash._possible("a", "b")).collect()
+    found = {k: order_minhash.kmers(t) for k, t in rows}
+    near = [order_minhash.alignment_similarity(found[r.doc_id_a], found[r.doc_id_b]) >= 0.8 for r in pairs]
+    assert sum(near) > 80 and all(r.possible for r, x in zip(pairs, near, strict=True) if x)
+    assert sum(not r.possible for r in pairs) > 20
+
+
+def test_rows_of_a_family_grow_in_proportion(spark, monkeypatch):
+    """Four times the texts of one group, of which few pairs reach 0.8, make about four times the rows in every table."""
+    write, made = Scratch.write, defaultdict(list)
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        made[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    draw, totals = random.Random(37), []
+    base = text_of(draw, 120)
+    for size in (250, 1000):
+        made.clear()
+        rows = [(k, mutated(draw, base, 0.025)) for k in range(size)]
+        order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
+        totals.append({name: sum(x) for name, x in made.items()})
+    small, large = totals
+    assert all(large[name] <= 6 * small[name] + 500 for name in small if name in large), (small, large)
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Rows that share an id, or have none, are told apart by their texts."""
+    draw = random.Random(41)
+    one, other, third = (text_of(draw, 100) for _ in range(3))
+    rows = [(1, one), (1, one), (1, one + " more"), (2, one), (1, other), (3, other + " more"), (None, third), (None, third + " more"), (None, third), (None, None), (None, ""), (4, None), (4, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, node int")
+    kept = order_minhash.keep_one_of_each_class(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 6 and sum(t is not None and t.startswith(third) for _, t in got) == 1
+    assert sum(t is not None and t.startswith(one) for _, t in got) == sum(t is not None and t.startswith(other) for _, t in got) == 1
+    assert {(4, None), (None, None), (None, "")} <= set(got)
+
+
+def test_a_text_of_several_megabytes(spark):
+    long = text_of(random.Random(43), 600_000)
+    rows = [(1, long), (2, long + " end"), (3, "short " * 8)]
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, 3: 3}
 
 
 def test_language_identification(spark, docs, sf_dir):

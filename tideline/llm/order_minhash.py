@@ -7,17 +7,17 @@ follows edit similarity rather than set overlap. At similarity 0.8 a band agrees
 a pair shares none of 24 bands with probability 3e-6.
 
 Candidates never form all pairs of a bucket. Identical k-mer sequences count as one node. In each bucket the member with
-the most companions over all its buckets is the hub, and every other member is compared with it. Buckets where a
-comparison failed are split by a second band, another one each time, and compared again around members of the smallest
-classes found so far, ``ROUNDS`` rounds in all; pairs that are already in one class are left out. What these rounds leave
-open in such buckets is finished exactly by a prefix filter over k-mers (``_open_pairs``). A pair is set aside before
-alignment only if its minima agree in fewer than ``LEAST_AGREE`` of the permutations, which happens to a pair at 0.8 with
-probability under 1e-6.
+the most companions over all its buckets is the hub, and every other member is compared with it. A bucket in which all
+members are linked to the hub is one class. What is left open in the other buckets is finished exactly, between classes
+only, by a prefix filter over k-mers (``_open_pairs``). No pair is set aside before alignment unless a bound on its
+similarity proves it to be below the threshold (``_possible``).
 
 Verification is a banded alignment: shared labelled k-mers on diagonals within the band that the threshold allows are
 chained into the longest increasing run; similarity is aligned / (k-mers of both - aligned), links have 0.8 or more.
 
-Classes are connected components of the links. Nodes are 64-bit hashes of the k-mer sequence.
+Classes are connected components of the links; the links of the second step join classes of the first. Nodes are 64-bit
+hashes of the k-mer sequence. K-mers are kept as 32 bits in what is written; within a pair that can only raise its
+similarity, by a collision of chance below 1e-6 for texts of a thousand words.
 
 Defined results: null and empty texts, and texts without letters or digits, have no k-mers and are classes of their own
 (class_id is the own id); a text of one to four words is one k-mer; class_id is the least doc_id of the class, so ties do
@@ -27,7 +27,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from bisect import bisect_left
@@ -35,21 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import components
 from tideline.llm.tokens import slices
-from tideline.session import materialize
+from tideline.session import Scratch, materialize
 
 K = 5
 SKETCHES = 24
 LENGTH = 4
 THRESHOLD = 0.8
-ROUNDS = 5
-LEAST_AGREE = 9
 COMMON_KMER = 64
-CACHE_WORDS = 500_000
+PARITY_BITS = 512
+CACHE_WORDS = 200_000
 WORDS = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xBF58476D1CE4E5B9)
@@ -63,19 +61,14 @@ class _WordHash(dict):
         return value
 
 
-@functools.lru_cache(maxsize=1)
-def _word_hash() -> _WordHash:
-    return _WordHash()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * FINISH
     return x ^ (x >> np.uint64(29))
 
 
-def kmers(text: str | None) -> np.ndarray:
-    """Occurrence-labelled k-mer hashes of a text, in order."""
-    cache = _word_hash()
+def kmers(text: str | None, cache: _WordHash | None = None) -> np.ndarray:
+    """Occurrence-labelled k-mer hashes of a text, in order; ``cache`` keeps word hashes from text to text."""
+    cache = _WordHash() if cache is None else cache
     if len(cache) > CACHE_WORDS:
         cache.clear()
     words = np.array([cache[w] for w in WORDS.findall((text or "").lower())], dtype=np.uint64)
@@ -95,20 +88,25 @@ def kmers(text: str | None) -> np.ndarray:
     return _mixed(found + occurrence * MIX)
 
 
-def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each ordered sample, least k-mer of each permutation as 32 bits)."""
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Hash of the ordered sample of each permutation."""
     ranks = found[None, :] * ODD[:, None]
     take = min(LENGTH, len(found))
     if take < len(found):
         at = np.argpartition(ranks, take - 1, axis=1)[:, :take]
     else:
         at = np.tile(np.arange(take), (SKETCHES, 1))
-    least = np.take_along_axis(ranks, at, axis=1).min(axis=1)
     at.sort(axis=1)
     value = np.arange(SKETCHES, dtype=np.uint64)
     for d in range(take):
         value = _mixed(value * MIX + found[at[:, d]])
-    return value.view(np.int64), (least >> np.uint64(32)).astype("<u4").view(np.int32)
+    return value.view(np.int64)
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """``PARITY_BITS`` bits, as 64-bit integers: whether an odd number of k-mers falls on each of them."""
+    odd = np.bincount((found >> np.uint64(64 - 9)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -144,201 +142,196 @@ def _node(found: np.ndarray) -> int:
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, sketches, least) of the rows of (doc_id, text); node is null without k-mers."""
+    """doc_id, text_hash, node, n (k-mers), odd (parities), sketches and kmers of (doc_id, text); all but the first two are null without k-mers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _WordHash()
         for batch in slices(batches):
-            nodes, bands, least = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = kmers(text)
-                values = sketch(found) if len(found) else (None, None)
-                nodes.append(_node(found) if len(found) else None)
-                bands.append(values[0])
-                least.append(values[1])
+            found = [kmers(t, cache) for t in batch.column(2).to_pylist()]
+            some = [len(x) > 0 for x in found]
+            each = lambda f: [f(x) if y else None for x, y in zip(found, some, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int32()))],
-                ["doc_id", "node", "sketches", "least"],
+                [
+                    *batch.columns[:2],
+                    pa.array(each(_node), pa.int64()),
+                    pa.array(each(len), pa.int32()),
+                    pa.array(each(parities), pa.list_(pa.int64())),
+                    pa.array(each(sketch), pa.list_(pa.int64())),
+                    pa.array(each(lambda x: (x >> np.uint64(32)).astype("<u4").view(np.int32)), pa.list_(pa.int32())),
+                ],
+                ["doc_id", "text_hash", "node", "n", "odd", "sketches", "kmers"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, node long, sketches array<long>, least array<int>")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return hashed.mapInArrow(run, "doc_id long, text_hash long, node long, n int, odd array<long>, sketches array<long>, kmers array<int>")
 
 
-def _hub_pairs(members: DataFrame, weight: DataFrame, salt: int) -> DataFrame:
-    """(bucket, node, hub) of (bucket, node): the hub has the largest weight, then the largest salted hash."""
-    # written, so that the joins read both sides through plain shuffles and hot buckets can be split
-    weighted = materialize(members.join(weight, "node"), "omh-members")
-    rank = F.struct("weight", F.xxhash64("node", "bucket", F.lit(salt)), "node")
-    hubs = materialize(
-        weighted.groupBy("bucket").agg(F.max(rank)["node"].alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "omh-hubs"
-    )
-    return weighted.select("bucket", "node").join(hubs, "bucket").filter("node <> hub")
+def _possible(l: str, r: str) -> Column:
+    """Whether two nodes can be at the threshold: by their lengths, and by a lower bound on the k-mers that only one has.
 
+    At 0.8 two texts of n and m k-mers differ in (n + m) / 9 at most, and each bit in which their parities differ takes
+    a k-mer of its own.
+    """
+    apart = sum(F.bit_count(F.col(f"odd_{l}")[k].bitwiseXOR(F.col(f"odd_{r}")[k])) for k in range(PARITY_BITS // 64))
+    n, m = F.col(f"n_{l}"), F.col(f"n_{r}")
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * apart <= n + m)
 
-def _agreeing(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the number of permutations in which their minima agree."""
-    sided = lambda side: least.select(F.col("node").alias(side), F.col("least").alias(f"least_{side}"))
-    same = F.zip_with("least_a", "least_b", lambda x, y: (x == y).cast("int"))
-    agree = F.aggregate(same, F.lit(0), lambda n, x: n + x)
-    return pairs.join(sided("a"), "a").join(sided("b"), "b").select("a", "b", agree.alias("agree"))
 
+def _sided(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_{side}") for c in columns])
 
-def _aligned(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their alignment similarity; only texts of these pairs are read."""
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [kmers(t) for t in batch.column(1).to_pylist()]
-            keep = pa.array([_node(x) == n for x, n in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            packed = pa.array([(x >> np.uint64(32)).astype("<u4").tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["node", "kmers"]).filter(keep)
+def _hub_pairs(shared: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, node, hub) of (bucket, node, n): the hub has the most companions in all its buckets, then the largest hash."""
+    weight = scratch.write(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    # written, so that the joins read both sides through plain shuffles and hot buckets can be split
+    weighted = scratch.write(shared.join(weight, "node").select("bucket", "node", "weight"), "members")
+    rank = F.struct("weight", F.xxhash64("node", "bucket"), "node")
+    hubs = scratch.write(weighted.groupBy("bucket").agg(F.max(rank)["node"].alias("hub")), "hubs")
+    return weighted.select("bucket", "node").join(hubs, "bucket").filter("node <> hub")
+
+
+def _aligned(pairs: DataFrame, spelled: DataFrame) -> DataFrame:
+    """The pairs (node_a, node_b) at the threshold, with their similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            sides = [[np.frombuffer(x, "<u4") for x in batch.column(c).to_pylist()] for c in (2, 3)]
-            similar = [alignment_similarity(x, y) for x, y in zip(*sides, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64())], ["a", "b", "similarity"])
+            sides = []
+            for column in (batch.column(2), batch.column(3)):
+                values, edges = column.flatten().to_numpy(), column.offsets.to_numpy()
+                edges = edges - edges[0]
+                sides.append([values[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
+            similar = np.array([alignment_similarity(x, y) for x, y in zip(*sides, strict=True)])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64())], ["node_a", "node_b", "similarity"])
+            yield out.filter(pa.array(similar >= THRESHOLD))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    same = wanted["rep"].eqNullSafe(texts["rep"])
-    spelled = wanted.join(texts, same).select("node", "text").mapInArrow(spell, "node long, kmers binary").dropDuplicates(["node"])
-    spelled = materialize(spelled, "omh-kmers")
-    sided = lambda side: spelled.select(F.col("node").alias(side), F.col("kmers").alias(f"kmers_{side}"))
-    both = pairs.join(sided("a"), "a").join(sided("b"), "b").select("a", "b", "kmers_a", "kmers_b")
-    return both.mapInArrow(compare, "a long, b long, similarity double")
+    a, b = (_sided(spelled, x, ["node", "kmers"]) for x in ("a", "b"))
+    both = pairs.select("node_a", "node_b").join(a, "node_a").join(b, "node_b").select("node_a", "node_b", "kmers_a", "kmers_b")
+    return both.mapInArrow(compare, "node_a long, node_b long, similarity double")
 
 
-def _open_pairs(labels: DataFrame, nodes: DataFrame, docs: DataFrame, common: int) -> DataFrame:
-    """Pairs (a, b) of the nodes of ``labels``; linked, they join all classes that hold a pair at the threshold.
+def _open_pairs(labels: DataFrame, nodes: DataFrame, spelled: DataFrame, common: int, scratch: Scratch) -> DataFrame:
+    """Pairs (node_a, node_b) of the nodes of ``labels``; linked, they join all classes that hold a pair at the threshold.
 
     Prefix filter: in one order of all k-mers, the rarest among these nodes first, two texts at 0.8 share a k-mer among
     the first n - ceil(0.8 n) + 1 of both. A k-mer that at most ``common`` nodes hold pairs its nodes directly. A text
     with other k-mers in its prefix is also paired by all its rarer ones, so a pair that is still open shares only
     common k-mers. Of the texts with one sequence of common k-mers the shortest stands for all: if x and y are at 0.8 by
     common k-mers alone, so are x and the shortest of y's, y and the shortest of x's, and these two. Within a k-mer only
-    pairs outside its largest class are formed.
+    pairs outside its largest class are formed, and only those that their lengths, their parities and the number of
+    their shared k-mers allow; these tests are part of the join.
     """
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [kmers(t) for t in batch.column(1).to_pylist()]
-            keep = pa.array([_node(x) == n for x, n in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            spelled = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), spelled], ["node", "kmers"]).filter(keep)
-
-    wanted, texts = nodes.select("node", "rep").join(labels.select("node"), "node"), docs.select(F.col("doc_id").alias("rep"), "text")
-    read = wanted.join(texts, wanted["rep"].eqNullSafe(texts["rep"])).select("node", "text")
-    spelled = materialize(read.mapInArrow(spell, "node long, kmers array<long>").dropDuplicates(["node"]), "omh-open")
-    each = spelled.select("node", F.size("kmers").alias("n"), F.posexplode("kmers").alias("at", "kmer"))
-    held = materialize(each.groupBy("kmer").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "omh-held")
-    own = each.join(held, "kmer").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "kmer", "at"))).alias("all"))
+    open_ = labels.select("node")
+    each = scratch.write(spelled.join(open_, "node").select("node", F.posexplode("kmers").alias("at", "kmer")), "open")
+    held = scratch.write(each.groupBy("kmer").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")
+    own = each.join(held, "kmer").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "kmer", "at"))).alias("all"))
+    own = own.join(nodes.select("node", "n", "odd"), "node").withColumn("shared", F.size("all"))
     # k-mers that no other node holds come first in the prefix
-    own = own.withColumn("take", F.expr("size(all) - (4 * n + 4) div 5 + 1").cast("int")).filter("take > 0").withColumn("prefix", F.slice("all", 1, F.col("take")))
+    own = own.withColumn("take", F.expr("shared - (4 * n + 4) div 5 + 1").cast("int")).filter("take > 0").withColumn("prefix", F.slice("all", 1, F.col("take")))
     frequent = F.filter("prefix", lambda x: x["held"] > common)
     rare = F.filter(F.when(F.size(frequent) > 0, F.col("all")).otherwise(F.col("prefix")), lambda x: x["held"] <= common)
     in_order = F.array_sort(F.transform(F.filter("all", lambda x: x["held"] > common), lambda x: F.struct(x["at"], x["kmer"])))
-    shaped = own.select("node", "n", rare["kmer"].alias("rare"), frequent["kmer"].alias("frequent"), F.xxhash64(F.transform(in_order, lambda x: x["kmer"])).alias("sequence"))
-    placed = materialize(shaped.join(labels, "node"), "omh-prefixes")
-
-    def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-        left, right = (side.select("kmer", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label")]) for side, x in ((left, "l"), (right, "r")))
-        near = left.join(right, "kmer").filter("label_l <> label_r AND 5 * least(n_l, n_r) >= 4 * greatest(n_l, n_r)")
-        return near.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b"))
-
-    by_rare = materialize(placed.select("node", "n", "label", F.explode("rare").alias("kmer")), "omh-rare")
-    of_each = placed.filter(F.size("frequent") > 0).select("node", "n", "label", "sequence", F.explode("frequent").alias("kmer"))
+    sequence = F.xxhash64(F.transform(in_order, lambda x: x["kmer"])).alias("sequence")
+    shaped = own.select("node", "n", "odd", "shared", rare["kmer"].alias("rare"), frequent["kmer"].alias("frequent"), sequence)
+    placed = scratch.write(shaped.join(labels, "node"), "prefixes")
+    carried = ["node", "n", "odd", "shared", "label"]
+
+    def paired(left: DataFrame, right: DataFrame, once: bool = False) -> DataFrame:
+        a, b = (side.select("kmer", *[F.col(c).alias(f"{c}_{x}") for c in carried]) for side, x in ((left, "l"), (right, "r")))
+        enough = F.expr("9 * least(shared_l, shared_r) >= 4 * (n_l + n_r)")
+        apart = F.expr("label_l <> label_r AND node_l < node_r") if once else F.expr("label_l <> label_r")
+        near = a.join(b, (a["kmer"] == b["kmer"]) & apart & enough & _possible("l", "r"))
+        return near.select(F.least("node_l", "node_r").alias("node_a"), F.greatest("node_l", "node_r").alias("node_b"))
+
+    by_rare = scratch.write(placed.select(*carried, F.explode("rare").alias("kmer")), "rare")
+    of_each = placed.filter(F.size("frequent") > 0).select(*carried, "sequence", F.explode("frequent").alias("kmer"))
     sizes = of_each.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("kmer").agg(F.max(F.struct("size", "label"))["label"].alias("largest"))
-    by_frequent = materialize(of_each.join(materialize(largest, "omh-largest"), "kmer"), "omh-frequent")
-    shortest = by_frequent.groupBy("sequence").agg(F.min(F.struct("n", "node"))["node"].alias("node")).select("node")
-    shortest = materialize(by_frequent.join(materialize(shortest, "omh-shortest"), "node", "left_semi"), "omh-standing")
+    largest = scratch.write(sizes.groupBy("kmer").agg(F.max(F.struct("size", "label"))["label"].alias("largest")), "largest")
+    by_frequent = scratch.write(of_each.join(largest, "kmer"), "frequent")
+    shortest = scratch.write(by_frequent.groupBy("sequence").agg(F.min(F.struct("n", "node"))["node"].alias("node")).select("node"), "shortest")
+    standing = scratch.write(by_frequent.join(shortest, "node", "left_semi"), "standing")
     outside = "label <> largest"
-    return (
-        paired(by_rare, by_rare)
-        .unionByName(paired(by_frequent.filter(outside), shortest))
-        .unionByName(paired(by_frequent, shortest.filter(outside)))
-        .distinct()
+    found = (
+        paired(by_rare, by_rare, once=True)
+        .unionByName(paired(by_frequent.filter(outside), standing))
+        .unionByName(paired(by_frequent, standing.filter(outside)))
     )
+    return found.distinct()
 
 
-def links(rows: DataFrame, docs: DataFrame, common: int = COMMON_KMER) -> DataFrame:
-    """Verified links (a, b, similarity) between different k-mer sequences; ``rows`` is a written ``sketch_rows``."""
-    nodes = materialize(
-        rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketches").alias("sketches"), F.first("least").alias("least")),
-        "omh-nodes",
-    )
+def linked_classes(rows: DataFrame, scratch: Scratch, common: int = COMMON_KMER) -> tuple[DataFrame, DataFrame]:
+    """Verified links (node_a, node_b, similarity) between different k-mer sequences, and the class (node, label) of every
+    node with one; ``rows`` is a written ``sketch_rows``."""
+    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "odd", "sketches")])
+    nodes = scratch.write(nodes, "nodes")
     banded = nodes.select("node", F.explode("sketches").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(banded.join(materialize(sizes, "omh-buckets"), "bucket"), "omh-shared")
-    weight = materialize(shared.groupBy("node").agg(F.sum("n").alias("weight")), "omh-weights")
-    members = shared.select("bucket", "node")
-    tested = found = labels = None
-    for turn in range(ROUNDS):
-        compared = materialize(_hub_pairs(members, weight, turn), "omh-compared")
-        pairs = compared.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if turn:  # what is tested, or already in one class, needs no test
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
-            pairs = pairs.join(of("a"), "a").join(of("b"), "b").filter("label_a <> label_b").select("a", "b")
-        agreed = materialize(_agreeing(pairs, nodes.select("node", "least")), "omh-agreed")
-        aligned = materialize(_aligned(agreed.filter(F.col("agree") >= LEAST_AGREE).select("a", "b"), nodes, docs), "omh-aligned")
-        good = aligned.filter(F.col("similarity") >= THRESHOLD)
-        found = good if found is None else found.unionByName(good)
-        tested = agreed.select("a", "b") if tested is None else tested.unionByName(agreed.select("a", "b"))
-        if turn == 0:
-            failed = agreed.select("a", "b").join(good.select("a", "b"), ["a", "b"], "left_anti")
-            sided = compared.select("bucket", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-            contested = materialize(sided.join(materialize(failed, "omh-failed"), ["a", "b"], "left_semi").select("bucket").distinct(), "omh-contested")
-            base = materialize(members.join(contested, "bucket", "left_semi"), "omh-base")
-            bands = materialize(nodes.join(base.select("node").distinct(), "node", "left_semi").select("node", "sketches"), "omh-bands")
-            if bands.limit(1).count() == 0:
-                return found
-        labels = bands.select("node").join(components(found), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        labels = materialize(labels, "omh-labels")
-        if turn == ROUNDS - 1:
-            break
-        # members of the smallest classes lead the next buckets
-        sizes = labels.groupBy("label").agg((-F.count(F.lit(1))).alias("weight"))
-        weight = materialize(labels.join(materialize(sizes, "omh-sizes"), "label").select("node", "weight"), "omh-weights")
-        second = F.element_at("sketches", (F.col("at") + turn + 1) % SKETCHES + 1)
-        split = bands.select("node", "sketches", F.posexplode("sketches").alias("at", "first")).select("node", "first", F.xxhash64("first", second).alias("bucket"))
-        members = split.join(base.select(F.col("bucket").alias("first"), "node"), ["first", "node"], "left_semi").select("bucket", "node")
-    left = materialize(_open_pairs(labels, nodes, docs, common), "omh-left").join(tested, ["a", "b"], "left_anti")
-    agreed = materialize(_agreeing(left, nodes.select("node", "least")), "omh-agreed")
-    aligned = materialize(_aligned(agreed.filter(F.col("agree") >= LEAST_AGREE).select("a", "b"), nodes, docs), "omh-aligned")
-    return found.unionByName(aligned.filter(F.col("similarity") >= THRESHOLD))
+    sizes = scratch.write(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    shared = scratch.write(banded.join(sizes, "bucket"), "shared")
+    compared = scratch.write(_hub_pairs(shared, scratch).select("bucket", F.least("node", "hub").alias("node_a"), F.greatest("node", "hub").alias("node_b")), "compared")
+    companions = scratch.write(shared.select("node").distinct(), "companions")
+    spelled = rows.select("node", "kmers").join(companions, "node").groupBy("node").agg(F.first("kmers").alias("kmers"))
+    spelled = scratch.write(spelled, "kmers")
+    a, b = (_sided(nodes, x, ["node", "n", "odd"]) for x in ("a", "b"))
+    possible = compared.select("node_a", "node_b").distinct().join(a, "node_a").join(b, "node_b").filter(_possible("a", "b"))
+    links = scratch.write(_aligned(scratch.write(possible.select("node_a", "node_b"), "possible"), spelled), "links")
+    classes = scratch.write(components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), scratch), "classes")
+
+    contested = scratch.write(compared.join(links, ["node_a", "node_b"], "left_anti").select("bucket").distinct(), "contested")
+    base = shared.join(contested, "bucket", "left_semi").select("node").distinct()
+    labels = scratch.write(base.join(classes, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "open-labels")
+    if not labels.limit(1).count():
+        return links, classes
+    open_ = scratch.write(_open_pairs(labels, nodes, spelled, common, scratch), "open-pairs")
+    more = scratch.write(_aligned(open_, spelled), "more-links")
+    a, b = (_sided(labels, x, ["node", "label"]) for x in ("a", "b"))
+    between = more.join(a, "node_a").join(b, "node_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    joined = components(between, scratch).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    # every label is a node of its class, so classes of one node are found here as well
+    known = classes.unionByName(more.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct().join(labels, "node")).distinct()
+    classes = known.join(joined, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
+    return links.unionByName(more), scratch.write(classes, "merged")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Written (doc_id, text_hash, node) of every row, and (node, class_id, class_size, n_links, lead_id, lead_hash) of every node."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with Scratch(docs.sparkSession, "omh") as scratch:
+        rows = scratch.write(sketch_rows(docs), "sketches")
+        links, labels = linked_classes(rows, scratch)
+        degree = links.select(F.explode(F.array("node_a", "node_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+        counted = rows.filter("node IS NOT NULL").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"))
+        labelled = counted.join(labels, "node", "left").join(degree, "node", "left").select(
+            "node", "first", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        )
+        labelled = scratch.write(labelled, "labelled")
+        classes = scratch.write(labelled.groupBy("label").agg(F.min("first").alias("lead"), F.sum("copies").alias("class_size")), "sizes")
+        of_node = labelled.join(classes, "label").select(
+            "node", F.col("lead.doc_id").alias("class_id"), "class_size", "n_links", F.col("lead.text_hash").alias("lead_hash")
+        )
+        return materialize(rows.select("doc_id", "text_hash", "node"), "omh-rows"), materialize(of_node, "omh-classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size, n_links (links of the row's own text to different texts) and node of every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(sketch_rows(docs), "omh-sketches").select("doc_id", "node", "sketches", "least")
-    linked = materialize(links(rows, docs), "omh-links")
-    labels = components(linked)
-    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = rows.select("doc_id", "node")
-    counted = placed.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    labelled = materialize(
-        counted.join(labels, "node", "left").join(degree, "node", "left").select(
-            "node", "least_id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-        ),
-        "omh-labelled",
-    )
-    classes = labelled.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_node = labelled.join(materialize(classes, "omh-classes"), "label").select("node", "class_id", "class_size", "n_links")
-    return placed.join(materialize(of_node, "omh-of-node"), "node", "left").select(
-        "doc_id",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        "node",
-    )
+    """doc_id, class_id, class_size and n_links of every row.
+
+    n_links counts the verified links of the row's own text to different texts; they hold the class together and are not
+    all its pairs.
+    """
+    rows, of_node = _classes(docs, id_col, text_col)
+    found = rows.filter("node IS NOT NULL").join(of_node, "node").select("doc_id", "class_id", "class_size", "n_links")
+    alone = rows.filter("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    return found.unionByName(alone)
 
 
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the least id of every class, all columns; rows that repeat that id within the class give one row."""
-    classes = near_duplicates(docs, id_col, text_col)
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.coalesce("node", F.lit(0)).alias("_node")).distinct()
-    one = first.groupBy("_id").agg(F.min("_node").alias("_node"))
-    kept = docs.join(one, docs[id_col].eqNullSafe(one["_id"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    """One row of every class, all columns: that of the least id, then of the least hash of the text.
+
+    Rows that repeat the id and the text of a kept row give one row.
+    """
+    rows, of_node = _classes(docs, id_col, text_col)
+    leads = of_node.select(F.col("class_id").alias("_id"), F.col("lead_hash").alias("_hash"))
+    alone = rows.filter("node IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    kept = leads.unionByName(alone).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(kept["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == kept["_hash"])
+    return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])

@@ -54,7 +54,7 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("node")
+    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
