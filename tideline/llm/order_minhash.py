@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import components
-from tideline.llm.tokens import slices
+from tideline.llm.tokens import bounded, slices
 from tideline.session import Scratch, materialize
 
 K = 5
@@ -47,6 +47,7 @@ LENGTH = 4
 THRESHOLD = 0.8
 COMMON_KMER = 64
 PARITY_BITS = 512
+FILTER_WORDS = 1 << 17
 CACHE_WORDS = 200_000
 WORDS = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -163,7 +164,7 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
             )
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return hashed.mapInArrow(run, "doc_id long, text_hash long, node long, n int, odd array<long>, sketches array<long>, kmers array<int>")
+    return hashed.mapInArrow(bounded(run), "doc_id long, text_hash long, node long, n int, odd array<long>, sketches array<long>, kmers array<int>")
 
 
 def _possible(l: str, r: str) -> Column:
@@ -207,7 +208,7 @@ def _aligned(pairs: DataFrame, spelled: DataFrame) -> DataFrame:
 
     a, b = (_sided(spelled, x, ["node", "kmers"]) for x in ("a", "b"))
     both = pairs.select("node_a", "node_b").join(a, "node_a").join(b, "node_b").select("node_a", "node_b", "kmers_a", "kmers_b")
-    return both.mapInArrow(compare, "node_a long, node_b long, similarity double")
+    return both.mapInArrow(bounded(compare), "node_a long, node_b long, similarity double")
 
 
 def _open_pairs(labels: DataFrame, nodes: DataFrame, spelled: DataFrame, common: int, scratch: Scratch) -> DataFrame:
@@ -259,6 +260,18 @@ def _open_pairs(labels: DataFrame, nodes: DataFrame, spelled: DataFrame, common:
     return found.distinct()
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose node may be among ``wanted``, by a bitmap of FILTER_WORDS x 64 bits, so that the others are not shuffled.
+
+    The bitmap is broadcast: its size is fixed. When nodes fill it, it lets all rows pass, and the join decides.
+    """
+    word = F.pmod("node", F.lit(FILTER_WORDS)).alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(node div {FILTER_WORDS}, 64) AS int))").alias("bit")
+    words = wanted.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    asked = rows.filter("node IS NOT NULL").select("*", word, bit).join(F.broadcast(words), "word")
+    return asked.filter("bits & bit <> 0").select(*rows.columns)
+
+
 def linked_classes(rows: DataFrame, scratch: Scratch, common: int = COMMON_KMER) -> tuple[DataFrame, DataFrame]:
     """Verified links (node_a, node_b, similarity) between different k-mer sequences, and the class (node, label) of every
     node with one; ``rows`` is a written ``sketch_rows``."""
@@ -269,7 +282,7 @@ def linked_classes(rows: DataFrame, scratch: Scratch, common: int = COMMON_KMER)
     shared = scratch.write(banded.join(sizes, "bucket"), "shared")
     compared = scratch.write(_hub_pairs(shared, scratch).select("bucket", F.least("node", "hub").alias("node_a"), F.greatest("node", "hub").alias("node_b")), "compared")
     companions = scratch.write(shared.select("node").distinct(), "companions")
-    spelled = rows.select("node", "kmers").join(companions, "node").groupBy("node").agg(F.first("kmers").alias("kmers"))
+    spelled = _likely(rows.select("node", "kmers"), companions).join(companions, "node").groupBy("node").agg(F.first("kmers").alias("kmers"))
     spelled = scratch.write(spelled, "kmers")
     a, b = (_sided(nodes, x, ["node", "n", "odd"]) for x in ("a", "b"))
     possible = compared.select("node_a", "node_b").distinct().join(a, "node_a").join(b, "node_b").filter(_possible("a", "b"))

@@ -2,13 +2,15 @@
 
 A tokenizer is read once on the driver from a path that is a parameter and goes to the tasks as its JSON text. Texts are
 cut into pieces at places where every pre-tokenizer in use must cut too, each new piece is encoded by the library, and
-its ids are kept in a cache of bounded size; the concatenated ids equal those of the whole text.
+its ids are kept in a cache of bounded size for the task; the concatenated ids equal those of the whole text.
 
 Safe cuts, *spaces kept* (byte-level BPE): before a space, and before a line break, that stands alone between two
 characters that are no white space. A text with any other white space takes the cuts of a regular expression instead.
 Safe cuts, *spaces dropped* (word BPE): at blanks, tabs and line breaks, which that pre-tokenizer discards; it also
 lowers the case, so texts of Latin letters are lowered before they are cut. In both, a cut between a Latin letter or an
 ASCII digit and trailing punctuation, as their classes differ.
+
+Defined results: null and empty texts have no ids; equal texts have equal ids; texts of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,19 +18,20 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 LONG_PIECE = 200
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 ALONE = re.compile(r"(?<=\S)(?= \S)")
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
-PUNCTUATION = frozenset(".,;:!?|")
-ENDS_IN_PUNCTUATION = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ɏ])([.,;:!?|]+)", re.DOTALL)
+PUNCTUATION = ".,;:!?|"
+CLASSED = re.compile("[A-Za-z0-9À-ÖØ-öø-ɏ]")
+REGULAR = re.compile(r"\0?\n?\S(?:.*\S)?", re.DOTALL)
 
 
 def read_tokenizer(path: str) -> str:
@@ -37,7 +40,7 @@ def read_tokenizer(path: str) -> str:
         return file.read()
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def load_tokenizer(spec: str):
     import os
 
@@ -72,14 +75,6 @@ class PieceEncoder:
         flat = pc.replace_substring(pa.array(["\0" + t for t in texts], pa.large_string()), "\n", " \n")
         return pc.split_pattern(flat, " ")
 
-    @staticmethod
-    def _irregular(piece: str) -> bool:
-        """Whether white space stands at an end of a piece, but for one line break before a character."""
-        piece = piece.removeprefix("\0")
-        if not piece or piece[-1].isspace():
-            return True
-        return piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace())
-
     def _spelled(self, piece: str) -> str:
         """The text that a key stands for."""
         if not self.keep_spaces:
@@ -88,16 +83,16 @@ class PieceEncoder:
 
     def _learn(self, new: set[str]) -> list[str]:
         """Put pieces in the cache; the long ones among them."""
-        split = {p: m.groups() for p in new if p and p[-1] in PUNCTUATION and (m := ENDS_IN_PUNCTUATION.fullmatch(p))}
+        stems = {p: stem for p in new if (stem := p.rstrip(PUNCTUATION)) is not p and stem and CLASSED.match(stem[-1])}
         mark = "\0" if self.keep_spaces else ""
-        parts = {p for stem, tail in split.values() for p in (stem, mark + tail)}
-        whole = [p for p in (new - split.keys()) | parts if p not in self.cache]
+        tails = {p: mark + p[len(stem) :] for p, stem in stems.items()}
+        whole = [p for p in {*(new - stems.keys()), *stems.values(), *tails.values()} if p not in self.cache]
         found = self.tokenizer.encode_batch_fast([self._spelled(p) for p in whole], add_special_tokens=False)
         for piece, encoding in zip(whole, found, strict=True):
             self.cache[piece] = array("I", encoding.ids).tobytes()
-        for piece, (stem, tail) in split.items():
-            self.cache[piece] = self.cache[stem] + self.cache[mark + tail]
-        return [p for p in (*whole, *split) if len(p) > LONG_PIECE]
+        for piece, stem in stems.items():
+            self.cache[piece] = self.cache[stem] + self.cache[tails[piece]]
+        return [p for p in (*whole, *stems) if len(p) > LONG_PIECE]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.cache) > CACHE_PIECES:
@@ -112,7 +107,8 @@ class PieceEncoder:
         new = {p for p, v in zip(pieces, values, strict=True) if v is None}
         odd = {k for k, t in enumerate(texts) if "\0" in t} if self.keep_spaces else set()
         if self.keep_spaces and new:
-            bad = set(filter(self._irregular, new))  # such pieces are never kept
+            # white space at an end, but for one line break before a character; such pieces are never kept
+            bad = {p for p in new if not REGULAR.fullmatch(p)}
             new -= bad
             hit = np.isin(at, [k for k, p in enumerate(pieces) if p in bad]).nonzero()[0] if bad else np.zeros(0, int)
             odd |= set((np.searchsorted(edges, hit, side="right") - 1).tolist())
@@ -133,10 +129,26 @@ class PieceEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(spec: str, keep_spaces: bool) -> PieceEncoder:
-    """The encoder of this Python worker, kept from task to task."""
-    return PieceEncoder(spec, keep_spaces)
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on from task to task, beside those of other operators."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; the memory of its caches goes when its task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

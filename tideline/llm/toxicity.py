@@ -2,24 +2,27 @@
 
 Two interpolated Kneser-Ney bigram models, one of texts labelled toxic and one of ordinary texts, score every word of a
 text. A pair counts once in every text that holds it, so a long text that repeats itself weighs once. A class's bigram
-level takes one absolute discount, ``DISCOUNT``, off every pair and backs off to the class's continuation counts, the
-number of distinct words seen before a word. These take the same discount and back off to the sum of both classes'
-continuation counts, which a uniform share of the slots completes. Both models see as many texts of their class. The
-difference of the two log-likelihoods per word, with the weight of its strongly toxic words by the bigram and by the
-continuation level, goes through a logistic calibration fitted on labelled rows that the models have not seen.
+level takes one absolute discount off every pair and backs off to the class's continuation counts, the number of distinct
+words seen before a word. These take a discount of their own and back off to the sum of both classes' continuation
+counts, which a uniform share of the slots completes. Each discount is the usual estimate n1 / (n1 + 2 n2) from the
+numbers of entries that count one and two. The signed difference of the two log-likelihoods per word, with the weight of
+the words that speak strongly for toxic by the bigram and by the continuation level, goes through a logistic calibration
+fitted on labelled rows that the models have not seen.
 
 Words are runs of letters and digits in lower case, hashed to ``WORD_SLOTS``; bigrams are hashed to ``PAIR_SLOTS``. The
 models are fitted on at most ``MAX_FIT_ROWS`` labelled rows of each class, the first by a hash of the id: a documented
-bound on a classifier's sample. Every text is scored whole.
+bound on a classifier's sample. Their texts stay on the executors, which count them; the driver gets counts by slot and
+the features of the calibration rows. Every text is scored whole.
 
 Defined results: null and empty texts have no words and get the calibrated score of no evidence; ids without labels are
 only scored; a labelled id that repeats takes the larger label; without labels of both classes all scores are 0;
-repeated rows give equal rows; an empty table gives an empty result; other columns are ignored.
+repeated rows give equal rows; a score of exactly 0.5 is predicted as 1; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,14 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm.columns import crc_of_id
-from tideline.llm.tokens import slices
+from tideline.llm.tokens import bounded, slices
+from tideline.session import Scratch
 
 WORD_SLOTS = 1 << 20
 PAIR_SLOTS = 1 << 22
-DISCOUNT = 0.75
+STRONG = 3.0
 MAX_FIT_ROWS = 10_000
 CALIBRATION_PART = 5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -50,17 +54,12 @@ class _Slots(dict):
         return slot
 
 
-@functools.lru_cache(maxsize=1)
-def _slots() -> _Slots:
-    return _Slots()
-
-
-def word_slots(text: str | None) -> np.ndarray:
-    cache = _slots()
+def word_slots(text: str | None, cache: _Slots | None = None) -> np.ndarray:
+    """Slots of the words of a text; ``cache`` keeps them from text to text."""
+    cache = _Slots() if cache is None else cache
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    words = WORDS.findall((text or "").lower())
-    return np.array([cache[w] for w in words], dtype=np.int64)
+    return np.array([cache[w] for w in WORDS.findall((text or "").lower())], dtype=np.int64)
 
 
 def pair_slots(words: np.ndarray) -> np.ndarray:
@@ -70,34 +69,42 @@ def pair_slots(words: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) & (PAIR_SLOTS - 1)
 
 
+def text_pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair slot, slot of the word before, slot of the word), once for every pair of a text."""
+    pairs, first = np.unique(pair_slots(words), return_index=True)
+    return pairs, np.concatenate([[0], words[:-1]])[first], words[first]
+
+
+def discount(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2), or one half where nothing counts one or nothing counts two."""
+    ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
 class KneserNey:
-    """Tables of both classes (0 ordinary, 1 toxic), of fixed size, from (word slots, class) of texts."""
+    """Tables of both classes (0 ordinary, 1 toxic), of fixed size, from counted pairs.
 
-    def __init__(self, texts: list[tuple[np.ndarray, int]]):
+    ``counted``: for each class the arrays (pair slot, number of texts, slot before, slot of the word), a pair slot once.
+    """
+
+    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         self.total = np.ones((2, WORD_SLOTS), dtype=np.float32)
         self.backoff = np.ones((2, WORD_SLOTS), dtype=np.float32)
-        count, held = np.zeros((2, PAIR_SLOTS), dtype=np.float32), np.zeros((2, WORD_SLOTS))
-        before, word = np.zeros(PAIR_SLOTS, dtype=np.int32), np.zeros(PAIR_SLOTS, dtype=np.int32)
-        for words, label in texts:
-            if len(words):
-                pairs, first = np.unique(pair_slots(words), return_index=True)
-                count[label, pairs] += 1
-                before[pairs] = np.concatenate([[0], words[:-1]])[first]
-                word[pairs] = words[first]
-        for label in (0, 1):
-            (used,) = count[label].nonzero()
-            total = np.bincount(before[used], weights=count[label, used], minlength=WORD_SLOTS)
-            left = DISCOUNT * np.bincount(before[used], minlength=WORD_SLOTS)
-            held[label] = np.bincount(word[used], minlength=WORD_SLOTS)  # distinct words before each word
-            count[label, used] -= DISCOUNT
+        self.pair, held = np.zeros((2, PAIR_SLOTS), dtype=np.float32), np.zeros((2, WORD_SLOTS))
+        for label, (pairs, texts, before, word) in enumerate(counted):
+            less = discount(texts)
+            total = np.bincount(before, weights=texts, minlength=WORD_SLOTS)
+            left = less * np.bincount(before, minlength=WORD_SLOTS)
+            held[label] = np.bincount(word, minlength=WORD_SLOTS)  # distinct words before each word
+            self.pair[label, pairs] = texts - less
             seen = total > 0
             self.total[label, seen] = total[seen]
             self.backoff[label, seen] = left[seen] / total[seen]
-        self.pair = count
         shared = (held.sum(axis=0) + 0.5) / (held.sum() + 0.5 * WORD_SLOTS)
         mass = held.sum(axis=1, keepdims=True)
-        freed = DISCOUNT * (held > 0).sum(axis=1, keepdims=True) + (mass == 0)
-        self.lower = ((np.maximum(held - DISCOUNT, 0) + freed * shared) / np.maximum(mass, 1.0)).astype(np.float32)
+        less = np.array([[discount(h)] for h in held])
+        freed = less * (held > 0).sum(axis=1, keepdims=True) + (mass == 0)
+        self.lower = ((np.maximum(held - less, 0) + freed * shared) / np.maximum(mass, 1.0)).astype(np.float32)
         self.weights = np.zeros(4)
 
     def evidence(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,21 +115,18 @@ class KneserNey:
         return logs[1] - logs[0], np.log(lower[1] / lower[0])
 
     def features(self, words: np.ndarray) -> tuple[float, float, float]:
-        """Difference of the log-likelihoods per word, and mean squares of what single words have beyond ``STRONG``: by pairs, by continuation."""
+        """Signed difference of the log-likelihoods per word, and the weight a word of what single words have beyond ``STRONG``: by pairs, by continuation."""
         if not len(words):
             return 0.0, 0.0, 0.0
         each, alone = self.evidence(words)
-        return float(each.mean()), *(float((np.maximum(x - STRONG, 0) ** 2).mean()) for x in (each, alone))
+        return float(each.mean()), *(math.log1p(100 * float((np.maximum(x - STRONG, 0) ** 2).mean())) for x in (each, alone))
 
     def score(self, found: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + np.log1p(np.maximum(found, 0) * 100) @ self.weights[1:], -30, 30)))
-
-
-STRONG = 2.0
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + found @ self.weights[1:], -30, 30)))
 
 
 def _logistic(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    x = np.column_stack([np.ones(len(labels)), np.log1p(np.maximum(found, 0) * 100)])
+    x = np.column_stack([np.ones(len(labels)), found])
     weights = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
@@ -132,10 +136,42 @@ def _logistic(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return weights
 
 
-def _balanced(data: list[tuple[int, np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
-    """As many texts of either class, the first by a hash of the id."""
-    sides = [sorted((zlib.crc32(b"side %d" % d), d, k) for k, (d, _, x) in enumerate(data) if x == label) for label in (0, 1)]
-    return [(data[k][1], data[k][2]) for side in sides for *_, k in side[: min(map(len, sides))]]
+def count_pairs(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``KneserNey`` is made from, of (words, toxic): at most two rows a pair slot reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            columns = [[], [], [], []]
+            for raw, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = np.frombuffer(raw, "<i4").astype(np.int64)
+                if len(words):
+                    for column, x in zip(columns, (*text_pairs(words), np.full(len(words), toxic)), strict=True):
+                        column.append(x)
+            pairs = [len(x) for x in columns[0]]
+            columns[3] = [x[:n] for x, n in zip(columns[3], pairs, strict=True)]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int32()) for x in columns], ["pair", "before", "word", "toxic"])
+
+    each = texts.select("words", "toxic").mapInArrow(bounded(run), "pair int, before int, word int, toxic int")
+    found = each.groupBy("toxic", "pair").agg(F.count(F.lit(1)).cast("int").alias("texts"), F.max(F.struct("before", "word")).alias("at"))
+    frame = found.select("toxic", "pair", "texts", "at.before", "at.word").toPandas()
+    sides = [frame[frame["toxic"] == label] for label in (0, 1)]
+    return [tuple(side[c].to_numpy(dtype=np.int64) for c in ("pair", "texts", "before", "word")) for side in sides]
+
+
+def _features_of(texts: DataFrame, model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of (words, toxic) on the driver: a few numbers for each calibration row."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shared.value.features(np.frombuffer(x, "<i4").astype(np.int64)) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.float64()) for c in zip(*found, strict=True))], ["toxic", "x", "y", "z"])
+
+    frame = texts.select("words", "toxic").mapInArrow(bounded(run), "toxic int, x double, y double, z double").toPandas()
+    shared.unpersist()
+    frame = frame.sort_values(list(frame.columns))  # the sums of the fit do not depend on the order of tasks
+    return frame[["x", "y", "z"]].to_numpy(), frame["toxic"].to_numpy(dtype=float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> KneserNey | None:
@@ -150,23 +186,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.filter("toxic = 1").orderBy(first, "doc_id").limit(max_rows).unionByName(known.filter("toxic = 0").orderBy(first, "doc_id").limit(max_rows))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Slots()
         for batch in slices(batches):
-            found = [word_slots(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+            found = [word_slots(t, cache).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "words", "toxic"])
 
+    # at most 2 x max_rows rows of two numbers are broadcast
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = picked.mapInArrow(words, "doc_id long, words binary, toxic int").collect()
-    texts = {(r["doc_id"], bytes(r["words"])): r["toxic"] for r in rows}
-    data = [(d, np.frombuffer(w, "<i4").astype(np.int64), x) for (d, w), x in sorted(texts.items())]
-    if len({x for *_, x in data}) < 2:
-        return None
-    part = [zlib.crc32(b"fold %d" % d) % CALIBRATION_PART == 0 for d, *_ in data]
-    held = [x for x, p in zip(data, part, strict=True) if p]
-    base = [x for x, p in zip(data, part, strict=True) if not p]
-    if len({x for *_, x in held}) < 2 or len({x for *_, x in base}) < 2:
-        held = base = data
-    model = KneserNey(_balanced(base))  # the calibration holds for this model, not for one of more texts
-    model.weights = _logistic(np.array([model.features(w) for _, w, _ in held]), np.array([x for *_, x in held], dtype=float))
+    with Scratch(docs.sparkSession, "toxicity") as scratch:
+        rows = picked.mapInArrow(bounded(words), "doc_id long, words binary, toxic int").dropDuplicates(["doc_id", "words"])
+        fold = F.pmod(F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string")).cast("binary")), F.lit(CALIBRATION_PART)) == 0
+        rows = scratch.write(rows.withColumn("calibrates", fold), "words")
+        sides = {(r["calibrates"], r["toxic"]) for r in rows.select("calibrates", "toxic").distinct().collect()}
+        if {x for _, x in sides} != {0, 1}:
+            return None
+        held, base = (rows.filter("calibrates"), rows.filter("NOT calibrates")) if len(sides) == 4 else (rows, rows)
+        model = KneserNey(count_pairs(base))  # the calibration holds for this model, not for one of more texts
+        model.weights = _logistic(*_features_of(held, model))
     return model
 
 
@@ -177,15 +213,15 @@ def predict(docs: DataFrame, model: KneserNey | None, text_col: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size: about 60 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, cache = shared.value, _Slots()
         for batch in slices(batches):
             scores = np.zeros(batch.num_rows)
             if own is not None:
-                scores = own.score(np.array([own.features(word_slots(t)) for t in batch.column(at).to_pylist()]).reshape(-1, 3))
+                scores = own.score(np.array([own.features(word_slots(t, cache)) for t in batch.column(at).to_pylist()]).reshape(-1, 3))
             more = [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(bounded(run), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0) -> DataFrame:
