@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -53,10 +54,33 @@ def test_cuckoo_index_inserts_deletes_and_resizes():
             assert index.get(digest) is None and index.delete(digest) is None
             live[digest] = (step, 1)
             index.insert(digest, live[digest])
-    assert index.resizes > 3 and index.keys == live
+    stored = exact_dedup.CuckooIndex.stored(index.dump())
+    for one in (index, stored):
+        assert one.resizes > 3 and {d: p for d, p in zip(one.digests, one.payloads, strict=True) if d is not None} == live
+        assert all(one.get(d) == p for d, p in live.items())
+    assert len(stored.digests) == len(live)
     # a fingerprint that collides is a filter hit, but not a live digest
     ghost = next(iter(live))[:10] + bytes(22)
-    assert index.might_contain(ghost) and index.get(ghost) is None
+    before = stored.false_hits
+    assert stored.filter.hits(ghost) and stored.get(ghost) is None and stored.false_hits > before
+
+
+def test_a_miss_of_the_filter_reads_no_key(spark):
+    """Without the keys, new digests are still inserted, and an all-new probe is still answered."""
+    index = exact_dedup.CuckooIndex(100)
+    index.insert(bytes(range(32)), (1, 1))
+    index.digests = [None]  # a lookup of the stored key would not find it
+    other = bytes(range(1, 33))
+    assert index.get(other) is None and index.false_hits == 0
+    rows = lambda ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    table = exact_dedup.live_index(exact_dedup.digest_rows(rows(range(50))), keys_per_bucket=10)
+    table = spark.createDataFrame(table.collect(), table.schema)
+    broken = table.withColumn("digests", F.expr("transform(digests, x -> raise_error('a key was read'))")).select(table.columns)
+    assert [r.keep_id for r in exact_dedup.probe(rows([1000, 1001]), broken).collect()] == [None, None]
+    hits = exact_dedup.filter_hits(exact_dedup.digest_rows(rows(range(40, 60))).select("digest"), broken)
+    assert 10 <= hits.count() <= 12
+    with pytest.raises(Exception, match="a key was read"):
+        exact_dedup.probe(rows([3]), broken).collect()
 
 
 def test_exact_dedup(docs):
@@ -70,16 +94,25 @@ def test_exact_dedup(docs):
 
 def test_index_updates(spark):
     rows = lambda ids: spark.createDataFrame([(i, f"t{i % 7}") for i in ids], "doc_id long, text string")
-    index = exact_dedup.live_index(exact_dedup.digest_rows(rows(range(20))))
+    index = exact_dedup.live_index(exact_dedup.digest_rows(rows(range(20))), keys_per_bucket=7)
+    index = spark.createDataFrame(index.collect(), index.schema)
     gone = exact_dedup.digest_rows(rows([1])).select("digest")
-    more = exact_dedup.live_index(exact_dedup.digest_rows(rows(range(30, 36))))
-    got = exact_dedup.update_index(index, more, gone).collect()
+    more = exact_dedup.index_keys(exact_dedup.live_index(exact_dedup.digest_rows(rows(range(30, 36)))))
+    updated = exact_dedup.update_index(index, more, gone)
+    got = exact_dedup.index_keys(updated).collect()
     want = defaultdict(list)
     for i in [*(i for i in range(20) if i % 7 != 1), *range(30, 36)]:
         want[hashlib.sha256(f"t{i % 7}".encode()).digest()].append(i)
     assert {bytes(r.digest): (r.keep_id, r.group_size) for r in got} == {d: (max(x), len(x)) for d, x in want.items()}
     hits = exact_dedup.probe(rows([100, 3]).withColumn("text", F.when(F.col("doc_id") == 3, "t3").otherwise("new")), index).collect()
     assert {r.doc_id: r.keep_id for r in hits} == {100: None, 3: 17}
+    # a bucket that outgrows its filter is refilled from its keys
+    many = spark.createDataFrame([(i, f"many {i}") for i in range(3000)], "doc_id long, text string")
+    grown = exact_dedup.update_index(updated, exact_dedup.index_keys(exact_dedup.live_index(exact_dedup.digest_rows(many))), gone)
+    grown = spark.createDataFrame(grown.collect(), grown.schema)
+    assert max(r.resizes for r in grown.collect()) > 3
+    again = exact_dedup.probe(many, grown).collect()
+    assert all(r.keep_id == r.doc_id for r in again) and len(again) == 3000
 
 
 def test_line_dedup(spark, docs):
@@ -235,10 +268,10 @@ def test_open_pairs_join_all_classes(spark):
     found, want = {k: order_minhash.kmers(t) for k, t in rows}, near_classes(rows)
     with Scratch(spark, "test") as scratch:
         nodes = scratch.write(order_minhash.sketch_rows(docs).dropDuplicates(["node"]), "nodes")
-        labels, rep = nodes.select("node", F.col("node").alias("label")), {r.node: r.doc_id for r in nodes.collect()}
+        labels, rep = nodes.select("node", "n", "odd", F.col("node").alias("label")), {r.node: r.doc_id for r in nodes.collect()}
         for common in (1, 8, 64):
             label = {k: k for k in rep.values()}
-            for a, b in order_minhash._open_pairs(labels, nodes, nodes, common, scratch).collect():
+            for a, b in order_minhash._open_pairs(labels, nodes, common, scratch).collect():
                 x, y = label[rep[a]], label[rep[b]]
                 if x != y and order_minhash.alignment_similarity(found[rep[a]], found[rep[b]]) >= 0.8:
                     label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
@@ -321,6 +354,58 @@ def test_language_identification(spark, docs, sf_dir):
     assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
 
 
+def test_language_mixture_equals_plain_em(spark):
+    """Shares against a plain EM with the same order of leaving, and the set against all sets of languages."""
+    from itertools import combinations
+
+    draw, langs = random.Random(53), ["aa", "bb", "cc"]
+    words = {x: ["".join(draw.choice(letters) for _ in range(draw.randrange(2, 8))) for _ in range(80)] for x, letters in zip(langs, ("abcdefgh", "efghijkl", "ijklmnab"), strict=True)}
+    say = lambda x, n: " ".join(draw.choice(words[x]) for _ in range(n))
+    train = spark.createDataFrame([(say(x, 60), x) for x in langs for _ in range(30)], "text string, lang string")
+    model = langid.fit(train)
+    texts = [" ".join(say(x, n) for x, n in zip(langs, sizes, strict=True) if n) for sizes in [(30, 0, 0), (0, 9, 0), (20, 20, 0), (5, 0, 40), (12, 12, 12), (1, 0, 0), (0, 3, 60), (40, 30, 20)]]
+
+    def em(units, allowed, shares):
+        norm = lambda s: [max(s[k], 1e-6) / sum(max(s[j], 1e-6) for j in allowed) if k in allowed else 0.0 for k in range(len(langs))]
+        shares = norm(shares)
+        for step in range(langid.STEPS + 1):
+            likely = [[math.exp(u[k]) * shares[k] for k in range(len(langs))] for u in units]
+            if step == langid.STEPS:
+                return shares, sum(math.log(sum(x)) for x in likely)
+            shares = norm([sum(x[k] / sum(x) for x in likely) / len(units) for k in range(len(langs))])
+
+    found = langid.predict(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    agreed = 0
+    for row in found:
+        grams = langid.ngrams(row.text)
+        units = [[float(sum(float(model[x][g]) for g in grams[at : at + langid.UNIT])) for x in langs] for at in range(0, len(grams), langid.UNIT)]
+        units = [[v - max(u) for v in u] for u in units]
+        cost = langid.PENALTY * math.log(max(len(units), 2)) / 2
+        allowed = [0, 1, 2]
+        shares, fit = em(units, allowed, [1 / 3] * 3)
+        while len(allowed) > 1:
+            fewer = [k for k in allowed if k != max(allowed, key=lambda k: (-shares[k], k))]
+            trial, lower = em(units, fewer, shares)
+            if lower + cost < fit:
+                break
+            allowed, shares, fit = fewer, trial, lower
+        got = [row.lang_shares.get(x, 0.0) for x in langs]
+        assert all(abs(a - b) < 1e-3 for a, b in zip(got, shares, strict=True)), (got, shares)
+        sets = [list(c) for n in (1, 2, 3) for c in combinations(range(3), n)]
+        best = max(sets, key=lambda c: em(units, c, [1 / len(c) if k in c else 0.0 for k in range(3)])[1] - cost * len(c))
+        agreed += best == allowed
+    assert agreed >= len(texts) - 1
+    tied = langid.predict(spark.createDataFrame([(1, "zzz")], "doc_id long, text string"), {"b": np.zeros(langid.BUCKETS, np.float32), "a": np.zeros(langid.BUCKETS, np.float32)})
+    assert tied.first().lang_pred == "a"
+
+
+def test_language_of_a_long_text(spark, docs):
+    long = text_of(random.Random(59), 500_000)
+    model = langid.fit(docs)
+    got = langid.predict(spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "en", 2: "und"} or {r.lang_pred for r in got} <= {"en", "fr", "und"}
+
+
 def test_toxicity(spark, docs, sf_dir):
     sf = sf_dir.replace("0.001", "0.1")
     whole, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))

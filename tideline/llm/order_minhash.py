@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.components import components
@@ -182,14 +182,20 @@ def _sided(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}_{side}") for c in columns])
 
 
-def _hub_pairs(shared: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, node, hub) of (bucket, node, n): the hub has the most companions in all its buckets, then the largest hash."""
-    weight = scratch.write(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+def _hub_pairs(shared: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, node_a, node_b, possible) of (bucket, node, held): every member of a bucket with its hub.
+
+    The hub has the most companions in all its buckets, then the largest hash. A node has a bucket for each sketch, so
+    the window over its rows is small.
+    """
+    weight = F.sum("held").over(Window.partitionBy("node")).alias("weight")
     # written, so that the joins read both sides through plain shuffles and hot buckets can be split
-    weighted = scratch.write(shared.join(weight, "node").select("bucket", "node", "weight"), "members")
-    rank = F.struct("weight", F.xxhash64("node", "bucket"), "node")
-    hubs = scratch.write(weighted.groupBy("bucket").agg(F.max(rank)["node"].alias("hub")), "hubs")
-    return weighted.select("bucket", "node").join(hubs, "bucket").filter("node <> hub")
+    members = scratch.write(shared.join(nodes.select("node", "n", "odd"), "node").select("bucket", "node", "n", "odd", weight), "members")
+    rank = F.struct("weight", F.xxhash64("node", "bucket"), "node", "n", "odd")
+    hubs = members.groupBy("bucket").agg(F.max(rank).alias("hub"))
+    hubs = scratch.write(hubs.select("bucket", *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("node", "n", "odd")]), "hubs")
+    met = _sided(members, "a", ["bucket", "node", "n", "odd"]).withColumnRenamed("bucket_a", "bucket").join(hubs, "bucket").filter("node_a <> node_b")
+    return met.select("bucket", F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"), _possible("a", "b").alias("possible"))
 
 
 def _aligned(pairs: DataFrame, spelled: DataFrame) -> DataFrame:
@@ -211,8 +217,8 @@ def _aligned(pairs: DataFrame, spelled: DataFrame) -> DataFrame:
     return both.mapInArrow(bounded(compare), "node_a long, node_b long, similarity double")
 
 
-def _open_pairs(labels: DataFrame, nodes: DataFrame, spelled: DataFrame, common: int, scratch: Scratch) -> DataFrame:
-    """Pairs (node_a, node_b) of the nodes of ``labels``; linked, they join all classes that hold a pair at the threshold.
+def _open_pairs(labels: DataFrame, spelled: DataFrame, common: int, scratch: Scratch) -> DataFrame:
+    """Pairs (node_a, node_b) of ``labels`` (node, n, odd, label); linked, they join all classes that hold a pair at the threshold.
 
     Prefix filter: in one order of all k-mers, the rarest among these nodes first, two texts at 0.8 share a k-mer among
     the first n - ceil(0.8 n) + 1 of both. A k-mer that at most ``common`` nodes hold pairs its nodes directly. A text
@@ -222,20 +228,18 @@ def _open_pairs(labels: DataFrame, nodes: DataFrame, spelled: DataFrame, common:
     pairs outside its largest class are formed, and only those that their lengths, their parities and the number of
     their shared k-mers allow; these tests are part of the join.
     """
-    open_ = labels.select("node")
-    each = scratch.write(spelled.join(open_, "node").select("node", F.posexplode("kmers").alias("at", "kmer")), "open")
-    held = scratch.write(each.groupBy("kmer").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")
+    each = scratch.write(spelled.join(labels.select("node"), "node").select("node", F.posexplode("kmers").alias("at", "kmer")), "open")
+    held = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     own = each.join(held, "kmer").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "kmer", "at"))).alias("all"))
-    own = own.join(nodes.select("node", "n", "odd"), "node").withColumn("shared", F.size("all"))
+    own = own.join(labels, "node").withColumn("shared", F.size("all"))
     # k-mers that no other node holds come first in the prefix
     own = own.withColumn("take", F.expr("shared - (4 * n + 4) div 5 + 1").cast("int")).filter("take > 0").withColumn("prefix", F.slice("all", 1, F.col("take")))
     frequent = F.filter("prefix", lambda x: x["held"] > common)
     rare = F.filter(F.when(F.size(frequent) > 0, F.col("all")).otherwise(F.col("prefix")), lambda x: x["held"] <= common)
     in_order = F.array_sort(F.transform(F.filter("all", lambda x: x["held"] > common), lambda x: F.struct(x["at"], x["kmer"])))
     sequence = F.xxhash64(F.transform(in_order, lambda x: x["kmer"])).alias("sequence")
-    shaped = own.select("node", "n", "odd", "shared", rare["kmer"].alias("rare"), frequent["kmer"].alias("frequent"), sequence)
-    placed = scratch.write(shaped.join(labels, "node"), "prefixes")
     carried = ["node", "n", "odd", "shared", "label"]
+    placed = scratch.write(own.select(*carried, rare["kmer"].alias("rare"), frequent["kmer"].alias("frequent"), sequence), "prefixes")
 
     def paired(left: DataFrame, right: DataFrame, once: bool = False) -> DataFrame:
         a, b = (side.select("kmer", *[F.col(c).alias(f"{c}_{x}") for c in carried]) for side, x in ((left, "l"), (right, "r")))
@@ -244,12 +248,12 @@ def _open_pairs(labels: DataFrame, nodes: DataFrame, spelled: DataFrame, common:
         near = a.join(b, (a["kmer"] == b["kmer"]) & apart & enough & _possible("l", "r"))
         return near.select(F.least("node_l", "node_r").alias("node_a"), F.greatest("node_l", "node_r").alias("node_b"))
 
-    by_rare = scratch.write(placed.select(*carried, F.explode("rare").alias("kmer")), "rare")
+    by_rare = placed.select(*carried, F.explode("rare").alias("kmer"))
     of_each = placed.filter(F.size("frequent") > 0).select(*carried, "sequence", F.explode("frequent").alias("kmer"))
     sizes = of_each.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = scratch.write(sizes.groupBy("kmer").agg(F.max(F.struct("size", "label"))["label"].alias("largest")), "largest")
+    largest = sizes.groupBy("kmer").agg(F.max(F.struct("size", "label"))["label"].alias("largest"))
     by_frequent = scratch.write(of_each.join(largest, "kmer"), "frequent")
-    shortest = scratch.write(by_frequent.groupBy("sequence").agg(F.min(F.struct("n", "node"))["node"].alias("node")).select("node"), "shortest")
+    shortest = by_frequent.groupBy("sequence").agg(F.min(F.struct("n", "node"))["node"].alias("node")).select("node")
     standing = scratch.write(by_frequent.join(shortest, "node", "left_semi"), "standing")
     outside = "label <> largest"
     found = (
@@ -272,68 +276,54 @@ def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return asked.filter("bits & bit <> 0").select(*rows.columns)
 
 
-def linked_classes(rows: DataFrame, scratch: Scratch, common: int = COMMON_KMER) -> tuple[DataFrame, DataFrame]:
-    """Verified links (node_a, node_b, similarity) between different k-mer sequences, and the class (node, label) of every
-    node with one; ``rows`` is a written ``sketch_rows``."""
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "odd", "sketches")])
-    nodes = scratch.write(nodes, "nodes")
+def linked_classes(nodes: DataFrame, rows: DataFrame, scratch: Scratch, common: int = COMMON_KMER) -> DataFrame:
+    """The class (node, label) of every node with a verified link; ``nodes`` and ``rows`` (node, kmers) are written tables."""
     banded = nodes.select("node", F.explode("sketches").alias("bucket"))
-    sizes = scratch.write(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    sizes = scratch.write(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "buckets")
     shared = scratch.write(banded.join(sizes, "bucket"), "shared")
-    compared = scratch.write(_hub_pairs(shared, scratch).select("bucket", F.least("node", "hub").alias("node_a"), F.greatest("node", "hub").alias("node_b")), "compared")
-    companions = scratch.write(shared.select("node").distinct(), "companions")
+    compared = scratch.write(_hub_pairs(shared, nodes, scratch), "compared")
+    companions = shared.select("node").distinct()
     spelled = _likely(rows.select("node", "kmers"), companions).join(companions, "node").groupBy("node").agg(F.first("kmers").alias("kmers"))
     spelled = scratch.write(spelled, "kmers")
-    a, b = (_sided(nodes, x, ["node", "n", "odd"]) for x in ("a", "b"))
-    possible = compared.select("node_a", "node_b").distinct().join(a, "node_a").join(b, "node_b").filter(_possible("a", "b"))
-    links = scratch.write(_aligned(scratch.write(possible.select("node_a", "node_b"), "possible"), spelled), "links")
-    classes = scratch.write(components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), scratch), "classes")
+    links = scratch.write(_aligned(compared.filter("possible").select("node_a", "node_b").distinct(), spelled), "links")
+    classes = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), scratch)
 
-    contested = scratch.write(compared.join(links, ["node_a", "node_b"], "left_anti").select("bucket").distinct(), "contested")
+    contested = compared.join(links, ["node_a", "node_b"], "left_anti").select("bucket").distinct()
     base = shared.join(contested, "bucket", "left_semi").select("node").distinct()
-    labels = scratch.write(base.join(classes, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "open-labels")
+    labels = base.join(nodes.select("node", "n", "odd"), "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = scratch.write(labels, "open-labels")
     if not labels.limit(1).count():
-        return links, classes
-    open_ = scratch.write(_open_pairs(labels, nodes, spelled, common, scratch), "open-pairs")
-    more = scratch.write(_aligned(open_, spelled), "more-links")
+        return classes
+    open_ = scratch.write(_open_pairs(labels, spelled, common, scratch), "open-pairs")
+    # a link joins the classes of its ends; every label is a node of its class, so classes of one node are found as well
     a, b = (_sided(labels, x, ["node", "label"]) for x in ("a", "b"))
-    between = more.join(a, "node_a").join(b, "node_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    joined = components(between, scratch).select(F.col("node").alias("label"), F.col("label").alias("merged"))
-    # every label is a node of its class, so classes of one node are found here as well
-    known = classes.unionByName(more.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct().join(labels, "node")).distinct()
-    classes = known.join(joined, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
-    return links.unionByName(more), scratch.write(classes, "merged")
+    between = _aligned(open_, spelled).join(a, "node_a").join(b, "node_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    joined = components(scratch.write(between, "more-links"), scratch).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    known = classes.unionByName(joined.select(F.col("label").alias("node"), "label")).distinct()
+    return known.join(joined, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Written (doc_id, text_hash, node) of every row, and (node, class_id, class_size, n_links, lead_id, lead_hash) of every node."""
+    """Written (doc_id, text_hash, node) of every row, and (node, class_id, class_size, lead_hash) of every node."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch(docs.sparkSession, "omh") as scratch:
         rows = scratch.write(sketch_rows(docs), "sketches")
-        links, labels = linked_classes(rows, scratch)
-        degree = links.select(F.explode(F.array("node_a", "node_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-        counted = rows.filter("node IS NOT NULL").groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"))
-        labelled = counted.join(labels, "node", "left").join(degree, "node", "left").select(
-            "node", "first", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-        )
+        nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "odd", "sketches")], first, F.count(F.lit(1)).alias("copies"))
+        nodes = scratch.write(nodes, "nodes")
+        labels = linked_classes(nodes, rows, scratch)
+        labelled = nodes.select("node", "first", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         labelled = scratch.write(labelled, "labelled")
-        classes = scratch.write(labelled.groupBy("label").agg(F.min("first").alias("lead"), F.sum("copies").alias("class_size")), "sizes")
-        of_node = labelled.join(classes, "label").select(
-            "node", F.col("lead.doc_id").alias("class_id"), "class_size", "n_links", F.col("lead.text_hash").alias("lead_hash")
-        )
+        classes = labelled.groupBy("label").agg(F.min("first").alias("lead"), F.sum("copies").alias("class_size"))
+        of_node = labelled.join(classes, "label").select("node", F.col("lead.doc_id").alias("class_id"), "class_size", F.col("lead.text_hash").alias("lead_hash"))
         return materialize(rows.select("doc_id", "text_hash", "node"), "omh-rows"), materialize(of_node, "omh-classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size and n_links of every row.
-
-    n_links counts the verified links of the row's own text to different texts; they hold the class together and are not
-    all its pairs.
-    """
+    """doc_id, class_id and class_size of every row."""
     rows, of_node = _classes(docs, id_col, text_col)
-    found = rows.filter("node IS NOT NULL").join(of_node, "node").select("doc_id", "class_id", "class_size", "n_links")
-    alone = rows.filter("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    found = rows.filter("node IS NOT NULL").join(of_node, "node").select("doc_id", "class_id", "class_size")
+    alone = rows.filter("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return found.unionByName(alone)
 
 
