@@ -1,11 +1,14 @@
 """Exact deduplication over a bucketed cuckoo-filter index of live digests.
 
 Method: every text becomes its SHA-256 digest; equal digests are counted before any shuffle, salted so that no digest
-gathers in one task; each bucket of digests then owns a cuckoo filter (4 fingerprints to a slot group) beside the stored
-keys. A probe that misses the filter is new; a hit is verified against the stored key of the bucket, so a fingerprint
-collision never merges two texts. When a row with a larger id replaces the keeper, the old live digest is deleted and the
-new one inserted. An insertion that finds no free slot after the allowed evictions doubles the filter and refills it
-from the stored keys.
+gathers in one task. Digests go to buckets; each bucket owns a cuckoo filter of 16-bit fingerprints, four to a slot group,
+and every fingerprint points to a stored key. An insertion asks the filter: a miss is new and reads no key; a hit is
+verified against the keys that the matching fingerprints point to, so a collision of fingerprints never merges two texts.
+When a row with a larger id replaces the keeper, the live digest is deleted and inserted anew. An insertion that finds no
+free slot after the allowed evictions doubles the filter and refills it from the stored keys.
+
+The index is a table with a row per bucket: filter, pointers and keys in columns of their own. ``probe`` reads the
+filters alone and takes only hits on to the keys; ``update_index`` applies deletions and insertions to the stored filters.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest id stays (a null id is smallest);
 of rows that repeat an id and its text exactly one is kept; an empty table gives an empty result; other columns of the
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,80 +31,140 @@ SLOTS = 4
 MAX_EVICTIONS = 200
 KEYS_PER_BUCKET = 20_000
 SALTS = 32
+INDEX = (
+    "bucket int, buckets int, groups int, prints binary, refs binary, digests array<binary>, keep_ids array<bigint>, "
+    "group_sizes array<bigint>, false_hits bigint, resizes bigint"
+)
 
 
-class CuckooIndex:
-    """Live digests of one bucket: a cuckoo filter of 16-bit fingerprints in front of the stored keys.
+class CuckooFilter:
+    """Fingerprints in groups of ``SLOTS``, zero where a slot is free.
 
-    ``keys`` maps a digest to its payload; the filter answers most negative probes without touching the keys. Two
-    partial-key positions per digest allow deletion and eviction from the fingerprint alone.
+    A digest has two groups; each follows from the other and the fingerprint, which allows deletion and eviction.
     """
 
-    def __init__(self, capacity: int = 1024):
-        groups = 1
-        while groups * SLOTS * 0.9 < max(capacity, 1):
-            groups *= 2
-        self.keys: dict[bytes, tuple] = {}
-        self.resizes = 0
-        self._reset(groups)
-
-    def _reset(self, groups: int) -> None:
+    def __init__(self, groups: int, prints: bytes | None = None):
         self.groups = groups
-        self.table: list[list[int]] = [[] for _ in range(groups)]
+        self.prints = np.frombuffer(prints, "<u2").tolist() if prints is not None else [0] * (groups * SLOTS)
 
-    def _places(self, digest: bytes) -> tuple[int, int, int]:
+    def places(self, digest: bytes) -> tuple[int, int, int]:
         fingerprint = int.from_bytes(digest[8:10], "little") or 1
         first = int.from_bytes(digest[:8], "little") & (self.groups - 1)
-        return fingerprint, first, self._other(first, fingerprint)
+        return fingerprint, first, self.other(first, fingerprint)
 
-    def _other(self, place: int, fingerprint: int) -> int:
+    def other(self, place: int, fingerprint: int) -> int:
         return (place ^ (fingerprint * 0x5BD1E995)) & (self.groups - 1)
 
-    def might_contain(self, digest: bytes) -> bool:
-        fingerprint, first, second = self._places(digest)
-        return fingerprint in self.table[first] or fingerprint in self.table[second]
-
-    def get(self, digest: bytes):
-        """The payload of a live digest; a filter hit counts only if the stored key is the same."""
-        return self.keys.get(digest) if self.might_contain(digest) else None
-
-    def _place(self, digest: bytes) -> bool:
-        fingerprint, first, second = self._places(digest)
-        for place in (first, second):
-            if len(self.table[place]) < SLOTS:
-                self.table[place].append(fingerprint)
-                return True
-        place = second
-        for step in range(MAX_EVICTIONS):
-            group = self.table[place]
-            victim = step % SLOTS
-            fingerprint, group[victim] = group[victim], fingerprint
-            place = self._other(place, fingerprint)
-            if len(self.table[place]) < SLOTS:
-                self.table[place].append(fingerprint)
-                return True
+    def hits(self, digest: bytes) -> list[int]:
+        """Slots that hold the fingerprint of a digest in one of its groups."""
+        fingerprint, first, second = self.places(digest)
+        found = []
+        for place in {first, second}:
+            base = place * SLOTS
+            found += [k for k in range(base, base + SLOTS) if self.prints[k] == fingerprint]
+        return found
+
+
+class CuckooIndex:
+    """Live digests of one bucket: the filter in front, and the keys that its fingerprints point to."""
+
+    def __init__(self, capacity: int = 1024):
+        groups = 1
+        while groups * SLOTS * 0.9 < max(capacity, 1):
+            groups *= 2
+        self.digests: list[bytes | None] = []
+        self.payloads: list[tuple | None] = []
+        self.free: list[int] = []
+        self.resizes = self.false_hits = 0
+        self._reset(groups)
+
+    def _reset(self, groups: int) -> None:
+        self.filter, self.refs = CuckooFilter(groups), [-1] * (groups * SLOTS)
+
+    @classmethod
+    def stored(cls, row) -> CuckooIndex:
+        """The index of a row of the index table; nothing is inserted anew."""
+        index = cls(0)
+        index.filter, index.refs = CuckooFilter(int(row["groups"]), row["prints"]), np.frombuffer(row["refs"], "<i4").tolist()
+        index.digests = [bytes(d) for d in row["digests"]]
+        index.payloads = [(None if k is None or k != k else int(k), int(n)) for k, n in zip(row["keep_ids"], row["group_sizes"], strict=True)]
+        index.false_hits, index.resizes = int(row["false_hits"]), int(row["resizes"])
+        return index
+
+    def dump(self) -> dict:
+        """The columns of the index table, without the keys that were deleted."""
+        live = [k for k, d in enumerate(self.digests) if d is not None]
+        place = {k: n for n, k in enumerate(live)}
+        refs = np.array([place[k] if k >= 0 else -1 for k in self.refs], dtype="<i4")
+        return {
+            "groups": self.filter.groups, "prints": np.array(self.filter.prints, dtype="<u2").tobytes(), "refs": refs.tobytes(),
+            "digests": [self.digests[k] for k in live], "keep_ids": [self.payloads[k][0] for k in live],
+            "group_sizes": [int(self.payloads[k][1]) for k in live], "false_hits": self.false_hits, "resizes": self.resizes,
+        }
+
+    def _slot(self, digest: bytes) -> int | None:
+        """The slot of a live digest; a hit counts only if the key that it points to is the same."""
+        for slot in self.filter.hits(digest):
+            if self.digests[self.refs[slot]] == digest:
+                return slot
+            self.false_hits += 1
+        return None
+
+    def get(self, digest: bytes) -> tuple | None:
+        slot = self._slot(digest)
+        return None if slot is None else self.payloads[self.refs[slot]]
+
+    def _place(self, digest: bytes, key: int) -> bool:
+        cuckoo, refs = self.filter, self.refs
+        fingerprint, first, second = cuckoo.places(digest)
+        place = first
+        for step in range(-1, MAX_EVICTIONS):
+            base = place * SLOTS
+            for slot in range(base, base + SLOTS):
+                if not cuckoo.prints[slot]:
+                    cuckoo.prints[slot], refs[slot] = fingerprint, key
+                    return True
+            if step < 0:
+                place = second
+                continue
+            slot = base + step % SLOTS
+            fingerprint, cuckoo.prints[slot] = cuckoo.prints[slot], fingerprint
+            key, refs[slot] = refs[slot], key
+            place = cuckoo.other(place, fingerprint)
         return False  # one fingerprint is homeless; the caller refills from the stored keys
 
     def insert(self, digest: bytes, payload: tuple) -> None:
-        if digest in self.keys:
-            raise KeyError("digest is already live")
-        self.keys[digest] = payload
-        groups = self.groups
-        placed = self._place(digest)
+        """Add a digest that is not live."""
+        if self.free:
+            key = self.free.pop()
+            self.digests[key], self.payloads[key] = digest, payload
+        else:
+            key = len(self.digests)
+            self.digests.append(digest)
+            self.payloads.append(payload)
+        placed = self._place(digest, key)
         while not placed:
-            groups *= 2
             self.resizes += 1
-            self._reset(groups)
-            placed = all(self._place(key) for key in self.keys)
+            self._reset(self.filter.groups * 2)
+            placed = all(self._place(d, k) for k, d in enumerate(self.digests) if d is not None)
 
-    def delete(self, digest: bytes):
+    def delete(self, digest: bytes) -> tuple | None:
         """Remove a live digest and give back its payload; None if it is not live."""
-        if self.get(digest) is None:
+        slot = self._slot(digest)
+        if slot is None:
             return None
-        fingerprint, first, second = self._places(digest)
-        group = self.table[first] if fingerprint in self.table[first] else self.table[second]
-        group.remove(fingerprint)
-        return self.keys.pop(digest)
+        key = self.refs[slot]
+        self.filter.prints[slot], self.refs[slot] = 0, -1
+        payload, self.digests[key], self.payloads[key] = self.payloads[key], None, None
+        self.free.append(key)
+        return payload
+
+    def add(self, digest: bytes, keep: int | None, size: int) -> None:
+        """Insert, or replace the live digest by one with the larger id and both sizes."""
+        old = self.delete(digest)
+        if old is not None:
+            keep, size = (keep if _newer(keep, old[0]) else old[0]), size + old[1]
+        self.insert(digest, (keep, size))
 
 
 def _newer(a, b) -> bool:
@@ -108,27 +172,6 @@ def _newer(a, b) -> bool:
     return b is None if a is not None and b is None else a is not None and a > b
 
 
-def _index_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    index = CuckooIndex(len(rows))
-    has = rows["max_id"].notna().tolist()
-    for digest, some, max_id, count in zip(rows["digest"], has, rows["max_id"], rows["n"], strict=True):
-        max_id = int(max_id) if some else None
-        live = index.get(digest)
-        if live is None:
-            index.insert(digest, (max_id, count))
-            continue
-        total = live[1] + count
-        index.delete(digest)
-        index.insert(digest, (max_id if _newer(max_id, live[0]) else live[0], total))
-    return pd.DataFrame(
-        {
-            "digest": list(index.keys),
-            "keep_id": pd.array([p[0] for p in index.keys.values()], dtype="Int64"),
-            "group_size": pd.array([int(p[1]) for p in index.keys.values()], dtype="Int64"),
-        }
-    )
-
-
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, copies): repeated rows are counted before the shuffle."""
     return (
@@ -138,11 +181,21 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _bucket(digest: str, buckets) -> F.Column:
+    return F.pmod(F.xxhash64(digest), F.lit(buckets)).cast("int")
+
+
+def _rows_of(frame: pd.DataFrame) -> Iterator[tuple[bytes, int | None, int]]:
+    known = frame["max_id"].notna()
+    for digest, there, keep, size in zip(frame["digest"], known, frame["max_id"], frame["n"], strict=True):
+        yield bytes(digest), (int(keep) if there else None), int(size)
+
+
 def live_index(rows: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
-    """(digest, keep_id, group_size): each digest's keeper, found by the cuckoo index of its bucket.
+    """The index table of (doc_id, digest, copies).
 
-    Partial counts for (digest, salt) bound what one digest can bring to a bucket to ``SALTS`` rows; the bucket count
-    follows the number of rows, so a bucket stays near ``keys_per_bucket`` keys at any size.
+    Partial counts for (digest, salt) bound what one digest can bring to a bucket to ``SALTS`` rows; the number of
+    buckets follows that of the rows, so a bucket stays near ``keys_per_bucket`` keys at any size.
     """
     partial = (
         rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
@@ -150,66 +203,90 @@ def live_index(rows: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataF
         .agg(F.max("doc_id").alias("max_id"), F.sum("copies").alias("n"))
     )
     buckets = max(1, -(-rows.count() // keys_per_bucket))
-    bucketed = partial.select("digest", "max_id", "n", F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket"))
-    return bucketed.groupBy("bucket").applyInPandas(
-        lambda pdf: _index_bucket(pdf), "digest binary, keep_id long, group_size long"
-    )
 
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        index = CuckooIndex(len(frame))
+        for digest, keep, size in _rows_of(frame):
+            index.add(digest, keep, size)
+        return pd.DataFrame([{"bucket": int(frame["bucket"].iloc[0]), "buckets": buckets} | index.dump()])
 
-def probe(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` with the keeper of their digest in an earlier ``live_index``; null where the text is new."""
-    return digest_rows(docs, id_col, text_col).join(index, "digest", "left")
+    bucketed = partial.select("digest", "max_id", "n", _bucket("digest", buckets).alias("bucket"))
+    return bucketed.groupBy("bucket").applyInPandas(build, INDEX)
+
+
+def index_keys(index: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of the stored keys."""
+    each = F.explode(F.arrays_zip("digests", "keep_ids", "group_sizes")).alias("key")
+    return index.select(each).select(F.col("key.digests").alias("digest"), F.col("key.keep_ids").alias("keep_id"), F.col("key.group_sizes").alias("group_size"))
+
+
+def _buckets_of(index: DataFrame) -> int:
+    row = index.select("buckets").limit(1).collect()
+    return row[0]["buckets"] if row else 1
+
+
+def filter_hits(digests: DataFrame, index: DataFrame) -> DataFrame:
+    """The digests (column digest, each once) that the filters of a written index may hold; keys are not read."""
 
+    def ask(asked: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+        if not len(filters) or not len(asked):
+            return asked[["digest"]].iloc[:0]
+        row = filters.iloc[0]
+        cuckoo = CuckooFilter(int(row["groups"]), row["prints"])
+        return asked[["digest"]][[bool(cuckoo.hits(bytes(d))) for d in asked["digest"]]]
 
-def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
-    """Apply deletions, then insertions, to an index; ``inserts`` is a ``live_index``, ``deletes`` has a column digest.
+    bucketed = digests.select("digest", _bucket("digest", _buckets_of(index)).alias("bucket"))
+    filters = index.select("bucket", "groups", "prints")
+    return bucketed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(ask, "digest binary")
 
-    Deleting a digest that is not live changes nothing; inserting a live one keeps the larger id and adds the counts.
+
+def probe(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with the keeper of their digest in an earlier, written ``live_index``; null where the text is new.
+
+    Filters are asked first. Only digests that they may hold are looked up among the keys; without any, no key is read.
     """
-    kinds = (
-        index.select("digest", "keep_id", "group_size", F.lit(0).alias("kind"))
-        .unionByName(inserts.select("digest", "keep_id", "group_size", F.lit(2).alias("kind")))
-        .unionByName(
-            deletes.select("digest").distinct().select(
-                "digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(1).alias("kind")
-            )
-        )
-    )
-    kinds = materialize(kinds, "cuckoo-update")
-    buckets = max(1, -(-kinds.count() // keys_per_bucket))
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        live = CuckooIndex(len(pdf))
-        pdf = pdf.sort_values("kind", kind="stable")
-        for digest, keep, some, size, kind in zip(
-            pdf["digest"], pdf["keep_id"], pdf["keep_id"].notna(), pdf["group_size"], pdf["kind"], strict=True
-        ):
-            old = live.delete(digest)
-            if kind == 1:
-                continue
-            keep = int(keep) if some else None
-            if old is not None:
-                keep, size = (keep if _newer(keep, old[0]) else old[0]), size + old[1]
-            live.insert(digest, (keep, int(size)))
-        return pd.DataFrame(
-            {
-                "digest": list(live.keys),
-                "keep_id": pd.array([p[0] for p in live.keys.values()], dtype="Int64"),
-                "group_size": pd.array([p[1] for p in live.keys.values()], dtype="Int64"),
-            }
-        )
+    rows = materialize(digest_rows(docs, id_col, text_col), "probe-digests")
+    hits = materialize(filter_hits(rows.select("digest").distinct(), index), "probe-hits")
+    if not hits.limit(1).count():
+        return rows.select("*", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
+    found = index_keys(index).join(hits, "digest", "left_semi")
+    return rows.join(found, "digest", "left").select("doc_id", "digest", "copies", "keep_id", "group_size")
 
-    return (
-        kinds.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInPandas(apply, "digest binary, keep_id long, group_size long")
-    )
+
+def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
+    """Apply deletions, then insertions, to the stored filters and keys of an index.
+
+    ``inserts`` has (digest, keep_id, group_size), ``deletes`` a column digest. Deleting a digest that is not live
+    changes nothing; inserting a live one keeps the larger id and adds the counts. A filter that overflows doubles and
+    is refilled from its keys; buckets without changes pass as they are.
+    """
+    buckets = _buckets_of(index)
+    changes = (
+        deletes.select("digest").distinct()
+        .select("digest", F.lit(None).cast("long").alias("max_id"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind"))
+        .unionByName(inserts.select("digest", F.col("keep_id").cast("long").alias("max_id"), F.col("group_size").cast("long").alias("n"), F.lit(1).alias("kind")))
+        .withColumn("bucket", _bucket("digest", buckets))
+    )
+
+    def apply(changed: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        if not len(changed):
+            return stored
+        live = CuckooIndex.stored(stored.iloc[0]) if len(stored) else CuckooIndex(len(changed))
+        changed = changed.sort_values("kind", kind="stable")
+        for kind, (digest, keep, size) in zip(changed["kind"], _rows_of(changed), strict=True):
+            if kind == 0:
+                live.delete(digest)
+            else:
+                live.add(digest, keep, size)
+        return pd.DataFrame([{"bucket": int(changed["bucket"].iloc[0]), "buckets": buckets} | live.dump()])
+
+    return changes.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(apply, INDEX)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialize(digest_rows(docs, id_col, text_col), "digests")
-    index = materialize(live_index(rows), "cuckoo-index")
+    index = index_keys(materialize(live_index(rows), "cuckoo-index"))
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
     return (
         rows.join(index, "digest")
@@ -227,7 +304,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, all columns; rows that repeat id and text give one row."""
     rows = materialize(digest_rows(docs, id_col, text_col), "digests")
-    kept = live_index(rows).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"))
+    kept = index_keys(live_index(rows)).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"))
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)))
     same = (keyed["_digest"] == kept["_digest"]) & keyed[id_col].eqNullSafe(kept["_keep_id"])
     return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "_digest"]).drop("_digest")
