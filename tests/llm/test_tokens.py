@@ -2,6 +2,7 @@ import functools
 import hashlib
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tideline.llm import bitplanes, byte_bpe, packing, tokens
+from tideline.session import Scratch
 
 
 @functools.cache
@@ -42,7 +44,7 @@ ODD = st.text(alphabet=st.sampled_from("aAbZé漢🙂ΣςĲ'st re ll\0\t\n\r\x0b
 def test_chunks_give_the_ids_of_the_whole_text(specs, text):
     text = text.encode("utf-8", "replace").decode()
     for spec, name, keep in (("byte", "byte_bpe_50k.json", True), ("word", "word_bpe_49k.json", False)):
-        got = tokens.encoder(specs[spec], keep).encode([text, None, "a  b", text])
+        got = tokens.PieceEncoder(specs[spec], keep).encode([text, None, "a  b", text])
         assert got[0].tolist() == got[3].tolist() == library(name)(text) and not len(got[1])
 
 
@@ -52,7 +54,7 @@ def test_ranks_give_the_ids_of_tiktoken(specs, text):
     text = text.encode("utf-8", "replace").decode()
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     own = _tiktoken(ranks)
-    (found,) = tokens.encoder(specs["ranks"], True).encode([text])
+    (found,) = tokens.PieceEncoder(specs["ranks"], True).encode([text])
     ids = found.tolist()
     assert ids == own.encode_ordinary(text)
     assert byte_bpe.decode_bytes(ids, byte_bpe.byte_table(specs["ranks"])) == text.encode()
@@ -63,7 +65,7 @@ _OWN = {}
 
 @pytest.mark.parametrize('text', ['a \0b', '\0', '\0\0 x', ' \n', 'a\n\nb', ' a', 'a ', '\na', 'a\n'])
 def test_marks_in_texts(specs, text):
-    (found,) = tokens.encoder(specs['byte'], True).encode([text])
+    (found,) = tokens.PieceEncoder(specs['byte'], True).encode([text])
     assert found.tolist() == library('byte_bpe_50k.json')(text)
 
 
@@ -75,7 +77,7 @@ def _tiktoken(ranks):
 
 def test_decoding_handles_split_characters(specs):
     table, text = byte_bpe.byte_table(specs["ranks"]), "漢字🙂 naïve"
-    (ids,) = tokens.encoder(specs["ranks"], True).encode([text])
+    (ids,) = tokens.PieceEncoder(specs["ranks"], True).encode([text])
     assert "".join(byte_bpe.decode_stream([[i] for i in ids.tolist()], table)) == text
     starts, chars = byte_bpe.offsets(ids, text, table)
     assert starts[0] == 0 and all(len(text[:c].encode()) <= s for s, c in zip(starts.tolist(), chars.tolist(), strict=True))
@@ -167,10 +169,34 @@ def test_windows_hold_the_target_mixture(spark, specs, sf_dir):
     assert (abs(per.cumsum() - share * 2048 * np.arange(1, len(per) + 1)) <= 2 * 256).all()
 
 
-def test_epochs_carry_deficits():
-    sizes, weights = np.array([700, 90, 10, 0]), np.array([0.5, 0.3, 0.1, 0.1])
-    whole = packing.epoch_schedule(0, sizes, weights, 10_000)
-    parts = [packing.epoch_schedule(e, sizes, weights, 64) for e in range(-(-800 // 64))]
-    assert sorted(zip(*whole[:2], strict=True)) == sorted((q, j) for p in parts for q, j in zip(*p[:2], strict=True))
-    slots = np.concatenate([p[2] for p in parts])
-    assert (np.sort(slots) == np.arange(800)).all()
+def test_schedule_is_deficit_round_robin(spark):
+    """The order against a plain loop: time runs until the next deficit reaches one; that queue is served and pays one."""
+    sizes, weights = [70, 9, 1, 0, 25], [5.0, 3.0, 1.0, 1.0, 2.5]
+    queues = spark.createDataFrame([(k, w, n) for k, (n, w) in enumerate(zip(sizes, weights, strict=True))], "queue long, weight double, full long")
+    with Scratch(spark, "test") as scratch:
+        got = sorted((r.slot, r.queue, r.quantum) for r in packing.schedule(queues, scratch).collect())
+    assert [k for k, *_ in got] == list(range(sum(sizes)))
+    deficit, given, now = [Fraction(0)] * 5, [0] * 5, []
+    while len(now) < sum(sizes):
+        live = [q for q in range(5) if given[q] < sizes[q]]
+        wait, q = min(((1 - deficit[q]) / Fraction(weights[q]), q) for q in live)
+        for x in live:
+            deficit[x] += wait * Fraction(weights[x])
+        now.append((q, given[q]))
+        deficit[q] -= 1
+        given[q] += 1
+    assert [(q, j) for _, q, j in got] == now
+
+
+def test_five_thousand_weighted_sources(spark, specs):
+    """Every source keeps its own weight, however many there are."""
+    text = "a b c d e f g h " * 8
+    rows = [(k, text, f"s{k % 5000}") for k in range(5000)] + [(5000 + k, text * 60, f"s{k % 2}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    encode = library("byte_bpe_50k.json")
+    got = packing.pack(docs, specs["byte"], weights={"s0": 3.0, "s1": 1.0}).collect()
+    check_packing(got, docs.collect(), encode)
+    assert len({r.source for r in got}) == 5000
+    early = [r for r in got if r.sequence_id < 10]
+    tokens_of = lambda x: sum(r.length for r in early if r.source == x)
+    assert tokens_of("s0") >= 2.5 * tokens_of("s1") > 0

@@ -1,25 +1,26 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Every source is a queue of tokens: its documents (ids, then an end id) one after the other, in the order of the input.
-A queue is dealt out in quanta of ``QUANTUM`` tokens; a window (sequence) of ``WINDOW`` tokens takes
-WINDOW / QUANTUM quanta. Before each quantum every queue's deficit grows by its target share; the queue with the largest
-deficit is served and pays one. The deficit stays with the queue from window to window, so every window meets the targets
-to within the quanta that are owed.
-
-The schedule is made in parallel: an epoch is a run of quanta, and how much every queue has had by the start of an epoch
-follows from the targets alone (``served_by``), so each task starts with the deficits that all earlier epochs leave. The
-last, partial quantum of every queue goes to the closing windows, end to end, so only the last window is padded.
-
-Targets default to the queues' own sizes, which spends all queues together. With other weights a queue that runs dry
-drops out and the others keep their proportions. There are at most ``MAX_QUEUES`` queues: with more sources than that,
-sources share queues by hash, so the vector of totals is bounded.
-
-The ids are written once and never shuffled: each task notes where a text starts among the tokens of its queue in that
-task, and the tasks' totals are summed up per queue.
-
-Defined results: a null text is empty and packs the end id alone; a null source is a queue of its own; repeated rows are
-packed as often as they come; with more than ``MAX_QUEUES`` sources, weights are those of the queues; an empty table
-gives an empty result; other columns are ignored.
+A queue is dealt out in quanta of ``QUANTUM`` tokens; a window (sequence) of ``WINDOW`` tokens takes WINDOW / QUANTUM
+quanta. Every queue's deficit grows with time at the rate of its weight; when it reaches one quantum, the queue is served
+and pays one. What is left of a deficit stays with the queue from window to window, so every window meets the targets to
+within the quanta that are owed.
+
+The schedule is a sort: a queue's j-th quantum is due when its deficit has grown to j + 1, at (j + 1) / weight, and
+quanta are served in the order of these times (ties by queue). So the deficits at the start of any partition of that
+order follow from the time alone, partitions are made in parallel, and their places follow from the partitions' sizes.
+Nothing is held per queue in one task or in the driver, whatever the number of sources. The last, partial quantum of
+every queue goes to the closing windows, end to end, so only the last window is padded.
+
+Weights default to the queues' own sizes, which spends all queues together. With other weights a queue that runs dry
+drops out and the others keep their proportions.
+
+The ids are written once and never shuffled unless the table of starts (tasks x queues) is too large to broadcast: each
+task notes where a text starts among the tokens of its queue in that task, and the tasks' totals are summed up per queue.
+
+Defined results: a null text is empty and packs the end id alone; a null source is a queue of its own, of weight 1 where
+weights are given; sources without a weight have weight 1; repeated rows are packed as often as they come; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,59 +30,56 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import tokens
-from tideline.session import materialize
+from tideline.session import Scratch, materialize
 
 WINDOW = 2048
 QUANTUM = 256
-EPOCH_QUANTA = 1 << 15
-MAX_QUEUES = 4096
-
-
-def served_by(time: float, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Quanta that each queue has had at a virtual time."""
-    return np.minimum(sizes, np.floor(weights * time)).astype(np.int64)
-
-
-def epoch_time(quanta: int, sizes: np.ndarray, weights: np.ndarray) -> float:
-    """The first virtual time by which ``quanta`` are served; the same in every task."""
-    if quanta >= sizes.sum():
-        return float("inf")
-    low, high = 0.0, float((sizes / weights).max()) + 1.0
-    for _ in range(100):
-        middle = (low + high) / 2
-        if served_by(middle, sizes, weights).sum() >= quanta:
-            high = middle
-        else:
-            low = middle
-    return high
-
-
-def epoch_schedule(epoch: int, sizes: np.ndarray, weights: np.ndarray, length: int = EPOCH_QUANTA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(queue, quantum of that queue, slot) of an epoch, by deficit round-robin."""
-    times = [epoch_time(e * length, sizes, weights) if e else 0.0 for e in (epoch, epoch + 1)]
-    first, last = (sizes.copy() if t == float("inf") else served_by(t, sizes, weights) for t in times)
-    left, slot = last - first, int(first.sum())
-    count = int(left.sum())
-    share = left / max(count, 1)
-    owed = np.where(first < sizes, weights * times[0] - first, 0.0) if times[0] != float("inf") else np.zeros(len(sizes))
-    deficit, given = np.where(left > 0, owed, -np.inf), first.copy()
-    queue = np.empty(count, dtype=np.int32)
-    quantum = np.empty(count, dtype=np.int64)
-    for k in range(count):
-        deficit += share
-        q = int(deficit.argmax())
-        queue[k], quantum[k] = q, given[q]
-        given[q] += 1
-        left[q] -= 1
-        deficit[q] = deficit[q] - 1 if left[q] else -np.inf
-    return queue, quantum, np.arange(slot, slot + count, dtype=np.int64)
+CHUNK = 1 << 16
+
+
+def running_totals(rows: DataFrame, order: list[str], amounts: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` with before_<amount>: the sum of each amount over all rows that come earlier in ``order``, which is total.
+
+    Range partitions are summed up on their own; one row of sums a partition reaches the driver.
+    """
+    before = [f"before_{a}" for a in amounts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, upto = TaskContext.get().partitionId(), np.zeros(len(amounts), dtype=np.int64)
+        for batch in batches:
+            own = np.stack([batch.column(batch.schema.get_field_index(a)).to_numpy(zero_copy_only=False) for a in amounts]).astype(np.int64)
+            sums = own.cumsum(axis=1)
+            starts = [pa.array(x, pa.int64()) for x in sums - own + upto[:, None]]
+            upto = upto + sums[:, -1] if batch.num_rows else upto
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), *starts], [*batch.schema.names, "_part", *before])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", _part int, " + ", ".join(f"{n} long" for n in before)
+    ranged = scratch.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "ranged")
+    sums = sorted(tuple(r) for r in ranged.groupBy("_part").agg(*[F.sum(a) for a in amounts]).collect())
+    starts, upto = [], [0] * len(amounts)
+    for part, *own in sums:
+        starts.append((part, *upto))
+        upto = [x + y for x, y in zip(upto, own, strict=True)]
+    of_part = rows.sparkSession.createDataFrame(starts, "_part int, " + ", ".join(f"_{n} long" for n in before))
+    placed = ranged.join(F.broadcast(of_part), "_part")  # a row for each partition
+    return placed.select(*rows.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in before])
+
+
+def schedule(queues: DataFrame, scratch: Scratch) -> DataFrame:
+    """(queue, quantum, slot) of (queue, weight, full): the order in which deficits reach one quantum.
+
+    A queue's quanta are made in chunks, so that one with a third of all tokens does not fill a task.
+    """
+    chunks = queues.filter("full > 0").select("queue", "weight", "full", F.explode(F.expr(f"sequence(0L, full - 1, {CHUNK}L)")).alias("first"))
+    each = F.explode(F.expr(f"sequence(first, least(first + {CHUNK}L, full) - 1)")).alias("quantum")
+    quanta = chunks.repartition("queue", "first").select("queue", "weight", each).select("queue", "quantum", ((F.col("quantum") + 1) / F.col("weight")).alias("due"), F.lit(1).alias("slot"))
+    return running_totals(quanta, ["due", "queue"], ["slot"], scratch).select("queue", "quantum", F.col("before_slot").alias("slot"))
 
 
 def _tokenized(rows: DataFrame, spec: str, end_id: int) -> DataFrame:
@@ -119,7 +117,7 @@ def pack(
 ) -> DataFrame:
     """Pieces: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset and the ids (32-bit, binary).
 
-    ``with_ids=False`` leaves the ids null, for those who read them from elsewhere.
+    ``with_ids=False`` leaves the ids null, for those who need the plan of the windows only.
     """
     if window % quantum:
         raise ValueError("a window must be a whole number of quanta")
@@ -127,71 +125,56 @@ def pack(
         raise ValueError("weights must be above 0")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-    many = rows.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    queue_name = F.concat(F.lit("queue "), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES))) if many else F.concat(F.lit("="), F.coalesce("source", F.lit("")))
-    if not many:  # a null source is told from an empty one
-        queue_name = F.when(F.col("source").isNull(), F.lit("null")).otherwise(queue_name)
-    queued = materialize(_tokenized(rows.withColumn("queue", queue_name), spec, end_id), "packing-tokens")
-    by_part = queued.groupBy("queue", "part").agg(F.sum("n").alias("part_n"))
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(by_part.withColumn("part_start", F.coalesce(F.sum("part_n").over(before), F.lit(0))), "packing-starts")
-    sizes = sorted((r["queue"], r["n"]) for r in starts.groupBy("queue").agg(F.sum("part_n").alias("n")).collect())
-    if not sizes:
-        return spark.createDataFrame([], PIECES)
-    number = {name: k for k, (name, _) in enumerate(sizes)}
-    totals = np.array([n for _, n in sizes], dtype=np.int64)
-    full = totals // quantum
-    target = np.array([float(weights.get(name[1:] if name.startswith("=") else None, 1.0)) for name, _ in sizes]) if weights else totals / totals.sum()
-    target = target / target.sum()
-    n_full = int(full.sum())
-    tail_start = n_full * quantum + np.cumsum(totals - full * quantum) - (totals - full * quantum)
-
-    # Spark broadcasts the starts, tasks x queues rows, only if their written size is under its threshold
-    placed = queued.join(starts.drop("part_n"), ["queue", "part"]).select(
-        "doc_id", "source", "ids", "n", "queue", (F.col("part_start") + F.col("at")).alias("at")
+    named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))  # a null source is told from an empty one
+    queued = materialize(_tokenized(rows.withColumn("queue", named), spec, end_id), "packing-tokens")
+    with Scratch(spark, "packing") as scratch:
+        by_part = queued.groupBy("queue", "part").agg(F.sum("n").alias("part_n"))
+        before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = scratch.write(by_part.withColumn("part_start", F.coalesce(F.sum("part_n").over(before), F.lit(0))), "starts")
+        sizes = starts.groupBy("queue").agg(F.sum("part_n").alias("tokens")).select("queue", "tokens", F.expr(f"tokens div {quantum}").alias("full"), F.expr(f"tokens % {quantum}").alias("tail"))
+        weighted = sizes.withColumn("weight", F.col("tokens").cast("double"))
+        if weights:
+            given = spark.createDataFrame([(f"={k}", float(w)) for k, w in weights.items()], "queue string, weight double")
+            weighted = sizes.join(given, "queue", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        numbered = running_totals(weighted.withColumn("one", F.lit(1)), ["queue"], ["one", "full", "tail"], scratch)
+        queues = scratch.write(numbered.withColumnRenamed("before_one", "number"), "queues")
+        whole = queues.agg(F.max(F.col("before_full") + F.col("full"))).first()[0] or 0
+        order = schedule(queues.select(F.col("number").alias("queue"), "weight", "full"), scratch)
+        # both are read by the result; they grow with the input, which Spark can tell from the written size only
+        slots = materialize(order, "packing-slots")
+        places = queues.select("queue", "number", (F.col("full") * quantum).alias("tail_at"), (F.lit(whole * quantum) + F.col("before_tail")).alias("tail_start"))
+        starts = materialize(starts.join(places, "queue").drop("part_n"), "packing-starts")
+
+    placed = queued.join(starts, ["queue", "part"]).select(
+        "doc_id", "source", "ids", "n", "number", (F.col("part_start") + F.col("at")).alias("at"), "tail_at", "tail_start"
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.slices(batches):
             out: list[tuple] = []
-            for doc_id, source, raw, n, name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                queue, wide = number[name], np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
+            for doc_id, source, raw, n, queue, at, tail, closing in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                wide = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
                 edges = [*range(at // quantum * quantum + quantum, at + n, quantum)]
-                tail = int(full[queue]) * quantum
                 if at + n > tail:  # the closing windows cut where they end, not where quanta do
-                    shift = int(tail_start[queue]) - tail
+                    shift = closing - tail
                     edges = [e for e in edges if e <= tail]
                     edges += [p - shift for p in range((max(at, tail) + shift) // window * window + window, at + n + shift, window)]
                 for a, b in zip([at, *edges], [*edges, at + n], strict=True):
                     ids = wide[4 * (a - at) : 4 * (b - at)]
                     j = a // quantum
                     last = a >= tail
-                    position = a + int(tail_start[queue]) - tail if last else a - j * quantum
+                    position = a + closing - tail if last else a - j * quantum
                     out.append((doc_id, source, a - at, b - a, zlib.crc32(ids), n, None if last else queue, None if last else j, position, ids if with_ids else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), cut_schema, strict=True)], schema=cut_schema)
 
     cut_schema = pa.schema(
         [("doc_id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
-        + [("queue", pa.int32()), ("quantum", pa.int64()), ("position", pa.int64()), ("ids", pa.binary())]
-    )
-    pieces = placed.mapInArrow(
-        cut, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, queue int, quantum long, position long, ids binary"
+        + [("queue", pa.int64()), ("quantum", pa.int64()), ("position", pa.int64()), ("ids", pa.binary())]
     )
-
-    def schedule(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for epoch in frame["id"]:
-                q, j, slot = epoch_schedule(int(epoch), full, target)
-                yield pd.DataFrame({"queue": q, "quantum": j, "slot": slot})
-
-    epochs = max(1, -(-n_full // EPOCH_QUANTA))
-    slots = spark.range(0, epochs, 1, min(epochs, 10_000)).mapInPandas(schedule, "queue int, quantum long, slot long")
-    slots = materialize(slots, "packing-slots")  # it grows with the input, which Spark can tell from the written size only
+    columns = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long"
+    pieces = placed.mapInArrow(tokens.bounded(cut), f"{columns}, queue long, quantum long, position long, ids binary")
     position = F.coalesce(F.col("slot") * quantum, F.lit(0)) + F.col("position")
     return pieces.join(slots, ["queue", "quantum"], "left").select(
         "doc_id", "source", "start", "length", "ids_crc32", "doc_tokens",
         F.floor(position / window).cast("long").alias("sequence_id"), F.pmod(position, F.lit(window)).cast("long").alias("offset"), "ids",
     )
-
-
-PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
