@@ -8,6 +8,8 @@ the least share leaves as long as log-likelihood - PENALTY * languages * log(uni
 the language with the largest share, and the score that share.
 
 The tables are languages x BUCKETS numbers whatever the corpus; counting is a partial sum per task and one aggregation.
+More than ``MAX_LANGUAGES`` languages are refused before any table is made. Texts are taken in slices that shrink with the
+number of languages, and n-grams are looked up in blocks; a text's units are kept whole, languages / 4 bytes a byte of text.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; ties go to the language that sorts first;
 repeated rows give equal rows; with no training rows every text is ``und``; an empty table gives an empty result; other
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm.columns import crc_of_id
-from tideline.llm.tokens import slices
+from tideline.llm.tokens import bounded, slices
+from tideline.session import materialize
 
 ORDER = 3
 BUCKETS = 1 << 16
@@ -33,6 +36,8 @@ UNIT = 32
 STEPS = 8
 PENALTY = 2.0
 MAX_LANGUAGES = 256
+BLOCK_CELLS = 1 << 20
+SLICE_CELLS = 4 << 20
 UNKNOWN = "und"
 
 
@@ -52,7 +57,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = np.bincount(ngrams(text), minlength=BUCKETS)
                 sums[lang] = sums[lang] + found if lang in sums else found
@@ -61,18 +66,18 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], ["lang", "bucket", "n"])
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    summed = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    frame = summed.toPandas()  # at most languages x BUCKETS rows
-    langs = sorted(frame["lang"].unique())
+    summed = rows.mapInArrow(bounded(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = materialize(summed, "langid-counts")
+    langs = sorted(r["lang"] for r in summed.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES}")
-    model = {}
-    for lang in langs:
-        own = frame[frame["lang"] == lang]
-        counts = np.ones(BUCKETS)
-        counts[own["bucket"].to_numpy()] += own["n"].to_numpy()
-        model[lang] = np.log(counts / counts.sum()).astype(np.float32)
-    return model
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = summed.toArrow()  # at most languages x BUCKETS rows of three numbers
+    place = {lang: k for k, lang in enumerate(langs)}
+    counts = np.ones((len(langs), BUCKETS))
+    codes = found.column("lang").combine_chunks().dictionary_encode()
+    rows = np.array([place[x] for x in codes.dictionary.to_pylist()], dtype=np.int64)[codes.indices.to_numpy()] if len(codes) else np.zeros(0, np.int64)
+    counts[rows, found.column("bucket").to_numpy()] += found.column("n").to_numpy()
+    return {lang: np.log(own / own.sum()).astype(np.float32) for lang, own in zip(langs, counts, strict=True)}
 
 
 def _mixture(units: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +99,19 @@ def _mixture(units: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np
     return shares, fit_of
 
 
+def _unit_scores(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Log-likelihood of every unit of a text (units x languages), a block of units at a time."""
+    step = UNIT * max(1, BLOCK_CELLS // (UNIT * table.shape[1]))
+    blocks = (grams[at : at + step] for at in range(0, len(grams), step))
+    return np.concatenate([np.add.reduceat(table[b], np.arange(0, len(b), UNIT), axis=0).astype(np.float64) for b in blocks])
+
+
 def infer(texts: list[str], table: np.ndarray) -> np.ndarray:
     """Shares (texts x languages) in the chosen set of languages. ``table``: BUCKETS x languages."""
     langs = table.shape[1]
     grams = [ngrams(t) for t in texts]
     counts = np.array([-(-len(g) // UNIT) for g in grams])
-    edges, base = [], 0
-    for g in grams:
-        edges.append(np.arange(base, base + len(g), UNIT))
-        base += len(g)
-    units = np.add.reduceat(table[np.concatenate(grams)], np.concatenate(edges), axis=0).astype(np.float64)
+    units = np.concatenate([_unit_scores(g, table) for g in grams])
     doc, starts = np.repeat(np.arange(len(texts)), counts), np.cumsum(counts) - counts
     cost = PENALTY * np.log(np.maximum(counts, 2)) / 2
     allowed = np.ones((len(texts), langs), dtype=bool)
@@ -133,7 +141,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, SLICE_CELLS // max(1, len(langs))):
             texts = batch.column(at).to_pylist()
             known = [i for i, t in enumerate(texts) if table is not None and t and has_letters(t)]
             lang, score, held = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
@@ -145,7 +153,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text
             more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(held, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score", "lang_shares"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(bounded(run), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
