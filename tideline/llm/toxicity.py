@@ -137,26 +137,28 @@ def _logistic(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def count_pairs(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """What ``KneserNey`` is made from, of (words, toxic): at most two rows a pair slot reach the driver."""
+    """What ``KneserNey`` is made from, of (words, toxic): at most two rows a pair slot reach the driver, as Arrow columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            columns = [[], [], [], []]
+            found: list[tuple[np.ndarray, ...]] = []
             for raw, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = np.frombuffer(raw, "<i4").astype(np.int64)
                 if len(words):
-                    for column, x in zip(columns, (*text_pairs(words), np.full(len(words), toxic)), strict=True):
-                        column.append(x)
-            pairs = [len(x) for x in columns[0]]
-            columns[3] = [x[:n] for x, n in zip(columns[3], pairs, strict=True)]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int32()) for x in columns], ["pair", "before", "word", "toxic"])
-
-    each = texts.select("words", "toxic").mapInArrow(bounded(run), "pair int, before int, word int, toxic int")
-    found = each.groupBy("toxic", "pair").agg(F.count(F.lit(1)).cast("int").alias("texts"), F.max(F.struct("before", "word")).alias("at"))
-    frame = found.select("toxic", "pair", "texts", "at.before", "at.word").toPandas()
-    sides = [frame[frame["toxic"] == label] for label in (0, 1)]
-    return [tuple(side[c].to_numpy(dtype=np.int64) for c in ("pair", "texts", "before", "word")) for side in sides]
+                    pairs, before, word = text_pairs(words)
+                    found.append((pairs, before * WORD_SLOTS + word, np.full(len(pairs), toxic)))
+            if found:
+                pairs, at, toxic = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array(at, pa.int64()), pa.array(toxic, pa.int32())], ["pair", "at", "toxic"])
+
+    each = texts.select("words", "toxic").mapInArrow(bounded(run), "pair int, at long, toxic int")
+    found = each.groupBy("toxic", "pair").agg(F.count(F.lit(1)).cast("int").alias("texts"), F.max("at").alias("at")).toArrow()
+    toxic, pairs, texts_of, at = (found.column(c).to_numpy() for c in ("toxic", "pair", "texts", "at"))
+    sides = []
+    for label in (0, 1):
+        own = toxic == label
+        sides.append((pairs[own], texts_of[own], (at[own] // WORD_SLOTS).astype(np.int32), (at[own] % WORD_SLOTS).astype(np.int32)))
+    return sides
 
 
 def _features_of(texts: DataFrame, model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
@@ -168,10 +170,11 @@ def _features_of(texts: DataFrame, model: KneserNey) -> tuple[np.ndarray, np.nda
             found = [shared.value.features(np.frombuffer(x, "<i4").astype(np.int64)) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.float64()) for c in zip(*found, strict=True))], ["toxic", "x", "y", "z"])
 
-    frame = texts.select("words", "toxic").mapInArrow(bounded(run), "toxic int, x double, y double, z double").toPandas()
-    shared.unpersist()
-    frame = frame.sort_values(list(frame.columns))  # the sums of the fit do not depend on the order of tasks
-    return frame[["x", "y", "z"]].to_numpy(), frame["toxic"].to_numpy(dtype=float)
+    found = texts.select("words", "toxic").mapInArrow(bounded(run), "toxic int, x double, y double, z double").toArrow()
+    shared.destroy()
+    rows = np.column_stack([found.column(c).to_numpy() for c in ("toxic", "x", "y", "z")])
+    rows = rows[np.lexsort(rows.T)]  # the sums of the fit do not depend on the order of tasks
+    return rows[:, 1:], rows[:, 0].astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> KneserNey | None:
