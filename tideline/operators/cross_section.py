@@ -42,7 +42,7 @@ def pairwise_correlation(panel: DataFrame, windows=(13, 26)) -> DataFrame:
     """
     r = log_returns(panel, (1,)).select("series_id", "week", F.col("log_return_1w").alias("r"))
     other = r.select(F.col("series_id").alias("other_id"), "week", F.col("r").alias("s"))
-    pairs = r.join(other, "week").filter(F.col("series_id") < F.col("other_id")).withColumn("pair", F.concat_ws("|", "series_id", "other_id"))
+    pairs = r.join(other.withColumnRenamed("week", "_week"), (F.col("week") == F.col("_week")) & (F.col("series_id") < F.col("other_id"))).drop("_week").withColumn("pair", F.concat_ws("|", "series_id", "other_id"))
     both = F.col("r").isNotNull() & F.col("s").isNotNull()
     pairs = pairs.withColumns({"x": F.when(both, F.col("r")), "y": F.when(both, F.col("s"))}).withColumns({"xy": F.col("x") * F.col("y")})
     out = {}

@@ -116,17 +116,21 @@ def adjusted_ohlc(bars: DataFrame) -> DataFrame:
 
 
 def bank_credit(frame: DataFrame) -> DataFrame:
-    """Growth and ratios over (series_id, week, total_loans, business_loans, deposits, borrowings in thousands)."""
+    """Growth and ratios over (series_id, week, total_loans, business_loans, deposits, borrowings in thousands).
+
+    All ratios are to total loans, and NULL unless these are above zero.
+    """
     inputs = ("total_loans", "business_loans", "deposits", "borrowings")
     total, business = positive_log(F.col("total_loans")), positive_log(F.col("business_loans"))
     logged = frame.withColumns({"ln_total": total, "ln_business": business})
+    lent = F.when(F.col("total_loans") > 0, F.col("total_loans"))
     growth = {f"{x}_growth_{k}w": F.col(f"ln_{x}") - lag(f"ln_{x}", k) for x in ("total", "business") for k in (4, 13)}
     return logged.withColumns(
         growth
         | {
-            "business_share": safe_divide(F.col("business_loans"), F.col("total_loans")),
-            "deposit_ratio": safe_divide(F.col("total_loans"), F.col("deposits")),
-            "borrowing_ratio": safe_divide(F.col("borrowings") / 1000, F.col("deposits")),
+            "business_share": F.col("business_loans") / lent,
+            "deposit_ratio": F.col("deposits") / lent,
+            "borrowing_ratio": F.col("borrowings") / 1000 / lent,
             "coverage": sum(F.col(x).isNotNull().cast("double") for x in inputs) / len(inputs),
         }
     )
@@ -135,30 +139,34 @@ def bank_credit(frame: DataFrame) -> DataFrame:
 def release_innovation(frame: DataFrame, window: int = 12, least: int = 4) -> DataFrame:
     """Surprise of each release of (series_id, week, value, observed_period).
 
-    An event is a new period, or a new value of the same period. The expected change is the median of the last
-    ``window`` event changes before it, the scale 1.4826 times their median absolute deviation.
+    An event is a new period, or a new value of the same period (a revision). The expected change is the median of the
+    last ``window`` event changes before it, the scale 1.4826 times their median absolute deviation; both need ``least``
+    of them. Where there is no event the signals are 0; prior_event_count is at most ``window``.
+
+    Events are numbered, so a range frame over twice their number holds the last ones and nothing older.
     """
     order = Window.partitionBy("series_id").orderBy("week")
     before, period = F.lag("value").over(order), F.lag("observed_period").over(order)
-    changed = (F.col("observed_period") != period) | ((F.col("observed_period") == period) & (F.col("value") != before))
-    marked = frame.withColumns({"is_event": F.coalesce(changed, F.lit(False)), "delta": F.col("value") - before})
+    new_period = F.coalesce(F.col("observed_period") != period, F.lit(False))
+    revised = F.coalesce((F.col("observed_period") == period) & (F.col("value") != before), F.lit(False))
+    marked = frame.withColumns({"period_change": new_period, "revision_event": revised, "delta": F.col("value") - before})
+    marked = marked.withColumn("is_event", F.col("period_change") | F.col("revision_event"))
     marked = marked.withColumn("known", F.when(F.col("is_event"), F.col("delta")))
-    # only event changes enter the list; an unbounded frame of events is cut to the last ones
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    past = F.collect_list("known").over(earlier)
-    marked = marked.withColumn("past", past)
-    marked = marked.withColumns({"prior_event_count": F.size("past").cast("long"), "recent": F.slice("past", F.greatest(F.size("past") - window + 1, F.lit(1)), window)})
-    marked = marked.withColumn("recent", F.when(F.size("recent") >= least, F.array_sort("recent")))
+    number = F.count("known").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("place", 2 * number + F.col("known").isNull().cast("int"))
+    recent = Window.partitionBy("series_id").orderBy("place").rangeBetween(-2 * window, -1)
+    marked = marked.withColumn("past", F.collect_list("known").over(recent))
+    marked = marked.withColumn("prior_event_count", F.size("past").cast("long"))
+    marked = marked.withColumn("recent", F.when(F.col("is_event") & (F.size("past") >= least), F.array_sort("past")))
     middle = lambda a: (F.get(a, ((F.size(a) - 1) / 2).cast("int")) + F.get(a, (F.size(a) / 2).cast("int"))) / 2
     marked = marked.withColumn("expected", middle(F.col("recent")))
     marked = marked.withColumn("spread", F.array_sort(F.transform("recent", lambda x: F.abs(x - F.col("expected")))))
     marked = marked.withColumn("scale", F.lit(1.4826) * middle(F.col("spread")))
-    surprise = F.col("delta") - F.col("expected")
     zero_unless = lambda x: F.when(F.col("is_event"), x).otherwise(F.lit(0.0))
     return marked.select(
-        "series_id", "week", F.col("is_event").cast("double").alias("event"), zero_unless(F.col("delta")).alias("delta"),
-        zero_unless(F.col("expected")).alias("expected"), zero_unless(F.col("scale")).alias("scale"), zero_unless(surprise).alias("surprise"),
-        zero_unless(F.when(F.col("scale") >= TINY, surprise / F.col("scale"))).alias("standardized"),
+        "series_id", "week", *[F.col(x).cast("double").alias(n) for x, n in (("is_event", "event"), ("period_change", "period_change"), ("revision_event", "revision_event"))],
+        zero_unless(F.col("delta")).alias("delta"), zero_unless(F.col("expected")).alias("expected"), zero_unless(F.col("scale")).alias("scale"),
+        zero_unless(F.when(F.col("scale") > 0, (F.col("delta") - F.col("expected")) / F.col("scale"))).alias("standardized"),
         F.least(F.col("prior_event_count") / float(least), F.lit(1.0)).alias("coverage"), "prior_event_count",
     )
 
@@ -176,6 +184,8 @@ def transition_path(scored: DataFrame) -> DataFrame:
     score, width = F.col("risk_score"), F.greatest(F.col("upper") - F.col("lower"), F.lit(1e-6))
     first = scored.withColumns({f"score_change_{k}w": score - lag("risk_score", k) for k in (1, 2, 4)})
     first = first.withColumns({"to_lower": (score - F.col("lower")) / width, "to_upper": (F.col("upper") - score) / width})
-    near = F.when(score.isNotNull(), F.least(F.abs("to_lower"), F.abs("to_upper")))
-    own = F.when(F.col("state") == "risk_on", F.col("to_upper")).when(F.col("state") == "risk_off", F.col("to_lower")).otherwise(near)
+    near = F.least(F.abs("to_lower"), F.abs("to_upper"))
+    # risk_on: above the upper threshold is positive; risk_off: below the lower one; transition: between the two
+    inside = F.when(score.isNotNull(), F.least("to_lower", "to_upper"))
+    own = F.when(F.col("state") == "risk_on", -F.col("to_upper")).when(F.col("state") == "transition", inside).when(F.col("state") == "risk_off", -F.col("to_lower"))
     return first.withColumns({"score_acceleration": F.col("score_change_1w") - lag("score_change_1w", 1), "nearest_boundary": near, "state_distance": own})

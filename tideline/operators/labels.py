@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import TINY, lag, positive_log, rolling, safe_divide
+from tideline.session import materialize
 
 STATES = ("risk_on", "transition", "risk_off")
 TREND, STRESS = ("trend_13w", "trend_26w"), ("vol_4w", "vol_13w", "drawdown_13w", "drawdown_52w")
@@ -48,33 +49,29 @@ def _standard(c: str) -> Column:
     return (F.col(c) - F.col(f"{c}_centre")) / F.col(f"{c}_scale")
 
 
-def fit(panel: DataFrame, train_weeks: int, lower: float = 0.3, upper: float = 0.7) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Statistics of the components, of the composites, and the thresholds, from the first weeks of every series."""
-    position = F.row_number().over(Window.partitionBy("series_id").orderBy("week"))
-    train = components(panel).withColumn("_n", position).filter(F.col("_n") <= train_weeks)
-    parts = robust_stats(train, TREND + STRESS)
-    raw = _composites(train, parts)
-    whole = robust_stats(raw, ("trend_raw", "stress_raw"))
-    scored = raw.join(F.broadcast(whole), "series_id").withColumn("risk_score", _standard("trend_raw") - _standard("stress_raw"))
-    limits = scored.groupBy("series_id").agg(
-        F.round(F.percentile("risk_score", lower), SCORE_PLACES).alias("lower"), F.round(F.percentile("risk_score", upper), SCORE_PLACES).alias("upper")
-    )
-    return parts, whole, limits
+def fitted(panel: DataFrame, train_weeks: int, lower: float = 0.3, upper: float = 0.7) -> dict[str, DataFrame]:
+    """The label model of the first weeks of every series, and the scores of all weeks.
 
-
-def _composites(frame: DataFrame, parts: DataFrame) -> DataFrame:
-    joined = frame.join(F.broadcast(parts), "series_id").withColumns({f"z_{c}": _standard(c) for c in TREND + STRESS})
+    ``parts`` and ``whole`` hold centre and scale of the components and of the composites, ``limits`` the thresholds,
+    ``scores`` (series_id, week, trend_score, stress_score, risk_score, lower, upper). Each step is written, so that the
+    next one reads it instead of the panel. The statistics have a row per series and are joined by series.
+    """
+    position = F.row_number().over(Window.partitionBy("series_id").orderBy("week"))
+    frame = materialize(components(panel).withColumn("_n", position), "label-components")
+    parts = materialize(robust_stats(frame.filter(F.col("_n") <= train_weeks), TREND + STRESS), "label-parts")
+    joined = frame.join(parts, "series_id").withColumns({f"z_{c}": _standard(c) for c in TREND + STRESS})
     means = {"trend_raw": _mean_of(tuple(f"z_{c}" for c in TREND)), "stress_raw": _mean_of(tuple(f"z_{c}" for c in STRESS))}
-    return joined.withColumns(means).select("series_id", "week", "trend_raw", "stress_raw")
-
-
-def score(panel: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """(series_id, week, trend_score, stress_score, risk_score, lower, upper). The fitted tables have a row per series."""
-    parts, whole, limits = model
-    raw = _composites(components(panel), parts).join(F.broadcast(whole), "series_id").join(F.broadcast(limits), "series_id")
-    scored = raw.withColumns({"trend_score": _standard("trend_raw"), "stress_score": _standard("stress_raw")})
-    risk = F.round(F.col("trend_score") - F.col("stress_score"), SCORE_PLACES)
-    return scored.select("series_id", "week", "trend_score", "stress_score", risk.alias("risk_score"), "lower", "upper")
+    raw = materialize(joined.withColumns(means).select("series_id", "week", "_n", "trend_raw", "stress_raw"), "label-composites")
+    whole = materialize(robust_stats(raw.filter(F.col("_n") <= train_weeks), ("trend_raw", "stress_raw")), "label-whole")
+    scored = raw.join(whole, "series_id").withColumns({"trend_score": _standard("trend_raw"), "stress_score": _standard("stress_raw")})
+    scored = materialize(scored.select("series_id", "week", "_n", "trend_score", "stress_score"), "label-scores")
+    risk = F.col("trend_score") - F.col("stress_score")
+    limits = scored.filter(F.col("_n") <= train_weeks).groupBy("series_id").agg(
+        *[F.round(F.percentile(risk, share), SCORE_PLACES).alias(name) for name, share in (("lower", lower), ("upper", upper))]
+    )
+    limits = materialize(limits, "label-limits")
+    scores = scored.join(limits, "series_id").select("series_id", "week", "trend_score", "stress_score", F.round(risk, SCORE_PLACES).alias("risk_score"), "lower", "upper")
+    return {"parts": parts, "whole": whole, "limits": limits, "scores": scores}
 
 
 def label(scored: DataFrame, hysteresis: float = 0.15, start: str = "transition") -> DataFrame:

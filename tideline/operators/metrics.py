@@ -81,17 +81,20 @@ def average_precision(predictions: DataFrame, keys: list[str]) -> DataFrame:
     return steps.groupBy(*keys).agg(F.when(F.sum("k") > 0, F.sum(F.col("k") * F.col("ck") / F.col("cn")) / F.sum("k")).alias("average_precision"))
 
 
-def best_threshold(predictions: DataFrame, keys: list[str]) -> DataFrame:
+def best_threshold(predictions: DataFrame, keys: list[str], least: int = 26) -> DataFrame:
     """Threshold of .05, .06, ... .95 with the best balanced accuracy; ties go to the nearest to .5, then the larger.
 
-    The grid has 91 values, so the rows are scored once per value without a join.
+    With fewer than ``least`` rows, or events in all or none of them, the threshold is .5 and its score NULL. The grid
+    has 91 values, so the rows are scored once per value without a join.
     """
     y, p = F.col("actual_change"), F.col("p_change")
     scored = predictions.select(*keys, y.alias("y"), p.alias("p"), F.explode(F.sequence(F.lit(5), F.lit(95))).alias("t")).groupBy(*keys, "t").agg(
-        (_ratio(_count(F.col("y") & (F.col("p") >= F.col("t") / 100)), _count(F.col("y"))) / 2 + _ratio(_count(~F.col("y") & (F.col("p") < F.col("t") / 100)), _count(~F.col("y"))) / 2).alias("score")
+        (_ratio(_count(F.col("y") & (F.col("p") >= F.col("t") / 100)), _count(F.col("y"))) / 2 + _ratio(_count(~F.col("y") & (F.col("p") < F.col("t") / 100)), _count(~F.col("y"))) / 2).alias("score"),
+        ((F.count(F.lit(1)) < least) | (_count(F.col("y")) == 0) | (_count(~F.col("y")) == 0)).alias("few"),
     )
-    best = F.max(F.struct(F.round("score", 10), -F.abs(F.col("t") - 50), F.col("t"))).alias("b")
-    return scored.groupBy(*keys).agg(best).select(*keys, (F.col("b.t") / 100).alias("threshold"), F.col("b.col1").alias("balanced_accuracy"))
+    best = F.max(F.struct(F.round("score", 10).alias("score"), (-F.abs(F.col("t") - 50)).alias("near"), F.col("t"))).alias("b")
+    found = scored.groupBy(*keys).agg(best, F.max("few").alias("few"))
+    return found.select(*keys, F.when(F.col("few"), 0.5).otherwise(F.col("b.t") / 100).alias("threshold"), F.when(~F.col("few"), F.col("b.score")).alias("balanced_accuracy"))
 
 
 def holm(pvalues: DataFrame, keys: list[str]) -> DataFrame:

@@ -164,7 +164,8 @@ def asof_join(obs: DataFrame, calendar: WeeklyCalendar, include_missing: bool =
 
     A revision enters at the first cutoff that may see it. Periods that are never withdrawn need no interval: the answer
     at a cutoff is the running maximum of (period, revision). Only revisions of withdrawn periods are spread over the
-    cutoffs for which they are the period's last word. No cutoff meets all observations.
+    cutoffs for which they are the period's last word, and only up to where a newer lasting period is known, as they
+    are not the newest from there on. No cutoff meets all observations.
     """
     key, series = REVISION, ["source", "series_id"]
     entry = obs.withColumn("k", calendar.first_index(F.col("available_at"), F.col("observed_period_end"))).filter(F.col("k") < calendar.count)
@@ -186,7 +187,11 @@ def asof_join(obs: DataFrame, calendar: WeeklyCalendar, include_missing: bool =
     spread = F.explode(F.sequence(F.col("k"), F.col("k_end") - 1)).alias("k")
     known = running.select(*series, "b", spread)
     if not include_missing:
-        gone = marked.filter(F.col("withdrawn") & F.col("r.value").isNotNull()).select(*series, best.alias("b"), spread)
+        day = F.datediff("observed_period_end", F.lit("1970-01-01").cast("date"))
+        newer = Window.partitionBy(*series).orderBy(day.desc()).rangeBetween(Window.unboundedPreceding, -1)
+        outdated = marked.withColumn("outdated", F.min(F.when(~F.col("withdrawn"), F.col("k"))).over(newer))
+        gone = outdated.filter(F.col("withdrawn") & F.col("r.value").isNotNull())
+        gone = gone.withColumn("k_end", F.least("k_end", "outdated")).filter("k < k_end").select(*series, best.alias("b"), spread)
         known = known.unionByName(gone).groupBy(*series, "k").agg(F.max("b").alias("b"))
     return known.select(*series, "k", "b.observed_period_end", *[F.col(f"b.r.{c}").alias(c) for c in [*key, "value"]])
 
@@ -207,14 +212,3 @@ def asof_panel(obs: DataFrame, required: DataFrame, calendar: WeeklyCalendar, ma
             "quality_status": status,
         }
     ).drop("k")
-
-
-def asof_by_range_join(obs: DataFrame, calendar: WeeklyCalendar, include_missing: bool = False) -> DataFrame:
-    """The rule word for word, every cutoff against every observation; a check for small tables."""
-    cutoffs = obs.sparkSession.range(calendar.count).select(F.col("id").alias("k"), calendar.at(F.col("id")).alias("cutoff"))
-    may = (F.col("available_at").cast("timestamp") <= F.col("cutoff")) & (F.col("observed_period_end") <= F.to_date("cutoff"))
-    latest = obs.join(F.broadcast(cutoffs), may).groupBy(*PERIOD, "k").agg(F.max(F.struct(*REVISION, "value")).alias("r"))
-    if not include_missing:
-        latest = latest.filter(F.col("r.value").isNotNull())
-    best = latest.groupBy("source", "series_id", "k").agg(F.max(F.struct("observed_period_end", "r")).alias("b"))
-    return best.select("source", "series_id", "k", "b.observed_period_end", *[F.col(f"b.r.{c}").alias(c) for c in [*REVISION, "value"]])

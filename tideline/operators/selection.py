@@ -19,16 +19,20 @@ def _lookup(values: dict[str, int], other: int = 99) -> F.Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("model")), F.lit(other))
 
 
-def block_bootstrap(improvements: DataFrame, keys: list[str], order: str, block: int = BLOCK_WEEKS, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """(keys, p): chance of a mean improvement as large as seen under circular block resampling of the centred series.
+def block_bootstrap(improvements: DataFrame, keys: list[str], model: str, order: str, block: int = BLOCK_WEEKS, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """(keys, model, n, mean_improvement, p): chance of a mean improvement as large as seen under circular block resampling.
 
-    ``improvements`` has (keys, order, improvement). Groups of one length share their draws, as these follow from the
-    seed and the length alone. A group is one model's series of weeks.
+    ``improvements`` has (keys, model, order, improvement). The models of one key share their draws, so they must have
+    equally many improvements, all finite; else the job fails. A group is one model's series of weeks.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         values = frame.sort_values(order)["improvement"].to_numpy(float)
         n = len(values)
+        if n != frame["_expected"].iloc[0]:
+            raise ValueError("paired improvements must have equal lengths")
+        if not np.isfinite(values).all():
+            raise ValueError("paired improvements must be finite")
         length = min(block, max(1, n // 2))
         starts = np.random.default_rng(seed).integers(0, n, size=(resamples, -(-n // length)))
         seen, centred = values.mean(), values - values.mean()
@@ -36,12 +40,14 @@ def block_bootstrap(improvements: DataFrame, keys: list[str], order: str, block:
         for part in np.array_split(starts, max(1, resamples * n // 2_000_000)):  # bounds what is held at once
             at = ((part[:, :, None] + np.arange(length)) % n).reshape(len(part), -1)[:, :n]
             at_least += int((centred[at].mean(axis=1) >= seen).sum())
-        row = {k: [frame[k].iloc[0]] for k in keys}
+        row = {k: [frame[k].iloc[0]] for k in (*keys, model)}
         return pd.DataFrame(row | {"n": [n], "mean_improvement": [seen], "p": [(1 + at_least) / (resamples + 1)]})
 
     types = dict(improvements.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n long, mean_improvement double, p double"
-    return improvements.select(*keys, order, "improvement").dropna(subset=["improvement"]).groupBy(*keys).applyInPandas(run, schema)
+    schema = ", ".join(f"{k} {types[k]}" for k in (*keys, model)) + ", n long, mean_improvement double, p double"
+    rows = improvements.select(*keys, model, order, "improvement")
+    lengths = rows.groupBy(*keys, model).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.max("_n").alias("_expected"))
+    return rows.join(lengths, keys).groupBy(*keys, model).applyInPandas(run, schema)
 
 
 def gated_champion(

@@ -174,7 +174,7 @@ _CREDIT = """ c AS (SELECT 'all' AS series_id, CAST(date_trunc('week', o_orderda
     "f16_bank_credit",
     f"WITH {_CREDIT} SELECT week, "
     + ", ".join(r6(f"ln({x}) - lag(ln({x}), {k}) OVER (ORDER BY week)", f"{n}_growth_{k}w") for n, x in (("total", "total_loans"), ("business", "business_loans")) for k in (4, 13))
-    + ", " + r6("business_loans / total_loans", "business_share") + ", " + r6("total_loans / deposits", "deposit_ratio") + ", " + r6("borrowings / 1000 / deposits", "borrowing_ratio")
+    + ", " + r6("business_loans / total_loans", "business_share") + ", " + r6("deposits / total_loans", "deposit_ratio") + ", " + r6("borrowings / 1000 / total_loans", "borrowing_ratio")
     + ", (CAST(total_loans IS NOT NULL AS INT) + CAST(business_loans IS NOT NULL AS INT) + CAST(deposits IS NOT NULL AS INT) + CAST(borrowings IS NOT NULL AS INT)) / 4.0::DOUBLE AS coverage FROM c",
 )
 def f16(spark, sf_dir):
@@ -190,7 +190,8 @@ def f16(spark, sf_dir):
 
 _RELEASES = """ rel AS (SELECT series_id, week, price AS value, CAST(week - CAST(extract(day FROM week) AS INT) % 14 AS DATE) AS observed_period FROM panel WHERE price IS NOT NULL),
 m AS (SELECT *, lag(value) OVER o AS pv, lag(observed_period) OVER o AS pp, row_number() OVER o AS i FROM rel WINDOW o AS (PARTITION BY series_id ORDER BY week)),
-e AS (SELECT *, coalesce(observed_period <> pp OR (observed_period = pp AND value <> pv), false) AS ev, value - pv AS d FROM m),
+k AS (SELECT *, coalesce(observed_period <> pp, false) AS pc, coalesce(observed_period = pp AND value <> pv, false) AS re, value - pv AS d FROM m),
+e AS (SELECT *, pc OR re AS ev FROM k),
 h AS (SELECT a.series_id, a.week, b.d, row_number() OVER (PARTITION BY a.series_id, a.week ORDER BY b.i DESC) AS k
       FROM e a JOIN e b ON a.series_id = b.series_id AND b.i < a.i AND b.ev AND b.d IS NOT NULL),
 c AS (SELECT series_id, week, count(*) AS n FROM h GROUP BY 1, 2),
@@ -200,7 +201,16 @@ s AS (SELECT h.series_id, h.week, 1.4826 * median(abs(d - expected)) AS scale FR
 
 @register(
     "f17_release_innovation",
-    sql(f", {_RELEASES} SELECT e.series_id, e.week, CAST(ev AS DOUBLE) AS event, " + ", ".join(r6(f"CASE WHEN ev THEN {v} ELSE 0 END", n) for n, v in (("delta", "d"), ("expected", "expected"), ("scale", "scale"), ("surprise", "d - expected"), ("standardized", "CASE WHEN scale >= 1e-12 THEN (d - expected) / scale END"))) + ", " + r6("least(coalesce(n, 0) / 4.0, 1.0)::DOUBLE", "coverage") + ", coalesce(n, 0) AS prior_event_count FROM e LEFT JOIN c USING (series_id, week) LEFT JOIN x USING (series_id, week) LEFT JOIN s USING (series_id, week)"),
+    sql(
+        f", {_RELEASES} SELECT e.series_id, e.week, CAST(ev AS DOUBLE) AS event, CAST(pc AS DOUBLE) AS period_change, CAST(re AS DOUBLE) AS revision_event, "
+        + ", ".join(
+            r6(f"CASE WHEN ev THEN {v} ELSE 0 END", n)
+            for n, v in (("delta", "d"), ("expected", "expected"), ("scale", "scale"), ("standardized", "CASE WHEN scale > 0 THEN (d - expected) / scale END"))
+        )
+        + ", " + r6("least(coalesce(n, 0) / 4.0, 1.0)::DOUBLE", "coverage")
+        + ", least(coalesce(n, 0), 12) AS prior_event_count"
+        + " FROM e LEFT JOIN c USING (series_id, week) LEFT JOIN x USING (series_id, week) LEFT JOIN s USING (series_id, week)"
+    ),
 )
 def f17(spark, sf_dir):
     panel = order_panel(spark, sf_dir).filter("price IS NOT NULL")

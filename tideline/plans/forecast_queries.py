@@ -61,12 +61,11 @@ lab AS (SELECT s.series_id, s.week, s.n - 1 AS pos, s.risk_score, s.lower, s.upp
 
 
 def _fitted(spark, sf_dir):
-    panel = order_panel(spark, sf_dir)
-    return labels.score(panel, labels.fit(panel, TRAIN_WEEKS))
+    return labels.fitted(order_panel(spark, sf_dir), TRAIN_WEEKS)["scores"]
 
 
 def labelled(spark, sf_dir):
-    return labels.label(_fitted(spark, sf_dir))
+    return materialize(labels.label(_fitted(spark, sf_dir)), "labelled")
 
 
 @register("l01_label_components", BASE + " SELECT series_id, week, " + ", ".join(r6(c, c) for c in TREND + STRESS) + " FROM comp")
@@ -76,12 +75,12 @@ def l01(spark, sf_dir):
 
 @register("l02_robust_stats", BASE + " SELECT series_id, " + ", ".join(r6(f"{c}_c", f"{c}_centre") + ", " + r6(f"{c}_s", f"{c}_scale") for c in TREND + STRESS) + " FROM st", dates=())
 def l02(spark, sf_dir):
-    return rounded(labels.fit(order_panel(spark, sf_dir), TRAIN_WEEKS)[0])
+    return rounded(labels.fitted(order_panel(spark, sf_dir), TRAIN_WEEKS)["parts"])
 
 
 @register("l03_label_thresholds", BASE + " SELECT series_id, " + r6("lower", "lower") + ", " + r6("upper", "upper") + " FROM lim", dates=())
 def l03(spark, sf_dir):
-    return rounded(labels.fit(order_panel(spark, sf_dir), TRAIN_WEEKS)[2])
+    return rounded(labels.fitted(order_panel(spark, sf_dir), TRAIN_WEEKS)["limits"])
 
 
 @register("l04_scores", BASE + " SELECT series_id, week, " + ", ".join(r6(c, c) for c in ("trend_score", "stress_score", "risk_score")) + " FROM scored")
@@ -139,7 +138,7 @@ def l12(spark, sf_dir):
 
 @register(
     "f19_transition_path",
-    BASE + f", a AS (SELECT *, risk_score - lag(risk_score, 1) {LAG} AS d1, risk_score - lag(risk_score, 2) {LAG} AS d2, risk_score - lag(risk_score, 4) {LAG} AS d4, (risk_score - lower) / {_W} AS tl, (upper - risk_score) / {_W} AS tu FROM lab) SELECT series_id, week, " + ", ".join(f"round({x}, 8) + 0.0 AS {n}" for x, n in (("d1", "score_change_1w"), ("d2", "score_change_2w"), ("d4", "score_change_4w"), ("tl", "to_lower"), ("tu", "to_upper"), (f"d1 - lag(d1, 1) {LAG}", "score_acceleration"), ("CASE WHEN risk_score IS NOT NULL THEN least(abs(tl), abs(tu)) END", "nearest_boundary"), ("CASE WHEN state = 'risk_on' THEN tu WHEN state = 'risk_off' THEN tl WHEN risk_score IS NOT NULL THEN least(abs(tl), abs(tu)) END", "state_distance"))) + " FROM a",
+    BASE + f", a AS (SELECT *, risk_score - lag(risk_score, 1) {LAG} AS d1, risk_score - lag(risk_score, 2) {LAG} AS d2, risk_score - lag(risk_score, 4) {LAG} AS d4, (risk_score - lower) / {_W} AS tl, (upper - risk_score) / {_W} AS tu FROM lab) SELECT series_id, week, " + ", ".join(f"round({x}, 8) + 0.0 AS {n}" for x, n in (("d1", "score_change_1w"), ("d2", "score_change_2w"), ("d4", "score_change_4w"), ("tl", "to_lower"), ("tu", "to_upper"), (f"d1 - lag(d1, 1) {LAG}", "score_acceleration"), ("least(abs(tl), abs(tu))", "nearest_boundary"), ("CASE WHEN state = 'risk_on' THEN -tu WHEN state = 'risk_off' THEN -tl ELSE least(tl, tu) END", "state_distance"))) + " FROM a",
 )
 def f19(spark, sf_dir):
     return rounded(features.transition_path(labelled(spark, sf_dir)).drop("risk_score", "state", "lower", "upper"), places=8)
@@ -183,7 +182,8 @@ WALK = (
 
 
 def walk(spark, sf_dir):
-    return baselines.walk_forward(labelled(spark, sf_dir).select("series_id", "week", "state"), TRAIN_WEEKS)
+    forecasts = baselines.walk_forward(labelled(spark, sf_dir).select("series_id", "week", "state"), TRAIN_WEEKS)
+    return materialize(forecasts, "walk")
 
 
 @register("m01_m04_v01_walk_forward", WALK + " SELECT series_id, origin, target_week, pos, current_state, actual, train_size, model, " + ", ".join(r6(f"p_{s}", f"p_{s}") for s in STATES) + " FROM walk", dates=("origin", "target_week"))
@@ -244,18 +244,27 @@ def v05(spark, sf_dir):
     return rounded(metrics.leaderboard(walk(spark, sf_dir), ["series_id", "model"]))
 
 
-_BASELINES, _COMPLEX = ["majority", "persistence"], {"majority": 0, "persistence": 0, "class_prior": 1, "markov": 2}
+#: The baselines of selection; what else forecasts is a challenger.
+BASELINES, COMPLEXITY = ["majority", "persistence", "markov"], {"majority": 0, "persistence": 0, "markov": 0, "class_prior": 1}
+_IS_BASE = "model IN ('majority', 'persistence', 'markov')"
 
 
 @register(
     "v13_select_champion",
-    WALK + BOARD + ", rb AS (SELECT series_id, model, round(log_loss, 9) AS ll, round(calibration_error, 9) AS ce, CASE model WHEN 'class_prior' THEN 1 WHEN 'markov' THEN 2 ELSE 0 END AS cx FROM full_board), base AS (SELECT * FROM rb WHERE model IN ('majority', 'persistence') QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ll, ce, model) = 1), ok AS (SELECT rb.* FROM rb JOIN base ON rb.series_id = base.series_id WHERE rb.model NOT IN ('majority', 'persistence') AND rb.ll <= base.ll - 0.001 AND rb.ce <= base.ce + 0.02), nr AS (SELECT * FROM ok QUALIFY ll <= min(ll) OVER (PARTITION BY series_id) + 0.01), win AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY cx, ce, ll, model) = 1) SELECT base.series_id, coalesce(win.model, base.model) AS champion, win.model IS NOT NULL AS beats_baseline FROM base LEFT JOIN win USING (series_id)",
+    WALK
+    + BOARD
+    + f""", rb AS (SELECT series_id, model, round(log_loss, 9) AS ll, round(calibration_error, 9) AS ce, CAST(model = 'class_prior' AS INT) AS cx FROM full_board),
+base AS (SELECT * FROM rb WHERE {_IS_BASE} QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ll, ce, model) = 1),
+ok AS (SELECT rb.* FROM rb JOIN base ON rb.series_id = base.series_id WHERE NOT rb.{_IS_BASE} AND rb.ll <= base.ll - 0.001 AND rb.ce <= base.ce + 0.02),
+nr AS (SELECT * FROM ok QUALIFY ll <= min(ll) OVER (PARTITION BY series_id) + 0.01),
+win AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY cx, ce, ll, model) = 1)
+SELECT base.series_id, coalesce(win.model, base.model) AS champion, win.model IS NOT NULL AS beats_baseline FROM base LEFT JOIN win USING (series_id)""",
     dates=(),
 )
 def v13(spark, sf_dir):
     board = metrics.leaderboard(walk(spark, sf_dir), ["series_id", "model"])
     board = rounded(board, places=9)
-    return metrics.select_champion(board, ["series_id"], _BASELINES, _COMPLEX)
+    return metrics.select_champion(board, ["series_id"], BASELINES, COMPLEXITY)
 
 
 @register("v18_regret", WALK + BOARD + " SELECT series_id, model, row_number() OVER (PARTITION BY series_id ORDER BY round(log_loss, 9), model) AS rank, " + r6("log_loss - min(log_loss) OVER (PARTITION BY series_id)", "regret") + ", round(log_loss, 9) - min(round(log_loss, 9)) OVER (PARTITION BY series_id) > 0.05 AS weak FROM full_board", dates=())
@@ -268,12 +277,6 @@ def v09(spark, sf_dir):
     return metrics.comparable(walk(spark, sf_dir).filter("NOT (model = 'markov' AND pos % 50 = 0)"), ["series_id", "origin"], 4)
 
 
-@register("v11_holm", WALK + BOARD + ", pv AS (SELECT series_id, model, round(accuracy, 6) / 10 AS p FROM full_board), h AS (SELECT *, least(1.0, p * (4 - row_number() OVER (PARTITION BY series_id ORDER BY p, model) + 1)) AS raw FROM pv) SELECT series_id, model, " + r6("p", "p") + ", " + r6("max(raw) OVER (PARTITION BY series_id ORDER BY p, model ROWS UNBOUNDED PRECEDING)", "p_holm") + " FROM h", dates=())
-def v11(spark, sf_dir):
-    board = metrics.leaderboard(walk(spark, sf_dir), ["series_id", "model"])
-    return rounded(metrics.holm(board.select("series_id", "model", (F.round("accuracy", 6) / 10).alias("p")), ["series_id"]))
-
-
 def _haz(h: int) -> str:
     pre = f"OVER (PARTITION BY series_id ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND {h + 1} PRECEDING)"
     own = ", ".join(f"count(*) FILTER (state = '{s}' AND nxt = '{s}') {pre} AS s{i}, count(*) FILTER (state = '{s}') {pre} AS m{i}" for i, s in enumerate(STATES))
@@ -284,7 +287,7 @@ HAZ = ", " + ", ".join(map(_haz, (1, 4, 13))) + ", haz AS (" + " UNION ALL ".joi
 
 
 def hazards(spark, sf_dir):
-    return baselines.hazards(labelled(spark, sf_dir).select("series_id", "week", "state"), TRAIN_WEEKS)
+    return materialize(baselines.hazards(labelled(spark, sf_dir).select("series_id", "week", "state"), TRAIN_WEEKS), "hazards")
 
 
 @register("t01_t02_hazards", BASE + HAZ + " SELECT series_id, origin, CAST(horizon AS BIGINT) AS horizon, current_state, actual_change, model, " + r6("p_change", "p_change") + " FROM haz", dates=("origin",))
@@ -316,7 +319,7 @@ def v08_ap(spark, sf_dir):
 
 @register(
     "t08_best_threshold",
-    BASE + HAZ + EV + ", g AS (SELECT series_id, horizon, model, t, " + f"({_rat('count(*) FILTER (y AND p >= t / 100)', 'count(*) FILTER (y)')}) / 2 + ({_rat('count(*) FILTER (NOT y AND p < t / 100)', 'count(*) FILTER (NOT y)')}) / 2 AS score" + " FROM hz, generate_series(5, 95) v(t) GROUP BY 1, 2, 3, 4) SELECT series_id, horizon, model, t / 100 AS threshold, " + r6("score", "balanced_accuracy") + " FROM g QUALIFY row_number() OVER (PARTITION BY series_id, horizon, model ORDER BY round(score, 10) DESC, abs(t - 50), t DESC) = 1",
+    BASE + HAZ + EV + ", few AS (SELECT series_id, horizon, model, count(*) < 26 OR count(*) FILTER (y) IN (0, count(y)) AS few FROM hz GROUP BY 1, 2, 3), g AS (SELECT series_id, horizon, model, t, " + f"({_rat('count(*) FILTER (y AND p >= t / 100)', 'count(*) FILTER (y)')}) / 2 + ({_rat('count(*) FILTER (NOT y AND p < t / 100)', 'count(*) FILTER (NOT y)')}) / 2 AS score" + " FROM hz, generate_series(5, 95) v(t) GROUP BY 1, 2, 3, 4) SELECT series_id, horizon, model, CASE WHEN few THEN 0.5 ELSE t / 100 END AS threshold, CASE WHEN NOT few THEN round(score, 6) + 0.0 END AS balanced_accuracy FROM g JOIN few USING (series_id, horizon, model) QUALIFY row_number() OVER (PARTITION BY series_id, horizon, model ORDER BY round(score, 10) DESC, abs(t - 50), t DESC) = 1",
     dates=(),
 )
 def t08(spark, sf_dir):
@@ -389,7 +392,7 @@ def p08(spark, sf_dir):
     dates=("origin",),
 )
 def j04(spark, sf_dir):
-    rows = materialize(walk(spark, sf_dir), "walk")
+    rows = walk(spark, sf_dir)
     common = rows.filter("model = 'markov'").groupBy("origin").agg(F.count(F.lit(1)).alias("n")).filter("n = 5")
     board = metrics.leaderboard(rows, ["series_id", "model"]).select("series_id", "model", "log_loss")
     return rounded(rows.join(common, "origin", "left_semi").join(board, ["series_id", "model"], "left").select("series_id", "origin", "model", "log_loss"))

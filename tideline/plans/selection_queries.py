@@ -8,50 +8,37 @@ from tideline.functions.numeric import rounded
 from tideline.operators import baselines, features, labels, metrics, nowcast, selection
 from tideline.operators.labels import STATES
 from tideline.plans.feature_queries import sql, z
-from tideline.plans.forecast_queries import BASE, BOARD, EV, HAZ, SPLIT, WALK, _fitted, hazards, walk
+from tideline.plans.forecast_queries import BASE, BASELINES, EV, HAZ, SPLIT, _fitted, hazards, walk
 from tideline.plans.registry import register
 from tideline.session import materialize
 from tideline.sources.panel import order_panel
 
-_BASELINES = ["majority", "persistence"]
-_COMPLEX = {"majority": 0, "persistence": 0, "class_prior": 1, "markov": 2}
-
-
 @register("l07_duration_filter", dates=())
 def l07(spark, sf_dir):
     """Not in SQL: the posterior is a table that every week changes; tests compare it with a cell-by-cell version."""
     return rounded(nowcast.duration_filter(labels.state_probabilities(_fitted(spark, sf_dir))))
 
 
+def paired_pvalues(forecasts):
+    """(series_id, model, p) of every challenger: the bootstrap of its gain over the best baseline of the series."""
+    scored = materialize(metrics.prepared(forecasts).select("series_id", "model", "origin", (-F.ln("hit")).alias("loss")), "losses")
+    mean = scored.filter(F.col("model").isin(BASELINES)).groupBy("series_id", "model").agg(F.round(F.avg("loss"), 9).alias("mean"))
+    best = mean.groupBy("series_id").agg(F.min(F.struct("mean", "model"))["model"].alias("model"))
+    base = scored.join(best, ["series_id", "model"]).select("series_id", "origin", F.col("loss").alias("base"))
+    paired = scored.filter(~F.col("model").isin(BASELINES)).join(base, ["series_id", "origin"])
+    return selection.block_bootstrap(paired.withColumn("improvement", F.col("base") - F.col("loss")), ["series_id"], "model", "origin")
+
+
 @register("v10_block_bootstrap", dates=())
 def v10(spark, sf_dir):
     """Not in SQL: the draws are those of a seeded generator; tests compare it with single resamples."""
-    loss = metrics.prepared(walk(spark, sf_dir)).select("series_id", "model", "origin", (-F.ln("hit")).alias("loss"))
-    loss = materialize(loss, "losses")
-    base = loss.filter("model = 'persistence'").select("series_id", "origin", F.col("loss").alias("base"))
-    paired = loss.filter("model NOT IN ('majority', 'persistence')").join(base, ["series_id", "origin"])
-    return rounded(selection.block_bootstrap(paired.withColumn("improvement", F.col("base") - F.col("loss")), ["series_id", "model"], "origin"))
+    return rounded(paired_pvalues(walk(spark, sf_dir)))
 
 
-@register(
-    "v12_gated_champion",
-    WALK + BOARD + """, rb AS (SELECT series_id, model, round(log_loss, 9) AS ll, round(brier, 9) AS br, round(calibration_error, 9) AS ce,
- CASE model WHEN 'class_prior' THEN 1 WHEN 'markov' THEN 2 ELSE 0 END AS cx, round(accuracy, 6) / 10 AS p FROM full_board),
-pv AS (SELECT series_id, model, p, least(1.0, p * (count(*) OVER (PARTITION BY series_id) - row_number() OVER (PARTITION BY series_id ORDER BY p, model) + 1)) AS raw
- FROM rb WHERE model NOT IN ('majority', 'persistence')),
-ph AS (SELECT series_id, model, max(raw) OVER (PARTITION BY series_id ORDER BY p, model ROWS UNBOUNDED PRECEDING) AS p_holm FROM pv),
-ref AS (SELECT series_id, ll, br, model FROM rb WHERE model IN ('majority', 'persistence') QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ll, ce, model) = 1),
-g AS (SELECT r.*, ref.model AS reference, ph.p_holm, CASE WHEN ref.ll - r.ll < 0.05 THEN 'gain' WHEN ph.p_holm > 0.05 THEN 'p_value' WHEN r.br > ref.br + 0.01 THEN 'brier' ELSE 'passed' END AS gate_reason
- FROM rb r JOIN ref ON r.series_id = ref.series_id JOIN ph ON r.series_id = ph.series_id AND r.model = ph.model),
-b AS (SELECT *, min(ll) FILTER (gate_reason = 'passed') OVER (PARTITION BY series_id) AS best FROM g),
-k AS (SELECT series_id, model, row_number() OVER (PARTITION BY series_id ORDER BY cx, ce, ll, model) AS n FROM b WHERE gate_reason = 'passed' AND ll <= best + 0.01)
-SELECT b.series_id, b.model, reference, round(p_holm, 6) AS p_holm, gate_reason, coalesce(k.n = 1, false) AS selected FROM b LEFT JOIN k ON b.series_id = k.series_id AND b.model = k.model""",
-    dates=(),
-)
-def v12(spark, sf_dir):
-    board = materialize(rounded(metrics.leaderboard(walk(spark, sf_dir), ["series_id", "model"]), places=9), "board")
-    pvalues = board.filter(~F.col("model").isin(_BASELINES)).select("series_id", "model", (F.round("accuracy", 6) / 10).alias("p"))
-    return rounded(selection.gated_champion(board, pvalues, ["series_id"], _BASELINES, _COMPLEX))
+@register("v11_holm", dates=())
+def v11(spark, sf_dir):
+    """Not in SQL: it adjusts the p-values of v10; tests compare it with a plain loop."""
+    return rounded(metrics.holm(paired_pvalues(walk(spark, sf_dir)).select("series_id", "model", "p"), ["series_id"]))
 
 
 _EVENTS = """, esc AS (SELECT series_id, horizon, model, round(round(-avg(CASE WHEN y THEN ln(p) ELSE ln(1 - p) END), 6), 6) AS ll, round(avg(pow(p - CAST(y AS INT), 2)), 6) AS br FROM hz WHERE y IS NOT NULL GROUP BY 1, 2, 3),
@@ -79,7 +66,7 @@ SELECT series_id, origin, max(p) FILTER (horizon = 1) AS risk_1w, max(p) FILTER
     dates=("origin",),
 )
 def v19(spark, sf_dir):
-    rows = materialize(rounded(hazards(spark, sf_dir), places=9), "hazards")
+    rows = rounded(hazards(spark, sf_dir), places=9)
     scored = rows.filter(f"origin >= DATE '{SPLIT}' AND actual_change IS NOT NULL")
     history = selection.risk_history(scored, rows.filter("actual_change IS NULL"), _event_champions(rows), ["series_id"])
     return rounded(history.select("series_id", "origin", *[F.element_at("risks", h).alias(f"risk_{h}w") for h in (1, 4, 13)]))
