@@ -100,3 +100,22 @@ def test_trees_learn_from_the_selection_rows(spark):
         assert out and all(str(r.origin) >= "2022-01-07" and not r.fallback for r in out)
         assert all(math.isclose(sum(r[f"p_{s}"] for s in STATES), 1, abs_tol=1e-9) for r in out)
         assert np.mean([max(STATES, key=lambda s: r[f"p_{s}"]) == r.actual for r in out]) > 0.5
+
+
+def test_hurdle_moves_to_neighbours_only(spark):
+    rows = panel(150, seed=11)
+    whole = spark.createDataFrame(rows, SCHEMA)
+    out = {r.pos: r for r in learned.hurdle(whole, ["score", "noise"], 50).collect()}
+    assert sorted(out) == list(range(51, 149))
+    for r in out.values():
+        assert math.isclose(r.p_risk_on + r.p_transition + r.p_risk_off, 1, abs_tol=1e-9)
+        assert math.isclose(r.p_change, 1 - r[f"p_{r.current_state}"], abs_tol=1e-9)
+        if r.current_state != "transition":
+            assert r[f"p_{'risk_off' if r.current_state == 'risk_on' else 'risk_on'}"] == 0
+    changed = [r if k <= 80 else (*r[:3], -5.0, 5.0) for k, r in enumerate(rows)]
+    later = {r.pos: r for r in learned.hurdle(spark.createDataFrame(changed, SCHEMA), ["score", "noise"], 50).collect()}
+    assert all(math.isclose(later[k].p_change, out[k].p_change, abs_tol=1e-7) for k in range(51, 81))
+    still = [(*r[:2], "risk_on", *r[3:]) for r in rows[:70]]
+    flat = learned.hurdle(spark.createDataFrame(still, SCHEMA), ["score", "noise"], 50).collect()
+    assert {r.fallback_reason for r in flat} == {"hazard_class_missing;destination_class_missing"}
+    assert all(math.isclose(r.p_change, 1 / (r.train_size + 2)) and math.isclose(r.p_transition, r.p_change) for r in flat)

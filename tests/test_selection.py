@@ -67,3 +67,20 @@ def test_vintages_keep_tombstones(spark):
     wide = spark.createDataFrame([(dt.date(2020, 1, 1), {"A_20200103": "1.5", "A_B_20200104": ".", "junk": "1"}), (dt.date(2020, 2, 1), None)], "period date, cells map<string,string>")
     rows = {(r.series_id, r.vintage_date): r.value for r in snapshots.unpivot_vintages(wide).collect()}
     assert rows == {("A", dt.date(2020, 1, 3)): 1.5, ("A_B", dt.date(2020, 1, 4)): None}
+
+
+def test_snapshots_show_after_their_commit_row(spark, tmp_path):
+    root, rows = str(tmp_path), spark.createDataFrame([("a", 1.0), ("b", None)], "series_id string, value double")
+    snapshots.append_snapshot(rows, root, "one", {"source": "x", "token": "abc", "url": "http://h/?api_key=k&y=1"})
+    snapshots.stage_rows(rows, root, "two")
+    taken, seen = snapshots.committed(spark, root, "series_id string, value double")
+    assert {(r.snapshot_id, r.series_id, r.value) for r in seen.collect()} == {("one", "a", 1.0), ("one", "b", None)}
+    values = {r.name: r.value for r in taken.collect()}
+    assert values["source"] == "x" and values["token"] == "[redacted]" and "k&" not in values["url"]
+    try:
+        snapshots.append_snapshot(rows, root, "one", {})
+        raise AssertionError("a committed snapshot was changed")
+    except ValueError:
+        pass
+    snapshots.append_snapshot(rows.limit(0), root, "two", {"source": "x"})
+    assert snapshots.committed(spark, root, "series_id string, value double")[1].filter("snapshot_id = 'two'").count() == 0

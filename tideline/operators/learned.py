@@ -127,6 +127,70 @@ def walk_forward(frame: DataFrame, features: list[str], min_train: int, gap: int
     return frame.select("series_id", "week", "state", *[F.col(c).cast("double").alias(c) for c in features]).groupBy("series_id").applyInPandas(run, ", ".join(columns))
 
 
+def _hurdle(x: np.ndarray, state: np.ndarray, target: np.ndarray, rows: np.ndarray, p: int, c: float, warm: dict) -> tuple[np.ndarray, str]:
+    """Probabilities of the next state at row ``p`` and the reasons for a fallback, from the training rows.
+
+    A logistic hazard of leaving times a logistic choice among the neighbours of the current state; risk_on and risk_off
+    are no neighbours. Where a fit lacks a class, smoothed counts of the source state stand in.
+    """
+    near = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]], dtype=float)
+    now, to = state[rows], target[rows]
+    leaves = now != to
+    train, own = design(x[rows], x[p : p + 1])
+    own1, reasons = np.column_stack([np.ones(1), own]), []
+    if len(np.unique(leaves)) == 2:
+        warm["hazard"] = multinomial(train, leaves.astype(int), 2, c, warm.get("hazard"))
+        hazard = softmax(own1 @ warm["hazard"].T)[0, 1]
+    else:
+        mine = now == state[p]
+        hazard = (leaves[mine].sum() + 1) / (mine.sum() + 2)
+        reasons.append("hazard_class_missing")
+    allowed = leaves & (near[now, to] > 0)
+    seen, choice = np.unique(to[allowed]), np.zeros(len(STATES))
+    if len(seen) >= 2:
+        place = {s: n for n, s in enumerate(seen)}
+        warm["to"] = multinomial(train[allowed], np.array([place[s] for s in to[allowed]]), len(seen), c, warm.get("to"))
+        choice[seen] = softmax(own1 @ warm["to"].T)[0]
+    else:
+        choice = near[state[p]] + np.bincount(to[allowed & (now == state[p])], minlength=len(STATES))
+        reasons.append("destination_class_missing")
+    choice = choice * near[state[p]]
+    choice = choice / choice.sum() if choice.sum() > 0 else near[state[p]] / near[state[p]].sum()
+    out = hazard * choice
+    out[state[p]] += 1 - hazard
+    return out / out.sum(), ";".join(reasons)
+
+
+def hurdle(frame: DataFrame, features: list[str], min_train: int, gap: int = 1, c: float = 0.10) -> DataFrame:
+    """Next-state forecasts of the duration-aware hurdle at every origin of (series_id, week, state, features).
+
+    The weeks spent in the current state and the state itself join the features. series_id, origin, target_week, pos,
+    current_state, actual, train_size, model, p_<state>, p_change, fallback, fallback_reason.
+    """
+    code = {s: k for k, s in enumerate(STATES)}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows["state"].isin(STATES)].sort_values("week")
+        origins = [*range(min_train + gap, len(rows) - 1)]
+        if not origins:
+            return pd.DataFrame(columns=names)
+        state = rows["state"].map(code).to_numpy()
+        target, starts = np.r_[state[1:], 0], np.r_[True, state[1:] != state[:-1]]
+        place = np.arange(len(state))
+        duration = place - np.maximum.accumulate(np.where(starts, place, 0)) + 1
+        x = np.column_stack([rows[features].to_numpy(float), duration, np.eye(len(STATES))[state]])
+        week, warm, out = rows["week"].to_numpy(), {}, []
+        for k in origins:
+            p, reason = _hurdle(x, state, target, np.arange(k - gap), k, c, warm)
+            out.append((rows["series_id"].iloc[0], week[k], week[k + 1], k, STATES[state[k]], STATES[target[k]], k - gap, "duration_hurdle", *p, 1 - p[state[k]], bool(reason), reason))
+        return pd.DataFrame(out, columns=names)
+
+    columns = ["series_id string", "origin date", "target_week date", "pos long", "current_state string", "actual string", "train_size long", "model string"]
+    columns += [*(f"p_{s} double" for s in STATES), "p_change double", "fallback boolean", "fallback_reason string"]
+    names = [c.split()[0] for c in columns]
+    return frame.select("series_id", "week", "state", *[F.col(c).cast("double").alias(c) for c in features]).groupBy("series_id").applyInPandas(run, ", ".join(columns))
+
+
 def hazards(frame: DataFrame, features: list[str], min_train: int, horizons: tuple[int, ...] = (1, 4, 13)) -> DataFrame:
     """Regularised logistic departure probability within each horizon, from (series_id, week, state, features).
 

@@ -37,6 +37,11 @@ def m06(spark, sf_dir):
     return rounded(logistic(spark, sf_dir))
 
 
+@register("m15_t03_duration_hurdle", dates=())
+def m15(spark, sf_dir):
+    return rounded(learned.hurdle(_inputs(spark, sf_dir), FEATURES, TRAIN_WEEKS))
+
+
 @register("m11_random_forest", dates=())
 def m11(spark, sf_dir):
     return rounded(learned.split_forecasts(_inputs(spark, sf_dir), FEATURES, "forest", SPLIT))

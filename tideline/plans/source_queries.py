@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tideline.plans.registry import register
-from tideline.session import read_table
+from tideline.session import checkpoint_root, read_table
 from tideline.sources import snapshots
 from tideline.sources.observations import OBS_SQL, order_observations
 
@@ -76,3 +78,23 @@ def s09(spark, sf_dir):
 )
 def s10(spark, sf_dir):
     return snapshots.latest_ok(_stores(spark, sf_dir)[1]).select("dataset", "snapshot_id", "mode", "cutoff")
+
+
+@register(
+    "k01_append_snapshot",
+    """SELECT o_orderstatus AS snapshot_id, o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS observed_period_end, round(sum(o_totalprice), 2) AS value
+ FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3""",
+    dates=("observed_period_end",),
+)
+def k01(spark, sf_dir):
+    """A snapshot for each order status; that of P is staged only, as if its job had died before the commit row."""
+    root = f"{checkpoint_root(spark)}/tideline/store-{uuid.uuid4().hex}"
+    day = F.col("o_orderdate").cast("date")
+    rows = read_table(spark, sf_dir, "orders").groupBy("o_orderstatus", F.col("o_orderpriority").alias("series_id"), day.alias("observed_period_end")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    for status in ("F", "O", "P"):
+        own = rows.filter(F.col("o_orderstatus") == status).drop("o_orderstatus")
+        if status == "P":
+            snapshots.stage_rows(own, root, status)
+        else:
+            snapshots.append_snapshot(own, root, status, {"source": "orders", "token": status})
+    return snapshots.committed(spark, root, "series_id string, observed_period_end date, value double")[1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.pit import normalize_revisions
+from tideline.operators.pit import normalize_revisions, redact
 
 #: Field names of a weekly bar and what they are called here.
 BAR_FIELDS = {
@@ -58,3 +58,32 @@ def latest_ok(snapshots: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or ["source", "dataset"]
     others = [c for c in snapshots.columns if c not in keys]
     return snapshots.filter("status = 'ok'").groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct("retrieved_at", "snapshot_id")).alias("_row")).select(*keys, "_row.*")
+
+
+def stage_rows(rows: DataFrame, root: str, snapshot_id: str) -> None:
+    """Write a snapshot's observations into a folder of their own; a retry replaces it. Nothing reads them yet."""
+    rows.drop("snapshot_id").write.mode("overwrite").parquet(f"{root}/observations/snapshot_id={snapshot_id}")
+
+
+def append_snapshot(rows: DataFrame, root: str, snapshot_id: str, provenance: dict[str, str]) -> None:
+    """Append a snapshot: its observations first, then the row that makes them visible.
+
+    ``provenance`` is text by name; credentials in it are redacted. A snapshot whose row is written is never changed:
+    a second append of its id raises. A job that dies in between leaves rows that no reader sees.
+    """
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshots/snapshot_id={snapshot_id}/_SUCCESS")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise ValueError(f"snapshot {snapshot_id} exists")
+    stage_rows(rows, root, snapshot_id)
+    entries = spark.createDataFrame([(k, v) for k, v in sorted(provenance.items())], "name string, value string")
+    # a value is redacted as part of a name=value text, so that the names count
+    safe = entries.select("name", F.regexp_replace(redact(F.concat_ws("=", "name", "value")), "^[^=]*=", "").alias("value"))
+    safe.coalesce(1).write.mode("overwrite").parquet(f"{root}/snapshots/snapshot_id={snapshot_id}")
+
+
+def committed(spark, root: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(snapshot_id, name, value) of the committed snapshots, and their observations of ``schema`` with snapshot_id."""
+    snapshots = spark.read.schema("name string, value string, snapshot_id string").parquet(f"{root}/snapshots").select("snapshot_id", "name", "value")
+    rows = spark.read.schema(f"{schema}, snapshot_id string").parquet(f"{root}/observations")
+    return snapshots, rows.join(snapshots.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
