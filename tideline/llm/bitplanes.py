@@ -105,7 +105,7 @@ def write_token_files(
     """Encode every text, append ``end_id``, write shards in ascending id order; the table of shards, read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = tokens.PieceEncoder(spec, keep_spaces).encode, TaskContext.get().partitionId()
+        encode, part = tokens.encoder(spec, keep_spaces).encode, TaskContext.get().partitionId()
         end = np.uint32(end_id)
         doc_ids, ids, held, shard, start = [], [], 0, 0, 0
 
@@ -132,7 +132,7 @@ def write_token_files(
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
-    shards = ordered.mapInArrow(tokens.bounded(run), "part int, shard int, start_in_part long, n_ids long, n_docs long, payload binary")
+    shards = ordered.mapInArrow(tokens.bounded(run, encodes=True), "part int, shard int, start_in_part long, n_ids long, n_docs long, payload binary")
     return materialize(shards, "token-files")
 
 

@@ -96,7 +96,7 @@ def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_co
     """doc_id, ids, byte_starts and char_starts (arrays of int) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, table = tokens.PieceEncoder(spec, True).encode, byte_table(spec)
+        encode, table = tokens.encoder(spec, True).encode, byte_table(spec)
         for batch in tokens.slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = encode(texts)
@@ -105,7 +105,7 @@ def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *lists], ["doc_id", "ids", "byte_starts", "char_starts"])
 
     schema = "doc_id long, ids array<int>, byte_starts array<int>, char_starts array<int>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokens.bounded(run), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokens.bounded(run, encodes=True), schema)
 
 
 def decode_documents(encoded: DataFrame, spec: str) -> DataFrame:
@@ -124,7 +124,7 @@ def round_trip(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, table = tokens.PieceEncoder(spec, True).encode, byte_table(spec)
+        encode, table = tokens.encoder(spec, True).encode, byte_table(spec)
         decimal = [b"%d" % i for i in range(len(table))]
         for batch in tokens.slices(batches):
             counts, sums, decoded = [], [], []
@@ -139,4 +139,4 @@ def round_trip(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokens.bounded(run), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokens.bounded(run, encodes=True), schema)

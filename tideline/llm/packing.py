@@ -86,7 +86,7 @@ def _tokenized(rows: DataFrame, spec: str, end_id: int) -> DataFrame:
     """(doc_id, source, ids, n, queue, part, at): a text's ids, and where they start among those of its task and queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, upto = tokens.PieceEncoder(spec, True).encode, TaskContext.get().partitionId(), defaultdict(int)
+        encode, part, upto = tokens.encoder(spec, True).encode, TaskContext.get().partitionId(), defaultdict(int)
         small = tokens.load_tokenizer(spec).get_vocab_size() <= 1 << 16
         for batch in tokens.slices(batches):
             ids = [np.append(own, np.uint32(end_id)) for own in encode(batch.column(1).to_pylist())]
@@ -100,7 +100,7 @@ def _tokenized(rows: DataFrame, spec: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), packed, counts, batch.column(3), parts, places], names)
 
     names = ["doc_id", "source", "ids", "n", "queue", "part", "at"]
-    return rows.mapInArrow(tokens.bounded(run), "doc_id long, source string, ids binary, n long, queue string, part int, at long")
+    return rows.mapInArrow(tokens.bounded(run, encodes=True), "doc_id long, source string, ids binary, n long, queue string, part int, at long")
 
 
 def pack(

@@ -2,7 +2,8 @@
 
 A tokenizer is read once on the driver from a path that is a parameter and goes to the tasks as its JSON text. Texts are
 cut into pieces at places where every pre-tokenizer in use must cut too, each new piece is encoded by the library, and
-its ids are kept in a cache of bounded size for the task; the concatenated ids equal those of the whole text.
+its ids are kept in a cache of bounded size; the concatenated ids equal those of the whole text. A Python worker keeps the
+cache from task to task of the encoders, and drops it when a task of another operator begins.
 
 Safe cuts, *spaces kept* (byte-level BPE): before a space, and before a line break, that stands alone between two
 characters that are no white space. A text with any other white space takes the cuts of a regular expression instead.
@@ -24,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 LONG_PIECE = 200
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
+PUNCTUATION = ".,;:!?|"
 ALONE = re.compile(r"(?<=\S)(?= \S)")
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
-PUNCTUATION = ".,;:!?|"
 CLASSED = re.compile("[A-Za-z0-9À-ÖØ-öø-ɏ]")
 REGULAR = re.compile(r"\0?\n?\S(?:.*\S)?", re.DOTALL)
 
@@ -88,10 +89,8 @@ class PieceEncoder:
         tails = {p: mark + p[len(stem) :] for p, stem in stems.items()}
         whole = [p for p in {*(new - stems.keys()), *stems.values(), *tails.values()} if p not in self.cache]
         found = self.tokenizer.encode_batch_fast([self._spelled(p) for p in whole], add_special_tokens=False)
-        for piece, encoding in zip(whole, found, strict=True):
-            self.cache[piece] = array("I", encoding.ids).tobytes()
-        for piece, stem in stems.items():
-            self.cache[piece] = self.cache[stem] + self.cache[tails[piece]]
+        self.cache.update(zip(whole, (array("I", e.ids).tobytes() for e in found), strict=True))
+        self.cache.update((p, self.cache[stem] + self.cache[tails[p]]) for p, stem in stems.items())
         return [p for p in (*whole, *stems) if len(p) > LONG_PIECE]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -110,18 +109,17 @@ class PieceEncoder:
             # white space at an end, but for one line break before a character; such pieces are never kept
             bad = {p for p in new if not REGULAR.fullmatch(p)}
             new -= bad
-            hit = np.isin(at, [k for k, p in enumerate(pieces) if p in bad]).nonzero()[0] if bad else np.zeros(0, int)
-            odd |= set((np.searchsorted(edges, hit, side="right") - 1).tolist())
+            if bad:
+                marks = np.fromiter((p in bad for p in pieces), dtype=bool, count=len(pieces))
+                odd |= set((np.searchsorted(edges, marks[at].nonzero()[0], side="right") - 1).tolist())
         marked = {k: ["\0" + x for x in ALONE.split(texts[k])] if texts[k] else [] for k in odd}
         long = self._learn(new.union(*marked.values()).difference(cache))
         values = [cache.get(p, b"") if v is None else v for p, v in zip(pieces, values, strict=True)]
         sizes = np.fromiter(map(len, values), dtype=np.int32, count=len(values)) // 4
-        pool, first = np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
-        counts = sizes[at]
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        ids = pool[np.repeat(first[at] - upto[:-1].astype(np.int32), counts) + np.arange(upto[-1], dtype=np.int32)]
-        cuts = upto[edges]
-        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        pool = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(values), dtype="<u4"))
+        taken = pool.take(codes.indices)
+        ids, cuts = taken.flatten().to_numpy(), taken.offsets.to_numpy()[edges].tolist()
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         for k, chunks in marked.items():
             out[k] = np.frombuffer(b"".join([cache[c] for c in chunks]), dtype="<u4")
         for piece in long:
@@ -141,10 +139,29 @@ def give_back() -> None:
         trim(0)
 
 
-def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow; the memory of its caches goes when its task ends."""
+_KEPT: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def encoder(spec: str, keep_spaces: bool) -> PieceEncoder:
+    """The encoder that this Python worker keeps; one at a time. For tasks under ``bounded(.., encodes=True)``."""
+    if (spec, keep_spaces) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[spec, keep_spaces] = PieceEncoder(spec, keep_spaces)
+    return _KEPT[spec, keep_spaces]
+
+
+def forget() -> None:
+    """Drop the encoder that this Python worker keeps."""
+    _KEPT.clear()
+
+
+def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], encodes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, in a Python worker that serves many operators: what earlier ones kept goes before its task,
+    and its own memory after it. Only the encoder's cache stays, until a task that does not encode."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            forget()
         yield from run(batches)
         give_back()
 
