@@ -113,7 +113,7 @@ def write_token_files(
             row = {"part": part, "shard": shard, "start_in_part": start, "n_ids": held, "n_docs": len(ids), "payload": write_shard(doc_ids, ids, mode)}
             return pa.RecordBatch.from_pylist([row], schema=shard_schema)
 
-        for batch in tokens.slices(batches):
+        for batch in tokens.slices(batches, size=tokens.ENCODE_BYTES):
             for doc_id, own in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id)
                 ids.append(np.append(own, end).astype("<u4", copy=False))

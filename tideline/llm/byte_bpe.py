@@ -126,7 +126,7 @@ def round_trip(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, table = tokens.encoder(spec, True).encode, byte_table(spec)
         decimal = [b"%d" % i for i in range(len(table))]
-        for batch in tokens.slices(batches):
+        for batch in tokens.slices(batches, size=tokens.ENCODE_BYTES):
             counts, sums, decoded = [], [], []
             for found in encode(batch.column(1).to_pylist()):
                 ids = found.tolist()

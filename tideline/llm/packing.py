@@ -88,7 +88,7 @@ def _tokenized(rows: DataFrame, spec: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, upto = tokens.encoder(spec, True).encode, TaskContext.get().partitionId(), defaultdict(int)
         small = tokens.load_tokenizer(spec).get_vocab_size() <= 1 << 16
-        for batch in tokens.slices(batches):
+        for batch in tokens.slices(batches, size=tokens.ENCODE_BYTES):
             ids = [np.append(own, np.uint32(end_id)) for own in encode(batch.column(1).to_pylist())]
             queues, starts = batch.column(3).to_pylist(), []
             for queue, own in zip(queues, ids, strict=True):

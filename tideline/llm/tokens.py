@@ -25,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
 LONG_PIECE = 200
 SLICE_BYTES = 4 << 20
+ENCODE_BYTES = 8 << 20
 PUNCTUATION = ".,;:!?|"
 ALONE = re.compile(r"(?<=\S)(?= \S)")
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
-CLASSED = re.compile("[A-Za-z0-9À-ÖØ-öø-ɏ]")
+CLASSED = frozenset(map(chr, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x250)]))
 REGULAR = re.compile(r"\0?\n?\S(?:.*\S)?", re.DOTALL)
 
 
@@ -64,6 +65,7 @@ class PieceEncoder:
         self.tokenizer = load_tokenizer(spec)
         self.keep_spaces = keep_spaces
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what the cache held when it was last full; what is used again goes back
 
     def _split(self, texts: list[str]) -> pa.ListArray:
         """Keys of the cache; the ids of a text are those of its pieces, end to end."""
@@ -76,44 +78,53 @@ class PieceEncoder:
         flat = pc.replace_substring(pa.array(["\0" + t for t in texts], pa.large_string()), "\n", " \n")
         return pc.split_pattern(flat, " ")
 
-    def _spelled(self, piece: str) -> str:
-        """The text that a key stands for."""
+    def _spelled(self, pieces: list[str]) -> list[str]:
+        """The texts that keys stand for."""
         if not self.keep_spaces:
-            return piece
-        return piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece
+            return pieces
+        return [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in pieces]
+
+    def _unknown(self, pieces: set[str]) -> set[str]:
+        """Pieces in neither cache; those of the older one move to the newer one."""
+        cache, older = self.cache, self.older
+        pieces = {p for p in pieces if p not in cache}
+        again = [p for p in pieces if p in older]
+        cache.update((p, older[p]) for p in again)
+        return pieces.difference(again)
 
     def _learn(self, new: set[str]) -> list[str]:
         """Put pieces in the cache; the long ones among them."""
-        stems = {p: stem for p in new if (stem := p.rstrip(PUNCTUATION)) is not p and stem and CLASSED.match(stem[-1])}
+        stems = {p: stem for p in new if (stem := p.rstrip(PUNCTUATION)) is not p and stem and stem[-1] in CLASSED}
         mark = "\0" if self.keep_spaces else ""
         tails = {p: mark + p[len(stem) :] for p, stem in stems.items()}
-        whole = [p for p in {*(new - stems.keys()), *stems.values(), *tails.values()} if p not in self.cache]
-        found = self.tokenizer.encode_batch_fast([self._spelled(p) for p in whole], add_special_tokens=False)
+        whole = list(self._unknown({*(new - stems.keys()), *stems.values(), *tails.values()}))
+        found = self.tokenizer.encode_batch_fast(self._spelled(whole), add_special_tokens=False)
         self.cache.update(zip(whole, (array("I", e.ids).tobytes() for e in found), strict=True))
         self.cache.update((p, self.cache[stem] + self.cache[tails[p]]) for p, stem in stems.items())
         return [p for p in (*whole, *stems) if len(p) > LONG_PIECE]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         cache, texts = self.cache, [t or "" for t in texts]
         lists = self._split(texts)
         codes = lists.flatten().dictionary_encode()
-        pieces, at = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+        pieces = codes.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        at = codes.indices.to_numpy(zero_copy_only=False)
         edges = lists.offsets.to_numpy(zero_copy_only=False)
         edges = edges - edges[0]
         values = list(map(cache.get, pieces))
-        new = {p for p, v in zip(pieces, values, strict=True) if v is None}
+        new = self._unknown({p for p, v in zip(pieces, values, strict=True) if v is None})
         odd = {k for k, t in enumerate(texts) if "\0" in t} if self.keep_spaces else set()
         if self.keep_spaces and new:
             # white space at an end, but for one line break before a character; such pieces are never kept
-            bad = {p for p in new if not REGULAR.fullmatch(p)}
+            bad = {p for p in new if not p.isalpha() and not REGULAR.fullmatch(p)}
             new -= bad
             if bad:
                 marks = np.fromiter((p in bad for p in pieces), dtype=bool, count=len(pieces))
                 odd |= set((np.searchsorted(edges, marks[at].nonzero()[0], side="right") - 1).tolist())
         marked = {k: ["\0" + x for x in ALONE.split(texts[k])] if texts[k] else [] for k in odd}
-        long = self._learn(new.union(*marked.values()).difference(cache))
+        long = self._learn(self._unknown(new.union(*marked.values())))
         values = [cache.get(p, b"") if v is None else v for p, v in zip(pieces, values, strict=True)]
         sizes = np.fromiter(map(len, values), dtype=np.int32, count=len(values)) // 4
         pool = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(values), dtype="<u4"))
