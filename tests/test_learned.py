@@ -93,9 +93,9 @@ def test_hazards_platt_and_embargo(spark):
     assert len(rows) - len(split) == 1 + 4
 
 
-def test_trees_learn_from_the_selection_rows(spark):
+def test_split_models_learn_from_the_selection_rows(spark):
     frame = spark.createDataFrame(panel(160), SCHEMA)
-    for kind in ("forest", "boosted"):
+    for kind in ("elastic", "forest", "boosted"):
         out = learned.split_forecasts(frame, ["score", "noise"], kind, "2022-01-07").collect()
         assert out and all(str(r.origin) >= "2022-01-07" and not r.fallback for r in out)
         assert all(math.isclose(sum(r[f"p_{s}"] for s in STATES), 1, abs_tol=1e-9) for r in out)

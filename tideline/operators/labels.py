@@ -145,3 +145,18 @@ def label_history(labelled: DataFrame) -> DataFrame:
     """Evidence rows: state, previous state, change flag and thresholds."""
     before = F.lag("state").over(Window.partitionBy("series_id").orderBy("week"))
     return labelled.select("series_id", "week", "state", before.alias("previous_state"), F.coalesce(before != F.col("state"), F.lit(False)).alias("changed"), "risk_score", "lower", "upper")
+
+
+def flat_forecasts(weeks: DataFrame) -> DataFrame:
+    """Flat rows of nested weeks (data_as_of, current, next_week): the states and probabilities now and of the next week.
+
+    ``current`` is a struct of state and a map of probabilities, ``next_week`` one of date, model, fallback,
+    fallback_reason and such a map. A missing probability is NULL.
+    """
+    others = [c for c in weeks.columns if c not in ("data_as_of", "current", "next_week")]
+    p = lambda part, name: [F.element_at(F.col(f"{part}.probabilities"), s).alias(f"{name}_p_{s}") for s in STATES]
+    return weeks.select(
+        *others, F.col("data_as_of").alias("origin_date"), F.col("current.state").alias("current_state"), *p("current", "current"),
+        F.col("next_week.date").alias("target_date"), F.col("next_week.model").alias("model"), *p("next_week", "next"),
+        F.col("next_week.fallback").alias("fallback"), F.col("next_week.fallback_reason").alias("fallback_reason"),
+    )

@@ -5,8 +5,8 @@ leaves. A group is one series of weeks, so series spread over the cluster and a
 the origin before. Features are imputed by the median of the training rows, with an indicator where a value is missing,
 and standardised by them; nothing of a later row enters a forecast.
 
-Forests and boosted trees are fitted once, on the selection rows of all series together, and forecast the later rows: a
-declared deviation from a refit at every origin, which would be thousands of Spark jobs.
+The elastic net, forests and boosted trees are fitted once by pyspark.ml, on the selection rows of all series together,
+and forecast the later rows: a declared deviation from a refit at every origin, which would be thousands of Spark jobs.
 
 Defined results: rows without a state are left out; a NULL or non-finite feature is imputed; a feature without any value
 in training is 0; with one class in training the forecast is the smoothed class prior and ``fallback`` is true; an empty
@@ -264,10 +264,15 @@ def embargoed(origins: DataFrame, cutoff: str, date: str = "origin") -> DataFram
     return origins.withColumn("evaluation_split", split).filter("evaluation_split IS NOT NULL")
 
 
-def tree_pipeline(kind: str, features: list[str]):
-    """Median imputation, missing-value indicators and a pyspark.ml classifier of trees: ``forest`` or ``boosted``."""
+#: Names of the candidates that pyspark.ml fits on a split.
+SPLIT_MODELS = {"elastic": "elastic_net_logistic", "forest": "random_forest", "boosted": "boosted_trees"}
+ELASTIC_C, ELASTIC_L1 = 0.5, 0.25
+
+
+def split_pipeline(kind: str, features: list[str], rows: int):
+    """Median imputation, missing-value indicators and a pyspark.ml classifier: ``elastic``, ``forest`` or ``boosted``."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
     from pyspark.ml.feature import Imputer, VectorAssembler
 
     filled = [f"{c}_filled" for c in features]
@@ -275,15 +280,17 @@ def tree_pipeline(kind: str, features: list[str]):
         Imputer(strategy="median", inputCols=features, outputCols=filled),
         VectorAssembler(inputCols=[*filled, *[f"{c}_missing" for c in features]], outputCol="features", handleInvalid="keep"),
     ]
-    if kind == "forest":
-        trees = RandomForestClassifier(numTrees=24, maxDepth=6, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=17, labelCol="label", weightCol="weight")
+    if kind == "elastic":  # a mean loss takes the penalty of a summed one divided by the rows
+        last = LogisticRegression(family="multinomial", elasticNetParam=ELASTIC_L1, regParam=1 / (ELASTIC_C * max(rows, 1)), maxIter=200, tol=1e-6, labelCol="label", weightCol="weight")
+    elif kind == "forest":
+        last = RandomForestClassifier(numTrees=24, maxDepth=6, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=17, labelCol="label", weightCol="weight")
     else:
-        trees = OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=2, stepSize=0.04, minInstancesPerNode=8, seed=17), labelCol="label")
-    return Pipeline(stages=[*stages, trees])
+        last = OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=2, stepSize=0.04, minInstancesPerNode=8, seed=17), labelCol="label")
+    return Pipeline(stages=[*stages, last])
 
 
 def split_forecasts(frame: DataFrame, features: list[str], kind: str, cutoff: str) -> DataFrame:
-    """Forecasts of the weeks from ``cutoff`` on, by trees fitted on all rows whose next week is before it."""
+    """Forecasts of the weeks from ``cutoff`` on, by a classifier fitted on all rows whose next week is before it."""
     from pyspark.ml.functions import vector_to_array
 
     order = Window.partitionBy("series_id").orderBy("week")
@@ -300,13 +307,13 @@ def split_forecasts(frame: DataFrame, features: list[str], kind: str, cutoff: st
     else:
         total = sum(sizes.values())
         weight = sum(F.when(F.col("label") == k, total / (len(sizes) * n)).otherwise(0.0) for k, n in sizes.items())
-        model = tree_pipeline(kind, features).fit(train.withColumn("weight", weight))
-        raw = "probability" if kind == "forest" else "rawPrediction"
+        model = split_pipeline(kind, features, total).fit(train.withColumn("weight", weight))
+        raw = "rawPrediction" if kind == "boosted" else "probability"
         scores = vector_to_array(F.col(raw))
         value = lambda k: F.coalesce(F.get(F.col("_scores"), F.lit(k)), F.lit(0.0))
-        own = [value(k) if kind == "forest" else 1 / (1 + F.exp(-2 * value(k))) for k in range(len(STATES))]
+        own = [1 / (1 + F.exp(-2 * value(k))) if kind == "boosted" else value(k) for k in range(len(STATES))]
         clipped = [F.greatest(x, F.lit(FLOOR)) for x in own]
         found = model.transform(later).withColumn("_scores", scores)
         found = found.withColumns({f"p_{s}": x / (clipped[0] + clipped[1] + clipped[2]) for s, x in zip(STATES, clipped, strict=True)} | {"fallback": F.lit(False)})
-    name = F.lit("random_forest" if kind == "forest" else "boosted_trees").alias("model")
+    name = F.lit(SPLIT_MODELS[kind]).alias("model")
     return found.select("series_id", F.col("week").alias("origin"), "target_week", F.col("state").alias("current_state"), "actual", name, *[f"p_{s}" for s in STATES], "fallback")

@@ -203,12 +203,21 @@ def v02(spark, sf_dir):
 
 @register(
     "v04_split_audit",
-    WALK + " SELECT series_id, origin, train_size, origin - 14 AS last_train_origin, origin - 7 AS last_train_target, pos - train_size AS purged FROM walk WHERE model = 'markov'",
+    WALK
+    + f""", lg AS (SELECT series_id, week, lag(week, 2) {LAG} AS lo, lag(week, 1) {LAG} AS lt FROM lab)
+SELECT w.series_id, w.origin, train_size, lo AS last_train_origin, lt AS last_train_target, pos - train_size AS purged
+FROM walk w JOIN lg ON w.series_id = lg.series_id AND w.origin = lg.week WHERE model = 'markov'""",
     dates=("origin", "last_train_origin", "last_train_target"),
 )
 def v04(spark, sf_dir):
-    rows = walk(spark, sf_dir).filter("model = 'markov'")
-    return rows.select("series_id", "origin", "train_size", F.date_sub("origin", 14).alias("last_train_origin"), F.date_sub("origin", 7).alias("last_train_target"), (F.col("pos") - F.col("train_size")).alias("purged"))
+    """The last training row of every origin and its target, from the rows of the series."""
+    from pyspark.sql import Window
+
+    states = labelled(spark, sf_dir).select("series_id", "week", "state")
+    order = Window.partitionBy("series_id").orderBy("week")
+    rows = states.select("series_id", F.col("week").alias("origin"), F.lag("week", 2).over(order).alias("last_train_origin"), F.lag("week", 1).over(order).alias("last_train_target"))
+    origins = baselines.walk_forward(states, TRAIN_WEEKS).filter("model = 'markov'").select("series_id", "origin", "train_size", (F.col("pos") - F.col("train_size")).alias("purged"))
+    return origins.join(rows, ["series_id", "origin"])
 
 
 _Q = ", ".join(f"least(greatest(p_{s}, 1e-9), 1.0) AS r{i}" for i, s in enumerate(STATES))
@@ -396,3 +405,25 @@ def j04(spark, sf_dir):
     common = rows.filter("model = 'markov'").groupBy("origin").agg(F.count(F.lit(1)).alias("n")).filter("n = 5")
     board = metrics.leaderboard(rows, ["series_id", "model"]).select("series_id", "model", "log_loss")
     return rounded(rows.join(common, "origin", "left_semi").join(board, ["series_id", "model"], "left").select("series_id", "origin", "model", "log_loss"))
+
+
+@register(
+    "l13_flat_forecasts",
+    WALK
+    + " SELECT series_id, origin AS origin_date, current_state, "
+    + ", ".join(f"CAST(current_state = '{s}' AS DOUBLE) AS current_p_{s}" for s in STATES)
+    + ", target_week AS target_date, model, "
+    + ", ".join(r6(f"p_{s}", f"next_p_{s}") for s in STATES)
+    + ", false AS fallback, '' AS fallback_reason FROM walk",
+    dates=("origin_date", "target_date"),
+)
+def l13(spark, sf_dir):
+    """Forecasts nested as they are published, and flattened."""
+    rows = walk(spark, sf_dir)
+    pairs = lambda values: F.map_from_arrays(F.array(*[F.lit(s) for s in STATES]), F.array(*values))
+    now = F.struct(F.col("current_state").alias("state"), pairs([(F.col("current_state") == s).cast("double") for s in STATES]).alias("probabilities"))
+    later = F.struct(
+        F.col("target_week").alias("date"), "model", F.lit(False).alias("fallback"), F.lit("").alias("fallback_reason"), pairs([F.col(f"p_{s}") for s in STATES]).alias("probabilities")
+    )
+    nested = rows.select("series_id", F.col("origin").alias("data_as_of"), now.alias("current"), later.alias("next_week"))
+    return rounded(labels.flat_forecasts(nested))

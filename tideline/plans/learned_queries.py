@@ -1,6 +1,7 @@
 """Learned candidates on the weekly order panel.
 
-None has SQL: fits are iterative. Tests compare them with their conditions of optimality and with prefixes of the data.
+The fits have no SQL, as they are iterative: tests compare them with their conditions of optimality and with prefixes of
+the data. The embargo has.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions.numeric import rounded
 from tideline.operators import labels, learned, metrics, selection
 from tideline.operators.labels import STATES, STRESS, TREND
-from tideline.plans.forecast_queries import BASELINES, COMPLEXITY, SPLIT, TRAIN_WEEKS, _fitted, walk
+from tideline.plans.forecast_queries import BASE, BASELINES, COMPLEXITY, HAZ, SPLIT, TRAIN_WEEKS, _fitted, hazards, walk
 from tideline.plans.registry import register
 from tideline.plans.selection_queries import paired_pvalues
 from tideline.session import materialize
@@ -42,6 +43,11 @@ def m15(spark, sf_dir):
     return rounded(learned.hurdle(_inputs(spark, sf_dir), FEATURES, TRAIN_WEEKS))
 
 
+@register("m05_elastic_net", dates=())
+def m05(spark, sf_dir):
+    return rounded(learned.split_forecasts(_inputs(spark, sf_dir), FEATURES, "elastic", SPLIT))
+
+
 @register("m11_random_forest", dates=())
 def m11(spark, sf_dir):
     return rounded(learned.split_forecasts(_inputs(spark, sf_dir), FEATURES, "forest", SPLIT))
@@ -74,3 +80,17 @@ def v12(spark, sf_dir):
     board = materialize(rounded(board, places=9), "board")
     ranks = COMPLEXITY | {"ridge_logistic": 2, "transition_logistic": 3}
     return rounded(selection.gated_champion(board, paired_pvalues(forecasts).select("series_id", "model", "p"), ["series_id"], BASELINES, ranks))
+
+
+@register(
+    "v03_embargo",
+    BASE
+    + HAZ
+    + f""" SELECT series_id, origin, CAST(horizon AS BIGINT) AS horizon,
+ CASE WHEN origin + 7 * horizon < DATE '{SPLIT}' THEN 'selection' ELSE 'diagnostic' END AS evaluation_split
+FROM haz WHERE model = 'markov_hazard' AND (origin + 7 * horizon < DATE '{SPLIT}' OR origin >= DATE '{SPLIT}')""",
+    dates=("origin",),
+)
+def v03(spark, sf_dir):
+    origins = hazards(spark, sf_dir).filter("model = 'markov_hazard'").select("series_id", "origin", "horizon")
+    return learned.embargoed(origins, SPLIT)
