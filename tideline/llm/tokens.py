@@ -19,7 +19,7 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,22 +84,24 @@ class PieceEncoder:
             return pieces
         return [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in pieces]
 
-    def _unknown(self, pieces: set[str]) -> set[str]:
-        """Pieces in neither cache; those of the older one move to the newer one."""
+    def _unknown(self, pieces: Iterable[str]) -> list[str]:
+        """Those of distinct pieces that are in neither cache; those of the older one move to the newer one."""
         cache, older = self.cache, self.older
-        pieces = {p for p in pieces if p not in cache}
-        again = [p for p in pieces if p in older]
-        cache.update((p, older[p]) for p in again)
-        return pieces.difference(again)
+        pieces = [p for p in pieces if p not in cache]
+        if not older:
+            return pieces
+        cache.update((p, older[p]) for p in pieces if p in older)
+        return [p for p in pieces if p not in older]
 
-    def _learn(self, new: set[str]) -> list[str]:
-        """Put pieces in the cache; the long ones among them."""
+    def _learn(self, new: list[str]) -> list[str]:
+        """Put distinct pieces in the cache; the long ones among them."""
         stems = {p: stem for p in new if (stem := p.rstrip(PUNCTUATION)) is not p and stem and stem[-1] in CLASSED}
         mark = "\0" if self.keep_spaces else ""
         tails = {p: mark + p[len(stem) :] for p, stem in stems.items()}
-        whole = list(self._unknown({*(new - stems.keys()), *stems.values(), *tails.values()}))
+        whole = [p for p in new if p not in stems]
+        whole += self._unknown({*stems.values(), *tails.values()}.difference(whole))
         found = self.tokenizer.encode_batch_fast(self._spelled(whole), add_special_tokens=False)
-        self.cache.update(zip(whole, (array("I", e.ids).tobytes() for e in found), strict=True))
+        self.cache.update(zip(whole, [array("I", e.ids).tobytes() for e in found], strict=True))
         self.cache.update((p, self.cache[stem] + self.cache[tails[p]]) for p, stem in stems.items())
         return [p for p in (*whole, *stems) if len(p) > LONG_PIECE]
 
@@ -114,18 +116,23 @@ class PieceEncoder:
         edges = lists.offsets.to_numpy(zero_copy_only=False)
         edges = edges - edges[0]
         values = list(map(cache.get, pieces))
-        new = self._unknown({p for p, v in zip(pieces, values, strict=True) if v is None})
+        missing = [k for k, v in enumerate(values) if v is None]
+        new = self._unknown([pieces[k] for k in missing])
         odd = {k for k, t in enumerate(texts) if "\0" in t} if self.keep_spaces else set()
         if self.keep_spaces and new:
             # white space at an end, but for one line break before a character; such pieces are never kept
             bad = {p for p in new if not p.isalpha() and not REGULAR.fullmatch(p)}
-            new -= bad
             if bad:
-                marks = np.fromiter((p in bad for p in pieces), dtype=bool, count=len(pieces))
+                new = [p for p in new if p not in bad]
+                marks = np.zeros(len(pieces), dtype=bool)
+                marks[[k for k in missing if pieces[k] in bad]] = True
                 odd |= set((np.searchsorted(edges, marks[at].nonzero()[0], side="right") - 1).tolist())
         marked = {k: ["\0" + x for x in ALONE.split(texts[k])] if texts[k] else [] for k in odd}
-        long = self._learn(self._unknown(new.union(*marked.values())))
-        values = [cache.get(p, b"") if v is None else v for p, v in zip(pieces, values, strict=True)]
+        if marked:
+            new += self._unknown({p for x in marked.values() for p in x}.difference(new))
+        long = self._learn(new)
+        for k in missing:
+            values[k] = cache.get(pieces[k], b"")
         sizes = np.fromiter(map(len, values), dtype=np.int32, count=len(values)) // 4
         pool = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(values), dtype="<u4"))
         taken = pool.take(codes.indices)
