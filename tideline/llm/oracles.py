@@ -93,10 +93,77 @@ GROUP BY doc_id, license_id, n_shingles HAVING count(*) / n_shingles >= {license
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _crc_table() -> list[int]:
+    """The bytewise table of crc32, by its rule."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ 0xEDB88320 if x & 1 else x >> 1 for x in table]
+    return table
+
+
+def _spelling() -> str:
+    return f"""
+WITH RECURSIVE k AS (SELECT {_crc_table()}::BIGINT[] AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL HAVING length(run) >= 7),
+x AS (SELECT *, hex(encode(doc_id::VARCHAR || ':' || run)) AS hx FROM c),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(hx), 2), lambda i: ('0x' || hx[i:i+1])::BIGINT)),
+        lambda acc, b: xor(acc // 256, crc[(xor(acc, b) & 255) + 1])), 4294967295) AS h FROM x, k),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+v AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n FROM v a JOIN v b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.less = w.word
+      UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.less = w.word),
+b AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, encode(near)) AS best, max(n) AS best_n FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+      FROM w LEFT JOIN b USING (word)),
+t AS (SELECT word, word AS tip, 0 AS d FROM f UNION ALL SELECT t.word, f.form, d + 1 FROM t JOIN f ON t.tip = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT word, last(tip ORDER BY d) AS root FROM t GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)
+"""
+
+
+DECONTAMINATION = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+ix AS (SELECT item_id, w, least(len(w), 10) AS k FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM ix)),
+dp AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+m AS (SELECT doc_id, i, dp.k, item_id FROM dp JOIN win ON dp.s = win.s AND dp.k = win.k),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+SEARCH = f"""
+WITH dt AS (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM documents),
+q AS (SELECT item_id, t, count(*) AS times FROM
+      (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+dl AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id),
+st AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM dl),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM dt SEMI JOIN q USING (t) GROUP BY ALL),
+wt AS (SELECT t, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, st GROUP BY t),
+im AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // ll))) AS x FROM tf JOIN dl USING (doc_id) JOIN wt USING (t), st),
+sc AS (SELECT item_id, doc_id, sum(times * x)::BIGINT AS score FROM q JOIN im USING (t) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM sc WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": EXACT,
         "op5_quality_rules": _quality(),
         "op7_license_scan": _licenses(),
         "op10_line_dedup": LINES,
+        "op11_spelling_variants": _spelling(),
+        "op12_decontamination": DECONTAMINATION,
+        "op13_lexical_search": SEARCH,
     }

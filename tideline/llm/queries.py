@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bitplanes, byte_bpe, exact_dedup, langid, licenses, line_dedup, order_minhash, packing, quality, tokens, toxicity
+from tideline.llm import bitplanes, byte_bpe, decontamination, exact_dedup, langid, lexical_search, licenses, line_dedup, order_minhash, packing, quality, spelling, tokens, toxicity
 from tideline.session import read_table
 
 
@@ -61,6 +61,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(read_table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -73,6 +87,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_line_dedup": op10_line_dedup,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_decontamination": op12_decontamination,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
