@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.numeric import clip, lag, min_periods, positive_log, rolling, rows_back, safe_divide
 from tideline.operators.features import log_returns
+from tideline.operators.pit import severity
 
 DECAY = 0.0609
 
@@ -123,6 +124,6 @@ def factor_scores(z: DataFrame, weights: dict[str, float], stress: bool = False)
 
 
 def worst_health(statuses: DataFrame, order: list[str]) -> DataFrame:
-    """The most severe status of (key, status); ``order`` runs from the mildest."""
-    ranks = statuses.sparkSession.createDataFrame(list(zip(order, range(len(order)), strict=True)), "status string, severity int")
-    return statuses.join(F.broadcast(ranks), "status").groupBy("key").agg(F.max_by("status", "severity").alias("status"))
+    """The most severe status of (key, status); ``order`` runs from the mildest, and a status that it lacks is the worst."""
+    worst = F.max(F.struct(severity(F.col("status"), order).alias("at"), F.col("status").alias("s")))
+    return statuses.filter("status IS NOT NULL").groupBy("key").agg(worst["s"].alias("status"))

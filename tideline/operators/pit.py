@@ -14,7 +14,31 @@ from pyspark.sql import functions as F
 
 PERIOD = ["source", "series_id", "observed_period_end"]
 REVISION = ["available_at", "vintage_date", "revision_seq", "retrieved_at", "raw_sha256"]
-HEALTH = ["ok", "stale", "unavailable", "degraded", "revision_gap", "quota_exhausted", "rights_blocked", "schema_changed", "license_blocked"]
+#: Statuses from the mildest to the most severe.
+HEALTH = ["ok", "stale", "unavailable", "degraded", "revision_gap", "quota_exhausted", "rights_unconfirmed", "schema_changed", "license_blocked"]
+
+
+def severity(status: Column, order: list[str] = HEALTH) -> Column:
+    """Place of a status in ``order``. An unknown one is more severe than all; NULL, no status, has none."""
+    place = F.array_position(F.array(*map(F.lit, order)), status)
+    return F.when(status.isNotNull(), F.when(place > 0, place - 1).otherwise(len(order)))
+
+
+def instant(at: Column) -> Column:
+    """The instant of a time; dates and times without a zone are UTC, whatever the session's zone is."""
+    plain = at.cast("timestamp_ntz")
+    parts = [F.year(plain), F.month(plain), F.day(plain), F.hour(plain), F.minute(plain), F.date_part(F.lit("SECOND"), plain)]
+    return F.when(F.typeof(at).isin("timestamp_ntz", "date"), F.make_timestamp_ltz(*parts, F.lit("UTC"))).otherwise(at.cast("timestamp"))
+
+
+def utc_day(at: Column) -> Column:
+    """The UTC date of an instant."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(at) / 86_400).cast("int"))
+
+
+def _fixed(at: dt.datetime) -> Column:
+    """A time without a zone as the instant in UTC."""
+    return F.timestamp_micros(F.lit(round(at.replace(tzinfo=at.tzinfo or dt.UTC).timestamp() * 1_000_000)))
 
 
 def normalize_revisions(obs: DataFrame) -> DataFrame:
@@ -54,43 +78,66 @@ def snapshot_diff(existing: DataFrame, incoming: DataFrame, keys: list[str], val
     return old.join(new, keys, "full").withColumn("kind", kind).drop("_old", "_new")
 
 
-def snapshot_mode(diff: DataFrame, group: str) -> DataFrame:
-    """Counts per group and what to store: FULL without history, DEGRADED (nothing) if a period vanished, else DELTA."""
+def snapshot_mode(diff: DataFrame, group: list[str], available: str | None = None, retrieved: str | None = None) -> DataFrame:
+    """Per group: counts of each kind, the mode, whether the response is degraded, and how many rows are stored.
+
+    A group without history is stored in full, else the added and changed rows. It is degraded, and nothing is stored, if a
+    period vanished, or if a change was ``retrieved`` no later than what it changes was ``available``.
+    """
     count = lambda k: F.count(F.when(F.col("kind") == k, 1))
-    counts = diff.groupBy(group).agg(*[count(k).alias(f"n_{k}") for k in ("added", "changed", "unchanged", "removed")])
+    unsafe = (F.col("kind") == "changed") & (instant(F.col(retrieved)) <= instant(F.col(available))) if available else F.lit(False)
+    counts = diff.groupBy(*group).agg(*[count(k).alias(f"n_{k}") for k in ("added", "changed", "unchanged", "removed")], F.count(F.when(unsafe, 1)).alias("n_unsafe"))
     stored = F.col("n_changed") + F.col("n_unchanged") + F.col("n_removed")
-    mode = F.when(stored == 0, "full").when(F.col("n_removed") > 0, "degraded").otherwise("delta")
-    return counts.withColumn("mode", mode).withColumn("n_stored", F.when(mode == "degraded", F.lit(0)).otherwise(F.col("n_added") + F.col("n_changed")))
-
-
-def prospective_revisions(diff: DataFrame, discovered_at: dt.datetime, series: str, period: str) -> DataFrame:
-    """Changed or added rows become available when discovered; an added period before the latest stored one is a backfill."""
-    latest = F.max(F.when(F.col("kind") != "added", F.col(period))).over(Window.partitionBy(series))
-    return (
-        diff.withColumn("backfill", (F.col("kind") == "added") & F.coalesce(F.col(period) < latest, F.lit(False)))
-        .filter(F.col("kind").isin("added", "changed"))
-        .withColumn("available_at", F.lit(discovered_at))
+    degraded = (F.col("n_removed") > 0) | (F.col("n_unsafe") > 0)
+    return counts.withColumns(
+        {
+            "mode": F.when(stored == 0, "full").otherwise("delta"),
+            "status": F.when(degraded, "degraded").otherwise("ok"),
+            "n_stored": F.when(degraded, F.lit(0)).otherwise(F.col("n_added") + F.col("n_changed")),
+        }
     )
 
 
-def plan_windows(obs: DataFrame, cutoff: dt.date, overlap_days: int = 1) -> DataFrame:
-    """Next realtime window per series: from the last vintage less the overlap, or the cutoff if that is earlier, to the cutoff."""
-    last = obs.groupBy("source", "series_id").agg(F.max("vintage_date").alias("last_vintage"))
-    start = F.least(F.date_sub("last_vintage", overlap_days), F.lit(cutoff))
-    return last.select("source", "series_id", "last_vintage", start.alias("window_start"), F.lit(cutoff).alias("window_end"))
+def prospective_revisions(diff: DataFrame, series: list[str], period: str, available: str, retrieved: str) -> DataFrame:
+    """Added and changed rows with reason, available_at and reported_available_at.
+
+    A changed value, and an added period before the latest stored one (a backfill), become available when they were
+    ``retrieved``, and reported_available_at keeps what the provider says; a new period keeps its own ``available``.
+    """
+    latest = F.max(F.when(F.col("kind") != "added", F.col(period))).over(Window.partitionBy(*series))
+    backfill = (F.col("kind") == "added") & F.coalesce(F.col(period) < latest, F.lit(False))
+    reason = F.when(F.col("kind") == "changed", "provider_value_changed").when(backfill, "historical_backfill")
+    own, found = instant(F.col(available)), instant(F.col(retrieved))
+    rows = diff.withColumns({"reason": reason, "_own": own, "_found": found}).filter(F.col("kind").isin("added", "changed"))
+    moved = F.col("reason").isNotNull()
+    times = {"available_at": F.when(moved, F.col("_found")).otherwise(F.col("_own")), "reported_available_at": F.when(moved, F.col("_own"))}
+    return rows.withColumns(times).drop("_own", "_found")
+
+
+def plan_windows(obs: DataFrame, history_start: dt.date, cutoff: dt.date, keys: list[str] = ["source", "series_id"], overlap_days: int = 1) -> DataFrame:  # noqa: B006
+    """Next inclusive realtime window of each key: (keys, last_vintage, window_start, window_end, mode).
+
+    With one overlap day the last vintage is asked for again, with more the days before it too, but none before
+    ``history_start``. A key without a vintage is asked for in full, from ``history_start``. A vintage after ``cutoff``
+    fails the job.
+    """
+    last = obs.groupBy(*keys).agg(F.max("vintage_date").alias("last_vintage"))
+    late = F.raise_error(F.lit("the cutoff is before the last successful collection"))
+    start = F.when(F.col("last_vintage") > F.lit(cutoff), late.cast("date")).otherwise(F.greatest(F.date_sub("last_vintage", overlap_days - 1), F.lit(history_start)))
+    mode = F.when(F.col("last_vintage").isNull(), "full").otherwise("delta")
+    return last.select(*keys, "last_vintage", F.coalesce(start, F.lit(history_start)).alias("window_start"), F.lit(cutoff).alias("window_end"), mode.alias("mode"))
 
 
 def combine_health(statuses: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
-    """The most severe status of each key."""
-    severity = F.array_position(F.array(*map(F.lit, HEALTH)), F.col(status)) - 1
-    return statuses.groupBy(*keys).agg(F.max_by(status, severity).alias(status))
+    """The most severe status of each key; of several unknown ones the last by name."""
+    worst = F.max(F.when(F.col(status).isNotNull(), F.struct(severity(F.col(status)).alias("at"), F.col(status).alias("s"))))
+    return statuses.groupBy(*keys).agg(F.coalesce(worst["s"], F.lit("ok")).alias(status))
 
 
 def merge_results(results: DataFrame) -> DataFrame:
     """Merge collection results (source, status, records, issues): summed counts, ordered distinct issues, worst status; rows count only if ok."""
-    severity = F.array_position(F.array(*map(F.lit, HEALTH)), F.col("status"))
     return results.groupBy("source").agg(
-        F.max_by("status", severity).alias("status"),
+        F.max(F.struct(severity(F.col("status")).alias("at"), F.col("status").alias("s")))["s"].alias("status"),
         F.sum(F.when(F.col("status") == "ok", F.col("records")).otherwise(F.lit(0))).alias("records"),
         F.array_join(F.array_sort(F.collect_set("issue")), "; ").alias("issues"),
     )
@@ -105,7 +152,7 @@ def completeness(obs: DataFrame, expected: DataFrame, cutoffs: int, share: float
 
 def source_rows(obs: DataFrame, cutoff: dt.datetime) -> DataFrame:
     """Per source: latest availability, period range, and counts of usable and all rows."""
-    usable = F.col("available_at") <= F.lit(cutoff)
+    usable = instant(F.col("available_at")) <= _fixed(cutoff)
     return obs.groupBy("source").agg(
         F.max(F.when(usable, F.col("available_at"))).alias("latest_available"), F.min(F.when(usable, F.col("observed_period_end"))).alias("first_period"),
         F.max(F.when(usable, F.col("observed_period_end"))).alias("last_period"), F.count(F.when(usable, 1)).alias("n_usable"), F.count(F.lit(1)).alias("n_rows"),
@@ -114,7 +161,7 @@ def source_rows(obs: DataFrame, cutoff: dt.datetime) -> DataFrame:
 
 def rolling_budget(requests: DataFrame, key: str, at: str, tie: str, cap: int, seconds: int = 86_400) -> DataFrame:
     """Requests in the last 24 hours (the lower bound is strict), whether the cap is met, and when the next one is free."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    micros = F.unix_micros(instant(F.col(at)))
     order = Window.partitionBy(key).orderBy("_t")
     used = F.count(F.lit(1)).over(order.rangeBetween(-seconds * 1_000_000 + 1, 0))
     earlier = F.lag(at, cap - 1).over(Window.partitionBy(key).orderBy("_t", tie))
@@ -136,8 +183,8 @@ def year_chunks(ranges: DataFrame, years: int = 4) -> DataFrame:
 
 
 def date_available(vintage: Column, hour: int = 18, zone: str = "America/New_York") -> Column:
-    """A dated vintage counts as published at 18:00 in New York, so a Friday release misses the Friday 16:00 cutoff."""
-    return F.to_utc_timestamp(vintage.cast("timestamp") + F.expr(f"interval {hour} hours"), zone)
+    """The instant of 18:00 in New York on the vintage's day, so a Friday release misses the Friday 16:00 cutoff."""
+    return F.make_timestamp_ltz(F.year(vintage), F.month(vintage), F.day(vintage), F.lit(hour), F.lit(0), F.lit(0), F.lit(zone))
 
 
 @dataclass(frozen=True)
@@ -151,7 +198,7 @@ class WeeklyCalendar:
         """Index of the first cutoff at or after ``available_at`` whose UTC date is at or after ``period``."""
         week = 7 * 86_400 * 1_000_000
         zero = int(self.first.replace(tzinfo=dt.UTC).timestamp() * 1_000_000)
-        by_time = F.ceil((F.unix_micros(available_at.cast("timestamp")) - zero) / week)
+        by_time = F.ceil((F.unix_micros(instant(available_at)) - zero) / week)
         by_date = F.ceil(F.datediff(period, F.lit(self.first.date())) / 7)
         return F.greatest(by_time, by_date, F.lit(0)).cast("long")
 
@@ -200,14 +247,14 @@ def asof_panel(obs: DataFrame, required: DataFrame, calendar: WeeklyCalendar, ma
     """Every required (source, series_id) at every cutoff, with age, release lag, fill flag and status."""
     grid = required.select("source", "series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(calendar.count - 1).cast("long"))).alias("k"))
     joined = grid.join(asof_join(obs, calendar, include_missing), ["source", "series_id", "k"], "left").withColumn("cutoff", calendar.at(F.col("k")))
-    day = F.to_date("cutoff")
-    available = F.col("available_at").cast("timestamp")
+    day = utc_day(F.col("cutoff"))
+    available = instant(F.col("available_at"))
     age = F.unix_seconds("cutoff") - F.unix_seconds(available)
     status = F.when(available.isNull(), "unavailable").when(age > max_age_days * 86_400, "stale").otherwise("ok")
     return joined.withColumns(
         {
             "age_days": F.datediff(day, "observed_period_end"),
-            "release_lag_days": F.datediff(F.to_date(available), "observed_period_end"),
+            "release_lag_days": F.datediff(utc_day(available), "observed_period_end"),
             "is_filled": F.col("observed_period_end") < day,
             "quality_status": status,
         }

@@ -56,57 +56,70 @@ def r04(spark, sf_dir):
 
 
 def _snapshots(spark, sf_dir):
-    day = F.col("o_orderdate").cast("date")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("series_id"), day.alias("period"), "o_totalprice")
-    total = lambda df: df.groupBy("series_id", "period").agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    old = total(orders.filter((F.col("o_orderkey") % 3 != 0) & (F.col("period") < F.lit("1999-01-01").cast("date"))))
-    new = total(orders.filter((F.col("o_orderkey") % 5 != 0) & ~((F.col("series_id") == "5-LOW") & (F.col("period") < F.lit("1996-01-01").cast("date")))))
-    return pit.snapshot_diff(old, new, ["series_id", "period"], ["value"])
+    """Order values by priority and day: the stored ones are of finished lines, the new response is of all but returned lines."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("date").alias("period"))
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_linestatus", "l_returnflag", "l_shipdate")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("month", F.trunc("period", "month"))
+
+    def total(df, at):
+        return df.groupBy("series_id", "month", "period").agg(F.round(F.sum("l_extendedprice"), 2).alias("value"), F.max("l_shipdate").alias(at))
 
+    old = total(rows.filter("l_linestatus = 'F'"), "available_at")
+    new = total(rows.filter("l_returnflag <> 'R'"), "retrieved_at")
+    diff = pit.snapshot_diff(old.drop("available_at"), new.drop("retrieved_at"), ["series_id", "month", "period"], ["value"])
+    key = ["series_id", "month", "period"]
+    return diff.join(old.drop("value"), key, "left").join(new.drop("value"), key, "left")
 
-_DIFF = """o AS (SELECT o_orderkey AS k, o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS period, o_totalprice AS v FROM orders),
-a AS (SELECT series_id, period, round(sum(v), 2) AS old_value FROM o WHERE k % 3 <> 0 AND period < DATE '1999-01-01' GROUP BY 1, 2),
-b AS (SELECT series_id, period, round(sum(v), 2) AS value FROM o WHERE k % 5 <> 0 AND NOT (series_id = '5-LOW' AND period < DATE '1996-01-01') GROUP BY 1, 2),
-d AS (SELECT series_id, period, old_value, value, CASE WHEN a.series_id IS NULL THEN 'added' WHEN b.series_id IS NULL THEN 'removed' WHEN old_value = value THEN 'unchanged' ELSE 'changed' END AS kind
-      FROM (SELECT *, series_id AS s FROM a) a FULL JOIN b USING (series_id, period))"""
-_DIFF = _DIFF.replace("a.series_id IS NULL", "a.s IS NULL").replace("b.series_id IS NULL", "b.s IS NULL").replace("FULL JOIN b USING", "FULL JOIN (SELECT *, series_id AS s FROM b) b USING")
 
+_DIFF = """o AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS period, l_extendedprice AS v, l_linestatus AS st, l_returnflag AS rf, l_shipdate AS sh FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+a AS (SELECT series_id, period, round(sum(v), 2) AS old_value, max(sh) AS available_at FROM o WHERE st = 'F' GROUP BY 1, 2),
+b AS (SELECT series_id, period, round(sum(v), 2) AS value, max(sh) AS retrieved_at FROM o WHERE rf <> 'R' GROUP BY 1, 2),
+d AS (SELECT series_id, CAST(date_trunc('month', period) AS DATE) AS month, period, old_value, value, available_at, retrieved_at,
+ CASE WHEN available_at IS NULL THEN 'added' WHEN retrieved_at IS NULL THEN 'removed' WHEN old_value = value THEN 'unchanged' ELSE 'changed' END AS kind FROM a FULL JOIN b USING (series_id, period))"""
 
-@register("r05_j10_snapshot_diff", f"WITH {_DIFF} SELECT * FROM d", dates=("period",))
+
+@register("r05_j10_snapshot_diff", f"WITH {_DIFF} SELECT series_id, period, old_value, value, kind FROM d", dates=("period",))
 def r05(spark, sf_dir):
-    return _snapshots(spark, sf_dir)
+    return _snapshots(spark, sf_dir).select("series_id", "period", "old_value", "value", "kind")
 
 
 @register(
     "r05_snapshot_mode",
-    f"WITH {_DIFF}, c AS (SELECT series_id, count(*) FILTER (kind = 'added') AS n_added, count(*) FILTER (kind = 'changed') AS n_changed, count(*) FILTER (kind = 'unchanged') AS n_unchanged, count(*) FILTER (kind = 'removed') AS n_removed FROM d GROUP BY 1), m AS (SELECT *, CASE WHEN n_changed + n_unchanged + n_removed = 0 THEN 'full' WHEN n_removed > 0 THEN 'degraded' ELSE 'delta' END AS mode FROM c) SELECT *, CASE WHEN mode = 'degraded' THEN 0 ELSE n_added + n_changed END AS n_stored FROM m",
-    dates=(),
+    f"""WITH {_DIFF}, c AS (SELECT series_id, month, count(*) FILTER (kind = 'added') AS n_added, count(*) FILTER (kind = 'changed') AS n_changed, count(*) FILTER (kind = 'unchanged') AS n_unchanged, count(*) FILTER (kind = 'removed') AS n_removed,
+ count(*) FILTER (kind = 'changed' AND retrieved_at <= available_at) AS n_unsafe FROM d GROUP BY 1, 2)
+SELECT *, CASE WHEN n_changed + n_unchanged + n_removed = 0 THEN 'full' ELSE 'delta' END AS mode, CASE WHEN n_removed + n_unsafe > 0 THEN 'degraded' ELSE 'ok' END AS status, CASE WHEN n_removed + n_unsafe > 0 THEN 0 ELSE n_added + n_changed END AS n_stored FROM c""",
+    dates=("month",),
 )
 def r05_mode(spark, sf_dir):
-    return pit.snapshot_mode(_snapshots(spark, sf_dir), "series_id")
+    return pit.snapshot_mode(_snapshots(spark, sf_dir), ["series_id", "month"], "available_at", "retrieved_at")
 
 
 @register(
     "r06_prospective_revision",
-    f"WITH {_DIFF}, l AS (SELECT *, max(CASE WHEN kind <> 'added' THEN period END) OVER (PARTITION BY series_id) AS latest FROM d) SELECT series_id, period, old_value, value, kind, kind = 'added' AND coalesce(period < latest, false) AS backfill, TIMESTAMP '2002-01-04 21:00:00' AS available_at FROM l WHERE kind IN ('added', 'changed')",
-    dates=("period", "available_at"),
+    f"""WITH {_DIFF}, l AS (SELECT *, max(CASE WHEN kind <> 'added' THEN period END) OVER (PARTITION BY series_id) AS latest FROM d),
+r AS (SELECT *, CASE WHEN kind = 'changed' THEN 'provider_value_changed' WHEN period < latest THEN 'historical_backfill' END AS reason FROM l WHERE kind IN ('added', 'changed'))
+SELECT series_id, period, old_value, value, kind, reason, retrieved_at AS available_at, CASE WHEN reason IS NOT NULL THEN CAST(period AS TIMESTAMP) END AS reported_available_at FROM r""".replace("retrieved_at AS available_at,", "CASE WHEN reason IS NULL THEN CAST(period AS TIMESTAMP) ELSE retrieved_at END AS available_at,"),
+    dates=("period", "available_at", "reported_available_at"),
 )
 def r06(spark, sf_dir):
-    return pit.prospective_revisions(_snapshots(spark, sf_dir), dt.datetime(2002, 1, 4, 21), "series_id", "period")
+    """The provider reports a period as available on its day."""
+    found = pit.prospective_revisions(_snapshots(spark, sf_dir), ["series_id"], "period", "period", "retrieved_at")
+    return found.select("series_id", "period", "old_value", "value", "kind", "reason", "available_at", "reported_available_at")
 
 
 @register(
     "r07_plan_windows",
-    f"WITH {OBS_SQL}, l AS (SELECT source, series_id, max(vintage_date) AS last_vintage FROM obs WHERE available_at <= TIMESTAMP '1998-01-02 21:00:00' GROUP BY 1, 2) SELECT *, least(last_vintage - 1, DATE '1998-01-02') AS window_start, DATE '1998-01-02' AS window_end FROM l",
-    dates=("last_vintage", "window_start", "window_end"),
+    f"""WITH {OBS_SQL}, l AS (SELECT source, series_id, observed_period_end, max(vintage_date) AS last_vintage FROM obs GROUP BY 1, 2, 3)
+SELECT *, greatest(last_vintage - 6, DATE '1997-01-01') AS window_start, DATE '2003-01-03' AS window_end, 'delta' AS mode FROM l""",
+    dates=("observed_period_end", "last_vintage", "window_start", "window_end"),
 )
 def r07(spark, sf_dir):
-    obs = order_observations(spark, sf_dir).filter(F.col("available_at").cast("timestamp") <= F.lit(CUTOFF))
-    return pit.plan_windows(obs, CUTOFF.date())
+    """The next window of every period, a week of overlap with its last vintage."""
+    return pit.plan_windows(order_observations(spark, sf_dir), dt.date(1997, 1, 1), dt.date(2003, 1, 3), ["source", "series_id", "observed_period_end"], overlap_days=7)
 
 
-_STATUS = "CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'stale' WHEN 'signup' THEN 'unavailable' WHEN 'purchase' THEN 'degraded' ELSE 'schema_changed' END"
-_SEVERITY = "list_position(['ok', 'stale', 'unavailable', 'degraded', 'revision_gap', 'quota_exhausted', 'rights_blocked', 'schema_changed', 'license_blocked'], s)"
+_STATUS = "CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'stale' WHEN 'signup' THEN 'unavailable' WHEN 'purchase' THEN 'rights_unconfirmed' ELSE 'schema_changed' END"
+_SEVERITY = "list_position(['ok', 'stale', 'unavailable', 'degraded', 'revision_gap', 'quota_exhausted', 'rights_unconfirmed', 'schema_changed', 'license_blocked'], s)"
 
 
 def _statuses(spark, sf_dir):
@@ -269,4 +282,4 @@ def j11(spark, sf_dir):
 )
 def s08(spark, sf_dir):
     obs = order_observations(spark, sf_dir)
-    return obs.filter(F.col("series_id").isin("1-URGENT", "5-LOW") & (F.col("available_at").cast("timestamp") <= F.lit(CUTOFF))).select(_SLIM)
+    return obs.filter(F.col("series_id").isin("1-URGENT", "5-LOW") & (F.col("available_at") <= F.lit("1998-01-02 21:00:00").cast("timestamp_ntz"))).select(_SLIM)
