@@ -45,26 +45,32 @@ def walk_forward(states: DataFrame, min_train: int, gap: int = 1) -> DataFrame:
     return rows.select("series_id", F.col("week").alias("origin"), "target_week", F.col("pos").cast("long").alias("pos"), F.col("state").alias("current_state"), F.col("next").alias("actual"), total.cast("long").alias("train_size"), F.inline(forecasts))
 
 
+def hazard_rows(states: DataFrame, min_train: int, h: int) -> DataFrame:
+    """(series_id, origin, horizon, current_state, event, train_size, model, p_change) of every origin for one horizon; the
+    event, a departure within it, is NULL while the horizon is open."""
+    order = Window.partitionBy("series_id").orderBy("week")
+    ahead, prefix = order.rowsBetween(1, h), order.rowsBetween(Window.unboundedPreceding, -(h + 1))
+    event = F.when(F.count("state").over(ahead) == h, F.size(F.filter(F.collect_list("state").over(ahead), lambda s: s != F.col("state"))) > 0)
+    rows = states.withColumn("event", event).withColumns({"pos": F.row_number().over(order) - 1, "next": F.lead("state").over(order)})
+    own = {f"s_{i}": F.sum(((F.col("state") == a) & (F.col("next") == a)).cast("int")).over(prefix) for i, a in enumerate(STATES)}
+    all_ = {f"n_{i}": F.sum((F.col("state") == a).cast("int")).over(prefix) for i, a in enumerate(STATES)}
+    rows = rows.withColumns(own | all_ | {"n": F.count("event").over(prefix), "k": F.sum(F.col("event").cast("int")).over(prefix)})
+    pick = lambda x: F.when(F.col("state") == STATES[0], F.col(f"{x}_0")).when(F.col("state") == STATES[1], F.col(f"{x}_1")).otherwise(F.col(f"{x}_2"))
+    stay = (pick("s") + 1) / (pick("n") + 3)
+    forecasts = F.array(
+        F.struct(F.lit("empirical_hazard").alias("model"), ((F.col("k") + 1) / (F.col("n") + 2)).alias("p_change")),
+        F.struct(F.lit("markov_hazard").alias("model"), (1 - F.pow(stay, h)).alias("p_change")),
+    )
+    return rows.filter(F.col("pos") >= min_train + h).select(
+        "series_id", F.col("week").alias("origin"), F.lit(h).cast("long").alias("horizon"), F.col("state").alias("current_state"), "event", F.col("n").alias("train_size"), F.inline(forecasts)
+    )
+
+
 def hazards(states: DataFrame, min_train: int, horizons=(1, 4, 13)) -> DataFrame:
     """Departure probabilities within each horizon: the share of past events, and 1 - stay**h of the Markov row."""
-    order = Window.partitionBy("series_id").orderBy("week")
     out = None
     for h in horizons:
-        ahead, prefix = order.rowsBetween(1, h), order.rowsBetween(Window.unboundedPreceding, -(h + 1))
-        event = F.when(F.count("state").over(ahead) == h, F.size(F.filter(F.collect_list("state").over(ahead), lambda s: s != F.col("state"))) > 0)
-        rows = states.withColumn("event", event).withColumns({"pos": F.row_number().over(order) - 1, "next": F.lead("state").over(order)})
-        own = {f"s_{i}": F.sum(((F.col("state") == a) & (F.col("next") == a)).cast("int")).over(prefix) for i, a in enumerate(STATES)}
-        all_ = {f"n_{i}": F.sum((F.col("state") == a).cast("int")).over(prefix) for i, a in enumerate(STATES)}
-        rows = rows.withColumns(own | all_ | {"n": F.count("event").over(prefix), "k": F.sum(F.col("event").cast("int")).over(prefix)})
-        pick = lambda x: F.when(F.col("state") == STATES[0], F.col(f"{x}_0")).when(F.col("state") == STATES[1], F.col(f"{x}_1")).otherwise(F.col(f"{x}_2"))
-        stay = (pick("s") + 1) / (pick("n") + 3)
-        forecasts = F.array(
-            F.struct(F.lit("empirical_hazard").alias("model"), ((F.col("k") + 1) / (F.col("n") + 2)).alias("p_change")),
-            F.struct(F.lit("markov_hazard").alias("model"), (1 - F.pow(stay, h)).alias("p_change")),
-        )
-        part = rows.filter((F.col("pos") >= min_train + h) & F.col("event").isNotNull()).select(
-            "series_id", F.col("week").alias("origin"), F.lit(h).cast("long").alias("horizon"), F.col("state").alias("current_state"), F.col("event").alias("actual_change"), F.inline(forecasts)
-        )
+        part = hazard_rows(states, min_train, h).filter("event IS NOT NULL").withColumnRenamed("event", "actual_change").drop("train_size")
         out = part if out is None else out.unionByName(part)
     return out
 

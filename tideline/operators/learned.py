@@ -227,11 +227,14 @@ def hazards(frame: DataFrame, features: list[str], min_train: int, horizons: tup
 
 
 def platt(forecasts: DataFrame, keys: list[str], least: int = 26) -> DataFrame:
-    """``forecasts`` (keys, origin, horizon, actual_change, p_change) with p_calibrated and calibration_fallback.
+    """``forecasts`` (keys, origin, horizon, evaluation_split, actual_change, p_change) with p_calibrated and calibration_fallback.
 
-    A forecast is calibrated by a logistic fit on the logits of the group's earlier forecasts whose horizon ended before
-    its origin. With fewer than ``least`` of these, or fewer than three of either outcome, it stays as it is.
+    A forecast is calibrated by a logistic fit on the logits of the group's selection forecasts whose horizon ended before
+    its origin, so from the cutoff on the fit no longer changes (without the column, all are selection). With fewer than ``least`` of these, or fewer than three of
+    either outcome, it stays as it is.
     """
+    if "evaluation_split" not in forecasts.columns:
+        forecasts = forecasts.withColumn("evaluation_split", F.lit("selection"))
     types = dict(forecasts.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -240,16 +243,17 @@ def platt(forecasts: DataFrame, keys: list[str], least: int = 26) -> DataFrame:
         logit, y = np.log(p / (1 - p)), rows["actual_change"].to_numpy(bool).astype(int)
         week = pd.to_datetime(rows["origin"])
         end = (week + pd.to_timedelta(7 * rows["horizon"], unit="D")).to_numpy()
+        usable = (rows["evaluation_split"] == "selection").to_numpy()
         out, fell, w = p.copy(), np.ones(len(rows), dtype=bool), None
         for k, origin in enumerate(week.to_numpy()):
-            past = end < origin
+            past = usable & (end < origin)
             if past.sum() < least or min(y[past].sum(), (1 - y[past]).sum()) < 3:
                 continue
             w = multinomial(logit[past][:, None], y[past], 2, PLATT_C, w)
             out[k], fell[k] = np.clip(softmax(np.array([[1.0, logit[k]]]) @ w.T)[0, 1], EDGE, 1 - EDGE), False
         return rows[kept].assign(p_calibrated=out, calibration_fallback=fell)
 
-    kept = [*keys, "origin", "actual_change", "p_change"]
+    kept = [*keys, "origin", "evaluation_split", "actual_change", "p_change"]
     if "horizon" not in kept:
         kept.insert(len(keys) + 1, "horizon")
     schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", p_calibrated double, calibration_fallback boolean"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import rounded
-from tideline.operators import labels, learned, metrics, selection
+from tideline.operators import labels, learned, metrics, selection, transitions
 from tideline.operators.labels import STATES, STRESS, TREND
 from tideline.plans.forecast_queries import BASE, BASELINES, COMPLEXITY, HAZ, SPLIT, TRAIN_WEEKS, _fitted, hazards, walk
 from tideline.plans.registry import register
@@ -66,7 +66,7 @@ def t04(spark, sf_dir):
 @register("t07_platt_calibration", dates=())
 def t07(spark, sf_dir):
     raw = materialize(learned.hazards(_inputs(spark, sf_dir), FEATURES, TRAIN_WEEKS, (1, 4)), "raw-hazards")
-    return rounded(learned.platt(raw, ["series_id", "horizon", "model"]))
+    return rounded(learned.platt(transitions.with_split(raw, SPLIT), ["series_id", "horizon", "model"]))
 
 
 @register("v12_gated_champion", dates=())
