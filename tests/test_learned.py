@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 
-from tideline.operators import learned
+from tideline.operators import discriminant, learned
 from tideline.operators.labels import STATES
 
 
@@ -119,3 +119,77 @@ def test_hurdle_moves_to_neighbours_only(spark):
     flat = learned.hurdle(spark.createDataFrame(still, SCHEMA), ["score", "noise"], 50).collect()
     assert {r.fallback_reason for r in flat} == {"hazard_class_missing;destination_class_missing"}
     assert all(math.isclose(r.p_change, 1 / (r.train_size + 2)) and math.isclose(r.p_transition, r.p_change) for r in flat)
+
+
+def plain_discriminant(rows, y, x):
+    """A refit over the rows: per-class shrinkage in units of deviations, pooled by shares."""
+    shares, means, pooled = {}, {}, 0
+    for k in np.unique(y):
+        own = rows[y == k]
+        n, p = own.shape
+        means[k], shares[k] = own.mean(axis=0), n / len(rows)
+        scale = own.std(axis=0)
+        scale[scale < 1e-9] = 1.0
+        z = (own - means[k]) / scale
+        emp = z.T @ z / n
+        mu = np.trace(emp) / p
+        target = mu * np.eye(p)
+        spread = ((emp - target) ** 2).sum() / p
+        noise = sum(((np.outer(r, r) - emp) ** 2).sum() for r in z) / (n * n * p)
+        intensity = 0 if spread == 0 else min(noise, spread) / spread
+        pooled = pooled + shares[k] * ((1 - intensity) * emp + intensity * target) * np.outer(scale, scale)
+    scores = np.full(3, -np.inf)
+    for k, m in means.items():
+        c = np.linalg.lstsq(pooled, m, rcond=None)[0]
+        scores[k] = c @ x - m @ c / 2 + np.log(shares[k])
+    e = np.exp(scores - scores.max())
+    p = np.clip(e / e.sum(), 1e-9, 1)
+    return p / p.sum()
+
+
+def test_discriminant_equals_a_refit_at_every_origin(spark):
+    rows = panel(120)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r.pos: r for r in discriminant.walk_forward(frame, ["score", "noise"], 40, block=16).collect()}
+    assert sorted(got) == list(range(41, 119))
+    y = np.array([STATES.index(r[2]) for r in rows[1:]])
+    x = np.array([[r[3], np.nan if r[4] is None else r[4]] for r in rows])
+    for pos, r in got.items():
+        use = [k for k in range(pos - 1) if np.isfinite(x[k]).all()]
+        assert r.train_size == len(use) and r.fallback == bool(pos % 17 == 0)
+        if not r.fallback:
+            assert np.allclose([r[f"p_{s}"] for s in STATES], plain_discriminant(x[use], y[use], x[pos]), atol=1e-7)
+    one_block = {r.pos: r for r in discriminant.walk_forward(frame, ["score", "noise"], 40, block=500).collect()}
+    assert all(math.isclose(got[k].p_risk_on, one_block[k].p_risk_on, abs_tol=1e-8) for k in got)
+    assert discriminant.walk_forward(frame.limit(0), ["score", "noise"], 40).count() == 0
+
+
+def test_shrinkage_intensity():
+    draw = np.random.default_rng(2)
+    for n, p in ((8, 5), (400, 3)):
+        x = draw.normal(size=(n, p)) @ draw.normal(size=(p, p)) + 3
+        own = discriminant.Moments(p)
+        for row in x:
+            own.add(row)
+        mean, cov, intensity = own.shrunk()
+        z = (x - x.mean(axis=0)) / x.std(axis=0)
+        emp = z.T @ z / n
+        noise = sum(((np.outer(r, r) - emp) ** 2).sum() for r in z) / (n * n)
+        want = min(1.0, noise / ((emp - np.eye(p)) ** 2).sum())
+        assert np.allclose(mean, x.mean(axis=0)) and math.isclose(intensity, want, rel_tol=1e-6)
+        assert np.allclose(cov, ((1 - want) * emp + want * np.eye(p)) * np.outer(x.std(axis=0), x.std(axis=0)), rtol=1e-6)
+
+
+def test_blocks_of_origins_change_nothing(spark, monkeypatch):
+    frame = spark.createDataFrame(panel(100), SCHEMA)
+    keyed = lambda df, *k: {tuple(r[c] for c in k): r.p_risk_on if "p_risk_on" in r else r.p_change for r in df.collect()}
+    runs = []
+    for block in (1000, 16):
+        monkeypatch.setattr(learned, "ORIGINS", block)
+        runs.append(
+            keyed(learned.walk_forward(frame, ["score", "noise"], 40), "origin", "model")
+            | keyed(learned.hurdle(frame, ["score", "noise"], 40), "origin", "model")
+            | keyed(learned.hazards(frame, ["score", "noise"], 40, (1, 4)), "origin", "model", "horizon")
+        )
+    assert runs[0].keys() == runs[1].keys() and len(runs[0]) == 2 * 58 + 58 + 58 + 52
+    assert all(math.isclose(runs[0][k], runs[1][k], abs_tol=1e-6) for k in runs[0])

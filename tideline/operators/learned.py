@@ -1,8 +1,8 @@
 """Learned candidates: walk-forward logistic forecasts per series, and pyspark.ml classifiers fitted on a split.
 
 The logistic candidates are refitted at every origin, as the baselines are, on the rows that a purge of ``gap`` weeks
-leaves. A group is one series of weeks, so series spread over the cluster and a fit is a few Newton steps from the fit of
-the origin before. Features are imputed by the median of the training rows, with an indicator where a value is missing,
+leaves. A group is one series and one block of ``ORIGINS`` origins, with the weeks up to them, so tasks grow with the origins
+even of a single series, and a fit is a few Newton steps from the fit of the origin before. Features are imputed by the median of the training rows, with an indicator where a value is missing,
 and standardised by them; nothing of a later row enters a forecast.
 
 The elastic net, forests and boosted trees are fitted once by pyspark.ml, on the selection rows of all series together,
@@ -15,6 +15,8 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from tideline.operators.labels import STATES
 
 FLOOR = 1e-9
+ORIGINS = 64
 #: Inverse penalties of the logistic candidates, and whether the current state is a feature.
 CANDIDATES = {"ridge_logistic": (0.10, False), "transition_logistic": (0.05, True)}
 HAZARD_C = 0.025
@@ -86,6 +89,22 @@ def _forecasts(features: np.ndarray, state: np.ndarray, target: np.ndarray, know
     return out, fell
 
 
+def by_origins(frame: DataFrame, features: list[str], reach: int, run: Callable[[pd.DataFrame, range], pd.DataFrame], schema: str, block: int = 0) -> DataFrame:
+    """``run`` over the rows of a series up to each block of origins and ``reach`` weeks behind it, sorted by week, and the
+    block's range of positions among the rows with a state."""
+    block = block or ORIGINS
+    order = Window.partitionBy("series_id").orderBy("week")
+    rows = frame.select("series_id", "week", "state", *[F.col(c).cast("double").alias(c) for c in features]).filter(F.col("state").isin(*STATES))
+    rows = rows.withColumns({"_pos": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("series_id"))})
+    first = F.greatest(F.floor((F.col("_pos") - reach) / block), F.lit(0)).cast("int")
+    needed = rows.withColumn("_block", F.explode(F.sequence(first, F.floor((F.col("_n") - 1) / block).cast("int"))))
+
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return run(part.sort_values("week"), range(key[1] * block, (key[1] + 1) * block))
+
+    return needed.groupBy("series_id", "_block").applyInPandas(one, schema)
+
+
 def walk_forward(frame: DataFrame, features: list[str], min_train: int, gap: int = 1) -> DataFrame:
     """Next-state forecasts of the logistic candidates at every origin of (series_id, week, state, features).
 
@@ -93,10 +112,9 @@ def walk_forward(frame: DataFrame, features: list[str], min_train: int, gap: int
     """
     code = {s: k for k, s in enumerate(STATES)}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["state"].isin(STATES)].sort_values("week")
+    def run(rows: pd.DataFrame, own: range) -> pd.DataFrame:
         n, out = len(rows), []
-        origins = [*range(min_train + gap, n - 1)]
+        origins = [k for k in range(min_train + gap, n - 1) if k in own]
         if not origins:
             return pd.DataFrame(columns=names)
         state = rows["state"].map(code).to_numpy()
@@ -124,7 +142,7 @@ def walk_forward(frame: DataFrame, features: list[str], min_train: int, gap: int
     columns = ["series_id string", "origin date", "target_week date", "pos long", "current_state string", "actual string", "train_size long", "model string"]
     columns += [*(f"p_{s} double" for s in STATES), "fallback boolean"]
     names = [c.split()[0] for c in columns]
-    return frame.select("series_id", "week", "state", *[F.col(c).cast("double").alias(c) for c in features]).groupBy("series_id").applyInPandas(run, ", ".join(columns))
+    return by_origins(frame, features, 1, run, ", ".join(columns))
 
 
 def _hurdle(x: np.ndarray, state: np.ndarray, target: np.ndarray, rows: np.ndarray, p: int, c: float, warm: dict) -> tuple[np.ndarray, str]:
@@ -169,9 +187,8 @@ def hurdle(frame: DataFrame, features: list[str], min_train: int, gap: int = 1,
     """
     code = {s: k for k, s in enumerate(STATES)}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["state"].isin(STATES)].sort_values("week")
-        origins = [*range(min_train + gap, len(rows) - 1)]
+    def run(rows: pd.DataFrame, own: range) -> pd.DataFrame:
+        origins = [k for k in range(min_train + gap, len(rows) - 1) if k in own]
         if not origins:
             return pd.DataFrame(columns=names)
         state = rows["state"].map(code).to_numpy()
@@ -188,7 +205,7 @@ def hurdle(frame: DataFrame, features: list[str], min_train: int, gap: int = 1,
     columns = ["series_id string", "origin date", "target_week date", "pos long", "current_state string", "actual string", "train_size long", "model string"]
     columns += [*(f"p_{s} double" for s in STATES), "p_change double", "fallback boolean", "fallback_reason string"]
     names = [c.split()[0] for c in columns]
-    return frame.select("series_id", "week", "state", *[F.col(c).cast("double").alias(c) for c in features]).groupBy("series_id").applyInPandas(run, ", ".join(columns))
+    return by_origins(frame, features, 1, run, ", ".join(columns))
 
 
 def hazards(frame: DataFrame, features: list[str], min_train: int, horizons: tuple[int, ...] = (1, 4, 13)) -> DataFrame:
@@ -199,14 +216,13 @@ def hazards(frame: DataFrame, features: list[str], min_train: int, horizons: tup
     """
     code = {s: k for k, s in enumerate(STATES)}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["state"].isin(STATES)].sort_values("week")
+    def run(rows: pd.DataFrame, own: range) -> pd.DataFrame:
         state, n, out = rows["state"].map(code).to_numpy(), len(rows), []
         x = np.column_stack([rows[features].to_numpy(float), np.eye(len(STATES))[state]])
         for h in horizons:
             known = np.arange(n) + h < n
             left = np.array([bool((state[k + 1 : k + 1 + h] != state[k]).any()) for k in range(n)])
-            origins = [*range(min_train + h, n - h)]
+            origins = [k for k in range(min_train + h, n - h) if k in own]
             if not origins:
                 continue
             p, fell = _forecasts(x, state, left.astype(int), known, origins, h, HAZARD_C, 2)
@@ -223,7 +239,7 @@ def hazards(frame: DataFrame, features: list[str], min_train: int, horizons: tup
 
     schema = "series_id string, origin date, horizon long, model string, current_state string, actual_change boolean, p_change double, fallback boolean"
     names = [c.split()[0] for c in schema.split(", ")]
-    return frame.select("series_id", "week", "state", *[F.col(c).cast("double").alias(c) for c in features]).groupBy("series_id").applyInPandas(run, schema)
+    return by_origins(frame, features, max(horizons), run, schema)
 
 
 def platt(forecasts: DataFrame, keys: list[str], least: int = 26) -> DataFrame:
@@ -273,7 +289,11 @@ SPLIT_MODELS = {"elastic": "elastic_net_logistic", "forest": "random_forest", "b
 ELASTIC_C, ELASTIC_L1 = 0.5, 0.25
 
 
-def split_pipeline(kind: str, features: list[str], rows: int):
+#: Trees of a forest and boosting rounds by profile.
+PROFILES = {"quick": (24, 40), "standard": (160, 160), "full": (350, 300)}
+
+
+def split_pipeline(kind: str, features: list[str], rows: int, profile: str = "standard"):
     """Median imputation, missing-value indicators and a pyspark.ml classifier: ``elastic``, ``forest`` or ``boosted``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -287,13 +307,13 @@ def split_pipeline(kind: str, features: list[str], rows: int):
     if kind == "elastic":  # a mean loss takes the penalty of a summed one divided by the rows
         last = LogisticRegression(family="multinomial", elasticNetParam=ELASTIC_L1, regParam=1 / (ELASTIC_C * max(rows, 1)), maxIter=200, tol=1e-6, labelCol="label", weightCol="weight")
     elif kind == "forest":
-        last = RandomForestClassifier(numTrees=24, maxDepth=6, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=17, labelCol="label", weightCol="weight")
+        last = RandomForestClassifier(numTrees=PROFILES[profile][0], maxDepth=6, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=17, labelCol="label", weightCol="weight")
     else:
-        last = OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=2, stepSize=0.04, minInstancesPerNode=8, seed=17), labelCol="label")
+        last = OneVsRest(classifier=GBTClassifier(maxIter=PROFILES[profile][1], maxDepth=2, stepSize=0.04, minInstancesPerNode=8, seed=17), labelCol="label")
     return Pipeline(stages=[*stages, last])
 
 
-def split_forecasts(frame: DataFrame, features: list[str], kind: str, cutoff: str) -> DataFrame:
+def split_forecasts(frame: DataFrame, features: list[str], kind: str, cutoff: str, profile: str = "standard") -> DataFrame:
     """Forecasts of the weeks from ``cutoff`` on, by a classifier fitted on all rows whose next week is before it."""
     from pyspark.ml.functions import vector_to_array
 
@@ -311,7 +331,7 @@ def split_forecasts(frame: DataFrame, features: list[str], kind: str, cutoff: st
     else:
         total = sum(sizes.values())
         weight = sum(F.when(F.col("label") == k, total / (len(sizes) * n)).otherwise(0.0) for k, n in sizes.items())
-        model = split_pipeline(kind, features, total).fit(train.withColumn("weight", weight))
+        model = split_pipeline(kind, features, total, profile).fit(train.withColumn("weight", weight))
         raw = "rawPrediction" if kind == "boosted" else "probability"
         scores = vector_to_array(F.col(raw))
         value = lambda k: F.coalesce(F.get(F.col("_scores"), F.lit(k)), F.lit(0.0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import rounded
-from tideline.operators import labels, learned, metrics, selection, transitions
+from tideline.operators import discriminant, labels, learned, metrics, selection, transitions
 from tideline.operators.labels import STATES, STRESS, TREND
 from tideline.plans.forecast_queries import BASE, BASELINES, COMPLEXITY, HAZ, SPLIT, TRAIN_WEEKS, _fitted, hazards, walk
 from tideline.plans.registry import register
@@ -43,6 +43,12 @@ def m15(spark, sf_dir):
     return rounded(learned.hurdle(_inputs(spark, sf_dir), FEATURES, TRAIN_WEEKS))
 
 
+@register("m08_shrinkage_discriminant", dates=())
+def m08(spark, sf_dir):
+    """Not in SQL: every origin solves a small system; tests compare it with a plain refit."""
+    return rounded(discriminant.walk_forward(_inputs(spark, sf_dir), FEATURES, TRAIN_WEEKS))
+
+
 @register("m05_elastic_net", dates=())
 def m05(spark, sf_dir):
     return rounded(learned.split_forecasts(_inputs(spark, sf_dir), FEATURES, "elastic", SPLIT))
