@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.plans.registry import register
 from tideline.session import checkpoint_root, read_table
-from tideline.sources import snapshots
+from tideline.sources import readers, snapshots
 from tideline.sources.observations import OBS_SQL, order_observations
 
 
@@ -98,3 +98,51 @@ def k01(spark, sf_dir):
         else:
             snapshots.append_snapshot(own, root, status, {"source": "orders", "token": status})
     return snapshots.committed(spark, root, "series_id string, observed_period_end date, value double")[1]
+
+
+VINTAGES = [f"{y}-12-31" for y in range(1995, 2002)]
+
+
+@register(
+    "s03_full_vintages",
+    f"""WITH o AS (SELECT o_orderpriority AS s, CAST(date_trunc('week', o_orderdate) AS DATE) + 4 AS week, l_extendedprice AS v, l_shipdate AS sh FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+c AS (SELECT s, week, vd, round(sum(v) FILTER (sh < vd + 1), 2) AS v FROM o, (SELECT unnest([{', '.join(f"DATE '{v}'" for v in VINTAGES)}]) AS vd) GROUP BY 1, 2, 3),
+m AS (SELECT s, CAST(date_trunc('month', week) AS DATE) AS month, vd, sum(v) AS v FROM c GROUP BY 1, 2, 3),
+k AS (SELECT *, lag(v) OVER (PARTITION BY s, month ORDER BY vd) AS before FROM m)
+SELECT s AS series_id, month AS observed_period_end, vd AS vintage_date, round(v, 2) AS value, row_number() OVER (PARTITION BY s, month ORDER BY vd) - 1 AS revision_seq FROM k WHERE round(v, 4) IS DISTINCT FROM round(before, 4)""",
+    dates=("observed_period_end", "vintage_date"),
+)
+def s03(spark, sf_dir):
+    """Whole vintages, one a year: the weekly order value shipped by then, aggregated to months inside a vintage."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("series_id"), F.date_add(F.trunc(F.col("o_orderdate").cast("date"), "week"), 4).alias("period"))
+    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", F.col("l_shipdate").cast("date").alias("shipped")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    sums = rows.groupBy("series_id", "period").agg(*[F.round(F.sum(F.when(F.col("shipped") <= F.lit(v).cast("date"), F.col("l_extendedprice"))), 2).cast("decimal(18,2)").cast("string").alias(v) for v in VINTAGES])
+    cells = [x for v in VINTAGES for x in (F.concat_ws("_", "series_id", F.lit(v.replace("-", ""))), F.coalesce(F.col(v), F.lit(".")))]
+    good, rejected = readers.full_vintages(sums.select("series_id", "period", F.create_map(*cells).alias("cells")), VINTAGES, frequency="month", method="sum")
+    return good.withColumns({"value": F.round("value", 2), "revision_seq": F.col("revision_seq").cast("long")})
+
+
+@register(
+    "s11_strict_json",
+    "WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, CAST(round(value * 100) AS BIGINT) NOT BETWEEN -32768 AND 32767 AS rejected FROM events) SELECT event_id, CASE WHEN NOT rejected THEN k END AS k, rejected FROM e",
+    dates=(),
+)
+def s11_json(spark, sf_dir):
+    """Events as JSON lines, read with cents of two bytes: rows that do not fit are kept as text."""
+    folder = f"{checkpoint_root(spark)}/tideline/json-{uuid.uuid4().hex}"
+    cents = F.round(F.col("value") * 100).cast("long").alias("cents")
+    read_table(spark, sf_dir, "events").select("event_id", cents, "event_type", F.from_json("props", "k int").alias("props")).write.json(folder)
+    good, bad = readers.read_json(spark, folder, "event_id long, cents smallint, event_type string, props struct<k:int>", required=["event_id"])
+    lost = bad.select(F.get_json_object("record", "$.event_id").cast("long").alias("event_id"), F.lit(None).cast("int").alias("k"), F.lit(True).alias("rejected"))
+    return good.select("event_id", "props.k", F.lit(False).alias("rejected")).unionByName(lost)
+
+
+@register("s11_strict_csv", "SELECT o_orderkey, CASE WHEN o_custkey <= 127 THEN round(o_totalprice, 2) END AS price, o_custkey > 127 AS rejected FROM orders", dates=())
+def s11_csv(spark, sf_dir):
+    """Orders as CSV with a header, read with a customer key of one byte."""
+    folder = f"{checkpoint_root(spark)}/tideline/csv-{uuid.uuid4().hex}"
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("price"), "o_orderpriority")
+    orders.write.option("header", "true").csv(folder)
+    good, bad = readers.read_csv(spark, folder, "o_orderkey long, o_custkey tinyint, price double, o_orderpriority string", required=["o_orderkey"])
+    lost = bad.select(F.split("record", ",")[0].cast("long").alias("o_orderkey"), F.lit(None).cast("double").alias("price"), F.lit(True).alias("rejected"))
+    return good.select("o_orderkey", "price", F.lit(False).alias("rejected")).unionByName(lost)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import rounded
-from tideline.plans.forecast_queries import BASE, _fitted
+from tideline.plans.forecast_queries import BASE, RUNS, _fitted, labelled
 from tideline.plans.registry import register
 from tideline.session import checkpoint_root, materialize, read_table
 from tideline.streaming import weekly
@@ -76,3 +77,32 @@ def st05(spark, sf_dir):
     _fitted(spark, sf_dir).select("series_id", "week", "risk_score", "lower", "upper").write.parquet(f"{folder}/scores")
     stream = weekly.stream_table(spark, f"{folder}/scores", files_at_once=1000)
     return materialize(weekly.written(weekly.label_machine(stream), f"{folder}/out", f"{folder}/state"), "stream-labels")
+
+
+@register(
+    "st06_run_lengths",
+    BASE + RUNS + " SELECT series_id, week, state, duration FROM dur",
+)
+def st06(spark, sf_dir):
+    """Run lengths with expiry over a stream of labels; weekly labels have no silence."""
+    folder = _folder(spark)
+    labels = labelled(spark, sf_dir).select("series_id", F.to_timestamp("week").alias("ts"), "state")
+    labels.write.parquet(f"{folder}/labels")
+    stream = weekly.stream_table(spark, f"{folder}/labels", files_at_once=1000)
+    return materialize(weekly.written(weekly.run_lengths(stream), f"{folder}/out", f"{folder}/state"), "stream-runs")
+
+
+@register(
+    "st07_net_weeks",
+    """WITH r AS (SELECT user_id, event_type, CAST(date_trunc('week', ts) AS DATE) AS week, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT event_type, week, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM r WHERE k = 1 AND event_type <> 'signup' GROUP BY 1, 2""",
+)
+def st07(spark, sf_dir):
+    """Every event is a revision of its user's row, a signup withdraws it: weekly totals of the rows that stand."""
+    folder = _folder(spark)
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = read_table(spark, sf_dir, "events").withColumns({"week": F.trunc(F.col("ts").cast("date"), "week"), "seq": F.row_number().over(order)})
+    stated = events.select("user_id", "event_type", "week", F.when(F.col("event_type") != "signup", F.col("value")).alias("value"), "seq")
+    stated.write.parquet(f"{folder}/events")
+    stream = weekly.stream_table(spark, f"{folder}/events", files_at_once=1000)
+    return rounded(weekly.net_weeks(stream, "user_id", "event_type", "week", "value", "seq", f"{folder}/out", f"{folder}/state"))

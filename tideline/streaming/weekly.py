@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.streaming.generations import Generations
+
 #: Friday is the last day of a week: windows run from Saturday 00:00 UTC, counted from Thursday 1970-01-01.
 WEEK, FRIDAY_START = "7 days", "2 days"
 STATES = ("risk_on", "transition", "risk_off")
@@ -63,28 +65,30 @@ def latest(revisions: DataFrame, keys: list[str]) -> DataFrame:
 def collect_revisions(arrivals: DataFrame, keys: list[str], value: str, arrived: str, path: str, checkpoint: str) -> DataFrame:
     """Append every new or changed value of a key as a revision that is available from its arrival on, never before.
 
-    A batch is compared with the revisions that earlier batches left; an equal value adds nothing, and a key that a batch
-    does not name is not deleted. A batch replaces its own folder when it is retried. Returns the table of revisions.
+    A batch is compared with the last value of each key, a table of its own of which every batch leaves a generation, not
+    with all revisions ever written. An equal value adds nothing, and a key that a batch does not name is not deleted. A
+    batch replaces its own folder when it is retried. Returns the table of revisions.
     """
     spark = arrivals.sparkSession
     types = dict(arrivals.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {value} {types[value]}, available_at timestamp, revision_seq int, batch int"
+    named = ", ".join(f"{k} {types[k]}" for k in keys)
+    schema = f"{named}, {value} {types[value]}, available_at timestamp, revision_seq int, batch int"
+    last = Generations(spark, f"{path}-last", f"{named}, {value} {types[value]}, revision_seq int")
 
     def revise(batch: DataFrame, number: int) -> None:
-        known = latest(spark.read.schema(schema).parquet(path).filter(F.col("batch") < number), keys) if number else None
+        old = last.current(before=number).select(*keys, F.col(value).alias("_old"), F.col("revision_seq").alias("_seq"))
         rows = batch.filter(F.col(arrived).isNotNull()).select(*keys, value, F.col(arrived).alias("available_at"))
+        rows = rows.join(old, keys, "left").withColumn("_seq", F.coalesce("_seq", F.lit(-1)))
         order = Window.partitionBy(*keys).orderBy("available_at", value)
-        if known is None:
-            rows = rows.withColumns({"_old": F.lit(None).cast(types[value]), "_seq": F.lit(-1)})
-        else:
-            old = known.select(*keys, F.col(value).alias("_old"), F.col("revision_seq").alias("_seq"))
-            rows = rows.join(old, keys, "left").withColumn("_seq", F.coalesce("_seq", F.lit(-1)))
         first = F.row_number().over(order) == 1
         before = F.when(first, F.col("_old")).otherwise(F.lag(value).over(order))
         new = (first & (F.col("_seq") == -1)) | ~F.col(value).eqNullSafe(before)
         changed = rows.withColumn("_new", new).filter("_new")
         revised = changed.withColumn("revision_seq", (F.col("_seq") + F.row_number().over(order)).cast("int"))
-        revised.select(*keys, value, "available_at", "revision_seq").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        folder = f"{path}/batch={number}"
+        revised.select(*keys, value, "available_at", "revision_seq").write.mode("overwrite").parquet(folder)
+        newest = spark.read.schema(schema).parquet(folder).select(*keys, value, "revision_seq")
+        last.publish(number, lambda known: latest(known.unionByName(newest), keys))
 
     run_now(arrivals, revise, checkpoint)
     return spark.read.schema(schema).parquet(path).drop("batch")
@@ -140,10 +144,101 @@ def written(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def counted(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """The whole result of a streaming aggregation over all that is there now, as a table."""
+    """The whole result of a streaming aggregation over all that is there now; every batch publishes a generation."""
+    spark = stream.sparkSession
+    schema = ", ".join(f"`{n}` {t}" for n, t in stream.dtypes)
+    published = Generations(spark, path, schema)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        if not published.publish(number, lambda _: batch):
+            batch.write.format("noop").mode("overwrite").save()  # the state of the batch has yet to be written
 
     run_now(stream, write, checkpoint, mode="complete")
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return published.current()
+
+
+def run_lengths(labelled: DataFrame, ts: str = "ts", gap: str = "28 days", delay: str = "0 days") -> DataFrame:
+    """(series_id, week, state, duration) of a stream of (series_id, ts, state): the weeks spent in the state so far.
+
+    The run is kept by series. A series that is silent for longer than ``gap`` loses its state when the watermark, ``delay``
+    behind the latest time of all series, has passed that; what comes later starts a new run. Weeks must come in order from
+    batch to batch; within a batch they are sorted. A week that is not after the last one seen, or not after the watermark,
+    is late and gives no row.
+    """
+    silence = pd.Timedelta(gap)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, length, last = state.get if state.exists else (None, 0, None)
+        rows = pd.concat(list(frames)).sort_values("ts")
+        out = []
+        for at, label in zip(rows["ts"], rows["state"], strict=True):
+            if last is not None and at <= last:
+                continue
+            same = label == now and (last is None or at - last <= silence)
+            now, length, last = label, length + 1 if same else 1, at
+            out.append((key[0], at.date(), label, length))
+        state.update((now, length, last))
+        until = int((pd.Timestamp(last) + silence).timestamp() * 1000) + 1
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["series_id", "week", "state", "duration"])
+
+    rows = labelled.filter(F.col(ts).isNotNull() & F.col("state").isNotNull()).select("series_id", F.col(ts).alias("ts"), "state").withWatermark("ts", delay)
+    return rows.groupBy("series_id").applyInPandasWithState(step, "series_id string, week date, state string, duration long", "state string, length long, last timestamp", "append", "EventTimeTimeout")
+
+
+def deltas(revisions: DataFrame, key: str, group: str, week: str, value: str, seq: str) -> DataFrame:
+    """(group, week, dn, dtotal) of a stream of revisions of single rows: what each does to its week.
+
+    The last value of every key is kept. A first value adds itself, a changed one takes the old one out of its week and
+    puts the new one in, and a NULL value, a tombstone, takes it out. A revision that is not after the last one of its key
+    gives nothing, so replays are harmless.
+    """
+
+    def step(key_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        at, where, seen, known = state.get if state.exists else (None, None, None, False)
+        out = []
+        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
+            if seen is not None and r.seq <= seen:
+                continue
+            if known:
+                out.append((where, at[0], -1, -at[1]))
+            known = r.value is not None and r.value == r.value
+            where, at, seen = r.grp, (r.week, float(r.value) if known else 0.0), r.seq
+            if known:
+                out.append((where, at[0], 1, at[1]))
+        state.update((at, where, seen, known))
+        yield pd.DataFrame(out, columns=["grp", "week", "dn", "dtotal"])
+
+    rows = revisions.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(group).cast("string").alias("grp"), F.col(week).cast("date").alias("week"), F.col(value).cast("double").alias("value"), F.col(seq).cast("long").alias("seq"))
+    found = rows.groupBy("key").applyInPandasWithState(
+        step, "grp string, week date, dn long, dtotal double", "at struct<week:date,value:double>, grp string, seq long, known boolean", "append", "NoTimeout"
+    )
+    return found.withColumnRenamed("grp", group)
+
+
+def net_weeks(revisions: DataFrame, key: str, group: str, week: str, value: str, seq: str, path: str, checkpoint: str) -> DataFrame:
+    """(group, week, n, total) of the rows that stand, by a stream of their revisions, over all that is there now.
+
+    Two queries: the first turns revisions into deltas, the second keeps running sums of these in update mode and publishes
+    each batch's changed weeks over the generation before. A withdrawal takes a row back out of a week that was published,
+    and a week without rows disappears.
+    """
+    spark = revisions.sparkSession
+    stream = deltas(revisions, key, group, week, value, seq)
+    schema = ", ".join(f"{n} {t}" for n, t in stream.dtypes)
+    run_now(stream, _written_by_batch(f"{path}-deltas"), f"{checkpoint}/deltas")
+    changes = spark.readStream.schema(f"{schema}, batch int").option("maxFilesPerTrigger", 1000).parquet(f"{path}-deltas")
+    sums = changes.groupBy(group, "week").agg(F.sum("dn").alias("n"), F.sum("dtotal").alias("total"))
+    published = Generations(spark, path, f"{group} string, week date, n long, total double")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        folder = f"{path}-changed/batch={number}"
+        batch.write.mode("overwrite").parquet(folder)  # once, as it writes the state too
+        changed = spark.read.schema(batch.schema).parquet(folder)
+        published.publish(number, lambda known: known.join(changed, [group, "week"], "left_anti").unionByName(changed.filter("n > 0")))
+
+    run_now(sums, merge, f"{checkpoint}/sums", mode="update")
+    return published.current()
