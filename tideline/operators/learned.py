@@ -309,7 +309,7 @@ def split_pipeline(kind: str, features: list[str], rows: int, profile: str = "st
     elif kind == "forest":
         last = RandomForestClassifier(numTrees=PROFILES[profile][0], maxDepth=6, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=17, labelCol="label", weightCol="weight")
     else:
-        last = OneVsRest(classifier=GBTClassifier(maxIter=PROFILES[profile][1], maxDepth=2, stepSize=0.04, minInstancesPerNode=8, seed=17), labelCol="label")
+        last = OneVsRest(classifier=GBTClassifier(maxIter=PROFILES[profile][1], maxDepth=2, stepSize=0.04, minInstancesPerNode=8, seed=17), labelCol="label", parallelism=len(STATES))
     return Pipeline(stages=[*stages, last])
 
 

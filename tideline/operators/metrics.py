@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +43,9 @@ def calibration_error(rows: DataFrame, keys: list[str], bins: int = 10) -> DataF
 
 
 def leaderboard(predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores of every key; with a column ``fallback`` also fallback_count, the forecasts that fell back."""
     rows = prepared(predictions)
+    fell = [F.count(F.when(F.col("fallback"), 1)).alias("fallback_count")] if "fallback" in predictions.columns else []
     a, p, now = F.col("actual"), F.col("predicted"), F.col("current_state")
     recall = [F.when(_count(a == s) > 0, _count((a == s) & (p == s)) / _count(a == s)) for s in STATES]
     f1 = [_ratio(2 * _count((a == s) & (p == s)), _count(a == s) + _count(p == s)) for s in STATES]
@@ -57,7 +57,7 @@ def leaderboard(predictions: DataFrame, keys: list[str]) -> DataFrame:
         (sum(F.coalesce(x, F.lit(0.0)) for x in recall) / present).alias("balanced_accuracy"), (sum(f1) / 3).alias("macro_f1"),
         _ratio(_count(left_a & left_p), _count(left_p)).alias("transition_precision"), _ratio(_count(left_a & left_p), _count(left_a)).alias("transition_recall"),
         _ratio(_count(mid_a & mid_p), _count(mid_p)).alias("transition_state_precision"), _ratio(_count(mid_a & mid_p), _count(mid_a)).alias("transition_state_recall"),
-        F.count(F.lit(1)).alias("n_predictions"),
+        F.count(F.lit(1)).alias("n_predictions"), *fell,
     )
     return scores.join(calibration_error(rows, keys), keys)
 
@@ -112,9 +112,14 @@ def comparable(predictions: DataFrame, keys: list[str], models: int) -> DataFram
 
 
 def select_champion(board: DataFrame, keys: list[str], baselines: list[str], complexity: dict[str, int], gain: float = 0.001, ece: float = 0.02, near: float = 0.01) -> DataFrame:
-    """The simplest candidate within ``near`` of the best that beats the best baseline; else that baseline."""
+    """The simplest candidate within ``near`` of the best that beats the best baseline; else that baseline.
+
+    Where the board has fallback_count, a candidate that fell back is none.
+    """
     rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in complexity.items() for x in kv]), F.col("model")), F.lit(99))
     rows = board.withColumns({"rank": rank, "is_base": F.col("model").isin(baselines)})
+    if "fallback_count" in board.columns:
+        rows = rows.filter(F.col("is_base") | (F.col("fallback_count") == 0))
     best_base = rows.filter("is_base").groupBy(*keys).agg(F.min(F.struct("log_loss", "calibration_error", "model")).alias("base"))
     passed = rows.filter("NOT is_base").join(best_base, keys).filter(
         (F.col("log_loss") <= F.col("base.log_loss") - gain) & (F.col("calibration_error") <= F.col("base.calibration_error") + ece)
@@ -180,11 +185,6 @@ def survival(hazards: DataFrame, horizons=(1, 4, 13)) -> DataFrame:
     return hazards.select("*", F.inline(each))
 
 
-def survival_path(paths: DataFrame) -> DataFrame:
-    """1 - product of (1 - h) over an array column ``path``."""
-    return paths.withColumn("p_change", 1 - F.aggregate("path", F.lit(1.0), lambda acc, h: acc * (1 - h)))
-
-
 def probability_violations(rows: DataFrame, columns: list[str], tolerance: float = 1e-6) -> DataFrame:
     """Rows whose probabilities are missing, outside [0, 1], or do not sum to 1."""
     bad, total = F.lit(False), F.lit(0.0)
@@ -192,7 +192,3 @@ def probability_violations(rows: DataFrame, columns: list[str], tolerance: float
         bad = bad | F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0) | (F.col(c) > 1)
         total = total + F.coalesce(F.col(c), F.lit(0.0))
     return rows.filter(bad | (F.abs(total - 1) > tolerance))
-
-
-def entropy(columns: list[str]) -> Column:
-    return -sum(F.when(F.col(c) > 0, F.col(c) * F.ln(c)).otherwise(0.0) for c in columns) / math.log(len(columns))

@@ -50,6 +50,20 @@ def block_bootstrap(improvements: DataFrame, keys: list[str], model: str, order:
     return rows.join(lengths, keys).groupBy(*keys, model).applyInPandas(run, schema)
 
 
+def block_sign_test(improvements: DataFrame, keys: list[str], model: str, order: str, block: int = BLOCK_WEEKS) -> DataFrame:
+    """(keys, model, blocks, better, p): chance that as many block means are above 0 if each were so with one half.
+
+    Blocks are ``block`` rows in a row, the last one may be shorter; block means of 0 do not count. Unlike the bootstrap it
+    draws nothing, so it is a few aggregations for any number of models.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys, model).orderBy(order)) - 1
+    means = improvements.withColumn("_block", F.floor(place / block)).groupBy(*keys, model, "_block").agg(F.round(F.avg("improvement"), 9).alias("m"))
+    counts = means.groupBy(*keys, model).agg(F.count(F.when(F.col("m") != 0, 1)).alias("blocks"), F.count(F.when(F.col("m") > 0, 1)).alias("better"))
+    ways = lambda i: F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(1.0), lambda acc, j: F.when(i < 1, 1.0).otherwise(acc * (F.col("blocks") - i + j) / j))
+    tail = F.aggregate(F.sequence(F.col("better").cast("int"), F.col("blocks").cast("int")), F.lit(0.0), lambda acc, i: acc + ways(i))
+    return counts.withColumn("p", tail / F.pow(F.lit(2.0), F.col("blocks")))
+
+
 def gated_champion(
     board: DataFrame, pvalues: DataFrame, keys: list[str], baselines: list[str], complexity: dict[str, int],
     gain: float = 0.05, level: float = 0.05, brier: float = 0.01, near: float = 0.01,

@@ -8,7 +8,7 @@ from tideline.functions.numeric import rounded
 from tideline.operators import baselines, features, labels, metrics, nowcast, selection
 from tideline.operators.labels import STATES
 from tideline.plans.feature_queries import sql, z
-from tideline.plans.forecast_queries import BASE, BASELINES, EV, HAZ, SPLIT, _fitted, hazards, walk
+from tideline.plans.forecast_queries import BASE, BASELINES, BOARD, COMPLEXITY, EV, HAZ, PREP, SPLIT, WALK, _fitted, hazards, walk
 from tideline.plans.registry import register
 from tideline.session import materialize
 from tideline.sources.panel import order_panel
@@ -41,6 +41,55 @@ def v11(spark, sf_dir):
     return rounded(metrics.holm(paired_pvalues(walk(spark, sf_dir)).select("series_id", "model", "p"), ["series_id"]))
 
 
+#: The persistence, Markov and class prior forecasts against the majority: a family of three for each series.
+_RIVALS = """, ls AS (SELECT series_id, model, origin, -ln(hit) AS loss FROM pp),
+im AS (SELECT a.series_id, a.model, a.origin, b.loss - a.loss AS d FROM ls a JOIN ls b ON a.series_id = b.series_id AND a.origin = b.origin AND b.model = 'majority' WHERE a.model <> 'majority'),
+bl AS (SELECT series_id, model, (row_number() OVER (PARTITION BY series_id, model ORDER BY origin) - 1) // 13 AS b, d FROM im),
+bm AS (SELECT series_id, model, b, round(avg(d), 9) AS m FROM bl GROUP BY 1, 2, 3),
+bc AS (SELECT series_id, model, count(*) FILTER (m <> 0) AS blocks, count(*) FILTER (m > 0) AS better FROM bm GROUP BY 1, 2),
+pv AS (SELECT series_id, model, blocks, better, list_sum(list_transform(range(better, blocks + 1), lambda i: round(exp(lgamma(blocks + 1) - lgamma(i + 1) - lgamma(blocks - i + 1))))) / pow(2, blocks) AS p FROM bc),
+hr AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY series_id) - row_number() OVER (PARTITION BY series_id ORDER BY round(p, 12), model) + 1)) AS raw, row_number() OVER (PARTITION BY series_id ORDER BY round(p, 12), model) AS k FROM pv),
+hm AS (SELECT series_id, model, blocks, better, p, max(raw) OVER (PARTITION BY series_id ORDER BY k) AS p_holm FROM hr)"""
+
+
+def _rivals(spark, sf_dir):
+    """The forecasts, and (series_id, model, blocks, better, p) of the three challengers of the majority."""
+    forecasts = walk(spark, sf_dir)
+    losses = materialize(metrics.prepared(forecasts).select("series_id", "model", "origin", (-F.ln("hit")).alias("loss")), "losses")
+    base = losses.filter("model = 'majority'").select("series_id", "origin", F.col("loss").alias("base"))
+    paired = losses.filter("model <> 'majority'").join(base, ["series_id", "origin"]).withColumn("improvement", F.col("base") - F.col("loss"))
+    return forecasts, rounded(selection.block_sign_test(paired, ["series_id"], "model", "origin"), places=12)
+
+
+@register(
+    "v11_holm_sign_test",
+    WALK + PREP + _RIVALS + " SELECT series_id, model, blocks, better, round(p, 6) + 0.0 AS p, round(p_holm, 6) + 0.0 AS p_holm FROM hm",
+    dates=(),
+)
+def v11_sign(spark, sf_dir):
+    return rounded(metrics.holm(_rivals(spark, sf_dir)[1], ["series_id"]))
+
+
+@register(
+    "v12_gated_rivals",
+    WALK
+    + BOARD
+    + _RIVALS
+    + """, rb AS (SELECT series_id, model, round(log_loss, 9) AS ll, round(brier, 9) AS br, round(calibration_error, 9) AS ce FROM full_board),
+rf AS (SELECT * FROM rb WHERE model = 'majority'),
+gt AS (SELECT rb.*, p_holm, CASE WHEN rf.ll - rb.ll < 0.05 THEN 'gain' WHEN p_holm > 0.05 THEN 'p_value' WHEN rb.br > rf.br + 0.01 THEN 'brier' ELSE 'passed' END AS gate_reason
+ FROM rb JOIN rf USING (series_id) JOIN hm ON hm.series_id = rb.series_id AND hm.model = rb.model),
+nr AS (SELECT series_id, model FROM (SELECT *, min(ll) OVER (PARTITION BY series_id) AS best FROM gt WHERE gate_reason = 'passed') WHERE ll <= best + 0.01
+ QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY CAST(model = 'class_prior' AS INT), ce, ll, model) = 1)
+SELECT gt.series_id, gt.model, 'majority' AS reference, round(p_holm, 6) + 0.0 AS p_holm, gate_reason, nr.model IS NOT NULL AS selected FROM gt LEFT JOIN nr ON nr.series_id = gt.series_id AND nr.model = gt.model""",
+    dates=(),
+)
+def v12_rivals(spark, sf_dir):
+    forecasts, pvalues = _rivals(spark, sf_dir)
+    board = materialize(rounded(metrics.leaderboard(forecasts, ["series_id", "model"]), places=9), "rivals")
+    return rounded(selection.gated_champion(board, pvalues.select("series_id", "model", "p"), ["series_id"], ["majority"], COMPLEXITY))
+
+
 _EVENTS = """, esc AS (SELECT series_id, horizon, model, round(round(-avg(CASE WHEN y THEN ln(p) ELSE ln(1 - p) END), 6), 6) AS ll, round(avg(pow(p - CAST(y AS INT), 2)), 6) AS br FROM hz WHERE y IS NOT NULL GROUP BY 1, 2, 3),
 eb AS (SELECT * FROM esc WHERE model = 'empirical_hazard'), ew AS (SELECT esc.* FROM esc JOIN eb USING (series_id, horizon) WHERE esc.model <> 'empirical_hazard' AND esc.ll <= eb.ll - 0.005 AND esc.br <= eb.br + 0.005),
 champ AS (SELECT eb.series_id, eb.horizon, coalesce(ew.model, eb.model) AS champion, ew.model IS NOT NULL AS beats_baseline FROM eb LEFT JOIN ew USING (series_id, horizon))"""
