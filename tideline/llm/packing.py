@@ -25,7 +25,6 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -113,11 +112,10 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    with_ids: bool = True,
 ) -> DataFrame:
     """Pieces: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset and the ids (32-bit, binary).
 
-    ``with_ids=False`` leaves the ids null, for those who need the plan of the windows only.
+    The checksum is taken from the piece's ids. Who drops the ids moves none of them through the last shuffle.
     """
     if window % quantum:
         raise ValueError("a window must be a whole number of quanta")
@@ -149,30 +147,53 @@ def pack(
         "doc_id", "source", "ids", "n", "number", (F.col("part_start") + F.col("at")).alias("at"), "tail_at", "tail_start"
     )
 
+    wide = 2 if tokens.load_tokenizer(spec).get_vocab_size() <= 1 << 16 else 4
+
+    def pieces_of(batch: pa.RecordBatch, rows: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        """Pieces [start, end) of the queue, of the texts ``rows`` (piece by piece: ``row``), whose ids are ``ids``, end to end."""
+        at, n, number, tail, closing = (batch.column(k).to_numpy()[rows][row] for k in (5, 3, 4, 6, 7))
+        own = batch.select([0, 1]).take(pa.array(rows[row]))
+        last = start >= tail
+        edges = np.concatenate([[0], np.cumsum(end - start)]) * 4
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges.astype("<i8")), pa.py_buffer(ids)]).cast(pa.binary())
+        quantum_of = start // quantum
+        position = np.where(last, start + closing - tail, start - quantum_of * quantum)
+        columns = [start - at, end - start, n, pa.array(number, mask=last), pa.array(quantum_of, mask=last), position]
+        return pa.RecordBatch.from_arrays([*own.columns, *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns], packed], schema=cut_schema)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.slices(batches):
-            out: list[tuple] = []
-            for doc_id, source, raw, n, queue, at, tail, closing in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                wide = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
-                edges = [*range(at // quantum * quantum + quantum, at + n, quantum)]
-                if at + n > tail:  # the closing windows cut where they end, not where quanta do
-                    shift = closing - tail
-                    edges = [e for e in edges if e <= tail]
-                    edges += [p - shift for p in range((max(at, tail) + shift) // window * window + window, at + n + shift, window)]
-                for a, b in zip([at, *edges], [*edges, at + n], strict=True):
-                    ids = wide[4 * (a - at) : 4 * (b - at)]
-                    j = a // quantum
-                    last = a >= tail
-                    position = a + closing - tail if last else a - j * quantum
-                    out.append((doc_id, source, a - at, b - a, zlib.crc32(ids), n, None if last else queue, None if last else j, position, ids if with_ids else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), cut_schema, strict=True)], schema=cut_schema)
+            raw = batch.column(2)
+            edges = np.frombuffer(raw.buffers()[1], "<i4")[raw.offset : raw.offset + len(raw) + 1]
+            ids = np.frombuffer(raw.buffers()[2], "<u2" if wide == 2 else "<u4")[edges[0] // wide : edges[-1] // wide].astype("<u4")
+            at, n, tail, closing = (batch.column(k).to_numpy() for k in (5, 3, 6, 7))
+            closes = at + n > tail
+            rows = np.flatnonzero(~closes)
+            if len(rows):  # cut where quanta end
+                first = at[rows] // quantum
+                count = (at[rows] + n[rows] - 1) // quantum - first + 1
+                row = np.repeat(np.arange(len(rows)), count)
+                step = (first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * quantum
+                start, end = np.maximum(step, at[rows][row]), np.minimum(step + quantum, (at + n)[rows][row])
+                yield pieces_of(batch, rows, row, start, end, ids[np.repeat(~closes, n)] if closes.any() else ids)
+            rows = np.flatnonzero(closes)
+            if len(rows):  # the closing windows cut where they end, not where quanta do
+                row, start, end = [], [], []
+                for k, r in enumerate(rows.tolist()):
+                    a, b, t, shift = int(at[r]), int(at[r] + n[r]), int(tail[r]), int(closing[r] - tail[r])
+                    marks = [e for e in range(a // quantum * quantum + quantum, b, quantum) if e <= t]
+                    marks += [p - shift for p in range((max(a, t) + shift) // window * window + window, b + shift, window)]
+                    row += [k] * (len(marks) + 1)
+                    start += [a, *marks]
+                    end += [*marks, b]
+                yield pieces_of(batch, rows, np.array(row), np.array(start), np.array(end), ids[np.repeat(closes, n)])
 
     cut_schema = pa.schema(
-        [("doc_id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
+        [("doc_id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64())]
         + [("queue", pa.int64()), ("quantum", pa.int64()), ("position", pa.int64()), ("ids", pa.binary())]
     )
-    columns = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = placed.mapInArrow(tokens.bounded(cut), f"{columns}, queue long, quantum long, position long, ids binary")
+    columns = "doc_id long, source string, start long, length long, doc_tokens long"
+    pieces = placed.mapInArrow(tokens.bounded(cut), f"{columns}, queue long, quantum long, position long, ids binary").withColumn("ids_crc32", F.crc32("ids"))
     position = F.coalesce(F.col("slot") * quantum, F.lit(0)) + F.col("position")
     return pieces.join(slots, ["queue", "quantum"], "left").select(
         "doc_id", "source", "start", "length", "ids_crc32", "doc_tokens",
