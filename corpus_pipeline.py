@@ -51,13 +51,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens that hold the sources in proportion.
+    """Packs what is left into sequences of 2048 tokens that hold the sources in proportion: pieces with their token ids,
+    which stand in a sequence at their offset.
 
     A null source is a source of its own; pieces of rows with a null id have a null doc_id.
     """
     import public_tokenizers
 
-    return packing.pack(docs, tokens.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), with_ids=False).drop("ids")
+    return packing.pack(docs, tokens.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [
