@@ -7,12 +7,13 @@ words seen before a word. These take a discount of their own and back off to the
 counts, which a uniform share of the slots completes. Each discount is the usual estimate n1 / (n1 + 2 n2) from the
 numbers of entries that count one and two. The signed difference of the two log-likelihoods per word, with the weight of
 the words that speak strongly for toxic by the bigram and by the continuation level, goes through a logistic calibration
-fitted on labelled rows that the models have not seen.
+fitted on labelled rows that the models have not seen. How strong is strong is the one of ``STRONG`` with which that
+calibration has the least log loss on those rows.
 
-Words are runs of letters and digits in lower case, hashed to ``WORD_SLOTS``; bigrams are hashed to ``PAIR_SLOTS``. The
-models are fitted on at most ``MAX_FIT_ROWS`` labelled rows of each class, the first by a hash of the id: a documented
-bound on a classifier's sample. Their texts stay on the executors, which count them; the driver gets counts by slot and
-the features of the calibration rows. Every text is scored whole.
+Words are runs of letters and digits in lower case, hashed to ``WORD_SLOTS``. Bigrams are kept as pairs of words, each with
+its exact counts, and found through an index of ``PAIR_SLOTS`` ranges that only narrows the search. The models are fitted on at most ``MAX_FIT_ROWS`` labelled rows of each class, the first by a hash of the id: a documented
+bound on a classifier's sample. Their texts stay on the executors, which count them; the driver gets the counts of each
+distinct pair of the sample and the features of the calibration rows. Every text is scored whole.
 
 Defined results: null and empty texts have no words and get the calibrated score of no evidence; ids without labels are
 only scored; a labelled id that repeats takes the larger label; without labels of both classes all scores are 0;
@@ -38,8 +39,9 @@ from tideline.llm.tokens import bounded, slices
 from tideline.session import Scratch
 
 WORD_SLOTS = 1 << 20
-PAIR_SLOTS = 1 << 22
-STRONG = 3.0
+PAIR_BITS = 22
+PAIR_SLOTS = 1 << PAIR_BITS
+STRONG = (1.0, 2.0, 3.0, 4.0)
 MAX_FIT_ROWS = 10_000
 CALIBRATION_PART = 5
 CACHE_WORDS = 200_000
@@ -62,17 +64,14 @@ def word_slots(text: str | None, cache: _Slots | None = None) -> np.ndarray:
     return np.array([cache[w] for w in WORDS.findall((text or "").lower())], dtype=np.int64)
 
 
-def pair_slots(words: np.ndarray) -> np.ndarray:
-    """Slot of (previous word, word) for every word; the first has the start mark before it."""
-    before = np.concatenate([[0], words[:-1]]).astype(np.uint64)
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) & (PAIR_SLOTS - 1)
+def pair_keys(words: np.ndarray) -> np.ndarray:
+    """Key of (previous word, word) for every word; the first has the start mark before it."""
+    return np.concatenate([[0], words[:-1]]).astype(np.int64) * WORD_SLOTS + words
 
 
-def text_pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair slot, slot of the word before, slot of the word), once for every pair of a text."""
-    pairs, first = np.unique(pair_slots(words), return_index=True)
-    return pairs, np.concatenate([[0], words[:-1]])[first], words[first]
+def _slot(keys: np.ndarray) -> np.ndarray:
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
 def discount(counts: np.ndarray) -> float:
@@ -82,21 +81,27 @@ def discount(counts: np.ndarray) -> float:
 
 
 class KneserNey:
-    """Tables of both classes (0 ordinary, 1 toxic), of fixed size, from counted pairs.
+    """Tables of both classes (0 ordinary, 1 toxic) from counted pairs.
 
-    ``counted``: for each class the arrays (pair slot, number of texts, slot before, slot of the word), a pair slot once.
+    ``counted``: for each class the arrays (pair key, number of texts), a key once.
     """
 
-    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]]):
         self.total = np.ones((2, WORD_SLOTS), dtype=np.float32)
         self.backoff = np.ones((2, WORD_SLOTS), dtype=np.float32)
-        self.pair, held = np.zeros((2, PAIR_SLOTS), dtype=np.float32), np.zeros((2, WORD_SLOTS))
-        for label, (pairs, texts, before, word) in enumerate(counted):
+        keys, held = np.unique(np.concatenate([k for k, _ in counted])), np.zeros((2, WORD_SLOTS))
+        slots = _slot(keys)
+        order = np.argsort(slots, kind="stable")
+        self.keys, slots = keys[order], slots[order]
+        self.first = np.searchsorted(slots, np.arange(PAIR_SLOTS + 1)).astype(np.int32)
+        self.pair = np.zeros((2, len(keys)), dtype=np.float32)
+        for label, (pairs, texts) in enumerate(counted):
+            before, word = pairs // WORD_SLOTS, pairs % WORD_SLOTS
             less = discount(texts)
             total = np.bincount(before, weights=texts, minlength=WORD_SLOTS)
             left = less * np.bincount(before, minlength=WORD_SLOTS)
             held[label] = np.bincount(word, minlength=WORD_SLOTS)  # distinct words before each word
-            self.pair[label, pairs] = texts - less
+            self.pair[label, self.find(pairs)] = texts - less
             seen = total > 0
             self.total[label, seen] = total[seen]
             self.backoff[label, seen] = left[seen] / total[seen]
@@ -105,21 +110,53 @@ class KneserNey:
         less = np.array([[discount(h)] for h in held])
         freed = less * (held > 0).sum(axis=1, keepdims=True) + (mass == 0)
         self.lower = ((np.maximum(held - less, 0) + freed * shared) / np.maximum(mass, 1.0)).astype(np.float32)
-        self.weights = np.zeros(4)
+        self.weights, self.strong = np.zeros(4), STRONG[0]
+
+    def find(self, pairs: np.ndarray) -> np.ndarray:
+        """Places of the keys in ``pair``, -1 where no text of either class has the pair."""
+        slot = _slot(pairs)
+        at, end = self.first[slot].astype(np.int64), self.first[slot + 1]
+        out = np.full(len(pairs), -1)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):  # as often as the fullest range that is met has keys
+            here = at[open_]
+            hit = self.keys[here] == pairs[open_]
+            out[open_[hit]] = here[hit]
+            at[open_] += 1
+            open_ = open_[~hit & (at[open_] < end[open_])]
+        return out
 
     def evidence(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log P(word | toxic) - log P(word | ordinary) of every word after its context, and by the continuation level alone."""
-        before, pairs = np.concatenate([[0], words[:-1]]).astype(np.int64), pair_slots(words)
-        lower = self.lower[:, words]
-        logs = [np.log(self.pair[c, pairs] / self.total[c, before] + self.backoff[c, before] * lower[c]) for c in (0, 1)]
+        keys = pair_keys(words)
+        before, place = keys // WORD_SLOTS, self.find(keys)
+        lower, known = self.lower[:, words], np.flatnonzero(place >= 0)
+        logs = []
+        for c in (0, 1):
+            p = self.backoff[c, before] * lower[c]
+            p[known] += self.pair[c, place[known]] / self.total[c, before[known]]
+            logs.append(np.log(p))
         return logs[1] - logs[0], np.log(lower[1] / lower[0])
 
-    def features(self, words: np.ndarray) -> tuple[float, float, float]:
-        """Signed difference of the log-likelihoods per word, and the weight a word of what single words have beyond ``STRONG``: by pairs, by continuation."""
+    def features(self, words: np.ndarray, strong: tuple[float, ...] = ()) -> tuple[float, ...]:
+        """Signed difference of the log-likelihoods per word; then for each of ``strong`` (by default the chosen one) the
+        weight a word of what single words have beyond it, by pairs and by continuation."""
+        strong = strong or (self.strong,)
         if not len(words):
-            return 0.0, 0.0, 0.0
+            return (0.0,) * (1 + 2 * len(strong))
         each, alone = self.evidence(words)
-        return float(each.mean()), *(math.log1p(100 * float((np.maximum(x - STRONG, 0) ** 2).mean())) for x in (each, alone))
+        return float(each.mean()), *(math.log1p(100 * float((np.maximum(x - s, 0) ** 2).mean())) for s in strong for x in (each, alone))
+
+    def calibrate(self, found: np.ndarray, labels: np.ndarray) -> None:
+        """Weights and the choice of ``STRONG``, from rows of features for all of them."""
+        losses = []
+        for k, strong in enumerate(STRONG):
+            own = found[:, [0, 1 + 2 * k, 2 + 2 * k]]
+            self.weights, self.strong = _logistic(own, labels), strong
+            p = np.clip(self.score(own), 1e-12, 1 - 1e-12)
+            losses.append((-float(np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))), k, self.weights))
+        _, k, self.weights = min(losses, key=lambda x: x[:2])
+        self.strong = STRONG[k]
 
     def score(self, found: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + found @ self.weights[1:], -30, 30)))
@@ -136,8 +173,8 @@ def _logistic(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return weights
 
 
-def count_pairs(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """What ``KneserNey`` is made from, of (words, toxic): at most two rows a pair slot reach the driver, as Arrow columns."""
+def count_pairs(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What ``KneserNey`` is made from, of (words, toxic): a row for each distinct pair of each class, as Arrow columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -145,20 +182,16 @@ def count_pairs(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarr
             for raw, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = np.frombuffer(raw, "<i4").astype(np.int64)
                 if len(words):
-                    pairs, before, word = text_pairs(words)
-                    found.append((pairs, before * WORD_SLOTS + word, np.full(len(pairs), toxic)))
+                    pairs = np.unique(pair_keys(words))
+                    found.append((pairs, np.full(len(pairs), toxic)))
             if found:
-                pairs, at, toxic = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array(at, pa.int64()), pa.array(toxic, pa.int32())], ["pair", "at", "toxic"])
+                pairs, toxic = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(toxic, pa.int32())], ["pair", "toxic"])
 
-    each = texts.select("words", "toxic").mapInArrow(bounded(run), "pair int, at long, toxic int")
-    found = each.groupBy("toxic", "pair").agg(F.count(F.lit(1)).cast("int").alias("texts"), F.max("at").alias("at")).toArrow()
-    toxic, pairs, texts_of, at = (found.column(c).to_numpy() for c in ("toxic", "pair", "texts", "at"))
-    sides = []
-    for label in (0, 1):
-        own = toxic == label
-        sides.append((pairs[own], texts_of[own], (at[own] // WORD_SLOTS).astype(np.int32), (at[own] % WORD_SLOTS).astype(np.int32)))
-    return sides
+    each = texts.select("words", "toxic").mapInArrow(bounded(run), "pair long, toxic int")
+    found = each.groupBy("toxic", "pair").agg(F.count(F.lit(1)).cast("int").alias("texts")).toArrow()
+    toxic, pairs, texts_of = (found.column(c).to_numpy() for c in ("toxic", "pair", "texts"))
+    return [(pairs[toxic == label], texts_of[toxic == label]) for label in (0, 1)]
 
 
 def _features_of(texts: DataFrame, model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
@@ -167,12 +200,13 @@ def _features_of(texts: DataFrame, model: KneserNey) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shared.value.features(np.frombuffer(x, "<i4").astype(np.int64)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.float64()) for c in zip(*found, strict=True))], ["toxic", "x", "y", "z"])
+            found = [shared.value.features(np.frombuffer(x, "<i4").astype(np.int64), STRONG) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.float64()) for c in zip(*found, strict=True))], names)
 
-    found = texts.select("words", "toxic").mapInArrow(bounded(run), "toxic int, x double, y double, z double").toArrow()
+    names = ["toxic", *(f"x{k}" for k in range(1 + 2 * len(STRONG)))]
+    found = texts.select("words", "toxic").mapInArrow(bounded(run), "toxic int, " + ", ".join(f"{n} double" for n in names[1:])).toArrow()
     shared.destroy()
-    rows = np.column_stack([found.column(c).to_numpy() for c in ("toxic", "x", "y", "z")])
+    rows = np.column_stack([found.column(c).to_numpy() for c in names])
     rows = rows[np.lexsort(rows.T)]  # the sums of the fit do not depend on the order of tasks
     return rows[:, 1:], rows[:, 0].astype(float)
 
@@ -205,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             return None
         held, base = (rows.filter("calibrates"), rows.filter("NOT calibrates")) if len(sides) == 4 else (rows, rows)
         model = KneserNey(count_pairs(base))  # the calibration holds for this model, not for one of more texts
-        model.weights = _logistic(*_features_of(held, model))
+        model.calibrate(*_features_of(held, model))
     return model
 
 
@@ -213,7 +247,7 @@ def predict(docs: DataFrame, model: KneserNey | None, text_col: str = "text") ->
     """``docs`` with score and predicted."""
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     at = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size: about 60 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few tables of fixed size and the pairs of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = shared.value, _Slots()
