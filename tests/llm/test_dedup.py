@@ -115,6 +115,32 @@ def test_index_updates(spark):
     assert all(r.keep_id == r.doc_id for r in again) and len(again) == 3000
 
 
+def test_groups_of_probes_and_updates_are_bounded(spark, monkeypatch):
+    """Ten times more probes and insertions than keys, and one hot digest: no group outgrows its limit by much."""
+    digests = lambda texts: spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    index = exact_dedup.live_index(exact_dedup.digest_rows(digests(f"t{k}" for k in range(200))), keys_per_bucket=300)
+    index = spark.createDataFrame(index.collect(), index.schema)
+    assert [r.buckets for r in index.collect()] == [1]
+    asked = exact_dedup.digest_rows(digests([f"t{k}" for k in range(0, 2400, 2)])).select("digest")
+    assert {bytes(r.digest) for r in exact_dedup.filter_hits(asked, index, part=100).collect()} >= {hashlib.sha256(f"t{k}".encode()).digest() for k in range(0, 200, 2)}
+    dealt = exact_dedup.dealt_probes(asked, index, 100)[0].groupBy("bucket", "part").count().collect()
+    groups = [r["count"] for r in dealt]
+    assert sum(groups) == 1200 and max(groups) < 200
+    hot = spark.sql("SELECT CAST('hot' AS BINARY) AS digest, id AS keep_id, 1L AS group_size FROM range(3000)")
+    more = asked.select("digest", F.lit(7).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).unionByName(hot)
+    grown = exact_dedup.update_index(index, more, asked.limit(0), keys_per_bucket=300)
+    rows = grown.collect()
+    sizes = [len(r.digests) for r in rows]
+    assert sum(sizes) == 200 + 1100 + 1 and max(sizes) <= 300 and {r.buckets for r in rows} == {8}
+    keys = {bytes(r.digest): (r.keep_id, r.group_size) for r in exact_dedup.index_keys(grown).collect()}
+    assert keys[b"hot"] == (2999, 3000)
+    assert keys[hashlib.sha256(b"t4").digest()] == (7, 2) and keys[hashlib.sha256(b"t5").digest()] == (5, 1) and keys[hashlib.sha256(b"t2398").digest()] == (7, 1)
+    again = spark.createDataFrame(rows, grown.schema)
+    found = {r.doc_id: r.keep_id for r in exact_dedup.probe(digests(["t4", "t2398", "new"]), again).collect()}
+    assert found == {0: 7, 1: 7, 2: None}
+    assert exact_dedup.filter_hits(asked.limit(0), index).count() == 0
+
+
 def test_line_dedup(spark, docs):
     same(line_dedup_result(unique_ids(docs)), sql_rows(unique_ids(docs), oracles.LINES))
     draw, lines = random.Random(5), [f"line {k}" for k in range(6)] + ["", "  ", "\t"]

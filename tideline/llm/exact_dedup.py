@@ -30,6 +30,7 @@ from tideline.session import materialize
 SLOTS = 4
 MAX_EVICTIONS = 200
 KEYS_PER_BUCKET = 20_000
+PROBES_PER_PART = 50_000
 SALTS = 32
 INDEX = (
     "bucket int, buckets int, groups int, prints binary, refs binary, digests array<binary>, keep_ids array<bigint>, "
@@ -191,6 +192,18 @@ def _rows_of(frame: pd.DataFrame) -> Iterator[tuple[bytes, int | None, int]]:
         yield bytes(digest), (int(keep) if there else None), int(size)
 
 
+def _built(keys: DataFrame, buckets: int) -> DataFrame:
+    """The index table of (digest, max_id, n) in so many buckets."""
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        index = CuckooIndex(len(frame))
+        for digest, keep, size in _rows_of(frame):
+            index.add(digest, keep, size)
+        return pd.DataFrame([{"bucket": int(frame["bucket"].iloc[0]), "buckets": buckets} | index.dump()])
+
+    return keys.select("digest", "max_id", "n", _bucket("digest", buckets).alias("bucket")).groupBy("bucket").applyInPandas(build, INDEX)
+
+
 def live_index(rows: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
     """The index table of (doc_id, digest, copies).
 
@@ -202,16 +215,7 @@ def live_index(rows: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataF
         .groupBy("digest", "salt")
         .agg(F.max("doc_id").alias("max_id"), F.sum("copies").alias("n"))
     )
-    buckets = max(1, -(-rows.count() // keys_per_bucket))
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        index = CuckooIndex(len(frame))
-        for digest, keep, size in _rows_of(frame):
-            index.add(digest, keep, size)
-        return pd.DataFrame([{"bucket": int(frame["bucket"].iloc[0]), "buckets": buckets} | index.dump()])
-
-    bucketed = partial.select("digest", "max_id", "n", _bucket("digest", buckets).alias("bucket"))
-    return bucketed.groupBy("bucket").applyInPandas(build, INDEX)
+    return _built(partial, max(1, -(-rows.count() // keys_per_bucket)))
 
 
 def index_keys(index: DataFrame) -> DataFrame:
@@ -225,8 +229,21 @@ def _buckets_of(index: DataFrame) -> int:
     return row[0]["buckets"] if row else 1
 
 
-def filter_hits(digests: DataFrame, index: DataFrame) -> DataFrame:
-    """The digests (column digest, each once) that the filters of a written index may hold; keys are not read."""
+def dealt_probes(digests: DataFrame, index: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, bucket, part) and (bucket, groups, prints, part): of a bucket with more than ``part`` digests to ask, the
+    filter goes to as many parts, and the digests are dealt to them by hash."""
+    bucketed = digests.select("digest", _bucket("digest", _buckets_of(index)).alias("bucket"))
+    sizes = bucketed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))  # a row for each bucket
+    salt = F.pmod(F.xxhash64(F.lit("part"), "digest"), F.col("parts")).cast("int")
+    filters = index.join(sizes, "bucket").select("bucket", "groups", "prints", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return bucketed.join(sizes, "bucket").select("digest", "bucket", salt.alias("part")), filters
+
+
+def filter_hits(digests: DataFrame, index: DataFrame, part: int = PROBES_PER_PART) -> DataFrame:
+    """The digests (column digest, each once) that the filters of a written index may hold; keys are not read.
+
+    A small index bounds no task by its number of buckets: see ``dealt_probes``.
+    """
 
     def ask(asked: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         if not len(filters) or not len(asked):
@@ -235,9 +252,8 @@ def filter_hits(digests: DataFrame, index: DataFrame) -> DataFrame:
         cuckoo = CuckooFilter(int(row["groups"]), row["prints"])
         return asked[["digest"]][[bool(cuckoo.hits(bytes(d))) for d in asked["digest"]]]
 
-    bucketed = digests.select("digest", _bucket("digest", _buckets_of(index)).alias("bucket"))
-    filters = index.select("bucket", "groups", "prints")
-    return bucketed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(ask, "digest binary")
+    asked, filters = dealt_probes(digests, index, part)
+    return asked.groupBy("bucket", "part").cogroup(filters.groupBy("bucket", "part")).applyInPandas(ask, "digest binary")
 
 
 def probe(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,18 +269,35 @@ def probe(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: s
     return rows.join(found, "digest", "left").select("doc_id", "digest", "copies", "keep_id", "group_size")
 
 
-def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
-    """Apply deletions, then insertions, to the stored filters and keys of an index.
+def with_buckets(index: DataFrame, buckets: int) -> DataFrame:
+    """The index with so many buckets, refilled from the stored keys."""
+    keys = index_keys(index).select("digest", F.col("keep_id").alias("max_id"), F.col("group_size").alias("n"))
+    return _built(keys, buckets)
+
+
+def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> DataFrame:
+    """Apply deletions, then insertions, to the stored filters and keys of a written index.
 
     ``inserts`` has (digest, keep_id, group_size), ``deletes`` a column digest. Deleting a digest that is not live
-    changes nothing; inserting a live one keeps the larger id and adds the counts. A filter that overflows doubles and
-    is refilled from its keys; buckets without changes pass as they are.
+    changes nothing; inserting a live one keeps the larger id and adds the counts. Insertions of one digest are merged
+    before the shuffle. Where the keys would outgrow ``keys_per_bucket`` a bucket, buckets are split first, so no group
+    outgrows it by more than chance; a filter that overflows doubles and is refilled from its keys; buckets without changes
+    pass as they are.
     """
+    merged = inserts.groupBy("digest").agg(F.max("keep_id").cast("long").alias("max_id"), F.sum("group_size").cast("long").alias("n"))
+    merged = materialize(merged, "index-inserts")
     buckets = _buckets_of(index)
+    keys = (index.agg(F.sum(F.size("digests"))).first()[0] or 0) + merged.count()
+    times = 1
+    while keys > keys_per_bucket * buckets * times:
+        times *= 2
+    if times > 1:
+        buckets *= times
+        index = materialize(with_buckets(index, buckets), "index-split")
     changes = (
         deletes.select("digest").distinct()
         .select("digest", F.lit(None).cast("long").alias("max_id"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind"))
-        .unionByName(inserts.select("digest", F.col("keep_id").cast("long").alias("max_id"), F.col("group_size").cast("long").alias("n"), F.lit(1).alias("kind")))
+        .unionByName(merged.withColumn("kind", F.lit(1)))
         .withColumn("bucket", _bucket("digest", buckets))
     )
 
