@@ -486,22 +486,25 @@ def test_kneser_ney_equals_dictionaries(spark):
 def test_no_pair_is_lost_above_the_slots(spark, monkeypatch):
     """More pairs than ranges of the index: every pair keeps its own counts, and unseen pairs are not taken for others."""
     monkeypatch.setattr(toxicity, "PAIR_BITS", 6)
-    monkeypatch.setattr(toxicity, "PAIR_SLOTS", 1 << 6)
     draw = random.Random(3)
     texts = [(text_of(draw, 40), k % 2) for k in range(60)]
     rows = [(toxicity.word_slots(t).astype("<i4").tobytes(), label) for t, label in texts]
-    counted = toxicity.count_pairs(spark.createDataFrame(rows, "words binary, toxic int"))
-    model = toxicity.KneserNey(counted)
+    counts = toxicity.count_pairs(spark.createDataFrame(rows, "words binary, toxic int"))
+    model = toxicity.KneserNey(counts)
     want = [defaultdict(int), defaultdict(int)]
     for t, label in texts:
         for key in set(toxicity.pair_keys(toxicity.word_slots(t)).tolist()):
             want[label][key] += 1
-    assert [dict(zip(*map(np.ndarray.tolist, side), strict=True)) for side in counted] == [dict(w) for w in want]
-    assert sum(map(len, want)) > 30 * toxicity.PAIR_SLOTS
+    assert len(counts.slot) == len({*want[0], *want[1]}) > 30 * 2**6
     for label in (0, 1):
-        less = toxicity.discount(counted[label][1])
+        ones, twos = (sum(n == k for n in want[label].values()) for k in (1, 2))
+        assert counts.less[label] == toxicity.discount(ones, twos)
         keys = np.array([*want[label]])
-        assert np.allclose(model.pair[label, model.find(keys)], np.array([*want[label].values()]) - less)
+        assert np.allclose(model.pair[label, model.find(keys)], np.array([*want[label].values()]) - counts.less[label])
+        after = defaultdict(int)
+        for key, n in want[label].items():
+            after[key >> 20] += n
+        assert all(model.total[label, w] == n for w, n in after.items())
     strange = toxicity.pair_keys(toxicity.word_slots("never seen together"))
     assert (model.find(strange) == -1).all()
 

@@ -11,7 +11,7 @@ fitted on labelled rows that the models have not seen. How strong is strong is t
 calibration has the least log loss on those rows.
 
 Words are runs of letters and digits in lower case, hashed to ``WORD_SLOTS``. Bigrams are kept as pairs of words, each with
-its exact counts, and found through an index of ``PAIR_SLOTS`` ranges that only narrows the search. The models are fitted on at most ``MAX_FIT_ROWS`` labelled rows of each class, the first by a hash of the id: a documented
+its exact counts, and found through an index of 2**``PAIR_BITS`` ranges that only narrows the search. The models are fitted on at most ``MAX_FIT_ROWS`` labelled rows of each class, the first by a hash of the id: a documented
 bound on a classifier's sample. Their texts stay on the executors, which count them; the driver gets the counts of each
 distinct pair of the sample and the features of the calibration rows. Every text is scored whole.
 
@@ -27,6 +27,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,7 @@ from tideline.llm.tokens import bounded, slices
 from tideline.session import Scratch
 
 WORD_SLOTS = 1 << 20
-PAIR_BITS = 22
-PAIR_SLOTS = 1 << PAIR_BITS
+PAIR_BITS, KEY_BITS, SPREAD = 22, 40, 0x27D4EB
 STRONG = (1.0, 2.0, 3.0, 4.0)
 MAX_FIT_ROWS = 10_000
 CALIBRATION_PART = 5
@@ -69,58 +69,63 @@ def pair_keys(words: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], words[:-1]]).astype(np.int64) * WORD_SLOTS + words
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, rest) of keys: a mixture of the key that can be undone, so two keys of a slot differ in the rest."""
+    mixed = (keys * SPREAD) & (WORD_SLOTS * WORD_SLOTS - 1)
+    return mixed >> (KEY_BITS - PAIR_BITS), (mixed & ((1 << (KEY_BITS - PAIR_BITS)) - 1)).astype(np.uint32)
 
 
-def discount(counts: np.ndarray) -> float:
+def discount(ones: int, twos: int) -> float:
     """n1 / (n1 + 2 n2), or one half where nothing counts one or nothing counts two."""
-    ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
     return ones / (ones + 2 * twos) if ones and twos else 0.5
 
 
-class KneserNey:
-    """Tables of both classes (0 ordinary, 1 toxic) from counted pairs.
+class Counts(NamedTuple):
+    """Counts of both classes: by pair, in the order of slots (with the discount off), by word before and by word."""
+
+    slot: np.ndarray
+    rest: np.ndarray
+    pair: np.ndarray
+    before: np.ndarray
+    texts_after: np.ndarray
+    kinds_after: np.ndarray
+    word: np.ndarray
+    kinds_before: np.ndarray
+    less: list[float]
 
-    ``counted``: for each class the arrays (pair key, number of texts), a key once.
-    """
 
-    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]]):
+class KneserNey:
+    """Tables of both classes (0 ordinary, 1 toxic)."""
+
+    def __init__(self, counts: Counts):
         self.total = np.ones((2, WORD_SLOTS), dtype=np.float32)
         self.backoff = np.ones((2, WORD_SLOTS), dtype=np.float32)
-        keys, held = np.unique(np.concatenate([k for k, _ in counted])), np.zeros((2, WORD_SLOTS))
-        slots = _slot(keys)
-        order = np.argsort(slots, kind="stable")
-        self.keys, slots = keys[order], slots[order]
-        self.first = np.searchsorted(slots, np.arange(PAIR_SLOTS + 1)).astype(np.int32)
-        self.pair = np.zeros((2, len(keys)), dtype=np.float32)
-        for label, (pairs, texts) in enumerate(counted):
-            before, word = pairs // WORD_SLOTS, pairs % WORD_SLOTS
-            less = discount(texts)
-            total = np.bincount(before, weights=texts, minlength=WORD_SLOTS)
-            left = less * np.bincount(before, minlength=WORD_SLOTS)
-            held[label] = np.bincount(word, minlength=WORD_SLOTS)  # distinct words before each word
-            self.pair[label, self.find(pairs)] = texts - less
+        held = np.zeros((2, WORD_SLOTS))
+        self.rest, self.pair = counts.rest, counts.pair
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(counts.slot, minlength=1 << PAIR_BITS))]).astype(np.int32)
+        for label in (0, 1):
+            total, kinds = counts.texts_after[label], counts.kinds_after[label]
             seen = total > 0
-            self.total[label, seen] = total[seen]
-            self.backoff[label, seen] = left[seen] / total[seen]
+            at = counts.before[seen]
+            held[label, counts.word] = counts.kinds_before[label]  # distinct words before each word
+            self.total[label, at] = total[seen]
+            self.backoff[label, at] = counts.less[label] * kinds[seen] / total[seen]
         shared = (held.sum(axis=0) + 0.5) / (held.sum() + 0.5 * WORD_SLOTS)
         mass = held.sum(axis=1, keepdims=True)
-        less = np.array([[discount(h)] for h in held])
+        less = np.array([[discount(int((h == 1).sum()), int((h == 2).sum()))] for h in held])
         freed = less * (held > 0).sum(axis=1, keepdims=True) + (mass == 0)
         self.lower = ((np.maximum(held - less, 0) + freed * shared) / np.maximum(mass, 1.0)).astype(np.float32)
         self.weights, self.strong = np.zeros(4), STRONG[0]
 
     def find(self, pairs: np.ndarray) -> np.ndarray:
         """Places of the keys in ``pair``, -1 where no text of either class has the pair."""
-        slot = _slot(pairs)
+        slot, rest = places(pairs)
         at, end = self.first[slot].astype(np.int64), self.first[slot + 1]
         out = np.full(len(pairs), -1)
         open_ = np.flatnonzero(at < end)
         while len(open_):  # as often as the fullest range that is met has keys
             here = at[open_]
-            hit = self.keys[here] == pairs[open_]
+            hit = self.rest[here] == rest[open_]
             out[open_[hit]] = here[hit]
             at[open_] += 1
             open_ = open_[~hit & (at[open_] < end[open_])]
@@ -173,8 +178,9 @@ def _logistic(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return weights
 
 
-def count_pairs(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """What ``KneserNey`` is made from, of (words, toxic): a row for each distinct pair of each class, as Arrow columns."""
+def count_pairs(texts: DataFrame) -> Counts:
+    """What ``KneserNey`` is made from, of (words, toxic). Spark counts; the driver gets a row for each distinct pair of the
+    sample and for each word, as Arrow columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -189,9 +195,28 @@ def count_pairs(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(toxic, pa.int32())], ["pair", "toxic"])
 
     each = texts.select("words", "toxic").mapInArrow(bounded(run), "pair long, toxic int")
-    found = each.groupBy("toxic", "pair").agg(F.count(F.lit(1)).cast("int").alias("texts")).toArrow()
-    toxic, pairs, texts_of = (found.column(c).to_numpy() for c in ("toxic", "pair", "texts"))
-    return [(pairs[toxic == label], texts_of[toxic == label]) for label in (0, 1)]
+    of_class = lambda label: F.count(F.when(F.col("toxic") == label, 1)).cast("int").alias(f"n{label}")
+    with Scratch(texts.sparkSession, "toxicity-pairs") as scratch:
+        pairs = scratch.write(each.groupBy("pair").agg(of_class(0), of_class(1)), "pairs")
+        is_ = lambda label, n: F.count(F.when(F.col(f"n{label}") == n, 1))
+        ones = pairs.agg(is_(0, 1), is_(0, 2), is_(1, 1), is_(1, 2)).first()
+        less = [discount(*ones[:2]), discount(*ones[2:])]
+        kinds = [F.count(F.when(F.col(f"n{label}") > 0, 1)).cast("int").alias(f"k{label}") for label in (0, 1)]
+        sums = [F.sum(f"n{label}").cast("int").alias(f"s{label}") for label in (0, 1)]
+        after = pairs.groupBy(F.shiftright("pair", KEY_BITS // 2).cast("int").alias("at")).agg(*sums, *kinds).toArrow()
+        ahead = pairs.groupBy(F.col("pair").bitwiseAND(F.lit(WORD_SLOTS - 1)).cast("int").alias("at")).agg(*kinds).toArrow()
+        mixed = F.pmod(F.col("pair") * SPREAD, F.lit(1 << KEY_BITS))
+        values = [F.when(F.col(f"n{label}") > 0, F.col(f"n{label}") - less[label]).otherwise(0.0).cast("float").alias(f"v{label}") for label in (0, 1)]
+        slot = F.shiftright(mixed, KEY_BITS - PAIR_BITS).cast("int").alias("slot")
+        rest = mixed.bitwiseAND(F.lit((1 << (KEY_BITS - PAIR_BITS)) - 1))
+        listed = pairs.select(slot, rest.alias("rest"), *values).orderBy("slot", "rest").toArrow()
+        listed = {name: listed.column(name).to_numpy() for name in listed.column_names}
+    column = lambda table, name: table.column(name).to_numpy()
+    both = lambda table, name: [column(table, f"{name}{label}") for label in (0, 1)]
+    return Counts(
+        listed["slot"], listed["rest"].astype(np.uint32), np.stack([listed["v0"], listed["v1"]]),
+        column(after, "at"), np.stack(both(after, "s")), np.stack(both(after, "k")), column(ahead, "at"), np.stack(both(ahead, "k")), less,
+    )
 
 
 def _features_of(texts: DataFrame, model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
