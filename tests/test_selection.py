@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 
-from tideline.operators import nowcast, selection
+from tideline.operators import metrics, nowcast, selection
 from tideline.operators.labels import STATES
 from tideline.sources import snapshots
 
@@ -84,3 +84,21 @@ def test_snapshots_show_after_their_commit_row(spark, tmp_path):
         pass
     snapshots.append_snapshot(rows.limit(0), root, "two", {"source": "x"})
     assert snapshots.committed(spark, root, "series_id string, value double")[1].filter("snapshot_id = 'two'").count() == 0
+
+
+def test_sign_test_of_blocks(spark):
+    day = lambda k: dt.date(2024, 1, 5) + dt.timedelta(7 * k)
+    # seven blocks of three weeks and one of one: six above 0, one below, one at 0
+    means = [1, 1, 1, 1, 1, 1, -1, 0]
+    rows = [("s", "a", day(k), float(means[k // 3])) for k in range(22)] + [("s", "b", day(k), -1.0) for k in range(22)] + [("s", "c", day(k), 0.0) for k in range(22)]
+    frame = spark.createDataFrame(rows, "series_id string, model string, origin date, improvement double")
+    got = {r.model: (r.blocks, r.better, round(r.p, 9)) for r in selection.block_sign_test(frame, ["series_id"], "model", "origin", 3).collect()}
+    assert got == {"a": (7, 6, round((7 + 1) / 2**7, 9)), "b": (8, 0, 1.0), "c": (0, 0, 1.0)}
+    assert selection.block_sign_test(frame.limit(0), ["series_id"], "model", "origin").count() == 0
+
+
+def test_a_candidate_that_fell_back_is_none(spark):
+    rows = [("s", "majority", 1.0, 0.1, 5), ("s", "good", 0.5, 0.1, 1), ("s", "fair", 0.8, 0.1, 0)]
+    board = spark.createDataFrame(rows, "series_id string, model string, log_loss double, calibration_error double, fallback_count long")
+    pick = lambda b: metrics.select_champion(b, ["series_id"], ["majority"], {"good": 1, "fair": 2}).first()["champion"]
+    assert pick(board) == "fair" and pick(board.drop("fallback_count")) == "good"

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators import svm
 from tideline.operators.labels import STATES
 
 FLOOR = 1e-9
@@ -285,8 +286,8 @@ def embargoed(origins: DataFrame, cutoff: str, date: str = "origin") -> DataFram
 
 
 #: Names of the candidates that pyspark.ml fits on a split.
-SPLIT_MODELS = {"elastic": "elastic_net_logistic", "forest": "random_forest", "boosted": "boosted_trees"}
-ELASTIC_C, ELASTIC_L1 = 0.5, 0.25
+SPLIT_MODELS = {"elastic": "elastic_net_logistic", "forest": "random_forest", "boosted": "boosted_trees", "spline": "spline_logistic", "svm": "calibrated_linear_svm"}
+ELASTIC_C, ELASTIC_L1, SPLINE_C, COMPONENTS = 0.5, 0.25, 0.10, 8
 
 
 #: Trees of a forest and boosting rounds by profile.
@@ -294,10 +295,13 @@ PROFILES = {"quick": (24, 40), "standard": (160, 160), "full": (350, 300)}
 
 
 def split_pipeline(kind: str, features: list[str], rows: int, profile: str = "standard"):
-    """Median imputation, missing-value indicators and a pyspark.ml classifier: ``elastic``, ``forest`` or ``boosted``."""
+    """Median imputation, missing-value indicators and a pyspark.ml classifier: ``elastic``, ``forest``, ``boosted``, or ``spline``, a
+    logistic fit on a spline basis of the principal components."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+
+    from tideline.operators.splines import QuantileSplines
 
     filled = [f"{c}_filled" for c in features]
     stages = [
@@ -306,6 +310,14 @@ def split_pipeline(kind: str, features: list[str], rows: int, profile: str = "st
     ]
     if kind == "elastic":  # a mean loss takes the penalty of a summed one divided by the rows
         last = LogisticRegression(family="multinomial", elasticNetParam=ELASTIC_L1, regParam=1 / (ELASTIC_C * max(rows, 1)), maxIter=200, tol=1e-6, labelCol="label", weightCol="weight")
+    elif kind == "spline":
+        stages[1].setOutputCol("assembled")
+        stages += [
+            StandardScaler(inputCol="assembled", outputCol="scaled", withMean=True),
+            PCA(k=min(COMPONENTS, 2 * len(features)), inputCol="scaled", outputCol="components"),
+            QuantileSplines(inputCol="components", outputCol="features", knots=3, degree=2),
+        ]
+        last = LogisticRegression(family="multinomial", regParam=1 / (SPLINE_C * max(rows, 1)), maxIter=200, tol=1e-6, standardization=False, labelCol="label")
     elif kind == "forest":
         last = RandomForestClassifier(numTrees=PROFILES[profile][0], maxDepth=6, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=17, labelCol="label", weightCol="weight")
     else:
@@ -325,7 +337,9 @@ def split_forecasts(frame: DataFrame, features: list[str], kind: str, cutoff: st
     rows = rows.withColumn("label", label.cast("double"))
     train, later = rows.filter(F.col("target_week") < F.lit(cutoff).cast("date")), rows.filter(F.col("week") >= F.lit(cutoff).cast("date"))
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
+    if kind == "svm" and sizes:
+        found = svm.calibrated(train, later, features)
+    elif len(sizes) < 2:
         prior = {s: (sizes.get(float(k), 0) + 1) / (sum(sizes.values()) + len(STATES)) for k, s in enumerate(STATES)}
         found = later.withColumns({f"p_{s}": F.lit(p) for s, p in prior.items()} | {"fallback": F.lit(True)})
     else:
