@@ -88,3 +88,11 @@ def test_windows(spark):
     assert plan(3) == {"a": (8, "delta"), "b": (1, "delta"), "c": (1, "full")}
     with pytest.raises(Exception, match="before the last successful"):
         pit.plan_windows(obs, DAY(1), DAY(9), ["series_id"]).collect()
+
+
+def test_expansion(spark):
+    rows = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "q"), ("c", "x"), ("c", "y"), ("c", "z"), ("d", "z"), ("d", "z")]
+    frame = spark.createDataFrame(rows, "k string, series_id string")
+    got = sorted(tuple(r) for r in pit.expansion(frame, ["x", "y", "z"], ["k"]).collect())
+    assert got == [("a", "z"), ("d", "x"), ("d", "y")]  # b holds a strange one, c is complete
+    assert pit.expansion(frame.limit(0), ["x"], ["k"]).count() == 0

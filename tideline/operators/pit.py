@@ -143,6 +143,16 @@ def merge_results(results: DataFrame) -> DataFrame:
     )
 
 
+def expansion(existing: DataFrame, configured: list[str], keys: list[str], series: str = "series_id") -> DataFrame:
+    """(keys, series) that a grown configuration still lacks: only where what exists is a strict subset of it.
+
+    A key that holds a series which is not configured is no expansion and gives no row. The configuration is a short list.
+    """
+    wanted = F.array(*[F.lit(s) for s in sorted(set(configured))])
+    held = existing.groupBy(*keys).agg(F.collect_set(F.when(F.col(series).isin(configured), F.col(series))).alias("held"), F.max((~F.col(series).isin(configured)).cast("int")).alias("strange"))
+    return held.filter("strange = 0").select(*keys, F.explode(F.array_except(wanted, F.col("held"))).alias(series))
+
+
 def completeness(obs: DataFrame, expected: DataFrame, cutoffs: int, share: float = 0.9) -> DataFrame:
     """Per expected series: weeks seen, coverage of the weekly cutoffs, and whether that is enough."""
     seen = obs.groupBy("series_id").agg(F.countDistinct(F.trunc("observed_period_end", "week")).alias("weeks_seen"))

@@ -281,11 +281,6 @@ def v18(spark, sf_dir):
     return rounded(metrics.regret(rounded(metrics.leaderboard(walk(spark, sf_dir), ["series_id", "model"]), places=9), ["series_id"]))
 
 
-@register("v09_comparable", WALK + " SELECT series_id, origin, count(DISTINCT model) AS n_models, count(*) AS n_rows, count(DISTINCT actual) AS n_outcomes FROM walk WHERE NOT (model = 'markov' AND pos % 50 = 0) GROUP BY 1, 2 HAVING count(DISTINCT model) <> 4", dates=("origin",))
-def v09(spark, sf_dir):
-    return metrics.comparable(walk(spark, sf_dir).filter("NOT (model = 'markov' AND pos % 50 = 0)"), ["series_id", "origin"], 4)
-
-
 def _haz(h: int) -> str:
     pre = f"OVER (PARTITION BY series_id ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND {h + 1} PRECEDING)"
     own = ", ".join(f"count(*) FILTER (state = '{s}' AND nxt = '{s}') {pre} AS s{i}, count(*) FILTER (state = '{s}') {pre} AS m{i}" for i, s in enumerate(STATES))
@@ -299,6 +294,17 @@ def hazards(spark, sf_dir):
     return materialize(baselines.hazards(labelled(spark, sf_dir).select("series_id", "week", "state"), TRAIN_WEEKS), "hazards")
 
 
+@register(
+    "v09_comparable",
+    BASE + HAZ + " SELECT series_id, origin, count(DISTINCT model || '_' || horizon) AS n_models, count(*) AS n_rows, count(DISTINCT actual_change) AS n_outcomes FROM haz GROUP BY 1, 2 HAVING count(DISTINCT model || '_' || horizon) <> 6 OR count(*) <> 6 OR count(DISTINCT actual_change) <> 1",
+    dates=("origin",),
+)
+def v09(spark, sf_dir):
+    """Hazards of all horizons side by side: origins where a horizon is open or not yet trained, or where outcomes differ."""
+    named = hazards(spark, sf_dir).withColumns({"model": F.concat_ws("_", "model", "horizon"), "actual": F.col("actual_change")})
+    return metrics.comparable(named, ["series_id", "origin"], 6)
+
+
 @register("t01_t02_hazards", BASE + HAZ + " SELECT series_id, origin, CAST(horizon AS BIGINT) AS horizon, current_state, actual_change, model, " + r6("p_change", "p_change") + " FROM haz", dates=("origin",))
 def t01(spark, sf_dir):
     return rounded(hazards(spark, sf_dir))
@@ -388,11 +394,15 @@ def m20(spark, sf_dir):
     return rounded(metrics.survival(one).drop("hazard"))
 
 
-@register("p08_probability_violations", WALK + " SELECT series_id, origin, model FROM walk WHERE pos % 97 = 0", dates=("origin",))
+@register(
+    "p08_probability_violations",
+    WALK + " SELECT series_id, origin, model FROM walk WHERE abs(" + " + ".join(f"round(p_{s}, 6)" for s in STATES) + " - 1) > 5e-7",
+    dates=("origin",),
+)
 def p08(spark, sf_dir):
-    rows = walk(spark, sf_dir)
-    broken = rows.withColumn("p_risk_on", F.when(F.col("pos") % 97 == 0, F.col("p_risk_on") + 0.5).otherwise(F.col("p_risk_on")))
-    return metrics.probability_violations(broken, [f"p_{s}" for s in STATES]).select("series_id", "origin", "model")
+    """Forecasts as they are printed, at six digits: those that no longer sum to 1."""
+    printed = rounded(walk(spark, sf_dir))
+    return metrics.probability_violations(printed, [f"p_{s}" for s in STATES], tolerance=5e-7).select("series_id", "origin", "model")
 
 
 @register(

@@ -150,14 +150,21 @@ def r10(spark, sf_dir):
     return pit.completeness(order_observations(spark, sf_dir), expected, 345)
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 @register(
     "r11_expansion",
-    "SELECT DISTINCT c_mktsegment AS series_id FROM customer WHERE c_mktsegment NOT IN (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment < 'F')",
-    dates=(),
+    f"""WITH k AS (SELECT CAST(o_orderdate AS DATE) AS day, c_mktsegment AS s FROM orders JOIN customer ON o_custkey = c_custkey),
+d AS (SELECT day FROM k GROUP BY 1 HAVING bool_and(s IN ({', '.join(f"'{s}'" for s in SEGMENTS)})))
+SELECT day, v.s AS series_id FROM d, (SELECT unnest({SEGMENTS}) AS s) v WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.day = d.day AND k.s = v.s)""",
+    dates=("day",),
 )
 def r11(spark, sf_dir):
-    configured = read_table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("series_id")).distinct()
-    return configured.join(configured.filter("series_id < 'F'"), "series_id", "left_anti")
+    """Segments that a day's orders lack, of a configuration of all five."""
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("series_id"))
+    return pit.expansion(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), SEGMENTS, ["day"])
 
 
 @register(
