@@ -59,11 +59,6 @@ def m09(spark, sf_dir):
     return rounded(learned.split_forecasts(_inputs(spark, sf_dir), FEATURES, "spline", SPLIT))
 
 
-@register("m10_calibrated_svm", dates=())
-def m10(spark, sf_dir):
-    return rounded(learned.split_forecasts(_inputs(spark, sf_dir), FEATURES, "svm", SPLIT))
-
-
 @register("m11_random_forest", dates=())
 def m11(spark, sf_dir):
     return rounded(learned.split_forecasts(_inputs(spark, sf_dir), FEATURES, "forest", SPLIT))
