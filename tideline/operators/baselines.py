@@ -19,16 +19,18 @@ def _one_hot(state: Column) -> list[Column]:
     return _normal([F.when(state == s, 1.0).otherwise(FLOOR) for s in STATES])
 
 
-def walk_forward(states: DataFrame, min_train: int, gap: int = 1) -> DataFrame:
-    """Next-state forecasts of majority, persistence, markov and class prior at every origin of (series_id, week, state).
+def forecast_rows(states: DataFrame, gap: int = 1) -> DataFrame:
+    """Next-state forecasts of majority, persistence, markov and class prior at every row of (series_id, week, state).
 
-    Training pairs (state, next state) of an origin at position p are those of rows 0 to p - gap - 1.
+    Training pairs (state, next state) of an origin at position p are those of rows 0 to p - gap - 1. At the last row of a
+    series actual is NULL and target_week a week later.
     """
     order = Window.partitionBy("series_id").orderBy("week")
     prefix = order.rowsBetween(Window.unboundedPreceding, -(gap + 1))
-    rows = states.withColumns({"pos": F.row_number().over(order) - 1, "next": F.lead("state").over(order), "target_week": F.lead("week").over(order)})
+    target = F.coalesce(F.lead("week").over(order), F.date_add("week", 7))
+    rows = states.withColumns({"pos": F.row_number().over(order) - 1, "next": F.lead("state").over(order), "target_week": target})
     counts = {f"c_{i}{j}": F.sum(((F.col("state") == a) & (F.col("next") == b)).cast("int")).over(prefix) for i, a in enumerate(STATES) for j, b in enumerate(STATES)}
-    rows = rows.withColumns(counts).filter((F.col("pos") >= min_train + gap) & F.col("next").isNotNull())
+    rows = rows.withColumns({k: F.coalesce(v, F.lit(0)) for k, v in counts.items()})
     c = [[F.col(f"c_{i}{j}") for j in range(3)] for i in range(3)]
     n = [c[0][j] + c[1][j] + c[2][j] for j in range(3)]
     top = F.greatest(*n)
@@ -45,6 +47,29 @@ def walk_forward(states: DataFrame, min_train: int, gap: int = 1) -> DataFrame:
     return rows.select("series_id", F.col("week").alias("origin"), "target_week", F.col("pos").cast("long").alias("pos"), F.col("state").alias("current_state"), F.col("next").alias("actual"), total.cast("long").alias("train_size"), F.inline(forecasts))
 
 
+def walk_forward(states: DataFrame, min_train: int, gap: int = 1) -> DataFrame:
+    """``forecast_rows`` of the origins with enough history whose outcome is known."""
+    return forecast_rows(states, gap).filter((F.col("pos") >= min_train + gap) & F.col("actual").isNotNull())
+
+
+def forecast_next(states: DataFrame, min_train: int, as_of: str | None = None, gap: int = 1) -> DataFrame:
+    """(series_id, origin, model, current_state, train_size, p_*, status): the next-week chances at the last row of each series
+    no later than ``as_of``, or at its last row.
+
+    Nothing after ``as_of`` is read. A series with too little history has NULL chances and says so in its status; one that
+    starts later gives no row. Chances are at least 1e-9 and sum to 1.
+    """
+    known = states if as_of is None else states.filter(F.col("week") <= F.lit(as_of).cast("date"))
+    rows = forecast_rows(known, gap).filter("actual IS NULL AND current_state IS NOT NULL")
+    last = Window.partitionBy("series_id")
+    rows = rows.withColumn("_last", F.max("origin").over(last)).filter("origin = _last")
+    enough, history = F.col("pos") - gap >= min_train, F.greatest(F.col("pos") - gap, F.lit(0))
+    p = [F.greatest(F.col(f"p_{s}"), F.lit(FLOOR)) for s in STATES]
+    chances = [F.when(enough, x).alias(f"p_{s}") for x, s in zip(_normal(p), STATES, strict=True)]
+    status = F.when(enough, "ok").otherwise(F.concat(F.lit("not_enough_history:"), history.cast("string"), F.lit(f"<{min_train}")))
+    return rows.select("series_id", "origin", "model", "current_state", "train_size", *chances, status.alias("status"))
+
+
 def hazard_rows(states: DataFrame, min_train: int, h: int) -> DataFrame:
     """(series_id, origin, horizon, current_state, event, train_size, model, p_change) of every origin for one horizon; the
     event, a departure within it, is NULL while the horizon is open."""
