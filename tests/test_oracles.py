@@ -3,7 +3,7 @@
 import pytest
 
 from tests.comparing import oracle_rows, query_rows
-from tideline.plans import ablation_queries, contract_queries, feature_queries, forecast_queries, learned_queries, pit_queries, projection_queries, registry, selection_queries, source_queries, stream_queries, structural_queries, transition_queries  # noqa: F401
+from tideline.plans import ablation_queries, contract_queries, feature_queries, forecast_queries, learned_queries, matrix_queries, pit_queries, projection_queries, registry, selection_queries, source_queries, stream_queries, structural_queries, transition_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
