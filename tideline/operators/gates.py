@@ -136,7 +136,7 @@ def _hidden(kind: T.DataType) -> Column:
 def sanitize(frame: DataFrame) -> DataFrame:
     """``frame`` without credentials at any depth of its structs, maps and arrays.
 
-    A field or key with a credential's name holds REDACTED, or NULL where it is no text; in all other texts the values of
-    credentials in query strings go. The schema stays, NULL stays NULL.
+    A field or key with a credential's name holds REDACTED whatever was there, or NULL where it is no text; in all other texts
+    the values of credentials in query strings go. Names and types stay, and so does every other NULL.
     """
     return frame.select(*[(_hidden(f.dataType) if _is_sensitive(f.name) else _sanitized(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in frame.schema.fields])

@@ -36,7 +36,7 @@ def f22(spark, sf_dir):
     return rounded(matrix.transition_features(frame).drop("risk_score", "lower", "upper"), places=8)
 
 
-_AT, _ONE, _OTHERS = "2000-06-30", "CHINA", ["INDIA", "FRANCE", "BRAZIL"]
+_AT, _ONE, _OTHERS = "2000-06-30", "NATION_0", ["NATION_1", "NATION_2", "NATION_3"]
 
 
 @register(
