@@ -16,6 +16,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -355,3 +356,50 @@ def split_forecasts(frame: DataFrame, features: list[str], kind: str, cutoff: st
         found = found.withColumns({f"p_{s}": x / (clipped[0] + clipped[1] + clipped[2]) for s, x in zip(STATES, clipped, strict=True)} | {"fallback": F.lit(False)})
     name = F.lit(SPLIT_MODELS[kind]).alias("model")
     return found.select("series_id", F.col("week").alias("origin"), "target_week", F.col("state").alias("current_state"), "actual", name, *[f"p_{s}" for s in STATES], "fallback")
+
+
+#: Rounds, depth, step, share of rows and of features of the boosted hazards.
+HAZARD_TREES = {"maxIter": 120, "maxDepth": 3, "stepSize": 0.04, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.65"}
+
+
+def boosted_hazards(frame: DataFrame, features: list[str], cutoff: str, horizons: tuple[int, ...] = (1, 4, 13), **trees) -> DataFrame:
+    """Departure forecasts of the weeks from ``cutoff`` on whose outcome is known, by boosted trees of each horizon.
+
+    Each horizon has one fit, on the rows of all series whose whole horizon ended before ``cutoff``; the fits run side by side.
+    Features that are missing are filled with the training median and flagged. With fewer than three events, or fewer than
+    three rows without one, p_change is (events + 1) / (rows + 2) and a fallback. ``trees`` overrides HAZARD_TREES.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = frame.select("series_id", "week", "state", *[F.col(c).cast("double").alias(c) for c in features]).filter(F.col("state").isin(*STATES))
+    rows = rows.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in features})
+    limit, filled = F.lit(cutoff).cast("date"), [f"{c}_filled" for c in features]
+
+    def one(h: int) -> DataFrame:
+        ahead = Window.partitionBy("series_id").orderBy("week").rowsBetween(1, h)
+        left = F.size(F.filter(F.collect_list("state").over(ahead), lambda s: s != F.col("state"))) > 0
+        known = rows.withColumn("actual_change", F.when(F.count("state").over(ahead) == h, left)).filter("actual_change IS NOT NULL")
+        known = known.withColumn("label", F.col("actual_change").cast("double"))
+        train, later = known.filter(F.date_add("week", 7 * h) < limit), known.filter(F.col("week") >= limit)
+        n, events = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+        fell = min(events, n - events) < 3
+        if fell:
+            said = later.withColumn("p_change", F.lit((events + 1) / (n + 2)))
+        else:
+            boost = GBTClassifier(seed=17, featuresCol="features", labelCol="label", **(HAZARD_TREES | trees))
+            steps = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=[*filled, *[f"{c}_missing" for c in features]], outputCol="features"), boost]
+            said = Pipeline(stages=steps).fit(train.repartition("series_id").sortWithinPartitions("series_id", "week")).transform(later)
+            said = said.withColumn("p_change", vector_to_array("probability")[1])
+        p = F.least(F.greatest(F.col("p_change"), F.lit(EDGE)), F.lit(1 - EDGE))
+        return said.select(
+            "series_id", F.col("week").alias("origin"), F.lit(h).cast("long").alias("horizon"), F.lit("binary_boosted_trees").alias("model"),
+            F.col("state").alias("current_state"), "actual_change", p.alias("p_change"), F.lit(fell).alias("fallback"),
+        )
+
+    with ThreadPoolExecutor(len(horizons)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, horizons))

@@ -74,6 +74,12 @@ def t04(spark, sf_dir):
     return rounded(learned.hazards(_inputs(spark, sf_dir), FEATURES, TRAIN_WEEKS))
 
 
+@register("t05_boosted_hazards", dates=())
+def t05(spark, sf_dir):
+    """Not in SQL: the trees are those of pyspark.ml; tests hold them against the data they may see."""
+    return rounded(learned.boosted_hazards(_inputs(spark, sf_dir), FEATURES, SPLIT))
+
+
 @register("t07_platt_calibration", dates=())
 def t07(spark, sf_dir):
     raw = materialize(learned.hazards(_inputs(spark, sf_dir), FEATURES, TRAIN_WEEKS, (1, 4)), "raw-hazards")
