@@ -1,4 +1,12 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from tests.llm.test_dedup import near_classes
 from tideline.llm import langid, order_minhash
 
 
@@ -28,3 +36,73 @@ def test_stages_take_empty_tables(spark, sf_dir, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         odd = stage(spark, odd, sf_dir)
     assert odd.columns == corpus_pipeline.DOCUMENT_COLUMNS and langid.UNKNOWN not in {r.text for r in odd.collect()}
+
+
+def planted(draw):
+    """Rows of documents, labels, and the ids that are in no single language or toxic."""
+    langs = dict(zip(("aa", "bb", "cc", "dd"), ("abcdefgh", "efghijkl", "ijklmnop", "mnopqrst"), strict=True))
+    words = {x: ["".join(draw.choice(letters) for _ in range(draw.randrange(3, 9))) for _ in range(80)] for x, letters in langs.items()}
+    say = lambda x, n: " ".join(draw.choice(words[x]) for _ in range(n))
+    texts, strange, toxic = [], set(), set()
+    for k in range(240):
+        lang = draw.choice(list(langs))
+        text = say(lang, 80)
+        if k % 4 == 0:
+            toxic.add(k)
+            text += " vile rotten"
+        texts.append((text, lang))
+    for text in (None, "", "123 456 !!", *[" ".join(say(x, 40) for x in langs) for _ in range(3)]):
+        strange.add(len(texts))
+        texts.append((text, None))
+    clean = [k for k in range(240) if k not in toxic]
+    texts += [texts[k] for k in (*clean[:12], *clean[:5], *sorted(toxic)[:4])]  # exact copies, some twice
+    toxic |= set(range(len(texts) - 4, len(texts)))
+    for k in clean[10:40]:  # near copies: one word of 80 is another
+        text, lang = texts[k]
+        parts = text.split()
+        parts[draw.randrange(80)] = say(lang, 1) + "x"
+        texts.append((" ".join(parts), lang))
+    rows = [(k, t, lang, draw.choice(["one", "two", None]), len(t or "")) for k, (t, lang) in enumerate(texts)]
+    return rows, [(k, 1, int(k in toxic)) for k in range(0, 240, 2)], strange, toxic
+
+
+def test_all_stages_against_plain_versions(spark, tmp_path):
+    rows, labels, strange, toxic = planted(random.Random(61))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text = {r[0]: r[1] for r in rows}
+    docs, kept, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}, text.keys()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        got = [r.doc_id for r in docs.collect()]
+        assert len(got) == len(set(got)) < len(seen), name
+        if name == "language_id":
+            want = seen - strange
+        elif name == "toxicity":  # a classifier: all planted ones go, of the clean ones it may misjudge a few
+            assert not set(got) & toxic and len(seen - toxic - set(got)) <= 0.03 * len(seen - toxic)
+            want = set(got) & seen
+        elif name == "exact_dedup":
+            want = set({text[k]: k for k in sorted(seen)}.values())
+        else:
+            want = set(near_classes([(k, text[k]) for k in sorted(seen)]).values())
+        assert set(got) == want, name
+        kept[name] = seen = want
+
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    of_doc, filled = defaultdict(list), defaultdict(list)
+    for r in pieces:
+        own = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(own) == r.length
+        of_doc[r.doc_id].append((r.start, own))
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert of_doc.keys() == kept["near_dedup"]
+    for k, parts in of_doc.items():
+        assert [x for _, own in sorted(parts) for x in own] == [*encoder.encode(text[k], add_special_tokens=False).ids, 1]
+    for spans in filled.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
