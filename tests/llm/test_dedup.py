@@ -432,6 +432,16 @@ def test_language_of_a_long_text(spark, docs):
     assert {r.doc_id: r.lang_pred for r in got} == {1: "en", 2: "und"}
 
 
+def test_tied_languages(spark):
+    """Of languages with the same training texts the first that sorts is the prediction, whatever the order of the rows."""
+    draw = random.Random(67)
+    texts = [text_of(draw, 40) for _ in range(5)]
+    for langs in (("bb", "aa", "cc"), ("cc", "bb", "aa")):
+        train = spark.createDataFrame([(t, x) for x in langs for t in texts], "text string, lang string")
+        asked = spark.createDataFrame([(1, texts[0]), (2, "strange words"), (3, "1 2")], "doc_id long, text string")
+        assert {r.doc_id: r.lang_pred for r in langid.predict(asked, langid.fit(train)).collect()} == {1: "aa", 2: "aa", 3: "und"}
+
+
 def test_toxicity(spark, docs, sf_dir):
     sf = sf_dir.replace("0.001", "0.1")
     whole, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
