@@ -1,6 +1,7 @@
 """Revisions by hand: zones, statuses, prepared snapshots and windows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,30 @@ def test_expansion(spark):
     got = sorted(tuple(r) for r in pit.expansion(frame, ["x", "y", "z"], ["k"]).collect())
     assert got == [("a", "z"), ("d", "x"), ("d", "y")]  # b holds a strange one, c is complete
     assert pit.expansion(frame.limit(0), ["x"], ["k"]).count() == 0
+
+
+def test_revisions_are_deduplicated_and_numbered_in_one_shuffle(spark):
+    draw = random.Random(5)
+    at = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(hours=k)
+    rows = [
+        (draw.choice("ab"), draw.choice("st"), dt.date(2024, 1, draw.choice((1, 2))), draw.choice((None, -1.0, 2.0)), draw.choice((None, at(1), at(2))), draw.choice((None, dt.date(2024, 1, 3))),
+         draw.choice((None, at(3), at(4))), draw.choice((None, 0, 1)), draw.choice((None, "00ab", "00aB", "00a", "0f", "x")))
+        for _ in range(600)
+    ]
+    names = ["source", "series_id", "observed_period_end", "value", "available_at", "vintage_date", "retrieved_at", "revision_seq", "raw_sha256"]
+    obs = spark.createDataFrame(rows, "source string, series_id string, observed_period_end date, value double, available_at timestamp_ntz, vintage_date date, retrieved_at timestamp_ntz, revision_seq int, raw_sha256 string")
+    up = lambda *xs: tuple((x is not None, x) if x is not None else (False,) for x in xs)
+    best, want = {}, set()
+    for r in rows:
+        key, rank = (*r[:3], r[4], r[5], r[8]), up(r[6], r[7], r[3])
+        if key not in best or rank > best[key][0]:
+            best[key] = rank, r
+    for period in {k[:3] for k in best}:
+        own = sorted((k for k in best if k[:3] == period), key=lambda k: up(*k[3:]))
+        want |= {(*best[k][1][:7], n, k[5]) for n, k in enumerate(own)}
+    found = pit.sequence_revisions(obs)
+    assert found.columns == names and len(want) < 600
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1

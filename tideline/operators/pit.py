@@ -55,8 +55,19 @@ def last_of(obs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def sequence_revisions(obs: DataFrame) -> DataFrame:
-    """Drop repeats of a revision, the last retrieved wins, then number the revisions."""
-    return normalize_revisions(last_of(obs, [*PERIOD, "available_at", "vintage_date", "raw_sha256"], ["retrieved_at", "revision_seq"]))
+    """Drop repeats of a revision, the last retrieved wins, then number the revisions.
+
+    Repeats lie in the same period, so one shuffle by period and one sort serve both: the winner comes first of its repeats.
+    """
+    same = ["available_at", "vintage_date", "raw_sha256"]
+    rest = [c for c in obs.columns if c not in [*PERIOD, *same, "retrieved_at", "revision_seq"]]
+    period = Window.partitionBy(*PERIOD)
+    order = period.orderBy(*same, *[F.col(c).desc() for c in ["retrieved_at", "revision_seq", *rest]])
+    repeat = F.row_number().over(order) > 1
+    for c in same:  # column by column, as a struct of them would be shuffled too
+        repeat = repeat & F.lag(c).over(order).eqNullSafe(F.col(c))
+    firsts = obs.withColumn("_repeat", repeat).filter(~F.col("_repeat"))
+    return firsts.withColumn("revision_seq", (F.row_number().over(period.orderBy(*same)) - 1).cast("int")).select(obs.columns)
 
 
 def index_by_natural_key(obs: DataFrame) -> DataFrame:
