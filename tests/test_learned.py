@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pytest
 
 from tideline.operators import discriminant, learned
 from tideline.operators.labels import STATES
@@ -102,6 +103,32 @@ def test_split_models_learn_from_the_selection_rows(spark):
         assert np.mean([max(STATES, key=lambda s: r[f"p_{s}"]) == r.actual for r in out]) > 0.5
 
 
+@pytest.mark.parametrize("rows_of_a_task", [20_000, 50])
+def test_partitions_of_a_fit_follow_its_rows(spark, monkeypatch, rows_of_a_task):
+    class Seen(Exception):
+        pass
+
+    class Pipeline:
+        def fit(self, train):
+            kept = train.persist()
+            try:
+                raise Seen(kept.rdd.getNumPartitions(), kept.count())
+            finally:
+                kept.unpersist()
+
+    monkeypatch.setattr(learned, "split_pipeline", lambda *_: Pipeline())
+    monkeypatch.setattr(learned, "FIT_ROWS", rows_of_a_task)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        with pytest.raises(Seen) as seen:
+            learned.split_forecasts(spark.createDataFrame(panel(160), SCHEMA), ["score", "noise"], "boosted", "2022-01-07")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    partitions, rows = seen.value.args
+    assert rows > 100 and partitions == math.ceil(rows / rows_of_a_task)
+
+
 def test_hurdle_moves_to_neighbours_only(spark):
     rows = panel(150, seed=11)
     whole = spark.createDataFrame(rows, SCHEMA)

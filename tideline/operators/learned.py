@@ -326,6 +326,19 @@ def split_pipeline(kind: str, features: list[str], rows: int, profile: str = "st
     return Pipeline(stages=[*stages, last])
 
 
+#: Rows of one task of a fit.
+FIT_ROWS = 20_000
+
+
+def dealt(train: DataFrame, rows: int) -> DataFrame:
+    """Training rows in as many partitions as their number asks for, each sorted.
+
+    A fit that persists them runs a task for each partition in every one of its hundreds of jobs; the partitions of the
+    shuffle that made them follow the session and not their number, and most would be empty.
+    """
+    return train.repartition(max(-(-rows // FIT_ROWS), 1), "series_id", "week").sortWithinPartitions("series_id", "week")
+
+
 def split_forecasts(frame: DataFrame, features: list[str], kind: str, cutoff: str, profile: str = "standard") -> DataFrame:
     """Forecasts of the weeks from ``cutoff`` on, by a classifier fitted on all rows whose next week is before it."""
     from pyspark.ml.functions import vector_to_array
@@ -338,6 +351,7 @@ def split_forecasts(frame: DataFrame, features: list[str], kind: str, cutoff: st
     rows = rows.withColumn("label", label.cast("double"))
     train, later = rows.filter(F.col("target_week") < F.lit(cutoff).cast("date")), rows.filter(F.col("week") >= F.lit(cutoff).cast("date"))
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    train = dealt(train, sum(sizes.values()))
     if kind == "svm" and sizes:
         found = svm.calibrated(train, later, features)
     elif len(sizes) < 2:
